@@ -23,7 +23,7 @@ LINE_BREAK = r"(?:\r\n|[\n\x{0b}\x{0c}\r\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}
 
 # Flags: (?U) gives Unicode \p classes and case folding; we never rely on the
 # bare \w/\s/\b after translation, so (?U) only matters for case folding.
-IGNORE_CASE = "(?iu)"
+IGNORE_CASE = "(?iU)"
 UNICODE = "(?U)"
 
 
