@@ -258,3 +258,141 @@ def c9_filter_tokens(spark, sf):
 @register("c9b_drop_toxic_tokens", f"SELECT doc_id, {S.drop_toxic('text', TERMS)} AS out {_EN}")
 def c9b_drop_toxic_tokens(spark, sf):
     return en_docs(spark, sf).select("doc_id", T.drop_toxic_tokens("text", TERMS).alias("out"))
+
+
+# ==========================================================================
+# 4. output repair on conversations (artifacts added by literal concat)
+# ==========================================================================
+
+def convs(spark, sf):
+    return spread(read_table(spark, sf, "conversations"), "conv_id")
+
+
+_C11_IN_SQL = ("CASE role WHEN 'user' THEN concat('user: ', text) "
+               "WHEN 'assistant' THEN concat('assistant: \"', text, '\" {text}') "
+               "ELSE concat('Текст: ', text) END")
+
+
+def _c11_in():
+    return (F.when(F.col("role") == "user", F.concat(F.lit("user: "), "text"))
+            .when(F.col("role") == "assistant", F.concat(F.lit('assistant: "'), "text", F.lit('" {text}')))
+            .otherwise(F.concat(F.lit("Текст: "), "text")))
+
+
+def _c11_sql(x: str) -> str:
+    for w in ("Текст", "Детокс", "Токсик"):
+        x = f"regexp_replace({x}, {S.q(S.label_pattern(w))}, '\\1\\3', 'g')"
+    x = rf"regexp_replace({x}, '\{{\s*text\s*\}}', '', 'gi')"
+    for w in ("user", "assistant"):
+        x = f"regexp_replace({x}, {S.q(S.label_pattern(w))}, '\\1\\3', 'g')"
+    c = S.collapse(x)
+    return (f"(SELECT {S.strip(S.q('') + ' || ' + 'regexp_replace(u, ' + S.q('(?i)^(Текст|Детокс|Токсик)\\s*:\\s*') + ', ' + S.q('') + ')')} "
+            f"FROM (SELECT CASE WHEN (starts_with(c, '\"') AND ends_with(c, '\"')) OR "
+            f"(starts_with(c, '''') AND ends_with(c, '''')) THEN {S.strip('substr(c, 2, length(c) - 2)')} "
+            f"ELSE c END AS u FROM (SELECT {c} AS c)))")
+
+
+@register("c11_strip_prompt_artifacts",
+          f"SELECT conv_id, turn, {_c11_sql(_C11_IN_SQL)} AS out FROM conversations")
+def c11_strip_prompt_artifacts(spark, sf):
+    return convs(spark, sf).select("conv_id", "turn", T.strip_prompt_artifacts(_c11_in()).alias("out"))
+
+
+def _c12_in():
+    first5 = T.truncate_tokens("text", 5)
+    return F.when(F.col("role") == "assistant",
+                  F.concat("text", F.lit("\nDetoxed: "), first5, F.lit('"\n(Translation: none)'))
+                  ).otherwise(F.col("text"))
+
+
+_C12_IN_SQL = (f"CASE WHEN role = 'assistant' THEN concat(text, chr(10) || 'Detoxed: ', "
+               f"array_to_string(({S.split_ws('text')})[1:5], ' '), '\"' || chr(10) || '(Translation: none)') "
+               f"ELSE text END")
+
+
+def _c12_sql(x: str) -> str:
+    t = S.strip(x)
+    lines = (f"list_filter(list_transform(string_split(CASE WHEN starts_with(t, '\"') AND ends_with(t, '\"') "
+             f"THEN substr(t, 2, length(t) - 2) ELSE t END, chr(10)), lambda l: {S.strip('l')}), "
+             f"lambda l: l <> '')")
+    last = "len(ls) - list_position(list_reverse(list_transform(ls, lambda l: starts_with(l, 'Detoxed:'))), true) + 1"
+    after = ("list_filter(ls[lm + 1:], lambda l: NOT (starts_with(l, '(') AND contains(l, 'Translation')))")
+    cand = (f"CASE WHEN len(ls) = 0 THEN '' WHEN lm IS NULL THEN ls[-1] "
+            f"ELSE coalesce({after}[1], ls[lm]) END")
+    s1 = (f"CASE WHEN starts_with(c0, 'Detoxed:assistant') THEN {S.strip('substr(c0, 18)')} ELSE c0 END")
+    s2 = (f"CASE WHEN starts_with(c1, 'Detoxed:') THEN {S.strip('substr(c1, 9)')} ELSE c1 END")
+    s3 = ("CASE WHEN ends_with(c2, '\"') THEN regexp_replace(substr(c2, 1, length(c2) - 1), '\\s+$', '') "
+          "ELSE c2 END")
+    return (f"(SELECT {s3} FROM (SELECT {s2} AS c2 FROM (SELECT {s1} AS c1 FROM (SELECT {cand} AS c0 FROM "
+            f"(SELECT ls, {last} AS lm FROM (SELECT {lines} AS ls FROM (SELECT {t} AS t)))))))")
+
+
+@register("c12_extract_marked_answer",
+          f"SELECT conv_id, turn, {_c12_sql(_C12_IN_SQL)} AS out FROM conversations")
+def c12_extract_marked_answer(spark, sf):
+    return convs(spark, sf).select("conv_id", "turn", T.extract_marked_answer(_c12_in()).alias("out"))
+
+
+def _c13_in():
+    return F.when(F.col("role") == "assistant", F.concat(F.lit('Assistant: "'), "text", F.lit('"'))) \
+        .otherwise(F.concat(F.lit("answer"), "text"))
+
+
+_C13_IN_SQL = ("CASE WHEN role = 'assistant' THEN concat('Assistant: \"', text, '\"') "
+               "ELSE concat('answer', text) END")
+
+
+def _c13_sql(x: str) -> str:
+    first = S.strip(f"coalesce(string_split({S.strip(x)}, chr(10))[1], '')")
+    branches = []
+    for p in T.ANSWER_PREFIXES:
+        rest = S.strip(f"regexp_replace(substr(f, {len(p) + 1}), '^:+', '')")
+        branches.append(f"WHEN starts_with(lower(f), {S.q(p.lower())}) THEN {rest}")
+    cut = "CASE " + " ".join(branches) + " ELSE f END"
+    unq = (f"CASE WHEN starts_with(g, '\"') AND ends_with(g, '\"') AND length(g) > 1 "
+           f"THEN {S.strip('substr(g, 2, length(g) - 2)')} ELSE g END")
+    return f"(SELECT {unq} FROM (SELECT {cut} AS g FROM (SELECT {first} AS f)))"
+
+
+@register("c13_extract_first_line",
+          f"SELECT conv_id, turn, {_c13_sql(_C13_IN_SQL)} AS out FROM conversations")
+def c13_extract_first_line(spark, sf):
+    return convs(spark, sf).select("conv_id", "turn", T.extract_first_line(_c13_in()).alias("out"))
+
+
+def _c14_in():
+    return F.when(F.col("role") == "assistant", F.concat(F.lit(PROMPT), "text", F.lit("\n"), "text")) \
+        .otherwise(F.concat(F.lit('"'), "text", F.lit('"')))
+
+
+_C14_IN_SQL = (f"CASE WHEN role = 'assistant' THEN concat({S.q(PROMPT)}, text, chr(10), text) "
+               f"ELSE concat('\"', text, '\"') END")
+
+
+def _c14_sql(x: str, src: str) -> str:
+    t = f"CASE WHEN contains(g, {S.q(PROMPT)}) THEN {S.strip('replace(g, ' + S.q(PROMPT) + ', ' + S.q('') + ')')} ELSE g END"
+    lines = f"list_filter(list_transform(string_split(t, chr(10)), lambda l: {S.strip('l')}), lambda l: l <> '')"
+    # distinct lines keeping first occurrence order
+    dl = "list_filter(ls, lambda l, i: list_position(ls, l) = i)"
+    uq = f"list_transform(dl, lambda l: {S.strip(chr(39).join(['trim(trim(l, ', '\"', '), ', chr(39) * 2, ')']))})"
+    choose = "coalesce(list_filter(uq, lambda l: length(l) >= 3)[1], uq[1])"
+    res = f"CASE WHEN r IS NULL OR length(r) < 3 THEN s ELSE r END"
+    words = S.split_ws(S.collapse("r2"))
+    return (f"(SELECT CASE WHEN g IS NULL OR g = '' THEN s ELSE {S.keep_two_repeats(words)} END FROM "
+            f"(SELECT {res} AS r2 FROM (SELECT {choose} AS r FROM (SELECT {uq} AS uq FROM "
+            f"(SELECT {dl} AS dl FROM (SELECT {lines} AS ls FROM (SELECT {t} AS t)))))))")
+
+
+@register("c14_clean_generated",
+          f"SELECT conv_id, turn, {_c14_sql('g', 's')} AS out FROM "
+          f"(SELECT conv_id, turn, {_C14_IN_SQL} AS g, text AS s FROM conversations)")
+def c14_clean_generated(spark, sf):
+    return convs(spark, sf).select("conv_id", "turn",
+                                   T.clean_generated(_c14_in(), F.col("text"), PROMPT).alias("out"))
+
+
+@register("c16_build_prompt",
+          f"SELECT conv_id, turn, concat({S.q(PROMPT)}, text, chr(10) || 'Answer:') AS prompt FROM conversations")
+def c16_build_prompt(spark, sf):
+    return convs(spark, sf).select("conv_id", "turn",
+                                   T.build_prompt("text", PROMPT + "{text}\nAnswer:").alias("prompt"))

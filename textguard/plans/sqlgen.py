@@ -72,3 +72,21 @@ def rules(expr: str, rs: Sequence[tuple[str, str]]) -> str:
     for p, r in rs:
         expr = f"regexp_replace({expr}, {q(p)}, {q(r)}, 'gi')"
     return expr
+
+
+def strip(expr: str) -> str:
+    return rf"regexp_replace({expr}, '^\s+|\s+$', '', 'g')"
+
+
+def label_pattern(word: str) -> str:
+    """RE2 stand-in for Python's ``\\bWORD\\b\\s*:?`` (ignore case); use with
+    replacement ``\\1\\3``. RE2 has no lookarounds, so the boundary chars are
+    captured and put back."""
+    return rf"(^|[^\pL\pN_])(?i:{word})(?:(\s+:?|:)|($|[^\pL\pN_:\s]))"
+
+
+def keep_two_repeats(words: str) -> str:
+    lw = f"list_transform({words}, lambda x: lower(x))"
+    return (f"array_to_string(list_filter(list_transform({words}, lambda x, i: CASE WHEN i >= 3 AND "
+            f"({lw})[i] = ({lw})[i - 1] AND ({lw})[i - 1] = ({lw})[i - 2] THEN NULL ELSE x END), "
+            f"lambda x: x IS NOT NULL), ' ')")
