@@ -44,9 +44,9 @@ def token_counts(c, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
         n = F.size(s)
         starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                           lambda i: (n > 0) & ((i == 1) | (_at(s, i) != _at(s, i - 1))))
-        return F.transform(starts, lambda st, j: F.struct(
+        return _let(starts, lambda st_arr: F.transform(st_arr, lambda st, j: F.struct(
             _at(s, st).alias("w"),
-            (F.coalesce(_at(starts, j + 2), n + 1) - st).cast("long").alias("n")))
+            (F.coalesce(_at(st_arr, j + 2), n + 1) - st).cast("long").alias("n"))))
     return _let(F.array_sort(tokens(c, pattern)), rle)
 
 
@@ -61,9 +61,10 @@ def cosine_counts(a: Column, b: Column) -> Column:
     def norm(v):
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * x["n"]))
 
-    merged = F.array_sort(F.concat(a, b))
-    d = _let(merged, dot)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(d / (norm(a) * norm(b)))
+    def go(x, y):
+        d = _let(F.array_sort(F.concat(x, y)), dot)
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(d / (norm(x) * norm(y)))
+    return _let(a, lambda x: _let(b, lambda y: go(x, y)))
 
 
 def text_similarity(a, b, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:

@@ -396,3 +396,206 @@ def c14_clean_generated(spark, sf):
 def c16_build_prompt(spark, sf):
     return convs(spark, sf).select("conv_id", "turn",
                                    T.build_prompt("text", PROMPT + "{text}\nAnswer:").alias("prompt"))
+
+
+# ==========================================================================
+# 5./6. trained scorers and metrics (documents + labels)
+# ==========================================================================
+
+def nb_model(spark, sf):
+    from ..operators.scoring import train_naive_bayes
+    lab = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    return train_naive_bayes(lab, "text", "toxic")
+
+
+def nb_scored(spark, sf, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    from ..operators.scoring import score_naive_bayes
+    w, pr = nb_model(spark, sf)
+    return score_naive_bayes(df, w, pr, "doc_id", text_col, out_col)
+
+
+_TOK = "regexp_extract_all(lower({}), '[a-z]+')"
+
+_NB_SQL = f"""
+ lab AS (SELECT d.text, l.toxic FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL),
+ ltok AS (SELECT toxic, unnest({_TOK.format('text')}) AS w FROM lab),
+ cnt AS (SELECT w, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS c1,
+                sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS c0 FROM ltok GROUP BY w),
+ tot AS (SELECT sum(c1) AS n1, sum(c0) AS n0, count(*) AS v FROM cnt),
+ pri AS (SELECT ln(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::DOUBLE
+                   / sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END)) AS prior FROM lab),
+ wt AS (SELECT w, ln((c1 + 1) / (n1 + v)) - ln((c0 + 1) / (n0 + v)) AS weight FROM cnt, tot)"""
+
+
+def _nb_score_sql(src_cte: str, text_col: str) -> str:
+    """``src_cte`` has (doc_id, <text_col>); returns CTEs ending in scored(doc_id, p)."""
+    return f"""{_NB_SQL},
+ dt AS (SELECT doc_id, unnest({_TOK.format(text_col)}) AS w FROM {src_cte}),
+ sc AS (SELECT doc_id, sum(weight) AS s FROM dt JOIN wt USING (w) GROUP BY doc_id),
+ scored AS (SELECT x.doc_id, 1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, prior + coalesce(s, 0.0))))) AS p
+            FROM {src_cte} x LEFT JOIN sc USING (doc_id), pri)"""
+
+
+@register("m1_nb_score", f"WITH {_nb_score_sql('documents', 'text')} SELECT doc_id, round(p, 6) AS p_toxic FROM scored")
+def m1_nb_score(spark, sf):
+    return nb_scored(spark, sf, docs(spark, sf), "text", "p").select("doc_id", r6(F.col("p")).alias("p_toxic"))
+
+
+@register("a4_accuracy",
+          f"""WITH {_nb_score_sql('documents', 'text')}
+ SELECT sum(CASE WHEN p >= 0.5 AND toxic = 1 THEN 1 ELSE 0 END) AS tp,
+        sum(CASE WHEN p >= 0.5 AND toxic <> 1 THEN 1 ELSE 0 END) AS fp,
+        sum(CASE WHEN p < 0.5 AND toxic <> 1 THEN 1 ELSE 0 END) AS tn,
+        sum(CASE WHEN p < 0.5 AND toxic = 1 THEN 1 ELSE 0 END) AS fn,
+        round(avg(CASE WHEN (p >= 0.5)::INT = toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+ FROM scored JOIN labels USING (doc_id)""")
+def a4_accuracy(spark, sf):
+    from ..operators.metrics import confusion
+    s = nb_scored(spark, sf, docs(spark, sf), "text", "p").join(read_table(spark, sf, "labels"), "doc_id")
+    c = confusion(s, "p", "toxic", THRESHOLD)
+    return c.select("tp", "fp", "tn", "fn", r6(F.col("accuracy")).alias("accuracy"))
+
+
+_RW_CTE = f"rw AS ({_g1_sql()})"
+
+
+def _scored_rewrites(spark, sf):
+    g = gated_rewrites(spark, sf)
+    g = nb_scored(spark, sf, g, "text", "p_before")
+    return nb_scored(spark, sf, g, "rewrite", "p_after")
+
+
+_BA_SQL = f"""WITH {_RW_CTE}, {_NB_SQL},
+ b AS (SELECT doc_id, unnest({_TOK.format('text')}) AS w FROM rw),
+ a AS (SELECT doc_id, unnest({_TOK.format('rewrite')}) AS w FROM rw),
+ sb AS (SELECT doc_id, sum(weight) AS s FROM b JOIN wt USING (w) GROUP BY doc_id),
+ sa AS (SELECT doc_id, sum(weight) AS s FROM a JOIN wt USING (w) GROUP BY doc_id),
+ ev AS (SELECT rw.doc_id, rw.lang, rw.edited, rw.text, rw.rewrite,
+   1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, prior + coalesce(sb.s, 0.0))))) AS p_before,
+   1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, prior + coalesce(sa.s, 0.0))))) AS p_after
+   FROM rw LEFT JOIN sb USING (doc_id) LEFT JOIN sa USING (doc_id), pri)"""
+
+
+@register("a12_before_after",
+          f"""{_BA_SQL} SELECT edited, count(*) AS n_rows, round(avg(p_before), 6) AS avg_p_before,
+ round(avg(p_after), 6) AS avg_p_after FROM ev GROUP BY edited""")
+def a12_before_after(spark, sf):
+    from ..operators.metrics import before_after_report
+    r = before_after_report(_scored_rewrites(spark, sf), "p_before", "p_after", "edited")
+    return r.select("edited", "n_rows", r6(F.col("avg_p_before")).alias("avg_p_before"),
+                    r6(F.col("avg_p_after")).alias("avg_p_after"))
+
+
+@register("a1_sta",
+          f"""{_BA_SQL} SELECT lang, round(avg(CASE WHEN p_after < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS sta,
+ count(*) AS n_rows FROM ev GROUP BY lang""")
+def a1_sta(spark, sf):
+    from ..operators.metrics import sta
+    return _scored_rewrites(spark, sf).groupBy("lang").agg(r6(sta("p_after", THRESHOLD)).alias("sta"),
+                                                            F.count("*").alias("n_rows"))
+
+
+def _bag_sql(cte: str, col: str, name: str) -> str:
+    return (f"{name} AS (SELECT doc_id, w, count(*) AS n FROM "
+            f"(SELECT doc_id, unnest({_TOK.format(col)}) AS w FROM {cte}) GROUP BY doc_id, w)")
+
+
+_SIM_SQL = f"""WITH {_RW_CTE}, {_bag_sql('rw', 'text', 'ba')}, {_bag_sql('rw', 'rewrite', 'bb')},
+ dotp AS (SELECT doc_id, sum(ba.n * bb.n) AS d FROM ba JOIN bb USING (doc_id, w) GROUP BY doc_id),
+ na AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM ba GROUP BY doc_id),
+ nb AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM bb GROUP BY doc_id),
+ sims AS (SELECT rw.doc_id, rw.lang, CASE WHEN na.x IS NULL OR nb.x IS NULL THEN 0.0
+            ELSE coalesce(dotp.d, 0) / (na.x * nb.x) END AS sim
+          FROM rw LEFT JOIN dotp USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id))"""
+
+
+def _sims(spark, sf):
+    from ..operators.scoring import text_similarity
+    g = gated_rewrites(spark, sf)
+    return g.select("doc_id", "lang", text_similarity("text", "rewrite").alias("sim"))
+
+
+@register("m6_text_similarity", f"{_SIM_SQL} SELECT doc_id, round(sim, 6) AS sim FROM sims")
+def m6_text_similarity(spark, sf):
+    return _sims(spark, sf).select("doc_id", r6(F.col("sim")).alias("sim"))
+
+
+@register("a2_mean_similarity", f"{_SIM_SQL} SELECT lang, round(avg(sim), 6) AS sim FROM sims GROUP BY lang")
+def a2_mean_similarity(spark, sf):
+    from ..operators.metrics import sim
+    return _sims(spark, sf).groupBy("lang").agg(r6(sim("sim")).alias("sim"))
+
+
+def bigram_model(spark, sf):
+    from ..operators.scoring import train_bigrams
+    return train_bigrams(read_table(spark, sf, "documents"), "text")
+
+
+_BG_MODEL_SQL = f"""
+ rt AS (SELECT {_TOK.format('text')} AS t FROM documents),
+ rp AS (SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM rt)),
+ pairs AS (SELECT a, b, count(*) AS cab FROM rp GROUP BY a, b),
+ starts AS (SELECT a, sum(cab) AS ca FROM pairs GROUP BY a),
+ vocab AS (SELECT count(DISTINCT w) AS v FROM (SELECT unnest(t) AS w FROM rt))"""
+
+
+def _nll_sql(cte: str, col: str) -> str:
+    return f"""{_BG_MODEL_SQL},
+ xt AS (SELECT doc_id, {_TOK.format(col)} AS t FROM {cte}),
+ xp AS (SELECT doc_id, t[i] AS a, t[i + 1] AS b FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM xt)),
+ xs AS (SELECT doc_id, sum(-ln((coalesce(cab, 0) + 1.0) / (coalesce(ca, 0) + v))) AS nll_sum, count(*) AS n_pred
+        FROM xp LEFT JOIN pairs USING (a, b) LEFT JOIN starts USING (a), vocab GROUP BY doc_id),
+ nll AS (SELECT xt.doc_id, coalesce(nll_sum, 0.0) AS nll_sum, coalesce(n_pred, 0) AS n_pred, len(t) AS n_tokens
+         FROM xt LEFT JOIN xs USING (doc_id))"""
+
+
+def _nll(spark, sf, df: DataFrame, col: str) -> DataFrame:
+    from ..operators.scoring import bigram_nll
+    return bigram_nll(df, bigram_model(spark, sf), "doc_id", col)
+
+
+@register("m7_text_perplexity",
+          f"WITH {_RW_CTE}, {_nll_sql('rw', 'rewrite')} SELECT doc_id, "
+          "round(CASE WHEN n_tokens >= 3 THEN exp(nll_sum / n_pred) END, 6) AS ppl FROM nll")
+def m7_text_perplexity(spark, sf):
+    from ..operators.scoring import text_perplexity
+    p = text_perplexity(_nll(spark, sf, gated_rewrites(spark, sf), "rewrite"), "doc_id")
+    return p.select("doc_id", r6(F.col("ppl")).alias("ppl"))
+
+
+@register("a6_corpus_perplexity",
+          f"WITH {_nll_sql('documents', 'text')} SELECT round(CASE WHEN sum(n_pred) > 0 THEN "
+          "exp(sum(nll_sum) / sum(n_pred)) ELSE 'inf'::DOUBLE END, 6) AS corpus_ppl, sum(n_pred) AS n_pred FROM nll")
+def a6_corpus_perplexity(spark, sf):
+    from ..operators.scoring import corpus_perplexity
+    c = corpus_perplexity(_nll(spark, sf, docs(spark, sf), "text"))
+    return c.select(r6(F.col("corpus_ppl")).alias("corpus_ppl"), "n_pred")
+
+
+@register("m8_evaluate",
+          f"""{_BA_SQL}, {_bag_sql('rw', 'text', 'ba')}, {_bag_sql('rw', 'rewrite', 'bb')},
+ dotp AS (SELECT doc_id, sum(ba.n * bb.n) AS d FROM ba JOIN bb USING (doc_id, w) GROUP BY doc_id),
+ na AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM ba GROUP BY doc_id),
+ nb AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM bb GROUP BY doc_id),
+ sims AS (SELECT rw.doc_id, CASE WHEN na.x IS NULL OR nb.x IS NULL THEN 0.0
+            ELSE coalesce(dotp.d, 0) / (na.x * nb.x) END AS sim
+          FROM rw LEFT JOIN dotp USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id)),
+ {_nll_sql('rw', 'rewrite')[1:]},
+ fl AS (SELECT doc_id, CASE WHEN n_tokens >= 3 THEN exp(nll_sum / n_pred) END AS ppl FROM nll),
+ allm AS (SELECT ev.*, sims.sim, fl.ppl, l.toxic FROM ev JOIN sims USING (doc_id) JOIN fl USING (doc_id)
+          LEFT JOIN labels l USING (doc_id))
+ SELECT round(avg(CASE WHEN p_after < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS sta, round(avg(sim), 6) AS sim,
+  round(avg(CASE WHEN NOT isnan(ppl) THEN ppl END), 6) AS fl,
+  round(avg(CASE WHEN toxic IS NOT NULL THEN CASE WHEN (p_before >= 0.5)::INT = toxic THEN 1.0 ELSE 0.0 END END), 6)
+   AS clf_acc, count(*) AS n_rows FROM allm""")
+def m8_evaluate(spark, sf):
+    """M8: STA of the rewrites, SIM(text, rewrite), FL = mean per-text
+    perplexity of the rewrites, classifier accuracy on labelled rows."""
+    from ..operators.metrics import evaluate
+    from ..operators.scoring import text_perplexity, text_similarity
+    s = _scored_rewrites(spark, sf).withColumn("cos", text_similarity("text", "rewrite"))
+    ppl = text_perplexity(_nll(spark, sf, s.select("doc_id", "rewrite"), "rewrite"), "doc_id")
+    s = s.join(ppl, "doc_id").join(read_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    m = evaluate(s, p_after="p_after", cos="cos", fluency="ppl", p_before="p_before", label="toxic",
+                 threshold=THRESHOLD)
+    return m.select(*[r6(F.col(c)).alias(c) for c in ("sta", "sim", "fl", "clf_acc")], "n_rows")
