@@ -599,3 +599,118 @@ def m8_evaluate(spark, sf):
     m = evaluate(s, p_after="p_after", cos="cos", fluency="ppl", p_before="p_before", label="toxic",
                  threshold=THRESHOLD)
     return m.select(*[r6(F.col(c)).alias(c) for c in ("sta", "sim", "fl", "clf_acc")], "n_rows")
+
+
+# ==========================================================================
+# 7. sampling, splits, ids, alignment, caches
+# ==========================================================================
+
+SEED = 42
+_H = "md5(concat('42:', doc_id::VARCHAR))"
+_LABELLED = "documents JOIN labels USING (doc_id)"
+
+
+def labelled_docs(spark, sf):
+    return read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+
+
+@register("o1_sample_per_class",
+          f"SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER "
+          f"(PARTITION BY toxic ORDER BY {_H}, doc_id) AS rn FROM {_LABELLED}) WHERE rn <= 20")
+def o1_sample_per_class(spark, sf):
+    from ..operators.sampling import sample_per_class
+    s = sample_per_class(labelled_docs(spark, sf), "toxic", {1: 20, 0: 20}, "doc_id", SEED)
+    return s.select("doc_id", "toxic")
+
+
+@register("o2_train_val_split",
+          f"SELECT doc_id, CASE WHEN rn <= ceil(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM "
+          f"(SELECT doc_id, row_number() OVER (ORDER BY {_H}, doc_id) AS rn, count(*) OVER () AS n FROM documents)")
+def o2_train_val_split(spark, sf):
+    from ..operators.sampling import train_val_split
+    return train_val_split(read_table(spark, sf, "documents"), 0.1, "doc_id", SEED).select("doc_id", "split")
+
+
+@register("o3_validation_slice",
+          f"""WITH tr AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER
+ (PARTITION BY toxic ORDER BY {_H}, doc_id) AS rn FROM {_LABELLED}) WHERE rn <= 20)
+ SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tr) ORDER BY {_H}, doc_id LIMIT 50""")
+def o3_validation_slice(spark, sf):
+    from ..operators.sampling import sample_per_class, validation_slice
+    train = sample_per_class(labelled_docs(spark, sf), "toxic", {1: 20, 0: 20}, "doc_id", SEED)
+    return validation_slice(read_table(spark, sf, "documents"), train, "doc_id", 50, SEED).select("doc_id")
+
+
+@register("o4_top_k",
+          f"SELECT doc_id, {S.term_hits('text', TERMS)} AS hits FROM documents "
+          f"ORDER BY hits DESC, doc_id LIMIT 10")
+def o4_top_k(spark, sf):
+    from ..operators.select import top_k
+    d = docs(spark, sf).select("doc_id", P.term_hits("text", TERMS).alias("hits"))
+    return top_k(d, "hits", 10, ["doc_id"])
+
+
+@register("o5_limit_head", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 15")
+def o5_limit_head(spark, sf):
+    from ..operators.select import limit_head
+    return limit_head(read_table(spark, sf, "documents").select("doc_id", "lang"), 15, ["doc_id"])
+
+
+LANGS = ["en", "fr", "de", "es"]
+
+
+@register("u1_union_parts",
+          "SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END "
+          "AS part FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
+def u1_union_parts(spark, sf):
+    from ..operators.sampling import union_parts
+    d = read_table(spark, sf, "documents").select("doc_id", "lang")
+    return union_parts([d.where(F.col("lang") == l) for l in LANGS], "part").select("doc_id", "part")
+
+
+@register("u2_contiguous_split",
+          "SELECT doc_id, least(floor((rn - 1) / (n // 3)), 2)::INT AS part FROM "
+          "(SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents)")
+def u2_contiguous_split(spark, sf):
+    from ..operators.sampling import contiguous_split
+    return contiguous_split(read_table(spark, sf, "documents").select("doc_id"), 3, ["doc_id"]).select("doc_id", "part")
+
+
+@register("u4_dense_id",
+          "SELECT doc_id, (row_number() OVER (ORDER BY lang, doc_id) - 1)::BIGINT AS idx FROM documents")
+def u4_dense_id(spark, sf):
+    from ..operators.sampling import dense_id
+    return dense_id(read_table(spark, sf, "documents").select("doc_id", "lang"), ["lang", "doc_id"], "idx") \
+        .select("doc_id", "idx")
+
+
+@register("j2_align_positional",
+          """SELECT d.doc_id, coalesce(b.text, '') AS bench_text FROM
+ (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents) d LEFT JOIN
+ (SELECT text, row_number() OVER (ORDER BY item_id) AS p FROM benchmark) b USING (p)""")
+def j2_align_positional(spark, sf):
+    from ..operators.sampling import align_positional
+    d = read_table(spark, sf, "documents").select("doc_id")
+    b = read_table(spark, sf, "benchmark").select("item_id", F.col("text").alias("bench_text"))
+    return align_positional(d, b, ["doc_id"], ["item_id"], ["bench_text"]).select("doc_id", "bench_text")
+
+
+_C1_SQL = S.nested_replace("text", TERMS)
+
+
+@register("j3_with_cache",
+          f"""WITH cache AS (SELECT sha256(text) AS key, min(concat('cached:', {_C1_SQL})) AS value
+   FROM {_LABELLED} GROUP BY 1)
+ SELECT doc_id, coalesce(c.value, concat('fresh:', {_C1_SQL})) AS out
+ FROM documents LEFT JOIN cache c ON sha256(text) = c.key""")
+def j3_with_cache(spark, sf):
+    """Results cached for the labelled documents (keyed by content hash)
+    are reused; the rest are computed once per distinct text."""
+    from ..operators.gate import content_key, with_cache
+    cache = labelled_docs(spark, sf).select(content_key("text").alias("key"),
+                                            F.concat(F.lit("cached:"), T.remove_literals("text", TERMS)).alias("value"))
+
+    def compute(m):
+        return m.withColumn("value", F.concat(F.lit("fresh:"), T.remove_literals("text", TERMS)))
+    res, _fresh = with_cache(docs(spark, sf), cache, "text", "out", compute)
+    return res.select("doc_id", "out")
