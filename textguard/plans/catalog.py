@@ -714,3 +714,134 @@ def j3_with_cache(spark, sf):
         return m.withColumn("value", F.concat(F.lit("fresh:"), T.remove_literals("text", TERMS)))
     res, _fresh = with_cache(docs(spark, sf), cache, "text", "out", compute)
     return res.select("doc_id", "out")
+
+
+# ==========================================================================
+# 9. vectors on embeddings: label // 2 acts as the layer, label % 2 as the
+#    class (1 = toxic), so every row takes part.
+# ==========================================================================
+
+LAYER_SQL = "(label // 2)"
+CLASS_SQL = "(label % 2)"
+ALPHAS = [0.5, 1.0, 2.0]
+
+
+def emb(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return e.withColumn("layer", (F.col("label") / 2).cast("int")).withColumn("cls", F.col("label") % 2)
+
+
+_UNNEST = ("SELECT vec_id, label, {l} AS layer, {c} AS cls, unnest(embedding)::DOUBLE AS x, "
+           "unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings").format(l=LAYER_SQL, c=CLASS_SQL)
+
+
+def _explode_means(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.select(*by, F.posexplode("mean").alias("pos0", "m")) \
+        .select(*by, (F.col("pos0") + 1).alias("pos"), r6(F.col("m")).alias("mean"))
+
+
+@register("a8_class_means",
+          f"SELECT label, pos, round(avg(x), 6) AS mean FROM ({_UNNEST}) GROUP BY label, pos")
+def a8_class_means(spark, sf):
+    from ..operators.vectors import class_means
+    return _explode_means(class_means(read_table(spark, sf, "embeddings"), "embedding", ["label"]), ["label"])
+
+
+@register("a9_layer_means",
+          f"SELECT layer, cls, pos, round(avg(x), 6) AS mean FROM ({_UNNEST}) GROUP BY layer, cls, pos")
+def a9_layer_means(spark, sf):
+    from ..operators.vectors import class_means
+    return _explode_means(class_means(emb(spark, sf), "embedding", ["layer", "cls"]), ["layer", "cls"])
+
+
+_MEANS_SQL = f"means AS (SELECT layer, cls, pos, avg(x) AS m FROM ({_UNNEST}) GROUP BY layer, cls, pos)"
+_DELTA_SQL = ("delta AS (SELECT n.layer, n.pos, n.m - p.m AS d FROM means n JOIN means p "
+              "ON n.layer = p.layer AND n.pos = p.pos AND n.cls = 0 AND p.cls = 1)")
+
+
+@register("v3_diff_in_means",
+          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos, round(d, 6) AS delta FROM delta")
+def v3_diff_in_means(spark, sf):
+    from ..operators.vectors import class_means, diff_in_means
+    m = class_means(emb(spark, sf), "embedding", ["layer", "cls"])
+    d = diff_in_means(m, "cls", ["layer"], positive=1, negative=0)
+    return d.select("layer", F.posexplode("delta").alias("pos0", "v")) \
+        .select("layer", (F.col("pos0") + 1).alias("pos"), r6(F.col("v")).alias("delta"))
+
+
+@register("v1_cosine_to_mean",
+          f"""WITH {_MEANS_SQL}, e AS ({_UNNEST}),
+ j AS (SELECT e.vec_id, sum(e.x * m.m) AS d, sqrt(sum(e.x * e.x)) AS a, sqrt(sum(m.m * m.m)) AS b
+       FROM e JOIN means m ON e.layer = m.layer AND e.cls = m.cls AND e.pos = m.pos GROUP BY e.vec_id)
+ SELECT vec_id, round(CASE WHEN a * b > 0 THEN d / (a * b) ELSE 0.0 END, 6) AS cos FROM j""")
+def v1_cosine_to_mean(spark, sf):
+    """V1: cosine of every vector with the mean of its (layer, class); the
+    means table is one row per group, bounded, and broadcast."""
+    from ..operators.vectors import class_means, cosine
+    e = emb(spark, sf)
+    m = class_means(e, "embedding", ["layer", "cls"]).select("layer", "cls", "mean")
+    return e.join(F.broadcast(m), ["layer", "cls"]).select("vec_id", r6(cosine("embedding", "mean")).alias("cos"))
+
+
+@register("v4_shift_norm",
+          f"""WITH {_MEANS_SQL}, {_DELTA_SQL}, e AS ({_UNNEST})
+ SELECT vec_id, round(sqrt(sum((e.x - 1.0 * delta.d) * (e.x - 1.0 * delta.d))), 6) AS shifted_norm
+ FROM e JOIN delta ON e.layer = delta.layer AND e.pos = delta.pos GROUP BY vec_id""")
+def v4_shift_norm(spark, sf):
+    from ..operators.vectors import class_means, diff_in_means, norm, shift
+    e = emb(spark, sf)
+    d = diff_in_means(class_means(e, "embedding", ["layer", "cls"]), "cls", ["layer"]).select("layer", "delta")
+    return e.join(F.broadcast(d), "layer").select("vec_id", r6(norm(shift("embedding", "delta", 1.0))).alias("shifted_norm"))
+
+
+_GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {l}, {a})" for i, (l, a) in enumerate((l, a) for l in range(5) for a in ALPHAS)) + \
+    ") AS g(grid_order, layer, alpha))"
+
+
+@register("j5_param_grid",
+          f"WITH {_GRID_SQL} SELECT g.grid_order, g.layer, g.alpha, count(*) AS n FROM grid g "
+          f"JOIN embeddings e ON {LAYER_SQL.replace('label', 'e.label')} = g.layer GROUP BY ALL")
+def j5_param_grid(spark, sf):
+    from ..operators.vectors import param_grid
+    g = param_grid(spark, list(range(5)), ALPHAS)
+    return g.join(emb(spark, sf).select("layer"), "layer").groupBy("grid_order", "layer", "alpha") \
+        .agg(F.count("*").alias("n"))
+
+
+_M9_SQL = f"""WITH {_GRID_SQL}, {_MEANS_SQL}, {_DELTA_SQL}, e AS ({_UNNEST}),
+ s AS (SELECT g.grid_order, g.layer, g.alpha, e.vec_id, e.pos, e.x, e.x - g.alpha * delta.d AS y,
+              mn.m AS mneg, mp.m AS mpos
+       FROM grid g JOIN e ON e.layer = g.layer JOIN delta ON delta.layer = g.layer AND delta.pos = e.pos
+       JOIN means mn ON mn.layer = g.layer AND mn.pos = e.pos AND mn.cls = 0
+       JOIN means mp ON mp.layer = g.layer AND mp.pos = e.pos AND mp.cls = 1),
+ v AS (SELECT grid_order, layer, alpha, vec_id,
+   sum(y * mneg) / nullif(sqrt(sum(y * y)) * sqrt(sum(mneg * mneg)), 0) AS cn,
+   sum(y * mpos) / nullif(sqrt(sum(y * y)) * sqrt(sum(mpos * mpos)), 0) AS cp,
+   coalesce(sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0.0) AS cs
+   FROM s GROUP BY ALL),
+ cands AS (SELECT grid_order, layer, alpha, avg(CASE WHEN coalesce(cn, 0.0) > coalesce(cp, 0.0) THEN 1.0 ELSE 0.0 END) AS sta,
+   avg(cs) AS sim, count(*) AS n FROM v GROUP BY ALL)"""
+
+
+def _grid(spark, sf):
+    from ..operators.vectors import class_means, grid_search, param_grid
+    e = emb(spark, sf)
+    m = class_means(e, "embedding", ["layer", "cls"])
+    return grid_search(e, m, param_grid(spark, list(range(5)), ALPHAS), "layer", "embedding", "cls", k=2)
+
+
+@register("m9_grid_search",
+          f"{_M9_SQL} SELECT grid_order, layer, alpha, round(sta, 6) AS sta, round(sim, 6) AS sim, "
+          "round(sta + 0.5 * sim, 6) AS score, n FROM cands")
+def m9_grid_search(spark, sf):
+    cands, _top = _grid(spark, sf)
+    return cands.select("grid_order", "layer", "alpha", r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"),
+                        r6(F.col("score")).alias("score"), "n")
+
+
+@register("o4_grid_top2",
+          f"{_M9_SQL} SELECT grid_order, layer, alpha FROM cands ORDER BY sta + 0.5 * sim DESC, grid_order LIMIT 2")
+def o4_grid_top2(spark, sf):
+    _c, top = _grid(spark, sf)
+    return top.select("grid_order", "layer", "alpha")
