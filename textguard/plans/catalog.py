@@ -845,3 +845,73 @@ def m9_grid_search(spark, sf):
 def o4_grid_top2(spark, sf):
     _c, top = _grid(spark, sf)
     return top.select("grid_order", "layer", "alpha")
+
+
+# ==========================================================================
+# 8. best of N over three derived candidate rewrites per document
+# ==========================================================================
+
+def _attempts():
+    return F.array(F.concat(F.lit(PROMPT), "text"), T.cleanse("text", TERMS, PATTERNS),
+                   T.truncate_tokens("text", 12))
+
+
+_ATTEMPTS_SQL = [f"concat({S.q(PROMPT)}, text)", _C4_SQL,
+                 f"array_to_string(({S.split_ws('text')})[1:12], ' ')"]
+
+
+def _ok(x: str) -> str:
+    return f"({x} IS NOT NULL AND length({S.strip(x)}) >= 3)"
+
+
+def _o6_sql() -> str:
+    raws = " UNION ALL ".join(f"SELECT doc_id, {i + 1} AS attempt, {a} AS g, text AS s FROM documents"
+                              for i, a in enumerate(_ATTEMPTS_SQL))
+    overlap = (f"(len(list_intersect(list_distinct({S.split_ws('lower(s)')}), "
+               f"list_distinct({S.split_ws('lower(g2)')}))) / "
+               f"greatest(len(list_distinct({S.split_ws('lower(s)')})), 1))")
+    return f"""WITH raw AS ({raws}),
+ gen AS (SELECT doc_id, attempt, s, {_c14_sql('g', 's')} AS gen FROM raw),
+ flt AS (SELECT doc_id, attempt, s, gen, {S.filter_tokens('gen', TERMS, REPLACEMENTS)} AS f FROM gen),
+ att AS (SELECT doc_id, attempt, s, CASE WHEN {_ok('f')} THEN f ELSE gen END AS g2 FROM flt),
+ sc AS (SELECT doc_id, attempt, s, g2, {_ok('g2')} AS ok,
+   {_valid_sql('g2', 's').replace('text', 's')} AS valid,
+   10.0 * {S.term_hits('g2', TERMS)} - 5.0 * {overlap} AS score FROM att),
+ s1 AS (SELECT doc_id, min(attempt) FILTER (WHERE ok) AS f_t,
+   first(score ORDER BY attempt) FILTER (WHERE ok) AS s_f,
+   min(attempt) FILTER (WHERE valid) AS v_any,
+   min(attempt) FILTER (WHERE valid AND score <= 0) AS v_neg FROM sc GROUP BY doc_id),
+ k AS (SELECT doc_id, f_t, CASE WHEN s_f <= 0 THEN v_any ELSE v_neg END AS k_t FROM s1),
+ win AS (SELECT sc.doc_id, first(g2 ORDER BY score, attempt) FILTER (WHERE
+     (attempt = f_t OR (valid AND attempt > f_t)) AND (k_t IS NULL OR attempt <= k_t)) AS w
+   FROM sc JOIN k USING (doc_id) GROUP BY sc.doc_id),
+ res AS (SELECT d.doc_id, d.text, win.w,
+   CASE WHEN NOT {_ok('win.w')} OR NOT coalesce({_valid_sql('win.w', 'd.text')}, false) THEN
+     CASE WHEN {_ok(S.filter_tokens('d.text', TERMS, REPLACEMENTS))}
+          THEN {S.filter_tokens('d.text', TERMS, REPLACEMENTS)} ELSE {S.drop_toxic('d.text', TERMS)} END
+   ELSE win.w END AS r FROM documents d LEFT JOIN win USING (doc_id)),
+ fin AS (SELECT doc_id, text, CASE WHEN r IS NULL OR r = '' THEN r
+   ELSE {S.filter_tokens(S.collapse('r'), TERMS, REPLACEMENTS)} END AS b FROM res)
+ SELECT doc_id, CASE WHEN {_ok('b')} THEN b ELSE text END AS best FROM fin"""
+
+
+_O6_SQL = _o6_sql()
+
+
+@register("o6_best_of_n", _O6_SQL)
+def o6_best_of_n(spark, sf):
+    """O6 with the attempts of a document in one array (no shuffle)."""
+    from ..operators.select import best_of_n
+    d = docs(spark, sf)
+    return d.select("doc_id", best_of_n(_attempts(), F.col("text"), TERMS, REPLACEMENTS, PROMPT).alias("best"))
+
+
+@register("o6_best_of_n_grouped", _O6_SQL)
+def o6_best_of_n_grouped(spark, sf):
+    """O6 on a long candidates table (doc_id, attempt, gen): two aggregations
+    by key instead of collecting a key's attempts."""
+    from ..operators.select import best_of_n_grouped
+    d = docs(spark, sf)
+    long = d.select("doc_id", "text", F.posexplode(_attempts()).alias("attempt", "gen"))
+    return best_of_n_grouped(long, "doc_id", "attempt", "gen", "text", TERMS, REPLACEMENTS, PROMPT) \
+        .select("doc_id", "best")

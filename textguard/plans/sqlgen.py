@@ -31,7 +31,7 @@ def collapse(expr: str) -> str:
 
 
 def split_ws(expr: str) -> str:
-    return rf"list_filter(string_split_regex({expr}, '\s+'), lambda t: t <> '')"
+    return rf"list_filter(string_split_regex({expr}, '\s+'), lambda lt_: lt_ <> '')"
 
 
 def key(w: str) -> str:
@@ -39,24 +39,24 @@ def key(w: str) -> str:
 
 
 def term_hits(expr: str, terms: Sequence[str]) -> str:
-    return f"len(list_filter({str_list(terms)}, lambda t: contains(lower({expr}), t)))"
+    return f"len(list_filter({str_list(terms)}, lambda lt_: contains(lower({expr}), lt_)))"
 
 
 def drop_toxic(expr: str, terms: Sequence[str], min_len: int = 4) -> str:
     long_terms = [t for t in terms if len(t) >= min_len]
-    kept = (f"list_filter({split_ws(expr)}, lambda w: NOT list_contains({str_list(terms)}, {key('w')}) "
-            f"AND len(list_filter({str_list(long_terms)}, lambda u: contains({key('w')}, u))) = 0)")
+    kept = (f"list_filter({split_ws(expr)}, lambda lw_: NOT list_contains({str_list(terms)}, {key('lw_')}) "
+            f"AND len(list_filter({str_list(long_terms)}, lambda lu_: contains({key('lw_')}, lu_))) = 0)")
     return f"(CASE WHEN len({kept}) = 0 THEN {expr} ELSE array_to_string({kept}, ' ') END)"
 
 
 def filter_tokens(expr: str, terms: Sequence[str], reps: Sequence[tuple[str, str]], min_len: int = 4) -> str:
     long_terms = [t for t in terms if len(t) >= min_len]
     rep_list = "[" + ", ".join(f"{{'k': {q(k)}, 'v': {q(v)}}}" for k, v in reps) + "]"
-    per = (f"CASE WHEN list_contains({str_list(terms)}, {key('w')}) THEN NULL "
-           f"WHEN len(list_filter({str_list(long_terms)}, lambda u: contains({key('w')}, u))) > 0 "
-           f"THEN nullif(list_filter({rep_list}, lambda r: contains({key('w')}, r.k))[1].v, '') "
-           f"ELSE w END")
-    joined = f"array_to_string(list_transform({split_ws(expr)}, lambda w: {per}), ' ')"
+    per = (f"CASE WHEN list_contains({str_list(terms)}, {key('lw_')}) THEN NULL "
+           f"WHEN len(list_filter({str_list(long_terms)}, lambda lu_: contains({key('lw_')}, lu_))) > 0 "
+           f"THEN nullif(list_filter({rep_list}, lambda lr_: contains({key('lw_')}, lr_.k))[1].v, '') "
+           f"ELSE lw_ END")
+    joined = f"array_to_string(list_transform({split_ws(expr)}, lambda lw_: {per}), ' ')"
     return f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN {expr} ELSE {collapse(joined)} END)"
 
 
@@ -86,7 +86,7 @@ def label_pattern(word: str) -> str:
 
 
 def keep_two_repeats(words: str) -> str:
-    lw = f"list_transform({words}, lambda x: lower(x))"
-    return (f"array_to_string(list_filter(list_transform({words}, lambda x, i: CASE WHEN i >= 3 AND "
-            f"({lw})[i] = ({lw})[i - 1] AND ({lw})[i - 1] = ({lw})[i - 2] THEN NULL ELSE x END), "
-            f"lambda x: x IS NOT NULL), ' ')")
+    lw = f"list_transform({words}, lambda lx_: lower(lx_))"
+    return (f"array_to_string(list_filter(list_transform({words}, lambda lx_, li_: CASE WHEN li_ >= 3 AND "
+            f"({lw})[li_] = ({lw})[li_ - 1] AND ({lw})[li_ - 1] = ({lw})[li_ - 2] THEN NULL ELSE lx_ END), "
+            f"lambda lx_: lx_ IS NOT NULL), ' ')")
