@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import fallback
 from ..functions.text import _c, is_blank
+from ..session import ship_package
 
 BatchFn = Callable[[list], list]
 
@@ -37,6 +38,7 @@ def gated_edit(df: DataFrame, gate, text: str, out_col: str,
         return df.withColumn(out_col, F.when(g, editor(F.col(text))).otherwise(F.col(text)))
     if batch_editor is None:
         raise ValueError("give editor or batch_editor")
+    ship_package(df.sparkSession)
     gated = df.withColumn("_gate", F.coalesce(g, F.lit(False)))
     schema = T.StructType(gated.schema.fields + [T.StructField(out_col, T.StringType(), True)])
 
@@ -65,6 +67,7 @@ def batch_map(df: DataFrame, factory: Callable[[], BatchFn], in_col: str, out_co
               batch_size: int = 16, out_type: T.DataType = T.StringType()) -> DataFrame:
     """M2: apply a list-in/list-out model to every row; the model is built
     once per task, row count and order per batch are checked."""
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type, True)])
 
     def run(batches):

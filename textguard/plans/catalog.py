@@ -915,3 +915,93 @@ def o6_best_of_n_grouped(spark, sf):
     long = d.select("doc_id", "text", F.posexplode(_attempts()).alias("attempt", "gen"))
     return best_of_n_grouped(long, "doc_id", "attempt", "gen", "text", TERMS, REPLACEMENTS, PROMPT) \
         .select("doc_id", "best")
+
+
+# ==========================================================================
+# 10. Python model stages (M2-M5) with deterministic stand-in models
+# ==========================================================================
+
+_ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_ASCII_UPPER = _ASCII_LOWER.upper()
+
+
+def ascii_upper_model():
+    """Stand-in 'forward translator': ASCII letters to upper case."""
+    table = str.maketrans(_ASCII_LOWER, _ASCII_UPPER)
+    return lambda xs: [None if x is None else x.translate(table) for x in xs]
+
+
+def ascii_lower_model():
+    """Stand-in 'back translator': ASCII letters to lower case."""
+    table = str.maketrans(_ASCII_UPPER, _ASCII_LOWER)
+    return lambda xs: [None if x is None else x.translate(table) for x in xs]
+
+
+def drop_marked_words_model():
+    """Stand-in 'editor': removes every whitespace token holding ORAN."""
+    import re
+    rx = re.compile(r"\S*ORAN\S*")
+    return lambda xs: [None if x is None else rx.sub("", x) for x in xs]
+
+
+_UP = f"translate(text, {S.q(_ASCII_LOWER)}, {S.q(_ASCII_UPPER)})"
+
+
+@register("m2_batch_map", f"SELECT doc_id, {_UP} AS out FROM documents")
+def m2_batch_map(spark, sf):
+    from ..operators.gate import batch_map
+    d = docs(spark, sf).select("doc_id", "text")
+    return batch_map(d, ascii_upper_model, "text", "out", batch_size=16).select("doc_id", "out")
+
+
+@register("m3_first_available", f"SELECT doc_id, {_UP} AS out FROM documents")
+def m3_first_available(spark, sf):
+    """M3: the first backend fails to load on the executor, the second is used."""
+    from ..operators.gate import batch_map, first_available
+
+    def broken():
+        raise ImportError("backend not installed")
+    d = docs(spark, sf).select("doc_id", "text")
+    return batch_map(d, first_available([broken, ascii_upper_model]), "text", "out").select("doc_id", "out")
+
+
+_PIVOT_SQL = (f"CASE WHEN {S.term_hits('text', TERMS)} >= 1 THEN translate(regexp_replace({_UP}, "
+              rf"'\S*ORAN\S*', '', 'g'), {S.q(_ASCII_UPPER)}, {S.q(_ASCII_LOWER)}) ELSE text END")
+
+
+@register("m4_pivot_edit", f"SELECT doc_id, {_PIVOT_SQL} AS out FROM documents")
+def m4_pivot_edit(spark, sf):
+    """M4: forward, edit and back stages run only on gated rows, in one
+    Arrow hop; ungated rows keep their text."""
+    from ..operators.gate import pivot_edit
+    d = docs(spark, sf).select("doc_id", "text", P.term_hits("text", TERMS).alias("hits"))
+    return pivot_edit(d, F.col("hits") >= 1, "text", "out", ascii_upper_model, drop_marked_words_model,
+                      ascii_lower_model).select("doc_id", "out")
+
+
+_RT = f"translate({_UP}, {S.q(_ASCII_UPPER)}, {S.q(_ASCII_LOWER)})"
+
+
+@register("m5_round_trip",
+          f"SELECT doc_id, rt AS roundtrip, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS overlap "
+          f"FROM (SELECT doc_id, {_RT} AS rt, list_distinct({S.split_ws('lower(text)')}) AS a, "
+          f"list_distinct({S.split_ws('lower(' + _RT + ')')}) AS b FROM documents)")
+def m5_round_trip(spark, sf):
+    """M5: text -> forward -> back, with the word-overlap drift per row."""
+    from ..operators.gate import round_trip
+    d = docs(spark, sf).select("doc_id", "text")
+    r = round_trip(d, "text", ascii_upper_model, ascii_lower_model)
+    return r.select("doc_id", "roundtrip", r6(P.word_overlap("text", "roundtrip")).alias("overlap"))
+
+
+# ==========================================================================
+# 11. streaming: the gated flow on a file stream (availableNow)
+# ==========================================================================
+
+@register("s11_stream_gated_edit", f"SELECT doc_id, rewrite, edited FROM ({_g1_sql()})")
+def s11_stream_gated_edit(spark, sf):
+    """The flagship gated flow as a Structured Streaming query over the
+    documents files; runs to completion with ``availableNow`` into a Parquet
+    sink under the shared checkpoint folder, then reads the sink."""
+    from ..streaming.stream import run_gated_stream
+    return run_gated_stream(spark, sf, TERMS, PATTERNS)

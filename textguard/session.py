@@ -37,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
@@ -70,3 +70,34 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``textguard`` importable in executor Python workers (Python
+    model stages pickle references to its functions). Zips the package once
+    per application and distributes it with ``addPyFile``, like
+    ``spark-submit --py-files``. A no-op when it is already shipped."""
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.textguard.shipped", "") == "1" or getattr(sc, "_textguard_shipped", False):
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="textguard-pkg-"), "textguard.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in d:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._textguard_shipped = True
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + package distribution: call before running jobs."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
