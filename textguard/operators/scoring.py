@@ -107,16 +107,17 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: DataFrame, key:
                       pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """M1: add ``out_col`` = sigmoid(prior + sum of token weights), logit
     clamped to +-30; unknown words weigh 0 and every input row is kept."""
-    bag = df.select(key, F.explode(token_counts(text_col, pattern)).alias("b")) \
-        .select(key, F.col("b.w").alias("word"), F.col("b.n").alias("n"))
-    sums = (bag.join(weights, "word")
-            .groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("_s")))
-    logit = F.col("prior") + F.coalesce(F.col("_s"), F.lit(0.0))
+    bag = df.select(F.col(key).alias("_nb_key"), F.explode(token_counts(text_col, pattern)).alias("_nb_b")) \
+        .select("_nb_key", F.col("_nb_b.w").alias("_nb_word"), F.col("_nb_b.n").alias("_nb_n"))
+    w = weights.select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
+    sums = (bag.join(w, "_nb_word")
+            .groupBy("_nb_key").agg(F.sum(F.col("_nb_n") * F.col("_nb_w")).alias("_nb_s")))
+    logit = F.col("_nb_prior") + F.coalesce(F.col("_nb_s"), F.lit(0.0))
     logit = F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))
-    return (df.join(sums, key, "left")
-            .crossJoin(F.broadcast(prior))
+    return (df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
+            .crossJoin(F.broadcast(prior.select(F.col("prior").alias("_nb_prior"))))
             .withColumn(out_col, 1.0 / (1.0 + F.exp(-logit)))
-            .drop("_s", "prior"))
+            .drop("_nb_s", "_nb_prior"))
 
 
 # --------------------------------------------------------------------------
@@ -146,23 +147,23 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], key
     ``P(b|a) = (c(a,b)+1)/(c(a)+v)``. Texts without bigrams keep their row
     (nll_sum 0, n_pred 0)."""
     pairs, starts, vocab = model
-    t = df.select(key, tokens(text_col, pattern).alias("t"))
-    bg = (t.select(key, F.posexplode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
-                                                  F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))))
-                   .alias("pos", "p"))
-          .select(key, F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b"))
+    t = df.select(F.col(key).alias("_bg_key"), tokens(text_col, pattern).alias("_bg_t"))
+    lo = F.slice("_bg_t", 1, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
+    hi = F.slice("_bg_t", 2, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
+    bg = (t.select("_bg_key", F.explode(F.arrays_zip(lo, hi)).alias("_bg_p"))
+          .select("_bg_key", F.col("_bg_p")["0"].alias("a"), F.col("_bg_p")["1"].alias("b"))
           # pre-aggregate repeated bigrams of a text before the joins
-          .groupBy(key, "a", "b").agg(F.count("*").alias("k")))
+          .groupBy("_bg_key", "a", "b").agg(F.count("*").alias("_bg_n")))
     scored = (bg.join(pairs, ["a", "b"], "left")
               .join(starts, "a", "left")
               .crossJoin(F.broadcast(vocab))
-              .select(key, "k", (-F.log((F.coalesce("cab", F.lit(0)) + 1.0)
-                                        / (F.coalesce("ca", F.lit(0)) + F.col("v")))).alias("nll")))
-    agg = scored.groupBy(key).agg(F.sum(F.col("k") * F.col("nll")).alias("nll_sum"),
-                                  F.sum("k").alias("n_pred"))
-    return (t.select(key, F.size("t").cast("long").alias("n_tokens"))
-            .join(agg, key, "left")
-            .select(key, F.coalesce("nll_sum", F.lit(0.0)).alias("nll_sum"),
+              .select("_bg_key", "_bg_n", (-F.log((F.coalesce("cab", F.lit(0)) + 1.0)
+                                                  / (F.coalesce("ca", F.lit(0)) + F.col("v")))).alias("_bg_nll")))
+    agg = scored.groupBy("_bg_key").agg(F.sum(F.col("_bg_n") * F.col("_bg_nll")).alias("nll_sum"),
+                                        F.sum("_bg_n").alias("n_pred"))
+    return (t.select("_bg_key", F.size("_bg_t").cast("long").alias("n_tokens"))
+            .join(agg, "_bg_key", "left")
+            .select(F.col("_bg_key").alias(key), F.coalesce("nll_sum", F.lit(0.0)).alias("nll_sum"),
                     F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred"), "n_tokens"))
 
 
