@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_valid_rewrite, term_hits, word_overlap
+from ..functions.predicates import is_valid_rewrite, term_hits
 from ..functions.text import (
-    _c, _let, clean_generated, collapse_ws, drop_toxic_tokens, filter_tokens, strip_ws,
+    _c, _let, clean_generated, collapse_ws, drop_toxic_tokens, filter_tokens, split_ws, strip_ws,
 )
 
 
@@ -33,16 +33,26 @@ def _len3(x: Column, n: int = 3) -> Column:
 
 
 def prepare_attempt(raw, source, terms: Sequence[str], replacements: Sequence[tuple[str, str]] = (),
-                    prompt: str | None = None) -> Column:
+                    prompt: str | None = None, source_words: Column | None = None) -> Column:
     """One attempt of O6 as ``struct(gen, ok, valid, score)``: C14, then C9
     when it leaves at least 3 chars; score = 10 * term hits - 5 * word
-    overlap with the source (lower is better)."""
+    overlap with the source (lower is better). ``source_words`` (distinct
+    lower-cased source words) can be passed in when it is shared by several
+    attempts of the same row."""
     src = _c(source)
+    sw = source_words if source_words is not None else F.array_distinct(split_ws(F.lower(src)))
 
     def build(g):
-        return F.struct(g.alias("gen"), _len3(g).alias("ok"),
-                        is_valid_rewrite(g, src, terms).alias("valid"),
-                        (10.0 * term_hits(g, terms) - 5.0 * word_overlap(src, g)).alias("score"))
+        return _let(term_hits(g, terms), lambda hits: _build(g, hits))
+
+    def _build(g, hits):
+        gw = F.array_distinct(split_ws(F.lower(g)))
+        overlap = F.size(F.array_intersect(sw, gw)) / F.greatest(F.size(sw), F.lit(1))
+        ratio = F.when(F.length(src) > 0, F.length(g) / F.length(src)).otherwise(F.lit(1.0))
+        ok = _len3(g)
+        valid = F.coalesce(ok & (ratio >= 0.3) & (ratio <= 3.0) & (hits == 0), F.lit(False))
+        return F.struct(g.alias("gen"), ok.alias("ok"), valid.alias("valid"),
+                        (10.0 * hits - 5.0 * overlap).alias("score"))
 
     def pick_filtered(g):
         return _let(filter_tokens(g, terms, replacements),
@@ -62,7 +72,8 @@ def best_of_n(attempts, source, terms: Sequence[str], replacements: Sequence[tup
     C9; the source when fewer than 3 chars remain.
     """
     src = _c(source)
-    prepared = F.transform(_c(attempts), lambda r: prepare_attempt(r, src, terms, replacements, prompt))
+    prepared = _let(F.array_distinct(split_ws(F.lower(src))), lambda sw: F.transform(
+        _c(attempts), lambda r: prepare_attempt(r, src, terms, replacements, prompt, sw)))
     init = F.struct(F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("bs"),
                     F.lit(False).alias("done"))
 
@@ -95,33 +106,40 @@ def finish_best(winner, src, terms, replacements) -> Column:
 def best_of_n_grouped(cands: DataFrame, key: str, attempt: str, gen: str, source: str,
                       terms: Sequence[str], replacements: Sequence[tuple[str, str]] = (),
                       prompt: str | None = None) -> DataFrame:
-    """O6 on a long table ``(key, attempt, gen, source)`` without collecting
-    a key's attempts into one array.
-
-    The sequential fold has a closed form: with F the first attempt with
-    >= 3 chars and s_F its score, the stop point K is the first valid
-    attempt when s_F <= 0, else the first valid attempt with score <= 0
-    (none: no stop). The winner is the lowest (score, attempt) among F and
-    the valid attempts after F up to K. Both steps are plain aggregations
-    (partial aggregation makes a hot key cheap); one join by key in between.
+    """O6 on a long table ``(key, attempt, gen, source)`` in ONE aggregation,
+    without collecting a key's attempts.
+
+    The sequential fold has a closed form. Let F be the first attempt with
+    >= 3 chars (score s_F), V the first valid attempt, N the first valid
+    attempt with score <= 0 and M the valid attempt with the lowest (score,
+    attempt). Then the winner is:
+
+    * s_F <= 0: F if V is F or there is no V; else V when s_V < s_F, else F
+      (the fold stops at V);
+    * s_F > 0: N if it exists (the fold stops there and nothing before it
+      scores <= 0); else the lower of (s_F, F) and M.
+
+    Every term is a ``min`` over structs, so partial aggregation keeps a hot
+    key cheap and no join or second pass over the candidates is needed.
     """
     p = cands.select(key, attempt, source,
                      prepare_attempt(F.col(gen), F.col(source), terms, replacements, prompt).alias("a"))
     p = p.select(key, attempt, source, "a.*")
-    first = F.min(F.when(F.col("ok"), F.struct(F.col(attempt).alias("t"), F.col("score").alias("s"))))
-    s1 = p.groupBy(key).agg(
-        first.alias("f"),
-        F.min(F.when(F.col("valid"), F.col(attempt))).alias("v_any"),
-        F.min(F.when(F.col("valid") & (F.col("score") <= 0), F.col(attempt))).alias("v_neg"),
-        F.first(source, ignorenulls=True).alias("_src"))
-    s1 = s1.select(key, "_src", F.col("f.t").alias("f_t"),
-                   F.when(F.col("f.s") <= 0, F.col("v_any")).otherwise(F.col("v_neg")).alias("k_t"))
-    j = p.join(s1.select(key, "f_t", "k_t"), key)
-    in_c = ((F.col(attempt) == F.col("f_t")) | (F.col("valid") & (F.col(attempt) > F.col("f_t")))) \
-        & (F.col("k_t").isNull() | (F.col(attempt) <= F.col("k_t")))
-    win = j.groupBy(key).agg(F.min(F.when(in_c, F.struct(F.col("score").alias("s"),
-                                                         F.col(attempt).alias("t"),
-                                                         F.col("gen").alias("g")))).alias("w"))
-    out = s1.select(key, "_src").join(win, key, "left")
-    return out.select(key, F.col("_src").alias(source),
-                      finish_best(F.col("w.g"), F.col("_src"), terms, replacements).alias("best"))
+    by_attempt = F.struct(F.col(attempt).alias("t"), F.col("score").alias("s"), F.col("gen").alias("g"))
+    by_score = F.struct(F.col("score").alias("s"), F.col(attempt).alias("t"), F.col("gen").alias("g"))
+    agg = p.groupBy(key).agg(
+        F.min(F.when(F.col("ok"), by_attempt)).alias("f"),
+        F.min(F.when(F.col("valid"), by_attempt)).alias("v"),
+        F.min(F.when(F.col("valid") & (F.col("score") <= 0), by_attempt)).alias("n"),
+        F.min(F.when(F.col("valid"), by_score)).alias("m"),
+        F.min(source).alias("_src"))
+    f, v, n, m = F.col("f"), F.col("v"), F.col("n"), F.col("m")
+    f_by_score = F.struct(f["s"].alias("s"), f["t"].alias("t"), f["g"].alias("g"))
+    win = (F.when(f.isNull(), F.lit(None).cast("string"))
+           .when(f["s"] <= 0,
+                 F.when(v.isNull() | (v["t"] == f["t"]), f["g"])
+                 .when(v["s"] < f["s"], v["g"]).otherwise(f["g"]))
+           .when(n.isNotNull(), n["g"])
+           .otherwise(F.least(f_by_score, F.coalesce(m, f_by_score))["g"]))
+    return agg.select(key, F.col("_src").alias(source),
+                      finish_best(win, F.col("_src"), terms, replacements).alias("best"))
