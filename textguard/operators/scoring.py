@@ -144,27 +144,28 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], key
                text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """Per text: ``(key, nll_sum, n_pred, n_tokens)``: negative log
     likelihood of tokens 2..n under the add-one model
-    ``P(b|a) = (c(a,b)+1)/(c(a)+v)``. Texts without bigrams keep their row
-    (nll_sum 0, n_pred 0)."""
+    ``P(b|a) = (c(a,b)+1)/(c(a)+v)``.
+
+    ``explode_outer`` gives texts without a bigram one null row, so every
+    input row reaches the final aggregation without a join back to the input
+    (which would recompute it); the model joins are left joins on keys that
+    are unique on the model side."""
     pairs, starts, vocab = model
     t = df.select(F.col(key).alias("_bg_key"), tokens(text_col, pattern).alias("_bg_t"))
     lo = F.slice("_bg_t", 1, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
     hi = F.slice("_bg_t", 2, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
-    bg = (t.select("_bg_key", F.explode(F.arrays_zip(lo, hi)).alias("_bg_p"))
-          .select("_bg_key", F.col("_bg_p")["0"].alias("a"), F.col("_bg_p")["1"].alias("b"))
-          # pre-aggregate repeated bigrams of a text before the joins
-          .groupBy("_bg_key", "a", "b").agg(F.count("*").alias("_bg_n")))
+    bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"),
+                   F.explode_outer(F.arrays_zip(lo, hi)).alias("_bg_p"))
+          .select("_bg_key", "_bg_len", F.col("_bg_p")["0"].alias("a"), F.col("_bg_p")["1"].alias("b")))
+    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / (F.coalesce("ca", F.lit(0)) + F.col("v")))
     scored = (bg.join(pairs, ["a", "b"], "left")
               .join(starts, "a", "left")
               .crossJoin(F.broadcast(vocab))
-              .select("_bg_key", "_bg_n", (-F.log((F.coalesce("cab", F.lit(0)) + 1.0)
-                                                  / (F.coalesce("ca", F.lit(0)) + F.col("v")))).alias("_bg_nll")))
-    agg = scored.groupBy("_bg_key").agg(F.sum(F.col("_bg_n") * F.col("_bg_nll")).alias("nll_sum"),
-                                        F.sum("_bg_n").alias("n_pred"))
-    return (t.select("_bg_key", F.size("_bg_t").cast("long").alias("n_tokens"))
-            .join(agg, "_bg_key", "left")
-            .select(F.col("_bg_key").alias(key), F.coalesce("nll_sum", F.lit(0.0)).alias("nll_sum"),
-                    F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred"), "n_tokens"))
+              .select("_bg_key", "_bg_len", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
+    return scored.groupBy("_bg_key").agg(
+        F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),
+        F.count("_bg_nll").alias("n_pred"),
+        F.max("_bg_len").alias("n_tokens")).withColumnRenamed("_bg_key", key)
 
 
 def text_perplexity(nll: DataFrame, key: str, min_tokens: int = 3) -> DataFrame:

@@ -19,6 +19,16 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# Broadcast policy: never broadcast on a *static estimate* (a derived table's
+# estimate can be far off at 100 TB); AQE may still broadcast a join side once
+# its shuffle has run and its *measured* size is under the adaptive threshold.
+# Tables that are bounded by construction (one-row aggregates, per-group
+# means, parameter grids, per-partition offsets) are broadcast explicitly.
+BROADCAST_POLICY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "textguard", extra: dict | None = None) -> SparkSession:
@@ -30,8 +40,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
+    conf.update(BROADCAST_POLICY)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the executors live in the driver JVM
+        conf.setdefault("spark.driver.memory", "12g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -97,7 +111,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder + package distribution: call before running jobs."""
+    """Checkpoint folder, broadcast policy and package distribution: call
+    before running jobs on a session built elsewhere."""
+    for k, v in BROADCAST_POLICY.items():
+        spark.conf.set(k, v)
+    if spark.conf.get("spark.sql.adaptive.enabled", "true") != "true":
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
