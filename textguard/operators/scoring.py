@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _at, _c, _let
+from ..session import broadcast_if_small, materialize
 
 # Fixed value: token class used on the driver's tables (lower-cased ASCII words).
 DEFAULT_TOKEN_PATTERN = "[a-z]+"
@@ -77,7 +78,7 @@ def text_similarity(a, b, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
 # --------------------------------------------------------------------------
 
 def train_naive_bayes(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
-                      pattern: str = DEFAULT_TOKEN_PATTERN) -> tuple[DataFrame, DataFrame]:
+                      pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame]:
     """Return ``(weights, prior)``.
 
     ``weights(word, weight)``: ``ln((c1+1)/(n1+v)) - ln((c0+1)/(n0+v))`` with
@@ -99,6 +100,10 @@ def train_naive_bayes(labelled: DataFrame, text_col: str = "text", label_col: st
          - F.log((F.col("c0") + 1) / (F.col("n0") + F.col("v")))).alias("weight"))
     prior = lab.agg(F.log(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("double")
                           / F.sum(F.when(F.col("_y") == 0, 1).otherwise(0))).alias("prior"))
+    if store:
+        # the model is a table: written once (shared checkpoint folder), then
+        # every scorer reads it and knows its size
+        weights, prior = materialize(weights, "nb-weights"), materialize(prior, "nb-prior")
     return weights, prior
 
 
@@ -109,7 +114,7 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: DataFrame, key:
     clamped to +-30; unknown words weigh 0 and every input row is kept."""
     bag = df.select(F.col(key).alias("_nb_key"), F.explode(token_counts(text_col, pattern)).alias("_nb_b")) \
         .select("_nb_key", F.col("_nb_b.w").alias("_nb_word"), F.col("_nb_b.n").alias("_nb_n"))
-    w = weights.select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
+    w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
     sums = (bag.join(w, "_nb_word")
             .groupBy("_nb_key").agg(F.sum(F.col("_nb_n") * F.col("_nb_w")).alias("_nb_s")))
     logit = F.col("_nb_prior") + F.coalesce(F.col("_nb_s"), F.lit(0.0))
@@ -125,7 +130,7 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: DataFrame, key:
 # --------------------------------------------------------------------------
 
 def train_bigrams(reference: DataFrame, text_col: str = "text",
-                  pattern: str = DEFAULT_TOKEN_PATTERN) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Return ``(pairs(a, b, cab), starts(a, ca), vocab(v))`` from the
     reference texts: bigram counts, counts of bigrams starting with a word,
     and the number of distinct words (one row)."""
@@ -137,6 +142,10 @@ def train_bigrams(reference: DataFrame, text_col: str = "text",
              .groupBy("a", "b").agg(F.count("*").alias("cab")))
     starts = pairs.groupBy("a").agg(F.sum("cab").alias("ca"))
     vocab = toks.select(F.explode("t").alias("w")).agg(F.countDistinct("w").alias("v"))
+    if store:
+        pairs = materialize(pairs, "bigram-pairs")
+        starts, vocab = materialize(pairs.groupBy("a").agg(F.sum("cab").alias("ca")), "bigram-starts"), \
+            materialize(vocab, "bigram-vocab")
     return pairs, starts, vocab
 
 
@@ -158,8 +167,8 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], key
                    F.explode_outer(F.arrays_zip(lo, hi)).alias("_bg_p"))
           .select("_bg_key", "_bg_len", F.col("_bg_p")["0"].alias("a"), F.col("_bg_p")["1"].alias("b")))
     nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / (F.coalesce("ca", F.lit(0)) + F.col("v")))
-    scored = (bg.join(pairs, ["a", "b"], "left")
-              .join(starts, "a", "left")
+    scored = (bg.join(broadcast_if_small(pairs), ["a", "b"], "left")
+              .join(broadcast_if_small(starts), "a", "left")
               .crossJoin(F.broadcast(vocab))
               .select("_bg_key", "_bg_len", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
     return scored.groupBy("_bg_key").agg(

@@ -69,6 +69,18 @@ def r6(c):
     return F.round(c, 6)
 
 
+_MODELS: dict = {}
+
+
+def _model(kind: str, spark, sf, build):
+    """Train once per session and table set; the model tables are written
+    to the checkpoint folder, so reuse only reads them."""
+    k = (kind, id(spark), sf)
+    if k not in _MODELS:
+        _MODELS[k] = build()
+    return _MODELS[k]
+
+
 # ==========================================================================
 # 1. cleaning projections on documents
 # ==========================================================================
@@ -197,6 +209,14 @@ def gated_rewrites(spark, sf) -> DataFrame:
                     P.gate("score", 1.0).alias("edited"))
 
 
+def stored_rewrites(spark, sf) -> DataFrame:
+    """The flagship flow's output written once (shared checkpoint folder)
+    for the evaluation queries, which read it as a table: several metric
+    branches then scan it instead of recomputing the cleaning chain each."""
+    from ..session import materialize
+    return _model("rewrites", spark, sf, lambda: materialize(gated_rewrites(spark, sf), "rewrites"))
+
+
 @register("g1_gated_edit", f"SELECT doc_id, rewrite, edited FROM ({_g1_sql()})")
 def g1_gated_edit(spark, sf):
     return gated_rewrites(spark, sf).select("doc_id", "rewrite", "edited")
@@ -404,8 +424,8 @@ def c16_build_prompt(spark, sf):
 
 def nb_model(spark, sf):
     from ..operators.scoring import train_naive_bayes
-    lab = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
-    return train_naive_bayes(lab, "text", "toxic")
+    lab = docs(spark, sf).join(read_table(spark, sf, "labels"), "doc_id")
+    return _model("nb", spark, sf, lambda: train_naive_bayes(lab, "text", "toxic"))
 
 
 def nb_scored(spark, sf, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
@@ -460,7 +480,7 @@ _RW_CTE = f"rw AS ({_g1_sql()})"
 
 
 def _scored_rewrites(spark, sf):
-    g = gated_rewrites(spark, sf)
+    g = stored_rewrites(spark, sf)
     g = nb_scored(spark, sf, g, "text", "p_before")
     return nb_scored(spark, sf, g, "rewrite", "p_after")
 
@@ -511,7 +531,7 @@ _SIM_SQL = f"""WITH {_RW_CTE}, {_bag_sql('rw', 'text', 'ba')}, {_bag_sql('rw', '
 
 def _sims(spark, sf):
     from ..operators.scoring import text_similarity
-    g = gated_rewrites(spark, sf)
+    g = stored_rewrites(spark, sf)
     return g.select("doc_id", "lang", text_similarity("text", "rewrite").alias("sim"))
 
 
@@ -528,7 +548,7 @@ def a2_mean_similarity(spark, sf):
 
 def bigram_model(spark, sf):
     from ..operators.scoring import train_bigrams
-    return train_bigrams(read_table(spark, sf, "documents"), "text")
+    return _model("bigram", spark, sf, lambda: train_bigrams(docs(spark, sf), "text"))
 
 
 _BG_MODEL_SQL = f"""
@@ -559,7 +579,7 @@ def _nll(spark, sf, df: DataFrame, col: str) -> DataFrame:
           "round(CASE WHEN n_tokens >= 3 THEN exp(nll_sum / n_pred) END, 6) AS ppl FROM nll")
 def m7_text_perplexity(spark, sf):
     from ..operators.scoring import text_perplexity
-    p = text_perplexity(_nll(spark, sf, gated_rewrites(spark, sf), "rewrite"), "doc_id")
+    p = text_perplexity(_nll(spark, sf, stored_rewrites(spark, sf), "rewrite"), "doc_id")
     return p.select("doc_id", r6(F.col("ppl")).alias("ppl"))
 
 
@@ -594,7 +614,7 @@ def m8_evaluate(spark, sf):
     from ..operators.metrics import evaluate
     from ..operators.scoring import text_perplexity, text_similarity
     s = _scored_rewrites(spark, sf).withColumn("cos", text_similarity("text", "rewrite"))
-    ppl = text_perplexity(_nll(spark, sf, s.select("doc_id", "rewrite"), "rewrite"), "doc_id")
+    ppl = text_perplexity(_nll(spark, sf, stored_rewrites(spark, sf), "rewrite"), "doc_id")
     s = s.join(ppl, "doc_id").join(read_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     m = evaluate(s, p_after="p_after", cos="cos", fluency="ppl", p_before="p_before", label="toxic",
                  threshold=THRESHOLD)

@@ -120,3 +120,49 @@ def prepare(spark: SparkSession) -> SparkSession:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage (a lost executor does not recompute the upstream
+    job) and gives the table a measured size."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Total size of the files a plain file scan reads, or None when ``df``
+    is not a plain scan (its size is then unknown before running it)."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(op in plan for op in ("Join", "Aggregate", "Generate", "Window")):
+        return None
+    sc = df.sparkSession.sparkContext
+    jvm = sc._jvm
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    return total
+
+
+# Bound for broadcasting a materialised table: its Parquet size times an
+# expansion factor (columnar compression vs rows in memory) must stay below
+# this many bytes.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+PARQUET_EXPANSION = 5
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the table's stored size proves it small;
+    otherwise the join stays a (skew-aware, AQE-managed) sort-merge join."""
+    from pyspark.sql import functions as F
+    n = stored_bytes(df)
+    if n is not None and n * PARQUET_EXPANSION <= max_bytes:
+        return F.broadcast(df)
+    return df
