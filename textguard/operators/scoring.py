@@ -21,6 +21,8 @@ Scale notes
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +80,13 @@ def text_similarity(a, b, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
 # --------------------------------------------------------------------------
 
 def train_naive_bayes(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
-                      pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame]:
+                      pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, float]:
     """Return ``(weights, prior)``.
 
     ``weights(word, weight)``: ``ln((c1+1)/(n1+v)) - ln((c0+1)/(n0+v))`` with
     c1/c0 the word's token counts in positive/negative texts, n1/n0 their
-    sums and v the vocabulary size. ``prior(prior)``: one row, the log odds
-    of the positive share of texts.
+    sums and v the vocabulary size. ``prior``: the log odds of the positive
+    share of texts. The totals are one-row aggregates read as literals.
     """
     lab = labelled.select(F.col(text_col).alias("_t"), F.col(label_col).cast("int").alias("_y")) \
         .where(F.col("_y").isNotNull())
@@ -92,22 +94,23 @@ def train_naive_bayes(labelled: DataFrame, text_col: str = "text", label_col: st
               .groupBy("word")
               .agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("c1"),
                    F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("c0")))
-    tot = counts.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.count("*").alias("v"))
-    # ``tot`` is a single row: broadcasting it is bounded by construction.
-    weights = counts.crossJoin(F.broadcast(tot)).select(
-        "word",
-        (F.log((F.col("c1") + 1) / (F.col("n1") + F.col("v")))
-         - F.log((F.col("c0") + 1) / (F.col("n0") + F.col("v")))).alias("weight"))
-    prior = lab.agg(F.log(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("double")
-                          / F.sum(F.when(F.col("_y") == 0, 1).otherwise(0))).alias("prior"))
     if store:
         # the model is a table: written once (shared checkpoint folder), then
         # every scorer reads it and knows its size
-        weights, prior = materialize(weights, "nb-weights"), materialize(prior, "nb-prior")
+        counts = materialize(counts, "nb-counts")
+    tot = counts.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.count("*").alias("v")).first()
+    n1, n0, v = (tot["n1"] or 0), (tot["n0"] or 0), tot["v"]
+    weights = counts.select(
+        "word",
+        (F.log((F.col("c1") + 1) / F.lit(float(n1 + v))) - F.log((F.col("c0") + 1) / F.lit(float(n0 + v))))
+        .alias("weight"))
+    cls = lab.agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p"),
+                  F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("q")).first()
+    prior = math.log(cls["p"] / cls["q"]) if cls["p"] and cls["q"] else (math.inf if cls["p"] else -math.inf)
     return weights, prior
 
 
-def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: DataFrame, key: str,
+def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: float, key: str,
                       text_col: str = "text", out_col: str = "p_toxic",
                       pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """M1: add ``out_col`` = sigmoid(prior + sum of token weights), logit
@@ -117,12 +120,11 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: DataFrame, key:
     w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
     sums = (bag.join(w, "_nb_word")
             .groupBy("_nb_key").agg(F.sum(F.col("_nb_n") * F.col("_nb_w")).alias("_nb_s")))
-    logit = F.col("_nb_prior") + F.coalesce(F.col("_nb_s"), F.lit(0.0))
+    logit = F.lit(float(prior)) + F.coalesce(F.col("_nb_s"), F.lit(0.0))
     logit = F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))
     return (df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
-            .crossJoin(F.broadcast(prior.select(F.col("prior").alias("_nb_prior"))))
             .withColumn(out_col, 1.0 / (1.0 + F.exp(-logit)))
-            .drop("_nb_s", "_nb_prior"))
+            .drop("_nb_s"))
 
 
 # --------------------------------------------------------------------------
@@ -130,10 +132,10 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: DataFrame, key:
 # --------------------------------------------------------------------------
 
 def train_bigrams(reference: DataFrame, text_col: str = "text",
-                  pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Return ``(pairs(a, b, cab), starts(a, ca), vocab(v))`` from the
-    reference texts: bigram counts, counts of bigrams starting with a word,
-    and the number of distinct words (one row)."""
+                  pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """Return ``(pairs(a, b, cab), starts(a, ca), v)`` from the reference
+    texts: bigram counts, counts of bigrams starting with a word, and the
+    number of distinct words (a one-row aggregate read as a literal)."""
     toks = reference.select(tokens(text_col, pattern).alias("t"))
     pairs = (toks.select(F.explode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
                                                 F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))))
@@ -144,12 +146,11 @@ def train_bigrams(reference: DataFrame, text_col: str = "text",
     vocab = toks.select(F.explode("t").alias("w")).agg(F.countDistinct("w").alias("v"))
     if store:
         pairs = materialize(pairs, "bigram-pairs")
-        starts, vocab = materialize(pairs.groupBy("a").agg(F.sum("cab").alias("ca")), "bigram-starts"), \
-            materialize(vocab, "bigram-vocab")
-    return pairs, starts, vocab
+        starts = materialize(pairs.groupBy("a").agg(F.sum("cab").alias("ca")), "bigram-starts")
+    return pairs, starts, int(vocab.first()["v"])
 
 
-def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], key: str,
+def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,
                text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """Per text: ``(key, nll_sum, n_pred, n_tokens)``: negative log
     likelihood of tokens 2..n under the add-one model
@@ -166,10 +167,9 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], key
     bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"),
                    F.explode_outer(F.arrays_zip(lo, hi)).alias("_bg_p"))
           .select("_bg_key", "_bg_len", F.col("_bg_p")["0"].alias("a"), F.col("_bg_p")["1"].alias("b")))
-    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / (F.coalesce("ca", F.lit(0)) + F.col("v")))
+    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / (F.coalesce("ca", F.lit(0)) + F.lit(float(vocab))))
     scored = (bg.join(broadcast_if_small(pairs), ["a", "b"], "left")
               .join(broadcast_if_small(starts), "a", "left")
-              .crossJoin(F.broadcast(vocab))
               .select("_bg_key", "_bg_len", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
     return scored.groupBy("_bg_key").agg(
         F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),

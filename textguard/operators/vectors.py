@@ -89,7 +89,11 @@ def diff_in_means(means: DataFrame, cls: str, by: Sequence[str] = (), positive=1
     direction from the toxic mean to the non-toxic one), with class sizes."""
     pos = means.where(F.col(cls) == positive).select(*by, F.col("mean").alias("mp"), F.col("n").alias("n_pos"))
     neg = means.where(F.col(cls) == negative).select(*by, F.col("mean").alias("mn"), F.col("n").alias("n_neg"))
-    j = pos.join(neg, list(by), "inner") if by else pos.crossJoin(neg)
+    if not by:  # one row per class: join on a constant group key
+        pos, neg, by = pos.withColumn("_g", F.lit(0)), neg.withColumn("_g", F.lit(0)), ["_g"]
+        return pos.join(neg, by).select(F.zip_with("mn", "mp", lambda a, b: a - b).alias("delta"),
+                                        "n_pos", "n_neg")
+    j = pos.join(neg, list(by), "inner")
     return j.select(*by, F.zip_with("mn", "mp", lambda a, b: a - b).alias("delta"), "n_pos", "n_neg")
 
 
