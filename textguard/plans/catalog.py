@@ -1025,3 +1025,62 @@ def s11_stream_gated_edit(spark, sf):
     sink under the shared checkpoint folder, then reads the sink."""
     from ..streaming.stream import run_gated_stream
     return run_gated_stream(spark, sf, TERMS, PATTERNS)
+
+
+# ==========================================================================
+# 12. merge by key, class filter, repair, pooling and probabilities
+# ==========================================================================
+
+@register("j1_merge_edits",
+          f"""WITH e AS (SELECT doc_id, {S.drop_toxic('text', TERMS)} AS ed FROM documents
+            WHERE {S.term_hits('text', TERMS)} >= 1)
+ SELECT d.doc_id, coalesce(e.ed, d.text) AS out FROM documents d LEFT JOIN e USING (doc_id)""")
+def j1_merge_edits(spark, sf):
+    """Edits produced for the gated rows only (as an external editor
+    would return them) are merged back by key; other rows keep the text."""
+    from ..operators.gate import merge_edits
+    d = docs(spark, sf)
+    edits = d.where(P.term_hits("text", TERMS) >= 1).select("doc_id", T.drop_toxic_tokens("text", TERMS).alias("ed"))
+    return merge_edits(d, edits, "doc_id", "text", "ed", "out").select("doc_id", "out")
+
+
+@register("p3_class_filter", f"SELECT doc_id FROM {_LABELLED} WHERE toxic = 1")
+def p3_class_filter(spark, sf):
+    from ..operators.sampling import class_filter
+    return class_filter(labelled_docs(spark, sf), "toxic", 1).select("doc_id")
+
+
+@register("g3_repair",
+          rf"""SELECT CAST(doc_id AS VARCHAR) AS ID, text AS tat_toxic,
+ CASE WHEN r IS NULL OR regexp_matches(r, '^\s*$') THEN text ELSE r END AS tat_detox1
+ FROM (SELECT doc_id, text, {_LATIN_DROPPED} AS r FROM documents)""")
+def g3_repair(spark, sf):
+    """G3 on a rewrite column that is blank for many rows (Latin tokens
+    dropped): id as string, columns in order, blanks from the source."""
+    from ..operators.gate import repair
+    d = docs(spark, sf).select(F.col("doc_id").alias("ID"), F.col("text").alias("tat_toxic"),
+                               T.drop_tokens_matching("text").alias("tat_detox1"))
+    return repair(d, "ID", "tat_toxic", "tat_detox1")
+
+
+@register("v2_last_token",
+          "SELECT vec_id, round(embedding[list_max(list_filter(list_transform(embedding, "
+          "lambda lx_, li_: CASE WHEN lx_ > 0 THEN li_ END), lambda lp_: lp_ IS NOT NULL))]::DOUBLE, 6) "
+          "AS last_value FROM embeddings")
+def v2_last_token(spark, sf):
+    """V2 with the sign of each component as the mask: the value at the last
+    position whose mask is 1."""
+    from ..operators.vectors import last_token
+    e = read_table(spark, sf, "embeddings")
+    mask = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))
+    return e.select("vec_id", r6(last_token(F.col("embedding"), mask).cast("double")).alias("last_value"))
+
+
+@register("v5_prob_class1",
+          "SELECT vec_id, round(1.0 / (1.0 + exp(embedding[1]::DOUBLE - embedding[2]::DOUBLE)), 6) AS p1 "
+          "FROM embeddings")
+def v5_prob_class1(spark, sf):
+    """V5: the first two components read as two-class logits."""
+    from ..operators.vectors import prob_class1
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", r6(prob_class1("embedding")).alias("p1"))
