@@ -1084,3 +1084,100 @@ def v5_prob_class1(spark, sf):
     from ..operators.vectors import prob_class1
     e = read_table(spark, sf, "embeddings")
     return e.select("vec_id", r6(prob_class1("embedding")).alias("p1"))
+
+
+# ==========================================================================
+# 13. sinks and sources: round trips through the shared checkpoint folder
+# ==========================================================================
+
+def _scratch(spark, name: str) -> str:
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), "io", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("k1_s2_tsv_round_trip",
+          f"SELECT CAST(doc_id AS VARCHAR) AS ID, text AS tat_toxic, nullif({_C4_SQL}, '') AS tat_detox1 "
+          "FROM documents")
+def k1_s2_tsv_round_trip(spark, sf):
+    """K1 writes the rewrite table (ID, tat_toxic, tat_detox1) as quoted TSV
+    (texts hold newlines and quotes); S2 reads it back. An empty field reads
+    back as null."""
+    from ..sources import io as IO
+    path = _scratch(spark, "rewrites")
+    d = docs(spark, sf).select("doc_id", "text", T.cleanse("text", TERMS, PATTERNS).alias("c"))
+    IO.write_rewrites(d, path, id_col="doc_id", source="text", rewrite="c")
+    return IO.read_tsv(spark, path, required=IO.REWRITE_COLUMNS, quoted=True)
+
+
+@register("s5_read_parts",
+          "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 "
+          "WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS part, text FROM documents")
+def s5_read_parts(spark, sf):
+    """One quoted TSV part per language, read back stacked in part order."""
+    from ..sources import io as IO
+    d = docs(spark, sf)
+    paths = []
+    for lang in LANGS:
+        p = _scratch(spark, f"part-{lang}")
+        IO.write_tsv(d.where(F.col("lang") == lang).select("doc_id", "text"), p)
+        paths.append(p)
+    return IO.read_parts(spark, paths, quoted=True).select("doc_id", "part", "text")
+
+
+@register("k3_metrics_json_round_trip",
+          "SELECT lang, round(avg(length(text)), 6) AS avg_len, count(*) AS n_rows FROM documents GROUP BY lang")
+def k3_metrics_json_round_trip(spark, sf):
+    """K3: a metrics frame written as JSON lines and read back."""
+    from ..sources import io as IO
+    path = _scratch(spark, "metrics")
+    m = docs(spark, sf).groupBy("lang").agg(r6(F.avg(F.length("text"))).alias("avg_len"),
+                                            F.count("*").alias("n_rows"))
+    IO.write_metrics_json(m, path)
+    return spark.read.schema("lang string, avg_len double, n_rows long").json(path)
+
+
+@register("k4_cache_round_trip",
+          f"""WITH cache AS (SELECT sha256(text) AS key, min(concat('cached:', {_C1_SQL})) AS value
+   FROM {_LABELLED} GROUP BY 1)
+ SELECT doc_id, coalesce(c.value, concat('fresh:', {_C1_SQL})) AS out
+ FROM documents LEFT JOIN cache c ON sha256(text) = c.key""")
+def k4_cache_round_trip(spark, sf):
+    """K4 + J3: cached results are written as a keyed Parquet cache
+    (partitioned by stage), read back and reused; misses are computed and
+    appended to the cache."""
+    from ..operators.gate import content_key, with_cache
+    from ..sources import io as IO
+    path = _scratch(spark, "cache")
+    seed = labelled_docs(spark, sf).select(content_key("text").alias("key"),
+                                           F.concat(F.lit("cached:"), T.remove_literals("text", TERMS)).alias("value"))
+    IO.write_cache(seed, path, stage="clean")
+    cache = IO.read_cache(spark, path, stage="clean")
+
+    def compute(m):
+        return m.withColumn("value", F.concat(F.lit("fresh:"), T.remove_literals("text", TERMS)))
+    res, fresh = with_cache(docs(spark, sf), cache, "text", "out", compute)
+    out = res.select("doc_id", "out")
+    return out
+
+
+@register("k5_s6_vector_bundle_round_trip",
+          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos, round(d::FLOAT::DOUBLE, 6) AS delta FROM delta")
+def k5_s6_vector_bundle_round_trip(spark, sf):
+    """K5 writes one diff-in-means bundle per layer (vector + meta); S6
+    reads them back (layer from the meta) and the vectors are compared."""
+    from ..operators.vectors import class_means, diff_in_means
+    from ..sources import io as IO
+    path = _scratch(spark, "bundle")
+    m = class_means(emb(spark, sf), "embedding", ["layer", "cls"])
+    d = diff_in_means(m, "cls", ["layer"])
+    bundle = d.select(F.col("delta").cast("array<float>").alias("vector"),
+                      F.struct(F.lit("embeddings").alias("model_id"), F.col("layer").alias("layer_idx"),
+                               F.col("n_pos").cast("int").alias("n_toxic"), F.col("n_neg").cast("int").alias("n_nontoxic"),
+                               F.lit(64).alias("max_length")).alias("meta"))
+    IO.write_vector_bundle(bundle, path)
+    back = IO.read_vector_bundle(spark, path, default_layer=-1)
+    return back.select("layer", F.posexplode("vector").alias("pos0", "v")) \
+        .select("layer", (F.col("pos0") + 1).alias("pos"), r6(F.col("v").cast("double")).alias("delta"))
