@@ -135,19 +135,27 @@ def train_bigrams(reference: DataFrame, text_col: str = "text",
                   pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame, int]:
     """Return ``(pairs(a, b, cab), starts(a, ca), v)`` from the reference
     texts: bigram counts, counts of bigrams starting with a word, and the
-    number of distinct words (a one-row aggregate read as a literal)."""
-    toks = reference.select(tokens(text_col, pattern).alias("t"))
-    pairs = (toks.select(F.explode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
-                                                F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))))
-                         .alias("p"))
-             .select(F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b"))
+    number of distinct words.
+
+    One tokenisation pass: every token is emitted with its successor (null
+    for the last token of a text), so ``groupBy(a, b)`` yields the bigram
+    counts and, through its ``a`` values, the vocabulary. The null-successor
+    rows never match a lookup (null join keys) and are left out of
+    ``starts``."""
+    t = reference.select(tokens(text_col, pattern).alias("t"))
+    follow = _let(F.col("t"), lambda ts: F.transform(
+        ts, lambda x, i: F.struct(x.alias("a"), _at(ts, i + 2).alias("b"))))
+    grams = (t.select(F.explode(follow).alias("p"))
+             .select(F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b"))
              .groupBy("a", "b").agg(F.count("*").alias("cab")))
+    if store:
+        grams = materialize(grams, "bigram-grams")
+    pairs = grams.where(F.col("b").isNotNull())
     starts = pairs.groupBy("a").agg(F.sum("cab").alias("ca"))
-    vocab = toks.select(F.explode("t").alias("w")).agg(F.countDistinct("w").alias("v"))
     if store:
-        pairs = materialize(pairs, "bigram-pairs")
-        starts = materialize(pairs.groupBy("a").agg(F.sum("cab").alias("ca")), "bigram-starts")
-    return pairs, starts, int(vocab.first()["v"])
+        starts = materialize(starts, "bigram-starts")
+    v = grams.select("a").distinct().count()
+    return pairs, starts, int(v)
 
 
 def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,

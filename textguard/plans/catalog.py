@@ -56,7 +56,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     hash-partition by the row key. At scale the scan already has thousands
     of splits and this is a no-op, so no shuffle is added there."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. no RDD access: leave the plan as is
+        return df
+    if n < target:
         return df.repartition(target, key)
     return df
 
@@ -1024,7 +1028,8 @@ def s11_stream_gated_edit(spark, sf):
     documents files; runs to completion with ``availableNow`` into a Parquet
     sink under the shared checkpoint folder, then reads the sink."""
     from ..streaming.stream import run_gated_stream
-    return run_gated_stream(spark, sf, TERMS, PATTERNS)
+    return run_gated_stream(spark, sf, TERMS, PATTERNS,
+                            spread_partitions=spark.sparkContext.defaultParallelism)
 
 
 # ==========================================================================
