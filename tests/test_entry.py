@@ -25,7 +25,7 @@ def test_registry_names_and_oracles():
     assert set(s) <= set(q)
     assert len(q) >= 50
     for name in q:
-        assert name.split("_")[0][0] in "cpgjaomuvs", name
+        assert name.split("_")[0][0] in "cpgjaomuvsk", name
 
 
 def _norm(v):
