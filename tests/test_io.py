@@ -96,3 +96,38 @@ def test_vector_bundle_load_or_build(spark):
     b = IO.load_or_build(spark, p, build, default_layer=21).first()
     assert calls == [1]
     assert a["layer"] == 21 and list(a["vector"]) == [0.5, -1.0] and b["layer"] == 21
+
+
+def test_drop_malformed_rows(spark):
+    d = scratch()
+    p = os.path.join(d, "bad.tsv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("ID\ttat_toxic\ttat_detox1\n1\ta\tb\n2\tonly-two\n3\tx\ty\textra\n4\tc\td\n")
+    df = IO.read_tsv(spark, p, schema="ID string, tat_toxic string, tat_detox1 string", drop_malformed=True)
+    assert sorted(r["ID"] for r in df.collect()) == ["1", "4"]
+
+
+def test_write_results_csv(spark):
+    p = os.path.join(scratch(), "eval")
+    df = spark.createDataFrame([("a, b", "x\ny", True, 0.5, 0.1)],
+                               "text string, generated string, edited boolean, tox_score_before double, "
+                               "tox_score_after double")
+    IO.write_results(df, p)
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .schema(df.schema).csv(p))
+    assert [tuple(r) for r in back.collect()] == [("a, b", "x\ny", True, 0.5, 0.1)]
+
+
+def test_apply_to_columns_and_select_ordered(spark):
+    import warnings
+
+    from textguard.functions import text as T
+    from textguard.operators.columns import apply_to_columns, select_ordered
+    df = spark.createDataFrame([("  a  b ", " c ", 1)], "x string, y string, z int")
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        out = apply_to_columns(df, "x, y, missing", T.collapse_ws)
+    assert any("missing" in str(m.message) for m in w)
+    assert tuple(out.first()) == ("a b", "c", 1)
+    sel, reordered = select_ordered(df, ["z", "x"])
+    assert sel.columns == ["z", "x"] and reordered

@@ -1186,3 +1186,18 @@ def k5_s6_vector_bundle_round_trip(spark, sf):
     back = IO.read_vector_bundle(spark, path, default_layer=-1)
     return back.select("layer", F.posexplode("vector").alias("pos0", "v")) \
         .select("layer", (F.col("pos0") + 1).alias("pos"), r6(F.col("v").cast("double")).alias("delta"))
+
+
+@register("c18_apply_to_columns",
+          f"SELECT conv_id, turn, {_c11_sql('role')} AS role, {_c11_sql(_C11_IN_SQL)} AS text FROM conversations")
+def c18_apply_to_columns(spark, sf):
+    """One cleaning function over a list of columns (an unknown name is
+    warned about and skipped), C19 keeps the output columns in order."""
+    import warnings
+
+    from ..operators.columns import apply_to_columns, select_ordered
+    d = convs(spark, sf).withColumn("text", _c11_in())
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        out = apply_to_columns(d, "role, text, tat_detox1", T.strip_prompt_artifacts)
+    return select_ordered(out, ["conv_id", "turn", "role", "text"])[0]

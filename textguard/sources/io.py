@@ -22,9 +22,10 @@ REWRITE_COLUMNS = ("ID", "tat_toxic", "tat_detox1")
 
 
 def read_tsv(spark: SparkSession, path, required: Sequence[str] = (), quoted: bool = False,
-             schema: str | None = None) -> DataFrame:
+             schema: str | None = None, drop_malformed: bool = False) -> DataFrame:
     """S1 (raw) / S2 (quoted). All columns are strings unless ``schema`` is
-    given; required columns are checked (P7)."""
+    given; required columns are checked (P7). With ``drop_malformed`` (P8)
+    and a schema, rows whose field count does not fit are dropped."""
     r = (spark.read.option("sep", "\t").option("header", True)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if quoted:
@@ -33,6 +34,8 @@ def read_tsv(spark: SparkSession, path, required: Sequence[str] = (), quoted: bo
         r = r.option("quote", "").option("escape", "")
     if schema:
         r = r.schema(schema)
+    if drop_malformed:
+        r = r.option("mode", "DROPMALFORMED")
     df = r.csv(path)
     return require_columns(df, required)
 
