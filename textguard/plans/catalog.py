@@ -451,13 +451,15 @@ _NB_SQL = f"""
  wt AS (SELECT w, ln((c1 + 1) / (n1 + v)) - ln((c0 + 1) / (n0 + v)) AS weight FROM cnt, tot)"""
 
 
-def _nb_score_sql(src_cte: str, text_col: str) -> str:
-    """``src_cte`` has (doc_id, <text_col>); returns CTEs ending in scored(doc_id, p)."""
-    return f"""{_NB_SQL},
- dt AS (SELECT doc_id, unnest({_TOK.format(text_col)}) AS w FROM {src_cte}),
- sc AS (SELECT doc_id, sum(weight) AS s FROM dt JOIN wt USING (w) GROUP BY doc_id),
- scored AS (SELECT x.doc_id, 1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, prior + coalesce(s, 0.0))))) AS p
-            FROM {src_cte} x LEFT JOIN sc USING (doc_id), pri)"""
+def _nb_score_sql(src_cte: str, text_col: str, tag: str = "", with_model: bool = True) -> str:
+    """``src_cte`` has (doc_id, <text_col>); returns CTEs ending in
+    scored<tag>(doc_id, p). The model CTEs are emitted once (with_model)."""
+    model = f"{_NB_SQL}," if with_model else ""
+    return f"""{model}
+ dt{tag} AS (SELECT doc_id, unnest({_TOK.format(text_col)}) AS w FROM {src_cte}),
+ sc{tag} AS (SELECT doc_id, sum(weight) AS s FROM dt{tag} JOIN wt USING (w) GROUP BY doc_id),
+ scored{tag} AS (SELECT x.doc_id, 1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, prior + coalesce(s, 0.0))))) AS p
+            FROM {src_cte} x LEFT JOIN sc{tag} USING (doc_id), pri)"""
 
 
 @register("m1_nb_score", f"WITH {_nb_score_sql('documents', 'text')} SELECT doc_id, round(p, 6) AS p_toxic FROM scored")
@@ -888,8 +890,8 @@ def _ok(x: str) -> str:
     return f"({x} IS NOT NULL AND length({S.strip(x)}) >= 3)"
 
 
-def _o6_sql() -> str:
-    raws = " UNION ALL ".join(f"SELECT doc_id, {i + 1} AS attempt, {a} AS g, text AS s FROM documents"
+def _o6_sql(src: str = "documents") -> str:
+    raws = " UNION ALL ".join(f"SELECT doc_id, {i + 1} AS attempt, {a} AS g, text AS s FROM {src}"
                               for i, a in enumerate(_ATTEMPTS_SQL))
     overlap = (f"(len(list_intersect(list_distinct({S.split_ws('lower(s)')}), "
                f"list_distinct({S.split_ws('lower(g2)')}))) / "
@@ -913,7 +915,7 @@ def _o6_sql() -> str:
    CASE WHEN NOT {_ok('win.w')} OR NOT coalesce({_valid_sql('win.w', 'd.text')}, false) THEN
      CASE WHEN {_ok(S.filter_tokens('d.text', TERMS, REPLACEMENTS))}
           THEN {S.filter_tokens('d.text', TERMS, REPLACEMENTS)} ELSE {S.drop_toxic('d.text', TERMS)} END
-   ELSE win.w END AS r FROM documents d LEFT JOIN win USING (doc_id)),
+   ELSE win.w END AS r FROM {src} d LEFT JOIN win USING (doc_id)),
  fin AS (SELECT doc_id, text, CASE WHEN r IS NULL OR r = '' THEN r
    ELSE {S.filter_tokens(S.collapse('r'), TERMS, REPLACEMENTS)} END AS b FROM res)
  SELECT doc_id, CASE WHEN {_ok('b')} THEN b ELSE text END AS best FROM fin"""
@@ -1201,3 +1203,96 @@ def c18_apply_to_columns(spark, sf):
         warnings.simplefilter("ignore")
         out = apply_to_columns(d, "role, text, tat_detox1", T.strip_prompt_artifacts)
     return select_ordered(out, ["conv_id", "turn", "role", "text"])[0]
+
+
+# ==========================================================================
+# 14. end-to-end flows (plans/flows.py)
+# ==========================================================================
+
+def _c8_expr(col: str) -> str:
+    """C8 of an arbitrary column as a scalar subquery."""
+    full = S.normalize_punct(S.rules(col, RULES))
+    light = S.normalize_punct(S.rules(col, FALLBACK_RULES))
+    return (rf"(SELECT coalesce(trim(CASE WHEN r_full = '' OR length(trim(r_full)) < 2 THEN "
+            rf"(CASE WHEN r_light IS NULL OR regexp_matches(r_light, '^\s*$') THEN {col} ELSE r_light END) "
+            rf"ELSE r_full END), '') FROM (SELECT {full} AS r_full, {light} AS r_light))")
+
+
+_E1_SQL = f"""WITH cl AS (SELECT doc_id, text, {_C4_SQL} AS cleaned FROM documents),
+ {_nb_score_sql('cl', 'cleaned')},
+ ed AS (SELECT cl.doc_id, cl.text, scored.p >= 0.5 AS edited,
+   CASE WHEN scored.p >= 0.5 THEN {S.drop_toxic('cl.cleaned', TERMS)} ELSE cl.cleaned END AS o
+   FROM cl JOIN scored USING (doc_id))
+ SELECT doc_id, edited, CASE WHEN o IS NULL OR regexp_matches(o, '^\\s*$') THEN text ELSE o END AS rewrite FROM ed"""
+
+
+@register("e1_clean_gate_edit", _E1_SQL)
+def e1_clean_gate_edit(spark, sf):
+    """Clean -> naive Bayes score of the cleaned text -> gate at 0.5 ->
+    C9b editor on gated rows -> fallback to the source."""
+    from .flows import clean_gate_edit, nb_scorer
+    w, prior = nb_model(spark, sf)
+    out = clean_gate_edit(docs(spark, sf), "doc_id", "text", TERMS, PATTERNS, nb_scorer(w, prior, "doc_id"),
+                          THRESHOLD, editor=lambda c: T.drop_toxic_tokens(c, TERMS))
+    return out.select("doc_id", "edited", "rewrite")
+
+
+_PIVOT_GEN = (f"translate(regexp_replace(translate(text, {S.q(_ASCII_LOWER)}, {S.q(_ASCII_UPPER)}), "
+              rf"'\S*ORAN\S*', '', 'g'), {S.q(_ASCII_UPPER)}, {S.q(_ASCII_LOWER)})")
+
+_E2_SQL = f"""WITH {_nb_score_sql('documents', 'text', 'b')},
+ gen AS (SELECT d.doc_id, d.text, sb.p AS p_before, sb.p >= 0.5 AS edited,
+   CASE WHEN sb.p >= 0.5 THEN {_PIVOT_GEN} ELSE d.text END AS g0
+   FROM documents d JOIN scoredb sb USING (doc_id)),
+ gen2 AS (SELECT doc_id, text, p_before, edited,
+   CASE WHEN g0 IS NULL OR regexp_matches(g0, '^\\s*$') THEN text ELSE g0 END AS generated FROM gen),
+ {_nb_score_sql('gen2', 'generated', 'a', with_model=False)},
+ {_bag_sql('gen2', 'text', 'ba')}, {_bag_sql('gen2', 'generated', 'bb')},
+ dotp AS (SELECT doc_id, sum(ba.n * bb.n) AS d FROM ba JOIN bb USING (doc_id, w) GROUP BY doc_id),
+ na AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM ba GROUP BY doc_id),
+ nb AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM bb GROUP BY doc_id),
+ ev AS (SELECT gen2.doc_id, sa.p AS p_after, CASE WHEN na.x IS NULL OR nb.x IS NULL THEN 0.0
+          ELSE coalesce(dotp.d, 0) / (na.x * nb.x) END AS cos
+        FROM gen2 JOIN scoreda sa USING (doc_id) LEFT JOIN dotp USING (doc_id)
+        LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id))
+ SELECT round(avg(CASE WHEN p_after < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS sta, round(avg(cos), 6) AS sim,
+   count(*) AS n_rows FROM ev"""
+
+
+@register("e2_pivot_with_metrics", _E2_SQL)
+def e2_pivot_with_metrics(spark, sf):
+    """Score the raw text, gate, forward -> edit -> back on gated rows
+    (stand-in models), rescore, STA and SIM of the result."""
+    from .flows import nb_scorer, pivot_with_metrics
+    w, prior = nb_model(spark, sf)
+    _rows, m = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
+                                  nb_scorer(w, prior, "doc_id"), ascii_upper_model, drop_marked_words_model,
+                                  ascii_lower_model, THRESHOLD)
+    return m.select(r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"), "n_rows")
+
+
+_E3_SRC = "(SELECT * FROM documents WHERE lang = 'en')"
+
+
+@register("e3_finalize_best_of_n",
+          f"""WITH best AS ({_o6_sql(_E3_SRC)})
+ SELECT CAST(b.doc_id AS VARCHAR) AS ID, d.text AS tat_toxic,
+   CASE WHEN c IS NULL OR regexp_matches(c, '^\\s*$') THEN d.text ELSE c END AS tat_detox1
+ FROM (SELECT doc_id, {_c8_expr('best')} AS c FROM best) b JOIN documents d USING (doc_id)""")
+def e3_finalize_best_of_n(spark, sf):
+    """Candidates (3 per English document) -> best of N in one
+    aggregation -> rule ladder -> repaired rewrite table."""
+    from .flows import finalize_best_of_n
+    d = en_docs(spark, sf)
+    long = d.select("doc_id", "text", F.posexplode(_attempts()).alias("attempt", "gen"))
+    table, _report = finalize_best_of_n(long, "doc_id", "attempt", "gen", "text", TERMS, REPLACEMENTS,
+                                        RULES, FALLBACK_RULES, PROMPT)
+    return table
+
+
+@register("e4_grid_search_flow",
+          f"{_M9_SQL} SELECT grid_order, layer, alpha FROM cands ORDER BY sta + 0.5 * sim DESC, grid_order LIMIT 2")
+def e4_grid_search_flow(spark, sf):
+    from .flows import grid_search_flow
+    _c, top = grid_search_flow(emb(spark, sf), "layer", "embedding", "cls", list(range(5)), ALPHAS, k=2)
+    return top.select("grid_order", "layer", "alpha")
