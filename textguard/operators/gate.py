@@ -158,21 +158,25 @@ def with_cache(df: DataFrame, cache: DataFrame | None, text: str, out_col: str,
                compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Reuse cached results by content hash, compute only the misses.
 
-    ``cache(key, value)`` may hold duplicates; it is reduced to one value per
-    key first, or the join would multiply rows. ``compute`` maps a frame
-    with ``text`` to one with an added ``value`` column. Returns ``(result,
+    Misses are found on *distinct* keys (an aggregation, so a text copied a
+    million times is one row before any join) and computed once per key.
+    ``cache(key, value)`` may hold duplicates; it is reduced to one value
+    per key. Cached and fresh entries form one lookup table, unique per key,
+    and the input meets it in a single left join (a hot key on the input
+    side is split by AQE's skew handling). ``compute`` maps a frame with
+    ``text`` to one with an added ``value`` column. Returns ``(result,
     new_cache_entries)`` so the caller can append the entries.
     """
     keyed = df.withColumn("_k", content_key(text))
     if cache is None:
         spark = df.sparkSession
         cache = spark.createDataFrame([], "key string, value string")
-    c1 = cache.groupBy("key").agg(F.min("value").alias("_v"))
-    hit = keyed.join(c1.withColumnRenamed("key", "_k"), "_k", "left")
-    misses = hit.where(F.col("_v").isNull()).select("_k", text).dropDuplicates(["_k"])
+    known = cache.groupBy(F.col("key").alias("_k")).agg(F.min("value").alias("_v"))
+    distinct = keyed.groupBy("_k").agg(F.first(text).alias(text))
+    misses = distinct.join(known.select("_k"), "_k", "left_anti")
     fresh = compute(misses).select(F.col("_k").alias("key"), F.col("value").cast("string"))
-    result = (hit.join(fresh.withColumnRenamed("key", "_k").withColumnRenamed("value", "_f"), "_k", "left")
-              .withColumn(out_col, F.coalesce("_v", "_f")).drop("_k", "_v", "_f"))
+    lookup = known.unionByName(fresh.select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+    result = keyed.join(lookup, "_k", "left").withColumnRenamed("_v", out_col).drop("_k")
     return result, fresh
 
 

@@ -50,18 +50,19 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give CPU-heavy per-row work enough tasks: when the scan yields fewer
     partitions than the cluster has cores (a small file is one task),
-    hash-partition by the row key. At scale the scan already has thousands
-    of splits and this is a no-op, so no shuffle is added there."""
+    redistribute round-robin (balanced even when one key holds a third of
+    the rows; deterministic on retry). At scale the scan already has
+    thousands of splits and this is a no-op, so no shuffle is added there."""
     target = df.sparkSession.sparkContext.defaultParallelism
     try:
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. no RDD access: leave the plan as is
         return df
     if n < target:
-        return df.repartition(target, key)
+        return df.repartition(target)
     return df
 
 
@@ -831,7 +832,8 @@ _GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
 def j5_param_grid(spark, sf):
     from ..operators.vectors import param_grid
     g = param_grid(spark, list(range(5)), ALPHAS)
-    return g.join(emb(spark, sf).select("layer"), "layer").groupBy("grid_order", "layer", "alpha") \
+    # the grid is user-given (layers x alphas): bounded, broadcast
+    return emb(spark, sf).select("layer").join(F.broadcast(g), "layer").groupBy("grid_order", "layer", "alpha") \
         .agg(F.count("*").alias("n"))
 
 

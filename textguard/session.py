@@ -14,6 +14,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's partition even when that costs an extra shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
@@ -115,6 +117,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     before running jobs on a session built elsewhere."""
     for k, v in BROADCAST_POLICY.items():
         spark.conf.set(k, v)
+    for k in ("spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(k, "true")
     if spark.conf.get("spark.sql.adaptive.enabled", "true") != "true":
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     ensure_checkpoint_dir(spark)

@@ -33,9 +33,9 @@ def run_gated_stream(spark: SparkSession, sf_dir: str, terms, patterns,
     """Run :func:`gated_stream` over ``<sf_dir>/documents.parquet`` with an
     ``availableNow`` trigger and return the sink as a batch DataFrame.
 
-    ``spread_partitions`` hash-partitions each micro-batch by ``doc_id``
-    before the regex work, for sources whose micro-batches have fewer file
-    splits than cores (stateless, so no state store is involved)."""
+    ``spread_partitions`` redistributes each micro-batch round-robin before
+    the regex work, for sources whose micro-batches have fewer file splits
+    than cores (stateless, so no state store is involved)."""
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     src_path = os.path.join(sf_dir, "documents.parquet")
     schema = spark.read.parquet(src_path).schema
@@ -47,7 +47,7 @@ def run_gated_stream(spark: SparkSession, sf_dir: str, terms, patterns,
         stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
                   .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
     if spread_partitions:
-        stream = stream.repartition(spread_partitions, "doc_id")
+        stream = stream.repartition(spread_partitions)
     q = (gated_stream(stream, terms, patterns).writeStream.format("parquet")
          .option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "ckpt"))
