@@ -1295,6 +1295,8 @@ def e3_finalize_best_of_n(spark, sf):
 @register("e4_grid_search_flow",
           f"{_M9_SQL} SELECT grid_order, layer, alpha FROM cands ORDER BY sta + 0.5 * sim DESC, grid_order LIMIT 2")
 def e4_grid_search_flow(spark, sf):
+    from ..operators.vectors import parse_float_list, parse_int_range
     from .flows import grid_search_flow
-    _c, top = grid_search_flow(emb(spark, sf), "layer", "embedding", "cls", list(range(5)), ALPHAS, k=2)
+    layers, alphas = parse_int_range("0-4"), parse_float_list(",".join(str(a) for a in ALPHAS))
+    _c, top = grid_search_flow(emb(spark, sf), "layer", "embedding", "cls", layers, alphas, k=2)
     return top.select("grid_order", "layer", "alpha")
