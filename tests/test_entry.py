@@ -54,3 +54,22 @@ def test_query_matches_oracle_small(spark, name):
     sp = E.queries()[name](spark, SF).toPandas()
     dk = con.execute(E.oracle_sql()[name]).df()
     assert _rows(sp) == _rows(dk)
+
+
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
+def test_oracle_column_types_match(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF, t + '.parquet')}')")
+    q, s = E.queries(), E.oracle_sql()
+    bad = {}
+    for name, sql in s.items():
+        sch = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in q[name](spark, SF).schema.fields}
+        rel = con.sql(sql)
+        dk = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        if sch != dk:
+            bad[name] = (sch, dk)
+    assert not bad, bad

@@ -229,8 +229,8 @@ def g1_gated_edit(spark, sf):
 
 @register("a11_table_report",
           rf"""SELECT lang, count(*) AS n_rows,
- sum(CASE WHEN rewrite IS NULL OR regexp_matches(rewrite, '^\s*$') THEN 1 ELSE 0 END) AS n_blank_rewrite,
- sum(CASE WHEN text IS NULL OR regexp_matches(text, '^\s*$') THEN 1 ELSE 0 END) AS n_blank_source,
+ CAST(sum(CASE WHEN rewrite IS NULL OR regexp_matches(rewrite, '^\s*$') THEN 1 ELSE 0 END) AS BIGINT) AS n_blank_rewrite,
+ CAST(sum(CASE WHEN text IS NULL OR regexp_matches(text, '^\s*$') THEN 1 ELSE 0 END) AS BIGINT) AS n_blank_source,
  round(avg(length(text)), 6) AS avg_len_source, round(avg(length(rewrite)), 6) AS avg_len_rewrite
  FROM ({_g1_sql()}) GROUP BY lang""")
 def a11_table_report(spark, sf):
@@ -470,10 +470,10 @@ def m1_nb_score(spark, sf):
 
 @register("a4_accuracy",
           f"""WITH {_nb_score_sql('documents', 'text')}
- SELECT sum(CASE WHEN p >= 0.5 AND toxic = 1 THEN 1 ELSE 0 END) AS tp,
-        sum(CASE WHEN p >= 0.5 AND toxic <> 1 THEN 1 ELSE 0 END) AS fp,
-        sum(CASE WHEN p < 0.5 AND toxic <> 1 THEN 1 ELSE 0 END) AS tn,
-        sum(CASE WHEN p < 0.5 AND toxic = 1 THEN 1 ELSE 0 END) AS fn,
+ SELECT CAST(sum(CASE WHEN p >= 0.5 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+        CAST(sum(CASE WHEN p >= 0.5 AND toxic <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+        CAST(sum(CASE WHEN p < 0.5 AND toxic <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+        CAST(sum(CASE WHEN p < 0.5 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
         round(avg(CASE WHEN (p >= 0.5)::INT = toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy
  FROM scored JOIN labels USING (doc_id)""")
 def a4_accuracy(spark, sf):
@@ -592,7 +592,8 @@ def m7_text_perplexity(spark, sf):
 
 @register("a6_corpus_perplexity",
           f"WITH {_nll_sql('documents', 'text')} SELECT round(CASE WHEN sum(n_pred) > 0 THEN "
-          "exp(sum(nll_sum) / sum(n_pred)) ELSE 'inf'::DOUBLE END, 6) AS corpus_ppl, sum(n_pred) AS n_pred FROM nll")
+          "exp(sum(nll_sum) / sum(n_pred)) ELSE 'inf'::DOUBLE END, 6) AS corpus_ppl, CAST(sum(n_pred) AS BIGINT) AS n_pred "
+          "FROM nll")
 def a6_corpus_perplexity(spark, sf):
     from ..operators.scoring import corpus_perplexity
     c = corpus_perplexity(_nll(spark, sf, docs(spark, sf), "text"))
@@ -768,14 +769,14 @@ def _explode_means(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 @register("a8_class_means",
-          f"SELECT label, pos, round(avg(x), 6) AS mean FROM ({_UNNEST}) GROUP BY label, pos")
+          f"SELECT label, pos::INTEGER AS pos, round(avg(x), 6) AS mean FROM ({_UNNEST}) GROUP BY label, pos")
 def a8_class_means(spark, sf):
     from ..operators.vectors import class_means
     return _explode_means(class_means(read_table(spark, sf, "embeddings"), "embedding", ["label"]), ["label"])
 
 
 @register("a9_layer_means",
-          f"SELECT layer, cls, pos, round(avg(x), 6) AS mean FROM ({_UNNEST}) GROUP BY layer, cls, pos")
+          f"SELECT layer, cls, pos::INTEGER AS pos, round(avg(x), 6) AS mean FROM ({_UNNEST}) GROUP BY layer, cls, pos")
 def a9_layer_means(spark, sf):
     from ..operators.vectors import class_means
     return _explode_means(class_means(emb(spark, sf), "embedding", ["layer", "cls"]), ["layer", "cls"])
@@ -787,7 +788,7 @@ _DELTA_SQL = ("delta AS (SELECT n.layer, n.pos, n.m - p.m AS d FROM means n JOIN
 
 
 @register("v3_diff_in_means",
-          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos, round(d, 6) AS delta FROM delta")
+          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos::INTEGER AS pos, round(d, 6) AS delta FROM delta")
 def v3_diff_in_means(spark, sf):
     from ..operators.vectors import class_means, diff_in_means
     m = class_means(emb(spark, sf), "embedding", ["layer", "cls"])
@@ -822,7 +823,7 @@ def v4_shift_norm(spark, sf):
 
 
 _GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {l}, {a})" for i, (l, a) in enumerate((l, a) for l in range(5) for a in ALPHAS)) + \
+    f"({i}, {l}, {a}::DOUBLE)" for i, (l, a) in enumerate((l, a) for l in range(5) for a in ALPHAS)) + \
     ") AS g(grid_order, layer, alpha))"
 
 
@@ -1173,7 +1174,8 @@ def k4_cache_round_trip(spark, sf):
 
 
 @register("k5_s6_vector_bundle_round_trip",
-          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos, round(d::FLOAT::DOUBLE, 6) AS delta FROM delta")
+          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos::INTEGER AS pos, round(d::FLOAT::DOUBLE, 6) AS delta "
+          "FROM delta")
 def k5_s6_vector_bundle_round_trip(spark, sf):
     """K5 writes one diff-in-means bundle per layer (vector + meta); S6
     reads them back (layer from the meta) and the vectors are compared."""

@@ -39,7 +39,7 @@ def key(w: str) -> str:
 
 
 def term_hits(expr: str, terms: Sequence[str]) -> str:
-    return f"len(list_filter({str_list(terms)}, lambda lt_: contains(lower({expr}), lt_)))"
+    return f"CAST(len(list_filter({str_list(terms)}, lambda lt_: contains(lower({expr}), lt_))) AS INTEGER)"
 
 
 def drop_toxic(expr: str, terms: Sequence[str], min_len: int = 4) -> str:
