@@ -115,16 +115,32 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: float, key: str,
                       pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """M1: add ``out_col`` = sigmoid(prior + sum of token weights), logit
     clamped to +-30; unknown words weigh 0 and every input row is kept."""
-    bag = df.select(F.col(key).alias("_nb_key"), F.explode(token_counts(text_col, pattern)).alias("_nb_b")) \
-        .select("_nb_key", F.col("_nb_b.w").alias("_nb_word"), F.col("_nb_b.n").alias("_nb_n"))
+    return score_naive_bayes_many(df, weights, prior, key, {out_col: text_col}, pattern)
+
+
+def score_naive_bayes_many(df: DataFrame, weights: DataFrame, prior: float, key: str,
+                           outputs: dict[str, str], pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
+    """M1 for several text columns at once (``{out_col: text_col}``): one
+    explode of all bags, one join to the weights, one aggregation per key
+    with a conditional sum per column, one join back."""
+    names = list(outputs)
+    def tag(i):  # one-argument lambda: a second parameter would be read as the index
+        return lambda x: F.struct(F.lit(i).alias("c"), x["w"].alias("w"), x["n"].alias("n"))
+    bags = [F.transform(token_counts(outputs[o], pattern), tag(i)) for i, o in enumerate(names)]
+    allbags = bags[0] if len(bags) == 1 else F.concat(*bags)
+    bag = df.select(F.col(key).alias("_nb_key"), F.explode(allbags).alias("_nb_b")) \
+        .select("_nb_key", F.col("_nb_b.c").alias("_nb_c"), F.col("_nb_b.w").alias("_nb_word"),
+                F.col("_nb_b.n").alias("_nb_n"))
     w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
-    sums = (bag.join(w, "_nb_word")
-            .groupBy("_nb_key").agg(F.sum(F.col("_nb_n") * F.col("_nb_w")).alias("_nb_s")))
-    logit = F.lit(float(prior)) + F.coalesce(F.col("_nb_s"), F.lit(0.0))
-    logit = F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))
-    return (df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
-            .withColumn(out_col, 1.0 / (1.0 + F.exp(-logit)))
-            .drop("_nb_s"))
+    sums = (bag.join(w, "_nb_word").groupBy("_nb_key")
+            .agg(*[F.sum(F.when(F.col("_nb_c") == i, F.col("_nb_n") * F.col("_nb_w"))).alias(f"_nb_s{i}")
+                   for i in range(len(names))]))
+    out = df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
+    for i, o in enumerate(names):
+        logit = F.lit(float(prior)) + F.coalesce(F.col(f"_nb_s{i}"), F.lit(0.0))
+        logit = F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))
+        out = out.withColumn(o, 1.0 / (1.0 + F.exp(-logit)))
+    return out.drop(*[f"_nb_s{i}" for i in range(len(names))])
 
 
 # --------------------------------------------------------------------------

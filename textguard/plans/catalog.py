@@ -487,9 +487,11 @@ _RW_CTE = f"rw AS ({_g1_sql()})"
 
 
 def _scored_rewrites(spark, sf):
-    g = stored_rewrites(spark, sf)
-    g = nb_scored(spark, sf, g, "text", "p_before")
-    return nb_scored(spark, sf, g, "rewrite", "p_after")
+    """Score source and rewrite in one pass (one token join, one join back)."""
+    from ..operators.scoring import score_naive_bayes_many
+    w, prior = nb_model(spark, sf)
+    return score_naive_bayes_many(stored_rewrites(spark, sf), w, prior, "doc_id",
+                                  {"p_before": "text", "p_after": "rewrite"})
 
 
 _BA_SQL = f"""WITH {_RW_CTE}, {_NB_SQL},
