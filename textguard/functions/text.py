@@ -14,10 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import (
-    IGNORE_CASE, LINE_BREAK, UNICODE, WS, escape_literal, python_regex_to_java,
-    quote_replacement,
-)
+from .regex import IGNORE_CASE, LINE_BREAK, UNICODE, WS, escape_literal, python_regex_to_java
 
 
 def _c(x) -> Column:

@@ -104,7 +104,7 @@ def param_grid(spark, layers: Sequence[int], alphas: Sequence[float]) -> DataFra
 
 
 def grid_search(vectors: DataFrame, means: DataFrame, grid: DataFrame, layer: str, vec: str,
-                cls: str, k: int, positive=1, negative=0, threshold: float = 0.5,
+                cls: str, k: int, positive=1, negative=0,
                 sim_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """M9 on embeddings: for each grid point shift every vector of its layer
     by ``-alpha * delta``; the shifted vector counts as detoxified when it is
