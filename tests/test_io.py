@@ -12,6 +12,14 @@ from textguard.sources import io as IO
 TRICKY = ['has "quote"', "back\\slash", "tab\there", "new\nline", "  leading blanks", "NA", "plain"]
 
 
+def test_empty_field_reads_back_as_null(spark):
+    df = spark.createDataFrame([("1", "", "x")], "ID string, tat_toxic string, tat_detox1 string")
+    path = os.path.join(scratch(), "empty")
+    IO.write_rewrites(df, path)
+    r = IO.read_tsv(spark, path, quoted=True).first()
+    assert r["tat_toxic"] is None and r["tat_detox1"] == "x"
+
+
 def scratch():
     return tempfile.mkdtemp(prefix="textguard-test-")
 

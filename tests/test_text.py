@@ -191,3 +191,13 @@ def test_null_handling(spark):
     r = df.select(T.cleanse("t", ["a"]).alias("a"), T.filter_tokens("t", ["a"]).alias("b"),
                   T.clean_generated("t", F.lit("s")).alias("c")).first()
     assert (r["a"], r["b"], r["c"]) == (None, None, "s")
+
+
+def test_every_answer_prefix_in_both_cases(spark):
+    rows, want = [], []
+    for p in T.ANSWER_PREFIXES:
+        for v in (p.lower(), p.upper()):
+            rows.append(f"{v} ok text\nsecond")
+            want.append("ok text")
+    got = one_col(spark, rows, T.extract_first_line)
+    assert got == want
