@@ -1271,9 +1271,26 @@ def e2_pivot_with_metrics(spark, sf):
     (stand-in models), rescore, STA and SIM of the result."""
     from .flows import nb_scorer, pivot_with_metrics
     w, prior = nb_model(spark, sf)
-    _rows, m = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
-                                  nb_scorer(w, prior, "doc_id"), ascii_upper_model, drop_marked_words_model,
-                                  ascii_lower_model, THRESHOLD)
+    _rows, m, _ = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
+                                     nb_scorer(w, prior, "doc_id"), ascii_upper_model, drop_marked_words_model,
+                                     ascii_lower_model, THRESHOLD)
+    return m.select(r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"), "n_rows")
+
+
+@register("e2_pivot_cached", _E2_SQL)
+def e2_pivot_cached(spark, sf):
+    """E2 with a forward-translation cache seeded from the labelled
+    documents (keyed by content hash): only the gated texts missing from it
+    are translated; the result equals the uncached flow."""
+    from ..operators.gate import content_key
+    from .flows import nb_scorer, pivot_with_metrics
+    w, prior = nb_model(spark, sf)
+    seed = labelled_docs(spark, sf).select(content_key("text").alias("key"),
+                                           F.translate("text", _ASCII_LOWER, _ASCII_UPPER).alias("value"))
+    _rows, m, _fresh = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
+                                          nb_scorer(w, prior, "doc_id"), ascii_upper_model,
+                                          drop_marked_words_model, ascii_lower_model, THRESHOLD,
+                                          forward_cache=seed)
     return m.select(r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"), "n_rows")
 
 
@@ -1302,5 +1319,5 @@ def e4_grid_search_flow(spark, sf):
     from ..operators.vectors import parse_float_list, parse_int_range
     from .flows import grid_search_flow
     layers, alphas = parse_int_range("0-4"), parse_float_list(",".join(str(a) for a in ALPHAS))
-    _c, top = grid_search_flow(emb(spark, sf), "layer", "embedding", "cls", layers, alphas, k=2)
+    _c, top, _dev = grid_search_flow(emb(spark, sf), "layer", "embedding", "cls", layers, alphas, k=2)
     return top.select("grid_order", "layer", "alpha")

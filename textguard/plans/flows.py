@@ -54,15 +54,39 @@ def pivot_with_metrics(df: DataFrame, key: str, text: str, scorer: Scorer,
                        forward: Callable[[], G.BatchFn] | None, edit: Callable[[], G.BatchFn] | None,
                        back: Callable[[], G.BatchFn] | None, threshold: float = P.DEFAULT_THRESHOLD,
                        similarity: Callable[[Column, Column], Column] | None = SC.text_similarity,
-                       label: str | None = None, batch_size: int = 16) -> tuple[DataFrame, DataFrame]:
+                       label: str | None = None, batch_size: int = 16,
+                       forward_cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Score the raw text, gate, run forward -> edit -> back on gated
     rows only, fall back to the source, rescore; return the per-row
     evaluation table (text, generated, edited, tox_score_before,
-    tox_score_after[, label]) and the one-row metrics (sta, sim, fl,
-    clf_acc)."""
+    tox_score_after[, label]), the one-row metrics (sta, sim, fl, clf_acc)
+    and the new forward-cache entries.
+
+    Without ``forward_cache`` all stages run in one Arrow hop per task. With
+    it (``key, value`` by content hash), gated texts are looked up, only the
+    misses are translated (once per distinct text), then edit and back run on
+    the gated rows, which are merged back by ``key``."""
     d = scorer(df, text, "tox_score_before")
     d = d.withColumn("edited", F.coalesce(P.gate("tox_score_before", threshold), F.lit(False)))
-    d = G.pivot_edit(d, F.col("edited"), text, "_gen", forward, edit, back, batch_size)
+    fresh = None
+    if forward_cache is None or forward is None:
+        d = G.pivot_edit(d, F.col("edited"), text, "_gen", forward, edit, back, batch_size)
+    else:
+        gated = d.where(F.col("edited")).select(key, text)
+        fwd, fresh = G.with_cache(gated, forward_cache, text, "_fwd",
+                                  lambda m: G.batch_map(m, forward, text, "value", batch_size))
+        rest = [s for s in (edit, back) if s is not None]
+
+        def chain():
+            fns = [s() for s in rest]
+
+            def run(xs):
+                for f in fns:
+                    xs = list(f(xs))
+                return xs
+            return run
+        edited = G.batch_map(fwd, chain, "_fwd", "_gen", batch_size) if rest else fwd.withColumnRenamed("_fwd", "_gen")
+        d = d.join(edited.select(key, "_gen"), key, "left")
     d = d.withColumn("generated", P.fallback(F.col("_gen"), F.col(text))).drop("_gen")
     d = scorer(d, "generated", "tox_score_after")
     if similarity is not None:
@@ -73,7 +97,7 @@ def pivot_with_metrics(df: DataFrame, key: str, text: str, scorer: Scorer,
     metrics = M.evaluate(per_row, p_after="tox_score_after", cos="cos" if similarity is not None else None,
                          fluency=None, p_before="tox_score_before" if label else None, label=label,
                          threshold=threshold)
-    return per_row, metrics
+    return per_row, metrics, fresh
 
 
 def finalize_best_of_n(cands: DataFrame, key: str, attempt: str, gen: str, source: str,
@@ -92,10 +116,33 @@ def finalize_best_of_n(cands: DataFrame, key: str, attempt: str, gen: str, sourc
 
 
 def grid_search_flow(vectors: DataFrame, layer: str, vec: str, cls: str, layers: Sequence[int],
-                     alphas: Sequence[float], k: int = 2) -> tuple[DataFrame, DataFrame]:
+                     alphas: Sequence[float], k: int = 2, key: str | None = None,
+                     sample_sizes: dict | None = None, n_val: int | None = None, seed: int = 42,
+                     dev: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Per-layer class means (one aggregation), the (layer, alpha)
-    grid, scores for every grid point in one job, top k."""
+    grid scored in one job, top k, and the winners re-run on ``dev``.
+
+    With ``sample_sizes`` ({class: n}) the means come from a seeded
+    per-class sample (O1) of each layer and, with ``n_val``, the grid is
+    scored on a validation slice of that layer that is disjoint from the
+    sample (O3). Returns ``(candidates, top_k, dev_scores)``."""
+    from ..operators import sampling as SA
     spark = vectors.sparkSession
     v = vectors.where(F.col(layer).isin(list(layers)))
-    means = V.class_means(v, vec, [layer, cls])
-    return V.grid_search(v, means, V.param_grid(spark, layers, alphas), layer, vec, cls, k)
+    train, val = v, v
+    if sample_sizes:
+        if key is None:
+            raise ValueError("sampling needs a key column")
+        parts = [SA.sample_per_class(v.where(F.col(layer) == l), cls, sample_sizes, key, seed) for l in layers]
+        train = SA.union_parts(parts)
+        if n_val:
+            val = SA.union_parts([SA.validation_slice(v.where(F.col(layer) == l), train, key, n_val, seed)
+                                  for l in layers])
+    means = V.class_means(train, vec, [layer, cls])
+    cands, top = V.grid_search(val, means, V.param_grid(spark, layers, alphas), layer, vec, cls, k)
+    dev_scores = None
+    if dev is not None:
+        winners = top.select("grid_order", layer, "alpha")
+        dev_scores, _ = V.grid_search(dev.where(F.col(layer).isin(list(layers))), means, winners,
+                                      layer, vec, cls, k)
+    return cands, top, dev_scores
