@@ -56,8 +56,8 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     redistribute round-robin (balanced even when one key holds a third of
     the rows; deterministic on retry). At scale the scan already has
     thousands of splits and this is a no-op, so no shuffle is added there."""
-    target = df.sparkSession.sparkContext.defaultParallelism
     try:
+        target = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. no RDD access: leave the plan as is
         return df
@@ -1035,8 +1035,11 @@ def s11_stream_gated_edit(spark, sf):
     documents files; runs to completion with ``availableNow`` into a Parquet
     sink under the shared checkpoint folder, then reads the sink."""
     from ..streaming.stream import run_gated_stream
-    return run_gated_stream(spark, sf, TERMS, PATTERNS,
-                            spread_partitions=spark.sparkContext.defaultParallelism)
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        parallelism = None
+    return run_gated_stream(spark, sf, TERMS, PATTERNS, spread_partitions=parallelism)
 
 
 # ==========================================================================

@@ -67,9 +67,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="textguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext use the conf only
+        pass
     return d
 
 
@@ -93,7 +96,10 @@ def ship_package(spark: SparkSession) -> None:
     model stages pickle references to its functions). Zips the package once
     per application and distributes it with ``addPyFile``, like
     ``spark-submit --py-files``. A no-op when it is already shipped."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext: nothing to ship to
+        return
     if sc.getConf().get("spark.textguard.shipped", "") == "1" or getattr(sc, "_textguard_shipped", False):
         return
     import zipfile
@@ -140,10 +146,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def stored_bytes(df: DataFrame) -> int | None:
     """Total size of the files a plain file scan reads, or None when ``df``
     is not a plain scan (its size is then unknown before running it)."""
-    files = df.inputFiles()
+    try:
+        files = df.inputFiles()
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - size unknown: no broadcast
+        return None
     if not files:
         return None
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
     if any(op in plan for op in ("Join", "Aggregate", "Generate", "Window")):
         return None
     sc = df.sparkSession.sparkContext
