@@ -139,3 +139,14 @@ def test_apply_to_columns_and_select_ordered(spark):
     assert tuple(out.first()) == ("a b", "c", 1)
     sel, reordered = select_ordered(df, ["z", "x"])
     assert sel.columns == ["z", "x"] and reordered
+
+
+def test_raw_tsv_writer_round_trip_and_refusal(spark):
+    p = os.path.join(scratch(), "raw")
+    df = spark.createDataFrame([("1", 'say "hi"'), ("2", "  x")], "ID string, tat_toxic string")
+    IO.write_raw_tsv(df, p)
+    got = {r["ID"]: r["tat_toxic"] for r in IO.read_tsv(spark, p, required=["ID", "tat_toxic"]).collect()}
+    assert got == {"1": 'say "hi"', "2": "  x"}
+    bad = spark.createDataFrame([("1", "a\tb")], "ID string, tat_toxic string")
+    with pytest.raises(Exception):
+        IO.write_raw_tsv(bad, os.path.join(scratch(), "bad"))

@@ -1324,3 +1324,14 @@ def e4_grid_search_flow(spark, sf):
     layers, alphas = parse_int_range("0-4"), parse_float_list(",".join(str(a) for a in ALPHAS))
     _c, top, _dev = grid_search_flow(emb(spark, sf), "layer", "embedding", "cls", layers, alphas, k=2)
     return top.select("grid_order", "layer", "alpha")
+
+
+@register("s1_raw_tsv_round_trip", f"SELECT CAST(doc_id AS VARCHAR) AS ID, {_C15_SQL} AS tat_toxic FROM documents")
+def s1_raw_tsv_round_trip(spark, sf):
+    """K1 in raw form + S1: single-line texts written as raw TSV (quotes
+    stay data) and read back with the raw reader and its column check."""
+    from ..sources import io as IO
+    path = _scratch(spark, "raw")
+    d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("ID"), T.single_line("text").alias("tat_toxic"))
+    IO.write_raw_tsv(d, path)
+    return IO.read_tsv(spark, path, required=["ID", "tat_toxic"])

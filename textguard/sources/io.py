@@ -48,6 +48,23 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .csv(path))
 
 
+def write_raw_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Raw TSV (the S1 convention: no quoting, quotes are data), a header in
+    every part file (the reader drops it per file). A field holding a tab or
+    a line break cannot be written raw; the job fails on it (``raise_error``)
+    instead of corrupting the file."""
+    checked = []
+    for c in df.columns:
+        v = F.col(c).cast("string")
+        checked.append(F.when(F.coalesce(v.rlike("[\t\r\n]"), F.lit(False)),
+                              F.raise_error(F.lit(f"raw TSV field {c} holds a tab or line break")))
+                       .otherwise(v).alias(c))
+    (df.select(*checked).write.mode(mode).option("sep", "\t").option("header", True)
+     .option("quote", "").option("escape", "").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
 def write_rewrites(df: DataFrame, path: str, id_col: str = "ID", source: str = "tat_toxic",
                    rewrite: str = "tat_detox1", mode: str = "overwrite") -> None:
     """K1: exactly ``ID, tat_toxic, tat_detox1`` (id as string), header, tab."""
