@@ -1335,3 +1335,47 @@ def s1_raw_tsv_round_trip(spark, sf):
     d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("ID"), T.single_line("text").alias("tat_toxic"))
     IO.write_raw_tsv(d, path)
     return IO.read_tsv(spark, path, required=["ID", "tat_toxic"])
+
+
+@register("s3_read_labelled",
+          f"SELECT doc_id, text, toxic AS label FROM {_LABELLED} WHERE lang = 'en'")
+def s3_read_labelled(spark, sf):
+    """S3 + P4: resolve the text and label columns by candidates and keep
+    one language."""
+    from ..sources import io as IO
+    lab = labelled_docs(spark, sf).select("doc_id", "lang", "text", "toxic", "quality")
+    return IO.read_labelled(lab, ("sentence", "text"), ("label", "toxic"), lang="en").select("doc_id", "text", "label")
+
+
+@register("s4_line_cache_round_trip",
+          f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS pos, {_C15_SQL} AS value FROM documents")
+def s4_line_cache_round_trip(spark, sf):
+    """K4 (line form) + S4: single-line texts written one per line in
+    key order (range-sorted parts), read back with explicit positions."""
+    from ..sources import io as IO
+    path = _scratch(spark, "lines")
+    docs(spark, sf).orderBy("doc_id").select(T.single_line("text").alias("value")).write.text(path)
+    return IO.read_line_cache(spark, path, key="pos").select("pos", "value")
+
+
+@register("s7_load_or_build",
+          f"WITH {_MEANS_SQL}, {_DELTA_SQL} SELECT layer, pos::INTEGER AS pos, round(d::FLOAT::DOUBLE, 6) AS delta "
+          "FROM delta")
+def s7_load_or_build(spark, sf):
+    """The diff-in-means bundle is built (it is not stored yet), saved,
+    and read back; a second call only reads it."""
+    from ..operators.vectors import class_means, diff_in_means
+    from ..sources import io as IO
+    path = _scratch(spark, "bundle-lob")
+
+    def build():
+        d = diff_in_means(class_means(emb(spark, sf), "embedding", ["layer", "cls"]), "cls", ["layer"])
+        return d.select(F.col("delta").cast("array<float>").alias("vector"),
+                        F.struct(F.lit("embeddings").alias("model_id"), F.col("layer").alias("layer_idx"),
+                                 F.col("n_pos").cast("int").alias("n_toxic"),
+                                 F.col("n_neg").cast("int").alias("n_nontoxic"),
+                                 F.lit(64).alias("max_length")).alias("meta"))
+    IO.load_or_build(spark, path, build, default_layer=-1)
+    back = IO.load_or_build(spark, path, lambda: None, default_layer=-1)
+    return back.select("layer", F.posexplode("vector").alias("pos0", "v")) \
+        .select("layer", (F.col("pos0") + 1).alias("pos"), r6(F.col("v").cast("double")).alias("delta"))
