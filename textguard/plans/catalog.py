@@ -1379,3 +1379,28 @@ def s7_load_or_build(spark, sf):
     back = IO.load_or_build(spark, path, lambda: None, default_layer=-1)
     return back.select("layer", F.posexplode("vector").alias("pos0", "v")) \
         .select("layer", (F.col("pos0") + 1).alias("pos"), r6(F.col("v").cast("double")).alias("delta"))
+
+
+_E2_ROWS_SQL = (_E2_SQL[:_E2_SQL.index(" ba AS (SELECT doc_id")].rstrip().rstrip(",")
+                + """
+ SELECT gen2.doc_id, gen2.generated, gen2.edited, round(gen2.p_before, 6) AS tox_score_before,
+   round(sa.p, 6) AS tox_score_after FROM gen2 JOIN scoreda sa USING (doc_id)""")
+
+
+@register("k2_results_csv_round_trip", _E2_ROWS_SQL)
+def k2_results_csv_round_trip(spark, sf):
+    """K2: the per-row evaluation table of the pivot flow written as CSV
+    (multi-line, quoted texts) and read back with its schema."""
+    from ..sources import io as IO
+    from .flows import nb_scorer, pivot_with_metrics
+    w, prior = nb_model(spark, sf)
+    rows, _m, _ = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
+                                     nb_scorer(w, prior, "doc_id"), ascii_upper_model, drop_marked_words_model,
+                                     ascii_lower_model, THRESHOLD, similarity=None)
+    path = _scratch(spark, "eval")
+    IO.write_results(rows, path)
+    back = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .schema(rows.schema).csv(path))
+    return back.select("doc_id", "generated", "edited", r6(F.col("tox_score_before")).alias("tox_score_before"),
+                       r6(F.col("tox_score_after")).alias("tox_score_after"))
