@@ -1,5 +1,5 @@
 """Differential tests: Spark expressions vs small independent Python
-functions on seeded random strings (Latin, Cyrillic, Tatar letters, digits,
+functions on seeded random strings (Latin, Cyrillic, extended Cyrillic letters, digits,
 emoji with ZWJ / skin tones, quotes, exotic spaces, line breaks)."""
 
 import random
