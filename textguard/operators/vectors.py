@@ -120,7 +120,8 @@ def grid_search(vectors: DataFrame, means: DataFrame, grid: DataFrame, layer: st
     d = diff_in_means(means, cls, [layer], positive, negative).select(layer, "delta")
     mp = means.where(F.col(cls) == positive).select(layer, F.col("mean").alias("mu_pos"))
     mn = means.where(F.col(cls) == negative).select(layer, F.col("mean").alias("mu_neg"))
-    params = (grid.join(d, layer).join(mp, layer).join(mn, layer))
+    # one row per layer (and class) of the grid: bounded by the grid itself
+    params = (grid.join(F.broadcast(d), layer).join(F.broadcast(mp), layer).join(F.broadcast(mn), layer))
     j = vectors.select(layer, vec).join(F.broadcast(params), layer)
     shifted = shift(F.col(vec), F.col("delta"), F.col("alpha"))
     j = j.select("grid_order", layer, "alpha", vec, shifted.alias("_s"), "mu_pos", "mu_neg")

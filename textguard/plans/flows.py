@@ -72,6 +72,10 @@ def pivot_with_metrics(df: DataFrame, key: str, text: str, scorer: Scorer,
     if forward_cache is None or forward is None:
         d = G.pivot_edit(d, F.col("edited"), text, "_gen", forward, edit, back, batch_size)
     else:
+        from ..session import materialize
+        # the scored input feeds two branches (gated subset, join back):
+        # store it once instead of scoring twice
+        d = materialize(d, "pivot-scored")
         gated = d.where(F.col("edited")).select(key, text)
         fwd, fresh = G.with_cache(gated, forward_cache, text, "_fwd",
                                   lambda m: G.batch_map(m, forward, text, "value", batch_size))
