@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, read_table
-from . import suffix_dedup
+from . import prob_minhash, suffix_dedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +14,24 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (its smallest doc_id)."""
+    classes, _links = prob_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return classes
+
+
 #: name -> (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
+    "op2_toxicity": (op2_toxicity, None),
+    "op9_prob_minhash": (op9_prob_minhash, None),
 }
 
 

@@ -38,14 +38,39 @@ def shuffle_cleanup(spark: SparkSession):
                 spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+#: A stored table is broadcast only if its files, this many times larger in
+#: memory, stay below the bound; beyond that the join shuffles both sides.
+BROADCAST_MAX, EXPANSION = 64 << 20, 6
+
+
+class Stored:
+    """A stored table with the size of its files."""
+
+    def __init__(self, df: DataFrame, path: str):
+        self.df, self.path = df, path
+
+    def n_bytes(self) -> int:
+        sc = self.df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        return int(p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+    def small(self) -> DataFrame:
+        """The table, marked for broadcast if its measured size allows it."""
+        return F.broadcast(self.df) if self.n_bytes() * EXPANSION <= BROADCAST_MAX else self.df
+
+
+def stored(df: DataFrame, name: str) -> Stored:
     """Write ``df`` as Parquet in the shared folder of ``spark.checkpoint.dir``
     and read it back: a lost executor costs at most the step it ran."""
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
     with shuffle_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name).df
 
 
 def one(df: DataFrame) -> tuple:
