@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, read_table
-from . import prob_minhash, suffix_dedup, toxicity
+from . import mixing, prob_minhash, suffix_dedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix of all sources takes."""
+    return mixing.report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document (its smallest doc_id)."""
     classes, _links = prob_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
+    "op6_mixing": (op6_mixing, mixing.SQL),
     "op9_prob_minhash": (op9_prob_minhash, None),
 }
 
