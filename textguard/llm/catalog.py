@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, read_table
-from . import mixing, prob_minhash, suffix_dedup, toxicity
+from . import mixing, packing, prob_minhash, repair_tokens, suffix_dedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 ids."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    return repair_tokens.write_and_read(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that the mix of all sources takes."""
     return mixing.report(read_table(spark, sf_dir, "documents"))
@@ -36,6 +46,8 @@ def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
+    "op4_packing": (op4_packing, None),
+    "op5_repair_tokens": (op5_repair_tokens, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op9_prob_minhash": (op9_prob_minhash, None),
 }
