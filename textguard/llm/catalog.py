@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, read_table
-from . import mixing, packing, prob_minhash, repair_tokens, suffix_dedup, toxicity
+from . import html_paths, mixing, packing, prob_minhash, repair_tokens, suffix_dedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_paths.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 2048 ids."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
@@ -46,6 +51,7 @@ def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
+    "op3_html_paths": (op3_html_paths, None),
     "op4_packing": (op4_packing, None),
     "op5_repair_tokens": (op5_repair_tokens, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
