@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, read_table
-from . import html_paths, mixing, packing, prob_minhash, repair_tokens, suffix_dedup, toxicity
+from . import html_paths, mixing, packing, prob_minhash, repair_tokens, rp_forest, suffix_dedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes
 
 
+def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return rp_forest.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 #: name -> (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
@@ -56,6 +61,7 @@ REGISTRY = {
     "op5_repair_tokens": (op5_repair_tokens, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op9_prob_minhash": (op9_prob_minhash, None),
+    "op10_rp_forest": (op10_rp_forest, None),
 }
 
 
