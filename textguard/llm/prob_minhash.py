@@ -17,10 +17,11 @@ How it is dealt out over Spark:
 * A band bucket sends each member to the bucket's smallest node only: n - 1
   candidates, not n squared. Verified links are joined to components.
 * A bucket that then still holds different components may hide a link between
-  members that are not its smallest. Those buckets are gone through in chunks
-  of at most ``CHUNK`` members: pairs across components whose sketches agree
-  well enough are verified too. So a class is whole, and no task gets more
-  than two chunks, however many texts a bucket has.
+  members that are not its smallest. Those buckets are gone through in pairs
+  of chunks of about ``CHUNK`` members: pairs across components whose sketches
+  agree well enough are verified there, until the components are joined. So a
+  class is whole, a task gets no more than two chunks of a bucket, however many
+  texts it has, and no list of pairs is written.
 
 A pair of J_P 0.8 misses all bands with probability below 1e-4.
 
@@ -99,6 +100,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
+    if wa.max() == 1 and wb.max() == 1:  # no shingle repeats: the plain Jaccard
+        return len(common) / (len(ka) + len(kb) - len(common))
     x, y = wa[ia].astype(float), wb[ib].astype(float)
     only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
     order = np.argsort(y / x, kind="stable")  # common elements by ratio; max() picks a's side up to d's own ratio
@@ -206,50 +209,77 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _hidden_pairs(nodes: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs across components, neither the smallest of their bucket, whose
-    sketches agree in ``LIKELY`` of the slots."""
-    member = (buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+def _hidden_links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, roots: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """Links across components that no bucket's smallest node has shown.
+
+    Buckets that hold two components are dealt out as pairs of chunks; a task
+    compares the sketches of its two chunks and verifies likely pairs, best
+    first, that nothing has joined yet. A pair is verified in its first common
+    band only, and a task returns at most one link per member."""
+    member = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = (member.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
              .where("n > 2 and r0 <> r1").select("band", "lead", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
     rows = member.join(mixed, "band").where("node <> lead").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # a chunk meets every chunk once: (chunk, other) with chunk <= other
+    # a chunk meets every chunk once: (c0, c1) with c0 <= c1
     cells = stored(rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "band", "node", "root", F.least("chunk", "other").alias("c0"), F.greatest("chunk", "other").alias("c1"), "chunk"), "cells").df
-    deals = 1 + cells.count() // (4 * CHUNK)
-    cells = cells.join(nodes.select("node", "sketch"), "node")
+    deals = 1 + cells.count() // CHUNK
+    sets = stored(_shingle_sets(docs, stored(cells.select("node").distinct(), "ids").small(), key, text), "shingles").df
+    cells = cells.join(nodes.select("node", "sketch", "bands"), "node").join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:
-        band = np.array(table.column("band").to_pylist(), np.int64)
-        c0, c1 = table.column("c0").to_numpy(), table.column("c1").to_numpy()
-        node, root, chunk = (table.column(c).to_numpy() for c in ("node", "root", "chunk"))
+        band, c0, c1, node, root, chunk = (np.array(table.column(c).to_pylist(), np.int64) for c in ("band", "c0", "c1", "node", "root", "chunk"))
         sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(node), SLOTS)
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        cell = table.column("cell")
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
         order = np.lexsort((c1, c0, band))
         cut = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(c0[order]) != 0) | (np.diff(c1[order]) != 0)) + 1
-        a_out, b_out = [], []
+        out = []
         for g in np.split(order, cut):
-            if len(g) < 2:
-                continue
             across = c0[g[0]] != c1[g[0]]
             left = g[chunk[g] == c0[g[0]]] if across else g
             right = g[chunk[g] == c1[g[0]]] if across else g
+            tries = []
             for i in left:
                 j = right[(root[right] != root[i]) & ((node[right] > node[i]) | across)]
-                j = j[(sk[j] == sk[i]).sum(axis=1) >= LIKELY * SLOTS]
-                a_out.append(np.maximum(node[j], node[i]))
-                b_out.append(np.minimum(node[j], node[i]))
-        e = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a_out or e), "b": np.concatenate(b_out or e)})
+                agree = (sk[j] == sk[i]).sum(axis=1)
+                on = agree >= LIKELY * SLOTS
+                j, agree = j[on], agree[on]
+                if len(j):  # the first band in which both stand is this one
+                    first = keys[j][np.arange(len(j)), (keys[j] == keys[i]).argmax(axis=1)] == band[i]
+                    tries += [(-a, int(i), int(x)) for a, x in zip(agree[first].tolist(), j[first].tolist(), strict=True)]
+            tries.sort()
+            sets: dict[int, tuple] = {}
+            for _, i, j in tries:
+                a, b = find(int(root[i])), find(int(root[j]))
+                if a == b:
+                    continue
+                for x in (i, j):
+                    if x not in sets:
+                        sets[x] = tuple(unpack_arrays(cell[x].as_py()))
+                s = probability_jaccard(sets[i], sets[j])
+                if s >= similarity - 1e-12:
+                    up[max(a, b)] = min(a, b)
+                    out.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j])), s))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()),
+                         "similarity": pa.array([o[2] for o in out], pa.float64())})
 
     deal = F.pmod(F.xxhash64("band", "c0", "c1"), F.lit(deals)).alias("deal")
-    return (cells.select(deal, "*").groupBy("deal").applyInArrow(run, "a long, b long").distinct())
+    return cells.select(deal, "*").groupBy("deal").applyInArrow(run, "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(classes, links): ``classes`` has one row per row of ``docs``: doc_id
     and class_id, the smallest doc_id of its class; ``links`` the verified
-    pairs of different texts (a > b, named by the smallest doc_id of each
-    text) with their J_P."""
+    pairs of different texts that join the classes (a > b, named by the
+    smallest doc_id of each text) with their J_P."""
     sk = stored(sketches(docs, key, text), "sketches").df
     nodes = stored(sk.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"),
                                                                      F.first("bands").alias("bands")), "nodes").df
@@ -259,10 +289,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = stored(buckets.join(lead, "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs").df
     links = _verified(docs, pairs, key, text, similarity)
     roots = components(links)
-    hidden = stored(_hidden_pairs(named, buckets, roots).join(pairs, ["a", "b"], "left_anti"), "hidden").df
+    hidden = stored(_hidden_links(docs, named, buckets, roots, key, text, similarity), "hidden").df
     if not hidden.isEmpty():
-        more = _verified(docs, hidden, key, text, similarity)
-        links = links.unionAll(more)
+        links = links.unionAll(hidden).dropDuplicates(["a", "b"])
         roots = components(links)
     copies = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     # rows that share a doc_id with different texts follow the least class
