@@ -289,7 +289,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([g.features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("label")], names=["f", "label"])
 
-    got = rows.mapInArrow(run, "f array<double>, label int").orderBy("label", "f").collect()  # TRAIN_ROWS short vectors at most
+    got = sorted(rows.mapInArrow(run, "f array<double>, label int").collect(), key=lambda r: (r.label, r.f))  # TRAIN_ROWS short vectors at most
     if not got:
         return Model(lexicon, None)
     return Model(lexicon, fit_weights(np.array([r.f for r in got]), np.array([r.label for r in got], float)))
