@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare, read_table
-from . import html_paths, mixing, packing, prob_minhash, quality_risk, repair_tokens, rp_forest, suffix_dedup, toxicity
+from . import html_paths, license_scan, mixing, packing, prob_minhash, quality_risk, repair_tokens, rp_forest, suffix_dedup, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op7_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_risk.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts found in every document."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document (its smallest doc_id)."""
     classes, _links = prob_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ REGISTRY = {
     "op5_repair_tokens": (op5_repair_tokens, None),
     "op6_mixing": (op6_mixing, mixing.SQL),
     "op7_quality_risk": (op7_quality_risk, quality_risk.SQL),
+    "op8_license_scan": (op8_license_scan, license_scan.SQL),
     "op9_prob_minhash": (op9_prob_minhash, None),
     "op10_rp_forest": (op10_rp_forest, None),
 }
