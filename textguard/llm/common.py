@@ -19,23 +19,18 @@ from ..session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Set while a step is stored: the shuffle files of a finished job go at once
 #: instead of waiting for the driver's garbage collector.
-CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",
-           "spark.sql.shuffleDependency.fileCleanup.enabled")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession):
     """Free a job's shuffle files when it ends."""
-    old = {k: spark.conf.get(k, None) for k in CLEANUP}
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k in CLEANUP:
-            with contextlib.suppress(Exception):  # not every version has both names
-                spark.conf.set(k, "true")
         yield
     finally:
-        for k, v in old.items():
-            with contextlib.suppress(Exception):
-                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        spark.conf.set(CLEANUP, old)
 
 
 #: A stored table is broadcast only if its files, this many times larger in
@@ -73,6 +68,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name).df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def one(df: DataFrame) -> tuple:
     """The single row of an ungrouped aggregate."""
     return tuple(df.first())

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, store, stored, to_int
+from .common import WORD, fresh, store, stored, to_int
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -159,15 +159,16 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     text is then the words taken, joined by one space (``length``, if named,
     is set anew). Rows equal in id, source and text get the same picks."""
     _, takes, _ = mix(docs, key, text, source)
-    picks = (takes.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
-             .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("row").alias("_row"), "epoch")
-             .agg(F.min("first").alias("_first"), F.max("last").alias("_last"), F.max("size").alias("_size")))
-    on = F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.xxhash64(text) == F.col("_row"))
+    i, s, r, epoch, first, last, size, new_text = fresh(docs, "_id", "_source", "_row", "_epoch", "_first", "_last", "_size", "_text")
+    picks = (takes.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
+             .groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("row").alias(r), epoch)
+             .agg(F.min("first").alias(first), F.max("last").alias(last), F.max("size").alias(size)))
+    on = F.col(key).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s)) & (F.xxhash64(text) == F.col(r))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    part = F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), (F.col("_last") - F.col("_first")).cast("int")), " ")
-    cut = F.col("_last") - F.col("_first") < F.col("_size")
-    out = docs.join(stored(picks, "picks").small(), on).withColumn("_text", F.when(cut, part).otherwise(F.col(text)))
-    new = {text: F.col("_text")} | ({length: F.when(cut, F.char_length("_text")).otherwise(F.col(length)).cast(docs.schema[length].dataType)} if length else {})
+    part = F.array_join(F.slice(words, (F.col(first) + 1).cast("int"), (F.col(last) - F.col(first)).cast("int")), " ")
+    cut = F.col(last) - F.col(first) < F.col(size)
+    out = docs.join(stored(picks, "picks").small(), on).withColumn(new_text, F.when(cut, part).otherwise(F.col(text)))
+    new = {text: F.col(new_text)} | ({length: F.when(cut, F.char_length(new_text)).otherwise(F.col(length)).cast(docs.schema[length].dataType)} if length else {})
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

@@ -23,7 +23,6 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,10 +206,11 @@ def _pack(rows: DataFrame, length: int, tag: int, keep_all: bool) -> DataFrame:
     """Pack the pieces of each ``deal`` group; ``left`` marks sequences with
     room for the group's smallest piece, to be dealt again."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)
-        sizes = pdf["length"].astype(int).tolist()
-        deal = int(pdf["deal"].iloc[0])
+    names = [c for c in rows.columns if c != "deal"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
+        sizes, deal = table.column("length").to_pylist(), table.column("deal")[0].as_py()
         seq, off = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         left = np.zeros(len(sizes), bool)
         for b, items in enumerate(pack_group(sizes, length)):
@@ -219,11 +219,13 @@ def _pack(rows: DataFrame, length: int, tag: int, keep_all: bool) -> DataFrame:
                 seq[i], off[i] = (deal * 2 + tag) << 24 | b, at
                 at += sizes[i]
             left[items] = not keep_all and at < length
-        return pdf.assign(sequence_id=seq, offset=off, left=left)[[*names, "sequence_id", "offset", "left"]]
+        out = table.select(names)
+        for n, v in (("sequence_id", seq), ("offset", off), ("left", left)):
+            out = out.append_column(n, pa.array(v))
+        return out
 
-    names = [c for c in rows.columns if c != "deal"]
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "deal")
-    return rows.groupBy("deal").applyInPandas(run, types + ", sequence_id long, offset long, left boolean")
+    return rows.groupBy("deal").applyInArrow(run, types + ", sequence_id long, offset long, left boolean")
 
 
 def pack(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:

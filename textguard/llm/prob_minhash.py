@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, one, pack_arrays, shingle_hashes, stored, to_int, unpack_arrays, word_hashes
+from .common import fresh, mix64, one, pack_arrays, shingle_hashes, stored, to_int, unpack_arrays, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -304,10 +304,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     null doc_id stay; of rows with one doc_id and one text the first stays."""
     classes, _ = near_duplicates(docs, key, text, similarity)
     classes = stored(classes, "classes").df
-    gone = stored(classes.where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone.small(), F.col(key).cast("long") == F.col("_gone"), "left_anti")
-    twice = stored(classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    g, w = fresh(docs, "_gone", "_twice")
+    gone = stored(classes.where("class_id < doc_id").select(F.col("doc_id").alias(g)).distinct(), "gone")
+    kept = docs.join(gone.small(), F.col(key).cast("long") == F.col(g), "left_anti")
+    twice = stored(classes.where("doc_id is not null").groupBy(F.col("doc_id").alias(w)).count().where("count > 1").select(w), "twice")
     if twice.df.isEmpty():
         return kept
-    same = F.col(key).cast("long") == F.col("_twice")
+    same = F.col(key).cast("long") == F.col(w)
     return kept.join(twice.small(), same, "left_anti").unionAll(kept.join(twice.small(), same, "left_semi").dropDuplicates([key, text]))

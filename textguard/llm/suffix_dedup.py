@@ -587,7 +587,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                     if length:
                         typ = rows.schema.field(length).type
                         cols[length] = pa.array([x if n == o else len(n) for x, o, n in zip(rows.column(length).to_pylist(), old, new, strict=True)], typ)
-                    rows = pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+                    rows = pa.RecordBatch.from_arrays([cols[n] for n in names], schema=rows.schema)
                 yield rows
 
     return blocks.join(spans, "block", "left").select("rows", "cells").mapInArrow(run, docs.schema)
