@@ -53,12 +53,12 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     def run(batches):
         enc, end = encoder(name), int(end_id).to_bytes(4, "little")
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part, all_ids, off in enc.batches(b, 1):
                 doc, num, start, size, crc, ids = [], [], [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    raw = enc.encode(t or "") + end
-                    for j, (s, n) in enumerate(cut(len(raw) // 4, length)):
+                all_raw = all_ids.tobytes()
+                for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                    raw = all_raw[4 * lo:4 * hi] + end
+                    for j, (s, n) in enumerate(cut(hi - lo + 1, length)):
                         cell = raw[4 * s:4 * (s + n)]
                         doc.append(i)
                         num.append(j)

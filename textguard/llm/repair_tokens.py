@@ -44,19 +44,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import shuffle_cleanup
+from .common import shuffle_cleanup, spread_ranges, stored
 from .tokens import TOKENIZER, encoder
 
 END_ID = 2
 SHARD_IDS = 1 << 20
 ROUNDS, PAIRS, MIN_COUNT = 4, 8192, 16
-_TABLE = 1 << 20
+_BITS = 18
 
 
 # --- the grammar -----------------------------------------------------------------------
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Table slot of each pair of symbols (uint32)."""
+    return (left * np.uint32(0x9E3779B1) + (right ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _BITS)
 
 
 def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS,
@@ -72,12 +73,13 @@ def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int = ROUNDS, p
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         inside = ~last[:-1]
         # exact counts are needed only of pairs in table slots that reach the minimum
-        slot = _slots(key)
-        heavy = np.bincount(slot[inside], minlength=_TABLE) >= min_count
-        some = np.sort(key[inside & heavy[slot]])
+        slot = _slots(seq[:-1], seq[1:])
+        heavy = np.bincount(slot, minlength=1 << _BITS) >= min_count
+        at_ = np.flatnonzero(inside & heavy[slot])
+        key = (seq[at_].astype(np.uint64) << np.uint64(32)) | seq[at_ + 1]
+        some = np.sort(key)
         if not len(some):
             break
         new = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
@@ -90,21 +92,23 @@ def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int = ROUNDS, p
         order = np.lexsort((pair, -count))[:pairs]
         pair = pair[order]
         # one pair a table slot, the most frequent
-        _, first = np.unique(_slots(pair), return_index=True)
-        pair = pair[np.sort(first)]
-        table = np.full(_TABLE, -1, np.int32)
-        table[_slots(pair)] = np.arange(len(pair), dtype=np.int32)
-        rule = table[slot]
-        hit = inside & (rule >= 0)
-        hit[hit] = pair[rule[hit]] == key[hit]
-        pos = np.flatnonzero(hit)
+        place = _slots((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32))
+        _, first = np.unique(place, return_index=True)
+        first.sort()
+        pair, place = pair[first], place[first]
+        table = np.full(1 << _BITS, -1, np.int32)
+        table[place] = np.arange(len(pair), dtype=np.int32)
+        rule = table[slot[at_]]
+        hit = (rule >= 0) & (pair[rule] == key)
+        pos, rule = at_[hit], rule[hit]
         if not len(pos):
             break
         # neighbours overlap: of a run of hits every second one counts
         begins = np.concatenate(([True], np.diff(pos) > 1))
         run_start = np.maximum.accumulate(np.where(begins, pos, 0))
-        pos = pos[(pos - run_start) % 2 == 0]
-        seq[pos] = symbols + rule[pos]
+        every = (pos - run_start) % 2 == 0
+        pos = pos[every]
+        seq[pos] = symbols + rule[every]
         last[pos] = last[pos + 1]
         keep = np.ones(len(seq), bool)
         keep[pos + 1] = False
@@ -145,6 +149,14 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq.astype(np.uint32)
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids of a whole shard: every rule is expanded once, then copied."""
+    flat = np.concatenate((np.arange(base, dtype=np.uint32), expand(np.arange(base, base + len(rules), dtype=np.uint32), rules, base)))
+    n = np.concatenate((np.ones(base, np.int64), lengths.astype(np.int64)))
+    start = np.cumsum(n) - n
+    return flat[spread_ranges(start[seq], n[seq])]
+
+
 def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, lo: int, hi: int) -> np.ndarray:
     """Ids ``lo`` to ``hi`` of a document's symbols: the expansion lengths
     tell which symbols hold them, only those are expanded."""
@@ -185,14 +197,15 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", e
 
         size = 0
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                cell = enc.encode(t.as_py() or "") + end
-                if cells and size + len(cell) // 4 > shard_ids:
-                    yield shard()
-                    seq, size, cells, ids = seq + 1, 0, [], []
-                cells.append(cell)
-                ids.append(i.as_py())
-                size += len(cell) // 4
+            for rows, all_ids, off in enc.batches(b, 1):
+                raw = all_ids.tobytes()
+                for i, lo, hi in zip(rows.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    if cells and size + hi - lo + 1 > shard_ids:
+                        yield shard()
+                        seq, size, cells, ids = seq + 1, 0, [], []
+                    cells.append(raw[4 * lo:4 * hi] + end)
+                    ids.append(i)
+                    size += hi - lo + 1
         if cells:
             yield shard()
 
@@ -209,7 +222,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     order = W.orderBy("part")
     heads = files.select("part", "n_ids").withColumn("shard", (F.row_number().over(order) - 1).cast("long")).withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
-    return files.join(heads.select("part", "shard", "start"), "part")
+    return files.join(stored(heads.select("part", "shard", "start"), "heads").small(), "part")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -221,7 +234,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
             for r in b.to_pylist():
                 n = np.frombuffer(r["doc_ids_n"], "<u4").astype(np.int64)
                 rules = np.frombuffer(r["rules"], "<u4").reshape(-1, 2)
-                ids = expand(np.frombuffer(r["sequence"], "<u4"), rules, r["base"])
+                ids = expand_all(np.frombuffer(r["sequence"], "<u4"), rules, np.frombuffer(r["lengths"], "<u4"), r["base"])
                 doc = np.frombuffer(r["doc_ids"], "<i8")
                 null = np.unpackbits(np.frombuffer(r["doc_nulls"], np.uint8), count=len(doc)).astype(bool)
                 at = np.cumsum(n) - n

@@ -529,8 +529,9 @@ def removal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return blocks, store(spans, "spans").groupBy("block").agg(F.collect_list("cell").alias("cells"))
 
 
-def _cut(rows: pa.RecordBatch, cells: list[bytes] | None, text: str):
-    """Per row: original bytes, kept bytes, number of spans."""
+def _cut(rows: pa.RecordBatch, cells: list[bytes] | None, text: str, whole: bool = False):
+    """Per row: original bytes, kept bytes, spans. ``whole``: code points that
+    a span cuts in two stay."""
     spans: dict[int, list[tuple[int, int]]] = {}
     if cells:
         parts = [unpack_arrays(c) for c in cells]
@@ -540,6 +541,10 @@ def _cut(rows: pa.RecordBatch, cells: list[bytes] | None, text: str):
         v = v or b""
         at, kept = 0, []
         for s, e in spans.get(i, ()):
+            while whole and s < e and v[s] & 0xC0 == 0x80:
+                s += 1
+            while whole and s < e < len(v) and v[e] & 0xC0 == 0x80:
+                e -= 1
             kept.append(v[at:s])
             at = e
         kept.append(v[at:])
@@ -570,7 +575,7 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, length: str | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; all other columns
     as they were, but ``length`` (a column of code-point counts), if named, is
-    set anew. A code point cut in two goes whole. Texts with nothing removed,
+    set anew. A code point of which only a part repeats stays whole. Texts with nothing removed,
     null included, stay as they are."""
     blocks, spans = removal_spans(docs, key, text, min_len)
     names = docs.columns
@@ -581,7 +586,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                 rows = _from_ipc(cell)
                 if cells:
                     old = rows.column(text).to_pylist()
-                    new = [o if not s else k.decode("utf-8", "ignore") for o, (_, k, s) in zip(old, _cut(rows, cells, text), strict=True)]
+                    new = [o if not s else k.decode() for o, (_, k, s) in zip(old, _cut(rows, cells, text, True), strict=True)]
                     cols = {n: rows.column(n) for n in names}
                     cols[text] = pa.array(new, rows.schema.field(text).type)
                     if length:

@@ -13,16 +13,24 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import spread_ranges
 
 #: File of the tokenizer: a name among the public tokenizers, or a path.
 TOKENIZER = "byte_bpe_50k.json"
 # A space is a safe cut only after a character that no tokenizer takes for white space.
 _SPACES = "\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff"
-_UNSAFE_SPACE = re.compile(rf"[{_SPACES}] ")
 _CUT = re.compile(rf"(?<=[^{_SPACES}]) ")
+#: The same for RE2: a space at the start or after a character that is no safe one.
+_UNSAFE_SPACE = "^ |[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in (
+    (0, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))) + "] "
 #: Words of one of the two generations a worker keeps, and the longest word
 #: kept (bounds on memory alone).
-KEPT_WORDS, KEPT_LENGTH = 400_000, 48
+KEPT_WORDS, KEPT_LENGTH = 600_000, 48
+#: Text bytes encoded together.
+AT_ONCE = 4 << 20
 
 
 @cache
@@ -38,7 +46,7 @@ def tokenizer(name: str):
 
 
 class Encoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)``: the ids of all texts and where each text's begin."""
 
     def __init__(self, name: str = TOKENIZER):
         self.tokenizer = tokenizer(name)
@@ -48,48 +56,84 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> list[str]:
-        """Enter new words; returns those too long to be kept."""
+    def _words(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with the space before it."""
         if len(self.words) > KEPT_WORDS:
             self.words, self.older = {}, self.words
-        older, odd, plain = self.older, [], []
-        for w in new:
-            b = older.get(w)
-            if b is not None:
-                self.words[w] = b
-            elif not w or " " in w:
-                odd.append(w)
-            else:
-                plain.append(w)
-        for w in odd:
-            self.words[w] = self._ids(" " + w).tobytes()
-        if plain:
-            ids = self._ids(" " + " ".join(plain))
+        kept, older = self.words, self.older
+        got = list(map(kept.get, distinct))
+        odd, plain = [], []
+        for i, b in enumerate(got):
+            if b is None:
+                w = distinct[i]
+                b = got[i] = older.get(w)
+                if b is not None:
+                    kept[w] = b
+                elif not w or " " in w or len(w) > KEPT_LENGTH:
+                    odd.append(i)
+                else:
+                    plain.append(i)
+        for lo in range(0, len(plain), 500):
+            part = plain[lo:lo + 500]
+            ids = self._ids([" " + " ".join([distinct[i] for i in part])])[0]
             raw, at = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            if len(at) == len(plain):
-                at.append(len(raw))
-                self.words.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:], strict=False))
-            else:  # a space was merged with something else
-                self.words.update((w, self._ids(" " + w).tobytes()) for w in plain)
-        return [w for w in new if len(w) > KEPT_LENGTH]
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _CUT.split(text) if text[0] == " " or _UNSAFE_SPACE.search(text) else text.split(" ")
-        first = self._ids(parts[0]).tobytes()
-        if len(parts) == 1:
-            return first
-        words = parts[1:]
-        new = set(words).difference(self.words)
-        long = self._learn(new | (set(words) if len(self.words) > KEPT_WORDS else set())) if new else ()
-        out = first + b"".join(map(self.words.__getitem__, words))
-        for w in long:
-            self.words.pop(w, None)
-        return out
+            if len(at) != len(part):  # a space was merged with something else
+                odd += part
+                continue
+            at.append(len(raw))
+            for i, a, b in zip(part, at, at[1:], strict=False):
+                got[i] = kept[distinct[i]] = raw[a:b]
+        for i, ids in zip(odd, self._ids([" " + distinct[i] for i in odd]) if odd else (), strict=True):
+            got[i] = ids.tobytes()
+        return got
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``texts``: strings, none null. Returns (ids, offsets): text i has
+        ``ids[offsets[i]:offsets[i + 1]]``."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        texts = texts.cast(pa.large_string())
+        # texts with a space that is no safe cut are cut with care
+        bad = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE_SPACE).to_numpy(zero_copy_only=False))
+        parts = pc.split_pattern(texts, " ")
+        off = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.slice(off[0], off[-1] - off[0])
+        off -= off[0]
+        if len(bad):
+            lists = {i: _CUT.split(texts[i].as_py()) for i in bad.tolist()}
+            pieces, counts, lo = [], np.diff(off), 0
+            for i in bad.tolist():
+                pieces += [words.slice(off[lo], off[i] - off[lo]), pa.array(lists[i], pa.large_string())]
+                counts[i], lo = len(lists[i]), i + 1
+            pieces.append(words.slice(off[lo]))
+            words = pa.concat_arrays(pieces)
+            off = np.concatenate(([0], np.cumsum(counts)))
+        code = words.dictionary_encode()
+        entry = code.indices.to_numpy().astype(np.int64)
+        cells = self._words(code.dictionary.to_pylist())
+        # a text's first word has no space before it
+        heads = words.take(pa.array(off[:-1])).dictionary_encode()
+        entry[off[:-1]] = len(cells) + heads.indices.to_numpy()
+        cells += [i.tobytes() for i in self._ids(heads.dictionary.to_pylist())]
+        size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        start = np.cumsum(size) - size
+        n = size[entry]
+        ids = np.frombuffer(b"".join(cells), "<u4")[spread_ranges(start[entry], n)]
+        return ids, np.concatenate(([0], np.cumsum(n)))[off]
+
+    def batches(self, batch: pa.RecordBatch, text: int):
+        """Parts of a batch of about ``AT_ONCE`` text bytes: (part, ids, offsets)."""
+        texts = pc.fill_null(batch.column(text), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            base = int(size[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, base + AT_ONCE, side="right")))
+            yield batch.slice(lo, hi - lo), *self.encode(texts.slice(lo, hi - lo))
+            lo = hi
 
 
 @cache
