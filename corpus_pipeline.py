@@ -24,32 +24,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textguard.llm import mixing, packing, prob_minhash, suffix_dedup, toxicity
-from textguard.llm.common import shuffle_cleanup
-from textguard.session import ensure_checkpoint_dir, prepare, read_table
+from textguard.llm.common import ready, shuffle_cleanup
+from textguard.session import ensure_checkpoint_dir, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return toxicity.drop_toxic(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return prob_minhash.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return suffix_dedup.remove_repeats(docs, length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return mixing.mixed_rows(docs, length="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    ready(spark)
     return packing.pack_documents(docs)
 
 
@@ -68,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    prepare(spark)
+    ready(spark)
     docs = read_table(spark, sf_dir, "documents")
     folder = os.path.join(ensure_checkpoint_dir(spark), "llm", f"pipeline-{uuid.uuid4().hex}")
     for name, stage in STAGES[:-1]:

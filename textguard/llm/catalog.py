@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare, read_table
+from ..session import read_table
 from . import html_paths, license_scan, mixing, packing, prob_minhash, quality_risk, repair_tokens, rp_forest, suffix_dedup, toxicity
+from .common import ready
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ REGISTRY = {
 def queries() -> dict:
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
+            ready(spark)
             return fn(spark, sf_dir)
         return run
     return {name: wrap(fn) for name, (fn, _sql) in REGISTRY.items()}

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, prepare
 
 #: Words of every contract: runs of anything but space and U+0009-U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,16 @@ def shuffle_cleanup(spark: SparkSession):
         spark.conf.set(CLEANUP, old)
 
 
+#: Bytes of an Arrow batch handed to a Python worker, however long the texts.
+BATCH_BYTES = 8 << 20
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The library's session settings, and batches bounded by bytes."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 #: A stored table is broadcast only if its files, this many times larger in
 #: memory, stay below the bound; beyond that the join shuffles both sides.
 BROADCAST_MAX, EXPANSION = 64 << 20, 6

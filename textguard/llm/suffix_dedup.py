@@ -54,6 +54,8 @@ BLOCK = 1 << 20
 #: suffix-array bucket holds (both set the bucket counts from the input).
 TEXT_PER_BUCKET = 16 << 20
 STRINGS_PER_BUCKET = 6 << 20
+#: Suffixes sorted at a time.
+SLICE = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -396,22 +398,37 @@ def _bucket_groups(cells: list[list[np.ndarray]], min_len: int):
     owner = np.repeat(np.arange(len(first)), n_win)
     pos = spread_ranges(cs + cf, n_win)
     wh = _window_hash(data, min_len)[pos]
-    _, inv, count = np.unique(wh, return_inverse=True, return_counts=True)
-    on = count[inv] > 1
-    owner, pos = owner[on], pos[on]
-    if not len(pos):
-        e = np.empty(0, np.int64)
-        return cls, cmin, (e, e, e, e, e)
-    tail = (cs + cl)[owner] - pos
-    order, lcp = suffix_array(data, pos, tail, int(tail.max()))
-    owner, pos = owner[order], pos[order]
-    body = cs[owner] + cf[owner]
-    code = np.where(pos > body, data[pos - 1].astype(np.int64), 256)
-    lo, hi, depth = interval_tree(lcp, code, min_len)
-    member = spread_ranges(lo, hi - lo + 1)
-    group = np.repeat(np.arange(len(lo)), hi - lo + 1)
-    gmin = np.minimum.reduceat(cmin[owner[member]], np.cumsum(hi - lo + 1) - (hi - lo + 1)) if len(lo) else np.empty(0, np.int64)
-    return cls, cmin, (group, owner[member], (pos - body)[member], depth, gmin)
+    order = np.argsort(wh, kind="stable")
+    wh, owner, pos = wh[order], owner[order], pos[order]
+    new = np.concatenate(([True], wh[1:] != wh[:-1])) if len(wh) else np.empty(0, bool)
+    alone = new & np.concatenate((new[1:], [True])) if len(wh) else new
+    wh, owner, pos = wh[~alone], owner[~alone], pos[~alone]
+    # an interval of LCP >= min_len lies within one window hash: the suffix
+    # array is built in slices of whole hashes, which bounds the memory
+    ends = np.concatenate((np.flatnonzero(wh[1:] != wh[:-1]) + 1, [len(wh)])) if len(wh) else np.empty(0, np.int64)
+    e = np.empty(0, np.int64)
+    group, member_of, offset, depths, gmins = [e], [e], [e], [e], [e]
+    n_groups = at = 0
+    while at < len(wh):
+        stop = int(ends[min(np.searchsorted(ends, at + SLICE), len(ends) - 1)])
+        own, p = owner[at:stop], pos[at:stop]
+        at = stop
+        tail = (cs + cl)[own] - p
+        order, lcp = suffix_array(data, p, tail, int(tail.max()))
+        own, p = own[order], p[order]
+        body = cs[own] + cf[own]
+        lo, hi, depth = interval_tree(lcp, np.where(p > body, data[p - 1].astype(np.int64), 256), min_len)
+        if not len(lo):
+            continue
+        size = hi - lo + 1
+        member = spread_ranges(lo, size)
+        group.append(n_groups + np.repeat(np.arange(len(lo)), size))
+        member_of.append(own[member])
+        offset.append((p - body)[member])
+        depths.append(depth)
+        gmins.append(np.minimum.reduceat(cmin[own[member]], np.cumsum(size) - size))
+        n_groups += len(lo)
+    return cls, cmin, tuple(np.concatenate(x) for x in (group, member_of, offset, depths, gmins))
 
 
 def _bucket_spans(min_len: int):
