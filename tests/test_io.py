@@ -63,6 +63,15 @@ def test_line_cache_positions(spark):
     assert got == [(0, "first"), (1, "second"), (2, ""), (3, "fourth")]
 
 
+def test_line_cache_orders_parts_by_number(spark):
+    d = scratch()
+    for n, line in ((99999, "first"), (100000, "second"), (7, "zeroth")):
+        with open(os.path.join(d, f"part-{n:05d}-x.txt"), "w") as f:
+            f.write(line + "\n")
+    got = [(r["_pos"], r["value"]) for r in IO.read_line_cache(spark, d).orderBy("_pos").collect()]
+    assert got == [(0, "zeroth"), (1, "first"), (2, "second")]
+
+
 def test_keyed_cache_round_trip(spark):
     d = os.path.join(scratch(), "kc")
     df = spark.createDataFrame([("k1", "line\nwith break"), ("k2", "v2")], "key string, value string")
@@ -77,8 +86,10 @@ def test_read_parts_in_order(spark):
     a, b = os.path.join(d, "p1"), os.path.join(d, "p2")
     IO.write_tsv(spark.createDataFrame([("1", "a")], "ID string, t string"), a)
     IO.write_tsv(spark.createDataFrame([("2", "b")], "ID string, t string"), b)
-    out = IO.read_parts(spark, [a, os.path.join(d, "missing"), b])
+    out = IO.read_parts(spark, [a, b])
     assert sorted((r["part"], r["ID"]) for r in out.collect()) == [(0, "1"), (1, "2")]
+    with pytest.raises(FileNotFoundError, match="missing"):
+        IO.read_parts(spark, [a, os.path.join(d, "missing"), b])
 
 
 def test_metrics_json(spark):
@@ -103,6 +114,8 @@ def test_vector_bundle_load_or_build(spark):
     a = IO.load_or_build(spark, p, build, default_layer=21).first()
     b = IO.load_or_build(spark, p, build, default_layer=21).first()
     assert calls == [1]
+    os.remove(os.path.join(p, "_SUCCESS"))  # a write that did not end
+    assert IO.load_or_build(spark, p, build, default_layer=21).count() == 1 and calls == [1, 1]
     assert a["layer"] == 21 and list(a["vector"]) == [0.5, -1.0] and b["layer"] == 21
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import _arr, _c, is_blank, split_ws, strip_ws
+from .text import _arr, _c, _let, is_blank, split_ws, strip_ws
 
 __all__ = ["gate", "is_blank", "fallback", "term_hits", "is_valid_rewrite",
            "word_overlap", "missing_columns", "require_columns"]
@@ -27,48 +26,11 @@ def fallback(new, src) -> Column:
     return F.when(is_blank(new), _c(src)).otherwise(_c(new))
 
 
-# Above this many terms, containment is found with one Aho-Corasick pass
-# per text instead of one substring search per term.
-LARGE_LEXICON = 256
-
-
-def term_hits(c, terms: Sequence[str], large_lexicon: int = LARGE_LEXICON) -> Column:
+def term_hits(c, terms: Sequence[str]) -> Column:
     """Number of list entries contained in the lower-cased text
-    (duplicate entries count twice). Lower-casing stays JVM-side; a lexicon
-    longer than ``large_lexicon`` is matched by an automaton per task."""
-    low = F.lower(_c(c))
-    if len(terms) > large_lexicon:
-        return _term_hits_automaton(list(terms))(low)
-    return F.size(F.filter(_arr(list(terms)), lambda t: F.instr(low, t) > 0))
-
-
-def _term_hits_automaton(terms: list[str]):
-    """Arrow-batched UDF: count list entries occurring in each (already
-    lower-cased) text, using one Aho-Corasick automaton built per task."""
-    mult: dict[str, int] = {}
-    for t in terms:
-        mult[t] = mult.get(t, 0) + 1
-    empty_hits = mult.pop("", 0)  # the empty string is contained in every text
-    state: dict = {}
-
-    @F.pandas_udf("int")
-    def hits(texts: pd.Series) -> pd.Series:
-        auto = state.get("a")
-        if auto is None:
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            for t in mult:
-                auto.add_word(t, t)
-            auto.make_automaton()
-            state["a"] = auto
-
-        def one(x):
-            if x is None:  # as the JVM path: nothing is contained in a null text
-                return 0
-            found = {m for _end, m in auto.iter(x)} if mult else set()
-            return empty_hits + sum(mult[m] for m in found)
-        return texts.map(one).astype("Int32")
-    return hits
+    (duplicate entries count twice). The text is lower-cased once; the same
+    expression serves every lexicon size."""
+    return _let(F.lower(_c(c)), lambda low: F.size(F.filter(_arr(list(terms)), lambda t: F.instr(low, t) > 0)))
 
 
 def is_valid_rewrite(new, src, terms: Sequence[str], min_chars: int = 3,

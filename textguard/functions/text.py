@@ -88,12 +88,6 @@ def literal_pattern(term: str) -> str:
     return IGNORE_CASE + escape_literal(term)
 
 
-def any_literal_pattern(terms: Sequence[str]) -> str:
-    """One alternation matching any term; only safe as a *guard* (does any
-    term occur?), never as the deletion itself (order matters)."""
-    return IGNORE_CASE + "(?:" + "|".join(escape_literal(t) for t in terms) + ")"
-
-
 def remove_literals(c, terms: Sequence[str]) -> Column:
     """Delete every case-insensitive occurrence of each term, in list order."""
     return reduce(lambda acc, t: F.regexp_replace(acc, literal_pattern(t), ""),
@@ -152,10 +146,13 @@ def normalize_punct(c) -> Column:
 
 def rule_clean(c, rules: Sequence[tuple[str, str]], fallback_rules: Sequence[tuple[str, str]]) -> Column:
     """Full rule chain + C7; if fewer than 2 characters remain, redo on
-    the source with only ``fallback_rules`` + C7; if that is blank, the
-    source. Always stripped; null becomes ''."""
+    the source with only ``fallback_rules`` + C7 (kept as it is without such
+    rules); if that is blank, the source. Always stripped; null becomes ''."""
     col = _c(c)
     full = normalize_punct(apply_rules(col, rules))
+    if not fallback_rules:
+        # nothing lighter to redo: the short result, or the source if it is blank
+        return F.coalesce(strip_ws(_let(full, lambda r: F.when(is_blank(r), col).otherwise(r))), F.lit(""))
     light = normalize_punct(apply_rules(col, fallback_rules))
     short = (full == "") | (F.length(strip_ws(full)) < 2)
     out = F.when(short, F.when(is_blank(light), col).otherwise(light)).otherwise(full)

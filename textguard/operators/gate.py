@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicates import fallback
-from ..functions.text import _c, is_blank
-from ..session import ship_package
+from ..functions.text import _c
+from ..session import materialize, ship_package
 
 BatchFn = Callable[[list], list]
 
@@ -155,30 +155,34 @@ def content_key(c) -> Column:
 
 
 def with_cache(df: DataFrame, cache: DataFrame | None, text: str, out_col: str,
-               compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+               compute: Callable[[DataFrame], DataFrame], save_to: str | None = None,
+               stage: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Reuse cached results by content hash, compute only the misses.
 
-    Misses are found on *distinct* keys (an aggregation, so a text copied a
-    million times is one row before any join) and computed once per key.
-    ``cache(key, value)`` may hold duplicates; it is reduced to one value
-    per key. Cached and fresh entries form one lookup table, unique per key,
-    and the input meets it in a single left join (a hot key on the input
-    side is split by AQE's skew handling). ``compute`` maps a frame with
-    ``text`` to one with an added ``value`` column. Returns ``(result,
-    new_cache_entries)`` so the caller can append the entries.
+    The distinct keys of the input meet the cache in one left join, stored as
+    the lookup table (keys and values, no texts). Keys without a value are
+    computed once per distinct text (``compute`` maps a frame with ``text`` to
+    one with an added ``value`` column) and stored too, so a model behind it
+    runs once, however often the results are read. The input then meets the
+    lookup in a single left join (unique on its side; a hot key of the input
+    is split by AQE). ``cache(key, value)`` may hold duplicates; the smallest
+    value counts. With ``save_to`` the new entries are appended there (K4,
+    under ``stage``). Returns ``(result, new_cache_entries)``.
     """
     keyed = df.withColumn("_k", content_key(text))
+    known = keyed.select("_k").distinct()
     if cache is None:
-        spark = df.sparkSession
-        cache = spark.createDataFrame([], "key string, value string")
-    known = cache.groupBy(F.col("key").alias("_k")).agg(F.min("value").alias("_v"))
-    distinct = keyed.groupBy("_k").agg(F.first(text).alias(text))
-    misses = distinct.join(known.select("_k"), "_k", "left_anti")
-    fresh = compute(misses).select(F.col("_k").alias("key"), F.col("value").cast("string"))
-    lookup = known.unionByName(fresh.select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+        known = known.withColumn("_v", F.lit(None).cast("string"))
+    else:
+        one = cache.groupBy(F.col("key").alias("_k")).agg(F.min(F.struct(F.col("value").cast("string").alias("v"))).alias("_s"))
+        known = known.join(one, "_k", "left").select("_k", F.col("_s.v").alias("_v"))
+    known = materialize(known, "cache-known")
+    missing = known.where(F.col("_v").isNull() & F.col("_k").isNotNull()).select("_k")
+    misses = keyed.select("_k", text).join(missing, "_k", "left_semi").dropDuplicates(["_k"])
+    fresh = materialize(compute(misses).select(F.col("_k").alias("key"), F.col("value").cast("string").alias("value")), "cache-fresh")
+    if save_to:
+        from ..sources.io import write_cache
+        write_cache(fresh, save_to, stage=stage)
+    lookup = known.where(F.col("_v").isNotNull()).unionByName(fresh.select(F.col("key").alias("_k"), F.col("value").alias("_v")))
     result = keyed.join(lookup, "_k", "left").withColumnRenamed("_v", out_col).drop("_k")
     return result, fresh
-
-
-def blank_count(df: DataFrame, col: str) -> Column:
-    return F.sum(is_blank(col).cast("long"))

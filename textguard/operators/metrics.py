@@ -44,11 +44,6 @@ def confusion(df: DataFrame, p: str, label: str, threshold: float = DEFAULT_THRE
                   accuracy(p, label, threshold).alias("accuracy"))
 
 
-def combined_score(sta_col, sim_col, sim_weight: float = 0.5) -> Column:
-    """A5: ``sta + sim_weight * sim``."""
-    return _c(sta_col) + F.lit(sim_weight) * _c(sim_col)
-
-
 def evaluate(df: DataFrame, p_after: str | None = "p_after", cos: str | None = "cos",
              fluency: str | None = "fluency", p_before: str | None = None,
              label: str | None = None, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

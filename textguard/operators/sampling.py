@@ -1,16 +1,16 @@
 """Seeded sampling, splits and dense row ids.
 
-Nothing here puts a whole table (or a whole class) into one task: per-class
-samples are top-n by a seeded hash (``TakeOrderedAndProject``: each task keeps
-its n best, one small merge), and dense positions come from a range-sorted,
-checkpointed table plus per-partition offsets (one row per partition).
+Nothing here puts a whole table (or a whole class) into one task, and only
+keys are shuffled: exact sample sizes come from counts per hash prefix and one
+ranked prefix, dense positions from the range-sorted, checkpointed order
+columns plus per-partition offsets (one row per partition).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -26,73 +26,127 @@ def seeded_key(seed: int | str, *cols) -> Column:
     return F.md5(F.concat(*parts))
 
 
-def sample_per_class(df: DataFrame, label: str, sizes: dict, key: str, seed: int = 42) -> DataFrame:
-    """O1: for each class value ``v`` in ``sizes``, the first ``sizes[v]`` rows
-    in seeded-shuffle order (ties broken by ``key``)."""
+def _first(df: DataFrame, group: Column, sizes: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_take``: is the row among the first ``_need`` of its
+    group (``sizes(_g, _need)``) in the order of (seeded key, ``key``)?
+
+    The border of each group is found on the keys alone: counts per hash
+    prefix give the prefix that holds it, and only that prefix (a 65536th of
+    the rows) is ranked. The rows meet one border per group and are compared
+    with it; they are not sorted, ranked or written."""
     h = seeded_key(seed, key)
-    parts = [df.where(F.col(label) == F.lit(v)).withColumn("_h", h)
-             .orderBy("_h", key).limit(int(n)).drop("_h")
-             for v, n in sizes.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sizes = F.broadcast(sizes)  # one row a requested class
+    keys = df.select(group.alias("_g"), h.alias("_h"), F.col(key).alias("_key")).join(sizes, "_g").where("_need > 0")
+    keys = keys.withColumn("_p", F.substring("_h", 1, 4))
+    upto = Window.partitionBy("_g").orderBy("_p")
+    per = keys.groupBy("_g", "_need", "_p").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    border = per.where("_upto >= _need and _upto - _n < _need").select("_g", "_p", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_r"))
+    inside = keys.drop("_need").join(F.broadcast(border), ["_g", "_p"])
+    ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_h", "_key"))).where("_i = _r")
+    last = ranked.select("_g", F.struct(F.col("_h").alias("h"), F.col("_key").alias("k")).alias("_last"))
+    wanted = sizes.join(F.broadcast(last), "_g", "left")
+    mine = F.struct(F.col("_h0").alias("h"), F.col(key).alias("k"))
+    out = df.withColumn("_g", group).withColumn("_h0", h).join(F.broadcast(wanted), "_g", "left")
+    take = (F.col("_need") > 0) & (F.col("_last").isNull() | (mine <= F.col("_last")))
+    return out.withColumn("_take", F.coalesce(take, F.lit(False))).drop("_g", "_h0", "_need", "_last")
+
+
+def _among_first(df: DataFrame, need: Column, key: str, seed: int) -> Column:
+    """Is a row of ``df`` among the first ``need`` of all? The same border, as
+    scalar subqueries over the keys."""
+    h = seeded_key(seed, key)
+    keys = df.select(h.alias("_h"), F.col(key).alias("_key")).withColumn("_p", F.substring("_h", 1, 4))
+    per = keys.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy("_p")))  # 65536 rows
+    border = per.where((F.col("_upto") >= need) & (F.col("_upto") - F.col("_n") < need))
+    prefix, rank = border.select("_p").scalar(), border.select(need - F.col("_upto") + F.col("_n")).scalar()
+    ranked = keys.where(F.col("_p") == prefix).withColumn("_i", F.row_number().over(Window.orderBy("_h", "_key"))).where(F.col("_i") == rank)
+    last = ranked.select(F.struct(F.col("_h").alias("h"), F.col("_key").alias("k"))).scalar()
+    mine = F.struct(h.alias("h"), F.col(key).alias("k"))
+    return F.coalesce((need > 0) & (last.isNull() | (mine <= last)), F.lit(False))
+
+
+def _wanted(df: DataFrame, kind: str, sizes: dict) -> DataFrame:
+    return df.sparkSession.createDataFrame([(v, int(n)) for v, n in sizes.items()], f"_g {kind}, _need long")
+
+
+def sample_per_class(df: DataFrame, label: str | Sequence[str], sizes: dict, key: str, seed: int = 42) -> DataFrame:
+    """O1: for each class value ``v`` in ``sizes``, the first ``sizes[v]`` rows
+    in seeded-shuffle order (ties broken by ``key``), all classes in one scan.
+    ``label`` may name several columns; the classes are then tuples."""
+    if isinstance(label, str):
+        group, wanted = F.col(label), _wanted(df, df.schema[label].dataType.simpleString(), sizes)
+    else:
+        group = F.concat_ws("/", *[F.col(c).cast("string") for c in label])
+        wanted = _wanted(df, "string", {"/".join(map(str, v)): n for v, n in sizes.items()})
+    return _first(df, group, wanted, key, seed).where("_take").drop("_take")
 
 
 def class_filter(df: DataFrame, label: str, value: int = 1) -> DataFrame:
-    """Rows of one class; all rows when the class has no member."""
-    sel = df.where(F.col(label) == value)
-    return sel if sel.limit(1).count() > 0 else df
+    """Rows of one class; all rows when the class has no member (a scalar
+    subquery over the label column, planned with the query)."""
+    known = df.select(F.coalesce(F.max((F.col(label) == value).cast("int")), F.lit(0)).alias("n")).scalar()
+    return df.where((F.col(label) == value) | (known == 0))
 
 
 def dense_id(df: DataFrame, order_by: Sequence[str], out_col: str = "_idx") -> DataFrame:
     """U4: 0-based dense position in ``order_by`` order (must be a total order).
 
-    Range-sort (distributed), checkpoint so partitions are fixed, then
-    position = offset of the partition + position inside the partition.
+    The order columns alone are range-sorted (distributed) and checkpointed,
+    so partitions are fixed; position = offset of the partition + position
+    inside the partition. Other columns join back on the order columns.
     """
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    rest = [c for c in df.columns if c not in order_by]
+    ordered = df.select(*order_by).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     ordered = cut_lineage(ordered.withColumn("_pid", F.spark_partition_id())
                           .withColumn("_mid", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("_pid").agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, safe to broadcast
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (ordered.join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, (F.col("_off") + local).cast("long"))
-            .drop("_pid", "_mid", "_off"))
+    ids = (ordered.join(F.broadcast(offsets), "_pid")
+           .withColumn(out_col, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off"))
+    if not rest:
+        return ids
+    on = None
+    for i, c in enumerate(order_by):
+        ids = ids.withColumnRenamed(c, f"_o{i}")
+        same = F.col(c).eqNullSafe(F.col(f"_o{i}"))
+        on = same if on is None else on & same
+    return df.join(ids, on).drop(*[f"_o{i}" for i in range(len(order_by))])
 
 
 def train_val_split(df: DataFrame, frac: float, key: str, seed: int = 42,
                     out_col: str = "split") -> DataFrame:
     """O2: exactly ``ceil(n * frac)`` rows marked 'val' (smallest seeded
-    keys), the rest 'train'."""
-    import math
-    n = df.count()
-    k = int(math.ceil(n * frac))
-    ranked = dense_id(df.withColumn("_h", seeded_key(seed, key)), ["_h", key], "_r")
-    return ranked.withColumn(out_col, F.when(F.col("_r") < k, "val").otherwise("train")).drop("_h", "_r")
+    keys), the rest 'train'. ``key`` is unique."""
+    need = df.agg(F.ceil(F.count("*") * F.lit(frac)).cast("long")).scalar()
+    return df.withColumn(out_col, F.when(_among_first(df, need, key, seed), "val").otherwise("train"))
 
 
 def validation_slice(df: DataFrame, train: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """O3: ``n`` rows not used for training (anti join on ``key``), in
-    seeded order."""
+    """O3: ``n`` rows not used for training (anti join on ``key``), the first
+    in seeded order."""
     rest = df.join(train.select(key).distinct(), key, "left_anti")
-    return rest.withColumn("_h", seeded_key(seed, key)).orderBy("_h", key).limit(n).drop("_h")
+    return rest.where(_among_first(rest, F.lit(int(n)).cast("long"), key, seed))
 
 
 def contiguous_split(df: DataFrame, k: int, order_by: Sequence[str], out_col: str = "part") -> DataFrame:
     """K contiguous parts in ``order_by`` order; each part has n // k rows
     and the remainder goes to the last part (all rows to the last part when
-    n < k)."""
-    n = df.count()
-    chunk = n // k
-    idx = dense_id(df, order_by, "_i")
-    part = (F.lit(k - 1) if chunk == 0
-            else F.least(F.floor(F.col("_i") / F.lit(chunk)), F.lit(k - 1)))
-    return idx.withColumn(out_col, part.cast("int")).drop("_i")
+    n < k). Positions are found on the order columns; the rows are compared
+    with the k - 1 rows that begin a part (``order_by`` is a total order)."""
+    ids = dense_id(df.select(*order_by), order_by, "_i")
+    n = df.select(F.count("*").alias("n")).scalar()
+    chunk = F.floor(n / k)
+    begins = ids.where((chunk > 0) & (F.col("_i") > 0) & (F.col("_i") < chunk * k) & (F.col("_i") % chunk == 0))
+    at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order_by)])
+    begins = begins.agg(F.collect_list(at).alias("_b")).scalar()  # k - 1 rows
+    df = df.withColumn("_b", begins)
+    part = F.lit(0)
+    for j in range(k - 1):
+        part = part + F.coalesce((F.get("_b", F.lit(j)) <= at).cast("int"), F.lit(0))
+    return df.withColumn(out_col, F.when(chunk > 0, part).otherwise(F.lit(k - 1)).cast("int")).drop("_b")
 
 
 def align_positional(left: DataFrame, right: DataFrame, left_order: Sequence[str],

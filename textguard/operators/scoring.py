@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _at, _c, _let
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, stored_bytes, with_size
 
 # Fixed value: token class used on the driver's tables (lower-cased ASCII words).
 DEFAULT_TOKEN_PATTERN = "[a-z]+"
@@ -43,6 +43,11 @@ def tokens(c, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
 def token_counts(c, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
     """Per-row bag of words as ``array<struct<w string, n long>>`` sorted by
     word; computed inside the row (sort + run lengths), no shuffle."""
+    return _run_lengths(tokens(c, pattern))
+
+
+def _run_lengths(values: Column) -> Column:
+    """Distinct values of an array with their counts, sorted."""
     def rle(s):
         n = F.size(s)
         starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -50,7 +55,7 @@ def token_counts(c, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
         return _let(starts, lambda st_arr: F.transform(st_arr, lambda st, j: F.struct(
             _at(s, st).alias("w"),
             (F.coalesce(_at(st_arr, j + 2), n + 1) - st).cast("long").alias("n"))))
-    return _let(F.array_sort(tokens(c, pattern)), rle)
+    return _let(F.array_sort(values), rle)
 
 
 def cosine_counts(a: Column, b: Column) -> Column:
@@ -104,6 +109,7 @@ def train_naive_bayes(labelled: DataFrame, text_col: str = "text", label_col: st
         "word",
         (F.log((F.col("c1") + 1) / F.lit(float(n1 + v))) - F.log((F.col("c0") + 1) / F.lit(float(n0 + v))))
         .alias("weight"))
+    weights = with_size(weights, stored_bytes(counts))
     cls = lab.agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p"),
                   F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("q")).first()
     prior = math.log(cls["p"] / cls["q"]) if cls["p"] and cls["q"] else (math.inf if cls["p"] else -math.inf)
@@ -149,9 +155,9 @@ def score_naive_bayes_many(df: DataFrame, weights: DataFrame, prior: float, key:
 
 def train_bigrams(reference: DataFrame, text_col: str = "text",
                   pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame, int]:
-    """Return ``(pairs(a, b, cab), starts(a, ca), v)`` from the reference
-    texts: bigram counts, counts of bigrams starting with a word, and the
-    number of distinct words.
+    """Return ``(pairs(a, b, cab, ca), starts(a, ca), v)`` from the reference
+    texts: bigram counts, each with the count of bigrams that start with its
+    first word, those counts alone, and the number of distinct words.
 
     One tokenisation pass: every token is emitted with its successor (null
     for the last token of a text), so ``groupBy(a, b)`` yields the bigram
@@ -170,6 +176,9 @@ def train_bigrams(reference: DataFrame, text_col: str = "text",
     starts = pairs.groupBy("a").agg(F.sum("cab").alias("ca"))
     if store:
         starts = materialize(starts, "bigram-starts")
+    pairs = pairs.join(broadcast_if_small(starts), "a").select("a", "b", "cab", "ca")
+    if store:
+        pairs = materialize(pairs, "bigram-pairs")
     v = grams.select("a").distinct().count()
     return pairs, starts, int(v)
 
@@ -180,24 +189,28 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,
     likelihood of tokens 2..n under the add-one model
     ``P(b|a) = (c(a,b)+1)/(c(a)+v)``.
 
-    ``explode_outer`` gives texts without a bigram one null row, so every
-    input row reaches the final aggregation without a join back to the input
-    (which would recompute it); the model joins are left joins on keys that
-    are unique on the model side."""
+    Bigrams are counted inside the row first, so a text sends one row per
+    distinct bigram; ``ca`` comes with a known pair and is looked up for
+    unseen pairs alone. ``explode_outer`` gives texts without a bigram one
+    null row, so every input row reaches the final aggregation without a join
+    back to the input (which would recompute it); the model joins are left
+    joins on keys that are unique on the model side."""
     pairs, starts, vocab = model
     t = df.select(F.col(key).alias("_bg_key"), tokens(text_col, pattern).alias("_bg_t"))
     lo = F.slice("_bg_t", 1, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
     hi = F.slice("_bg_t", 2, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
-    bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"),
-                   F.explode_outer(F.arrays_zip(lo, hi)).alias("_bg_p"))
-          .select("_bg_key", "_bg_len", F.col("_bg_p")["0"].alias("a"), F.col("_bg_p")["1"].alias("b")))
-    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / (F.coalesce("ca", F.lit(0)) + F.lit(float(vocab))))
-    scored = (bg.join(broadcast_if_small(pairs), ["a", "b"], "left")
-              .join(broadcast_if_small(starts), "a", "left")
-              .select("_bg_key", "_bg_len", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
+    joined = F.zip_with(lo, hi, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"), F.explode_outer(_run_lengths(joined)).alias("_bg_p"))
+          .select("_bg_key", "_bg_len", F.col("_bg_p.w.a").alias("a"), F.col("_bg_p.w.b").alias("b"), F.col("_bg_p.n").alias("_bg_n")))
+    seen = bg.join(broadcast_if_small(pairs).withColumnRenamed("ca", "_ca"), ["a", "b"], "left")
+    unseen = broadcast_if_small(starts).withColumnRenamed("a", "_a")
+    ca = F.coalesce("_ca", "ca", F.lit(0)) + F.lit(float(vocab))
+    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / ca) * F.col("_bg_n")
+    scored = (seen.join(unseen, F.when(F.col("cab").isNull(), F.col("a")) == F.col("_a"), "left")
+              .select("_bg_key", "_bg_len", "_bg_n", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
     return scored.groupBy("_bg_key").agg(
         F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),
-        F.count("_bg_nll").alias("n_pred"),
+        F.coalesce(F.sum(F.when(F.col("_bg_nll").isNotNull(), F.col("_bg_n"))), F.lit(0)).cast("long").alias("n_pred"),
         F.max("_bg_len").alias("n_tokens")).withColumnRenamed("_bg_key", key)
 
 

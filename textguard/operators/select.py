@@ -11,6 +11,7 @@ from ..functions.predicates import is_valid_rewrite, term_hits
 from ..functions.text import (
     _c, _let, clean_generated, collapse_ws, drop_toxic_tokens, filter_tokens, split_ws, strip_ws,
 )
+from ..session import materialize
 
 
 def top_k(df: DataFrame, score: str, k: int, tie_break: Sequence[str] = ()) -> DataFrame:
@@ -106,8 +107,8 @@ def finish_best(winner, src, terms, replacements) -> Column:
 def best_of_n_grouped(cands: DataFrame, key: str, attempt: str, gen: str, source: str,
                       terms: Sequence[str], replacements: Sequence[tuple[str, str]] = (),
                       prompt: str | None = None) -> DataFrame:
-    """O6 on a long table ``(key, attempt, gen, source)`` in ONE aggregation,
-    without collecting a key's attempts.
+    """O6 on a long table ``(key, attempt, gen, source)`` without collecting a
+    key's attempts; ``(key, attempt)`` is unique.
 
     The sequential fold has a closed form. Let F be the first attempt with
     >= 3 chars (score s_F), V the first valid attempt, N the first valid
@@ -119,27 +120,31 @@ def best_of_n_grouped(cands: DataFrame, key: str, attempt: str, gen: str, source
     * s_F > 0: N if it exists (the fold stops there and nothing before it
       scores <= 0); else the lower of (s_F, F) and M.
 
-    Every term is a ``min`` over structs, so partial aggregation keeps a hot
-    key cheap and no join or second pass over the candidates is needed.
+    The prepared attempts are stored once. The aggregation sees attempt
+    numbers and scores alone (``min`` over structs of numbers, so partial
+    aggregation keeps a hot key cheap); the winner's text is fetched by key.
+    Where the attempts of a key are one array, :func:`best_of_n` needs no
+    shuffle at all.
     """
     p = cands.select(key, attempt, source,
                      prepare_attempt(F.col(gen), F.col(source), terms, replacements, prompt).alias("a"))
-    p = p.select(key, attempt, source, "a.*")
-    by_attempt = F.struct(F.col(attempt).alias("t"), F.col("score").alias("s"), F.col("gen").alias("g"))
-    by_score = F.struct(F.col("score").alias("s"), F.col(attempt).alias("t"), F.col("gen").alias("g"))
+    p = materialize(p.select(key, attempt, source, "a.*"), "attempts")
+    by_attempt = F.struct(F.col(attempt).alias("t"), F.col("score").alias("s"))
+    by_score = F.struct(F.col("score").alias("s"), F.col(attempt).alias("t"))
     agg = p.groupBy(key).agg(
+        F.min(attempt).alias("_any"),
         F.min(F.when(F.col("ok"), by_attempt)).alias("f"),
         F.min(F.when(F.col("valid"), by_attempt)).alias("v"),
         F.min(F.when(F.col("valid") & (F.col("score") <= 0), by_attempt)).alias("n"),
-        F.min(F.when(F.col("valid"), by_score)).alias("m"),
-        F.min(source).alias("_src"))
+        F.min(F.when(F.col("valid"), by_score)).alias("m"))
     f, v, n, m = F.col("f"), F.col("v"), F.col("n"), F.col("m")
-    f_by_score = F.struct(f["s"].alias("s"), f["t"].alias("t"), f["g"].alias("g"))
-    win = (F.when(f.isNull(), F.lit(None).cast("string"))
-           .when(f["s"] <= 0,
-                 F.when(v.isNull() | (v["t"] == f["t"]), f["g"])
-                 .when(v["s"] < f["s"], v["g"]).otherwise(f["g"]))
-           .when(n.isNotNull(), n["g"])
-           .otherwise(F.least(f_by_score, F.coalesce(m, f_by_score))["g"]))
-    return agg.select(key, F.col("_src").alias(source),
-                      finish_best(win, F.col("_src"), terms, replacements).alias("best"))
+    f_by_score = F.struct(f["s"].alias("s"), f["t"].alias("t"))
+    win = (F.when(f["s"] <= 0,
+                  F.when(v.isNull() | (v["t"] == f["t"]), f["t"])
+                  .when(v["s"] < f["s"], v["t"]).otherwise(f["t"]))
+           .when(n.isNotNull(), n["t"])
+           .otherwise(F.least(f_by_score, F.coalesce(m, f_by_score))["t"]))
+    # the row that carries the source, and the winner's text if there is a winner
+    best = agg.select(F.col(key).alias("_k"), F.coalesce(win, "_any").alias("_t"), f.isNotNull().alias("_won"))
+    row = p.join(best, F.col(key).eqNullSafe(F.col("_k")) & (F.col(attempt) == F.col("_t")))
+    return row.select(key, source, finish_best(F.when(F.col("_won"), F.col("gen")), F.col(source), terms, replacements).alias("best"))

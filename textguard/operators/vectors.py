@@ -84,17 +84,18 @@ def class_means(df: DataFrame, vec: str, by: Sequence[str]) -> DataFrame:
             .select(*by, vector_to_array("_m").alias("mean"), "n"))
 
 
+def _both(means: DataFrame, cls: str, by: Sequence[str], positive, negative) -> DataFrame:
+    """One row per group: means and sizes of both classes as columns (one
+    aggregation; groups that lack a class are left out)."""
+    pick = lambda value, c: F.max(F.when(F.col(cls) == value, F.struct(F.col(c).alias("x"))))["x"]
+    return means.groupBy(*by).agg(pick(positive, "mean").alias("mp"), pick(negative, "mean").alias("mn"),
+                                  pick(positive, "n").alias("n_pos"), pick(negative, "n").alias("n_neg")).where("mp is not null and mn is not null")
+
+
 def diff_in_means(means: DataFrame, cls: str, by: Sequence[str] = (), positive=1, negative=0) -> DataFrame:
     """V3: ``mean(negative class) - mean(positive class)`` per group (the
     direction from the toxic mean to the non-toxic one), with class sizes."""
-    pos = means.where(F.col(cls) == positive).select(*by, F.col("mean").alias("mp"), F.col("n").alias("n_pos"))
-    neg = means.where(F.col(cls) == negative).select(*by, F.col("mean").alias("mn"), F.col("n").alias("n_neg"))
-    if not by:  # one row per class: join on a constant group key
-        pos, neg, by = pos.withColumn("_g", F.lit(0)), neg.withColumn("_g", F.lit(0)), ["_g"]
-        return pos.join(neg, by).select(F.zip_with("mn", "mp", lambda a, b: a - b).alias("delta"),
-                                        "n_pos", "n_neg")
-    j = pos.join(neg, list(by), "inner")
-    return j.select(*by, F.zip_with("mn", "mp", lambda a, b: a - b).alias("delta"), "n_pos", "n_neg")
+    return _both(means, cls, by, positive, negative).select(*by, F.zip_with("mn", "mp", lambda a, b: a - b).alias("delta"), "n_pos", "n_neg")
 
 
 def param_grid(spark, layers: Sequence[int], alphas: Sequence[float]) -> DataFrame:
@@ -112,21 +113,30 @@ def grid_search(vectors: DataFrame, means: DataFrame, grid: DataFrame, layer: st
     detoxified, sim = mean cosine(original, shifted), score = sta +
     sim_weight * sim. Returns ``(all candidates, top k)``.
 
-    The grid and the per-layer means are tiny and broadcast; the vector
-    table is scanned once per grid point inside one job (no shuffle of
-    vectors: the only shuffle carries partial aggregates).
+    No vector is shifted: with s = h - alpha d every cosine follows from the
+    dot products h.h, h.d, h.mu+, h.mu- of a vector and d.d, d.mu+, d.mu-,
+    |mu+|, |mu-| of its layer. A vector meets its layer once, its five numbers
+    then meet the alphas of the layer (the grid), and the only shuffle carries
+    partial aggregates. Means of layers outside the grid are dropped first, so
+    what is broadcast is bounded by the grid.
     """
     from .select import top_k
-    d = diff_in_means(means, cls, [layer], positive, negative).select(layer, "delta")
-    mp = means.where(F.col(cls) == positive).select(layer, F.col("mean").alias("mu_pos"))
-    mn = means.where(F.col(cls) == negative).select(layer, F.col("mean").alias("mu_neg"))
-    # one row per layer (and class) of the grid: bounded by the grid itself
-    params = (grid.join(F.broadcast(d), layer).join(F.broadcast(mp), layer).join(F.broadcast(mn), layer))
-    j = vectors.select(layer, vec).join(F.broadcast(params), layer)
-    shifted = shift(F.col(vec), F.col("delta"), F.col("alpha"))
-    j = j.select("grid_order", layer, "alpha", vec, shifted.alias("_s"), "mu_pos", "mu_neg")
-    detox = (cosine("_s", "mu_neg") > cosine("_s", "mu_pos")).cast("double")
+    layers = F.broadcast(grid.select(layer).distinct())
+    both = _both(means.join(layers, layer, "left_semi"), cls, [layer], positive, negative)
+    d = both.withColumn("d", F.zip_with("mn", "mp", lambda a, b: a - b))
+    d = d.select(layer, "d", "mp", "mn", dot("d", "d").alias("dd"), dot("d", "mp").alias("dp"), dot("d", "mn").alias("dn"),
+                 norm("mp").alias("np"), norm("mn").alias("nn"))
+    h = vectors.select(layer, F.col(vec).alias("_h")).join(F.broadcast(d), layer)
+    h = h.select(layer, dot("_h", "_h").alias("hh"), dot("_h", "d").alias("hd"), dot("_h", "mp").alias("hp"), dot("_h", "mn").alias("hn"),
+                 "dd", "dp", "dn", "np", "nn")
+    j = h.join(F.broadcast(grid), layer)
+    a = F.col("alpha")
+    size = F.sqrt(F.greatest(F.col("hh") - 2 * a * F.col("hd") + a * a * F.col("dd"), F.lit(0.0)))
+    cos = lambda x, den: F.when(den > 0, x / den).otherwise(0.0)
+    j = j.withColumn("_size", size)
+    detox = cos(F.col("hn") - a * F.col("dn"), F.col("_size") * F.col("nn")) > cos(F.col("hp") - a * F.col("dp"), F.col("_size") * F.col("np"))
+    same = cos(F.col("hh") - a * F.col("hd"), F.sqrt("hh") * F.col("_size"))
     cands = (j.groupBy("grid_order", layer, "alpha")
-             .agg(F.avg(detox).alias("sta"), F.avg(cosine(vec, "_s")).alias("sim"), F.count("*").alias("n"))
+             .agg(F.avg(detox.cast("double")).alias("sta"), F.avg(same).alias("sim"), F.count("*").alias("n"))
              .withColumn("score", F.col("sta") + sim_weight * F.col("sim")))
     return cands, top_k(cands, "score", k, ["grid_order"])

@@ -50,40 +50,25 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks: when the scan yields fewer
-    partitions than the cluster has cores (a small file is one task),
-    redistribute round-robin (balanced even when one key holds a third of
-    the rows; deterministic on retry). At scale the scan already has
-    thousands of splits and this is a no-op, so no shuffle is added there."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. no RDD access: leave the plan as is
-        return df
-    if n < target:
-        return df.repartition(target)
-    return df
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _input(read_table(spark, sf, "documents"))
 
 
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents"), "doc_id")
+def _input(df: DataFrame) -> DataFrame:
+    """The table as it is scanned; only a caller that knows its input has too
+    few splits for its cores sets ``spark.textguard.inputPartitions``."""
+    n = df.sparkSession.conf.get("spark.textguard.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def r6(c):
     return F.round(c, 6)
 
 
-_MODELS: dict = {}
-
-
 def _model(kind: str, spark, sf, build):
-    """Train once per session and table set; the model tables are written
-    to the checkpoint folder, so reuse only reads them."""
-    k = (kind, id(spark), sf)
-    if k not in _MODELS:
-        _MODELS[k] = build()
-    return _MODELS[k]
+    """Train or store for this query; the tables are written to the
+    checkpoint folder, so the query's branches only read them."""
+    return build()
 
 
 # ==========================================================================
@@ -242,29 +227,43 @@ def a11_table_report(spark, sf):
 
 
 # ==========================================================================
-# 3. rule groups, replacements, ladder, token filters (lang = 'en')
+# 3. rule groups, replacements, ladder, token filters
 # ==========================================================================
 
-def en_docs(spark, sf):
-    return docs(spark, sf).where(F.col("lang") == "en")
+#: The rules in RE2, whose \\b and \\w know ASCII alone: word edges are captured
+#: and put back, in a second pass where matches share an edge.
+_W, _N = r"[\pL\pN_]", r"[^\pL\pN_]"
+_RULES_SQL = dict(zip([p for p, _ in RULES], [
+    (rf"(^|{_N})ononst(?:[^\pL\pN_.][^.]*)?\.", r"\1", 2),
+    (rf"(^|{_N})hehely{_W}*", r"\1", 1),
+    (rf"(^|{_N})inoran($|{_N})", r"\1\2", 2),
+    (rf"(^|{_N})orantion{_W}*", r"\1", 1),
+    (rf"(^|{_N})thatin($|{_N})", r"\1\2", 2),
+    (rf"{_W}*oran{_W}*", "", 1),
+    (rf"(^|{_N})the($|{_N})", r"\1a\2", 2),
+    (rf"({_W}+)tion($|{_N})", r"\1ce\2", 2)], strict=True))
+
 
+def _rules_sql(expr: str, rules) -> str:
+    return S.rules(expr, [x for p, _ in rules for x in [_RULES_SQL[p][:2]] * _RULES_SQL[p][2]])
 
-_EN = "FROM documents WHERE lang = 'en'"
 
+_EN = "FROM documents"
 
-@register("c5_rule_groups", f"SELECT doc_id, {S.rules('text', RULES[:6])} AS out {_EN}")
+
+@register("c5_rule_groups", f"SELECT doc_id, {_rules_sql('text', RULES[:6])} AS out {_EN}")
 def c5_rule_groups(spark, sf):
-    return en_docs(spark, sf).select("doc_id", T.apply_rules("text", RULES[:6]).alias("out"))
+    return docs(spark, sf).select("doc_id", T.apply_rules("text", RULES[:6]).alias("out"))
 
 
-@register("c6_replace_rules", f"SELECT doc_id, {S.rules('text', RULES[6:])} AS out {_EN}")
+@register("c6_replace_rules", f"SELECT doc_id, {_rules_sql('text', RULES[6:])} AS out {_EN}")
 def c6_replace_rules(spark, sf):
-    return en_docs(spark, sf).select("doc_id", T.apply_rules("text", RULES[6:]).alias("out"))
+    return docs(spark, sf).select("doc_id", T.apply_rules("text", RULES[6:]).alias("out"))
 
 
 def _c8_sql() -> str:
-    r_full = S.normalize_punct(S.rules("text", RULES))
-    r_light = S.normalize_punct(S.rules("text", FALLBACK_RULES))
+    r_full = S.normalize_punct(_rules_sql("text", RULES))
+    r_light = S.normalize_punct(_rules_sql("text", FALLBACK_RULES))
     return (rf"""trim(CASE WHEN r_full = '' OR length(trim(r_full)) < 2 THEN
    (CASE WHEN r_light IS NULL OR regexp_matches(r_light, '^\s*$') THEN text ELSE r_light END)
    ELSE r_full END) AS out FROM (SELECT doc_id, text, {r_full} AS r_full, {r_light} AS r_light {_EN})""")
@@ -272,17 +271,17 @@ def _c8_sql() -> str:
 
 @register("c8_rule_clean", f"SELECT doc_id, {_c8_sql()}")
 def c8_rule_clean(spark, sf):
-    return en_docs(spark, sf).select("doc_id", T.rule_clean("text", RULES, FALLBACK_RULES).alias("out"))
+    return docs(spark, sf).select("doc_id", T.rule_clean("text", RULES, FALLBACK_RULES).alias("out"))
 
 
 @register("c9_filter_tokens", f"SELECT doc_id, {S.filter_tokens('text', TERMS, REPLACEMENTS)} AS out {_EN}")
 def c9_filter_tokens(spark, sf):
-    return en_docs(spark, sf).select("doc_id", T.filter_tokens("text", TERMS, REPLACEMENTS).alias("out"))
+    return docs(spark, sf).select("doc_id", T.filter_tokens("text", TERMS, REPLACEMENTS).alias("out"))
 
 
 @register("c9b_drop_toxic_tokens", f"SELECT doc_id, {S.drop_toxic('text', TERMS)} AS out {_EN}")
 def c9b_drop_toxic_tokens(spark, sf):
-    return en_docs(spark, sf).select("doc_id", T.drop_toxic_tokens("text", TERMS).alias("out"))
+    return docs(spark, sf).select("doc_id", T.drop_toxic_tokens("text", TERMS).alias("out"))
 
 
 # ==========================================================================
@@ -290,7 +289,7 @@ def c9b_drop_toxic_tokens(spark, sf):
 # ==========================================================================
 
 def convs(spark, sf):
-    return spread(read_table(spark, sf, "conversations"), "conv_id")
+    return _input(read_table(spark, sf, "conversations"))
 
 
 _C11_IN_SQL = ("CASE role WHEN 'user' THEN concat('user: ', text) "
@@ -423,6 +422,42 @@ def c16_build_prompt(spark, sf):
                                    T.build_prompt("text", PROMPT + "{text}\nAnswer:").alias("prompt"))
 
 
+@register("c16_chat_messages",
+          f"""SELECT conv_id, turn, 0 AS pos, 'system' AS role, {S.q(PROMPT)} AS content FROM conversations
+ UNION ALL SELECT conv_id, turn, 1, 'user', concat('Text: ', text) FROM conversations""")
+def c16_chat_messages(spark, sf):
+    """The chat messages of every turn, one row per message."""
+    m = T.build_messages("text", PROMPT, "Text: {text}")
+    return convs(spark, sf).select("conv_id", "turn", F.posexplode(m).alias("pos", "m")).select(
+        "conv_id", "turn", "pos", "m.role", "m.content")
+
+
+@register("p8_malformed_rows",
+          """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END AS lang,
+ doc_id % 11 = 0 OR doc_id % 7 = 0 AS malformed FROM documents""")
+def p8_malformed_rows(spark, sf):
+    """Raw TSV lines, some a field short, some a field long, read back
+    whole, each malformed line marked."""
+    from ..sources import io as IO
+    path = _scratch(spark, "malformed")
+    line = F.when(F.col("doc_id") % 11 == 0, F.col("doc_id").cast("string")) \
+        .when(F.col("doc_id") % 7 == 0, F.concat_ws("\t", "doc_id", "lang", F.lit("extra"))).otherwise(F.concat_ws("\t", "doc_id", "lang"))
+    docs(spark, sf).select(line.alias("value")).write.text(path)
+    back = IO.read_tsv(spark, path, schema="doc_id long, lang string, bad string", malformed_col="bad", header=False)
+    return back.select("doc_id", "lang", F.col("bad").isNotNull().alias("malformed"))
+
+
+@register("a10_mean_quality",
+          """SELECT lang, round(avg(CASE WHEN quality = 1 THEN n_chars / 1000.0 END), 6) AS mean_quality, count(*) AS n_rows
+ FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def a10_mean_quality(spark, sf):
+    """A10: mean of a supplied score whose missing values are NaN."""
+    from ..operators.metrics import nanmean
+    score = F.when(F.col("quality") == 1, F.col("n_chars") / 1000.0).otherwise(F.lit(float("nan")))
+    rows = read_table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(read_table(spark, sf, "labels"), "doc_id")
+    return rows.withColumn("score", score).groupBy("lang").agg(r6(nanmean("score")).alias("mean_quality"), F.count("*").alias("n_rows"))
+
+
 # ==========================================================================
 # 5./6. trained scorers and metrics (documents + labels)
 # ==========================================================================
@@ -686,16 +721,19 @@ def o5_limit_head(spark, sf):
     return limit_head(read_table(spark, sf, "documents").select("doc_id", "lang"), 15, ["doc_id"])
 
 
-LANGS = ["en", "fr", "de", "es"]
+def langs(spark, sf) -> list:
+    """The languages of the documents in order (one short value each)."""
+    return [r.lang for r in read_table(spark, sf, "documents").select("lang").distinct().orderBy("lang").collect()]
 
 
-@register("u1_union_parts",
-          "SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END "
-          "AS part FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
+_PART = "CAST(dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS INTEGER)"
+
+
+@register("u1_union_parts", f"SELECT doc_id, {_PART} AS part FROM documents")
 def u1_union_parts(spark, sf):
     from ..operators.sampling import union_parts
     d = read_table(spark, sf, "documents").select("doc_id", "lang")
-    return union_parts([d.where(F.col("lang") == l) for l in LANGS], "part").select("doc_id", "part")
+    return union_parts([d.where(F.col("lang").eqNullSafe(l)) for l in langs(spark, sf)], "part").select("doc_id", "part")
 
 
 @register("u2_contiguous_split",
@@ -794,7 +832,7 @@ _DELTA_SQL = ("delta AS (SELECT n.layer, n.pos, n.m - p.m AS d FROM means n JOIN
 def v3_diff_in_means(spark, sf):
     from ..operators.vectors import class_means, diff_in_means
     m = class_means(emb(spark, sf), "embedding", ["layer", "cls"])
-    d = diff_in_means(m, "cls", ["layer"], positive=1, negative=0)
+    d = diff_in_means(m, "cls", ["layer"])
     return d.select("layer", F.posexplode("delta").alias("pos0", "v")) \
         .select("layer", (F.col("pos0") + 1).alias("pos"), r6(F.col("v")).alias("delta"))
 
@@ -806,11 +844,12 @@ def v3_diff_in_means(spark, sf):
  SELECT vec_id, round(CASE WHEN a * b > 0 THEN d / (a * b) ELSE 0.0 END, 6) AS cos FROM j""")
 def v1_cosine_to_mean(spark, sf):
     """V1: cosine of every vector with the mean of its (layer, class); the
-    means table is one row per group, bounded, and broadcast."""
+    means table is broadcast if its stored size allows it."""
     from ..operators.vectors import class_means, cosine
+    from ..session import broadcast_if_small, materialize
     e = emb(spark, sf)
-    m = class_means(e, "embedding", ["layer", "cls"]).select("layer", "cls", "mean")
-    return e.join(F.broadcast(m), ["layer", "cls"]).select("vec_id", r6(cosine("embedding", "mean")).alias("cos"))
+    m = materialize(class_means(e, "embedding", ["layer", "cls"]).select("layer", "cls", "mean"), "class-means")
+    return e.join(broadcast_if_small(m), ["layer", "cls"]).select("vec_id", r6(cosine("embedding", "mean")).alias("cos"))
 
 
 @register("v4_shift_norm",
@@ -819,9 +858,10 @@ def v1_cosine_to_mean(spark, sf):
  FROM e JOIN delta ON e.layer = delta.layer AND e.pos = delta.pos GROUP BY vec_id""")
 def v4_shift_norm(spark, sf):
     from ..operators.vectors import class_means, diff_in_means, norm, shift
+    from ..session import broadcast_if_small, materialize
     e = emb(spark, sf)
-    d = diff_in_means(class_means(e, "embedding", ["layer", "cls"]), "cls", ["layer"]).select("layer", "delta")
-    return e.join(F.broadcast(d), "layer").select("vec_id", r6(norm(shift("embedding", "delta", 1.0))).alias("shifted_norm"))
+    d = materialize(diff_in_means(class_means(e, "embedding", ["layer", "cls"]), "cls", ["layer"]).select("layer", "delta"), "deltas")
+    return e.join(broadcast_if_small(d), "layer").select("vec_id", r6(norm(shift("embedding", "delta", 1.0))).alias("shifted_norm"))
 
 
 _GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
@@ -857,8 +897,9 @@ _M9_SQL = f"""WITH {_GRID_SQL}, {_MEANS_SQL}, {_DELTA_SQL}, e AS ({_UNNEST}),
 
 def _grid(spark, sf):
     from ..operators.vectors import class_means, grid_search, param_grid
+    from ..session import materialize
     e = emb(spark, sf)
-    m = class_means(e, "embedding", ["layer", "cls"])
+    m = materialize(class_means(e, "embedding", ["layer", "cls"]), "class-means")
     return grid_search(e, m, param_grid(spark, list(range(5)), ALPHAS), "layer", "embedding", "cls", k=2)
 
 
@@ -902,10 +943,10 @@ def _o6_sql(src: str = "documents") -> str:
                f"list_distinct({S.split_ws('lower(g2)')}))) / "
                f"greatest(len(list_distinct({S.split_ws('lower(s)')})), 1))")
     return f"""WITH raw AS ({raws}),
- gen AS (SELECT doc_id, attempt, s, {_c14_sql('g', 's')} AS gen FROM raw),
- flt AS (SELECT doc_id, attempt, s, gen, {S.filter_tokens('gen', TERMS, REPLACEMENTS)} AS f FROM gen),
+ gen AS MATERIALIZED (SELECT doc_id, attempt, s, {_c14_sql('g', 's')} AS gen FROM raw),
+ flt AS MATERIALIZED (SELECT doc_id, attempt, s, gen, {S.filter_tokens('gen', TERMS, REPLACEMENTS)} AS f FROM gen),
  att AS (SELECT doc_id, attempt, s, CASE WHEN {_ok('f')} THEN f ELSE gen END AS g2 FROM flt),
- sc AS (SELECT doc_id, attempt, s, g2, {_ok('g2')} AS ok,
+ sc AS MATERIALIZED (SELECT doc_id, attempt, s, g2, {_ok('g2')} AS ok,
    {_valid_sql('g2', 's').replace('text', 's')} AS valid,
    10.0 * {S.term_hits('g2', TERMS)} - 5.0 * {overlap} AS score FROM att),
  s1 AS (SELECT doc_id, min(attempt) FILTER (WHERE ok) AS f_t,
@@ -916,11 +957,12 @@ def _o6_sql(src: str = "documents") -> str:
  win AS (SELECT sc.doc_id, first(g2 ORDER BY score, attempt) FILTER (WHERE
      (attempt = f_t OR (valid AND attempt > f_t)) AND (k_t IS NULL OR attempt <= k_t)) AS w
    FROM sc JOIN k USING (doc_id) GROUP BY sc.doc_id),
- res AS (SELECT d.doc_id, d.text, win.w,
-   CASE WHEN NOT {_ok('win.w')} OR NOT coalesce({_valid_sql('win.w', 'd.text')}, false) THEN
-     CASE WHEN {_ok(S.filter_tokens('d.text', TERMS, REPLACEMENTS))}
-          THEN {S.filter_tokens('d.text', TERMS, REPLACEMENTS)} ELSE {S.drop_toxic('d.text', TERMS)} END
-   ELSE win.w END AS r FROM {src} d LEFT JOIN win USING (doc_id)),
+ soft AS MATERIALIZED (SELECT d.doc_id, d.text, win.w, {S.filter_tokens('d.text', TERMS, REPLACEMENTS)} AS ft
+   FROM {src} d LEFT JOIN win USING (doc_id)),
+ res AS MATERIALIZED (SELECT doc_id, text, w,
+   CASE WHEN NOT {_ok('w')} OR NOT coalesce({_valid_sql('w', 'text')}, false) THEN
+     CASE WHEN {_ok('ft')} THEN ft ELSE {S.drop_toxic('text', TERMS)} END
+   ELSE w END AS r FROM soft),
  fin AS (SELECT doc_id, text, CASE WHEN r IS NULL OR r = '' THEN r
    ELSE {S.filter_tokens(S.collapse('r'), TERMS, REPLACEMENTS)} END AS b FROM res)
  SELECT doc_id, CASE WHEN {_ok('b')} THEN b ELSE text END AS best FROM fin"""
@@ -1035,11 +1077,7 @@ def s11_stream_gated_edit(spark, sf):
     documents files; runs to completion with ``availableNow`` into a Parquet
     sink under the shared checkpoint folder, then reads the sink."""
     from ..streaming.stream import run_gated_stream
-    try:
-        parallelism = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001
-        parallelism = None
-    return run_gated_stream(spark, sf, TERMS, PATTERNS, spread_partitions=parallelism)
+    return run_gated_stream(spark, sf, TERMS, PATTERNS)
 
 
 # ==========================================================================
@@ -1128,18 +1166,17 @@ def k1_s2_tsv_round_trip(spark, sf):
 
 
 @register("s5_read_parts",
-          "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 "
-          "WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS part, text FROM documents")
+          f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_PART} AS part, text FROM documents")
 def s5_read_parts(spark, sf):
-    """One quoted TSV part per language, read back stacked in part order."""
+    """One quoted TSV part per language, written in one pass, read back
+    stacked in part order."""
     from ..sources import io as IO
-    d = docs(spark, sf)
-    paths = []
-    for lang in LANGS:
-        p = _scratch(spark, f"part-{lang}")
-        IO.write_tsv(d.where(F.col("lang") == lang).select("doc_id", "text"), p)
-        paths.append(p)
-    return IO.read_parts(spark, paths, quoted=True).select("doc_id", "part", "text")
+    found = langs(spark, sf)
+    root = _scratch(spark, "parts")
+    part = F.array_position(F.array(*[F.lit(x) for x in found if x is not None]), F.col("lang")) - (0 if None in found else 1)
+    d = docs(spark, sf).select("doc_id", "text", F.coalesce(part, F.lit(0)).cast("int").alias("part"))
+    IO.write_tsv(d, root, partition_by="part")
+    return IO.read_parts(spark, [f"{root}/part={i}" for i in range(len(found))], quoted=True).select("doc_id", "part", "text")
 
 
 @register("k3_metrics_json_round_trip",
@@ -1162,7 +1199,7 @@ def k3_metrics_json_round_trip(spark, sf):
 def k4_cache_round_trip(spark, sf):
     """K4 + J3: cached results are written as a keyed Parquet cache
     (partitioned by stage), read back and reused; misses are computed and
-    appended to the cache."""
+    appended to it, and a second run computes nothing."""
     from ..operators.gate import content_key, with_cache
     from ..sources import io as IO
     path = _scratch(spark, "cache")
@@ -1173,9 +1210,13 @@ def k4_cache_round_trip(spark, sf):
 
     def compute(m):
         return m.withColumn("value", F.concat(F.lit("fresh:"), T.remove_literals("text", TERMS)))
-    res, fresh = with_cache(docs(spark, sf), cache, "text", "out", compute)
-    out = res.select("doc_id", "out")
-    return out
+    with_cache(docs(spark, sf), cache, "text", "out", compute, save_to=path, stage="clean")
+    # a second run finds every text in the saved cache
+
+    def nothing(m):
+        return m.withColumn("value", F.raise_error(F.lit("computed again")).cast("string"))
+    res, _none = with_cache(docs(spark, sf), IO.read_cache(spark, path, stage="clean"), "text", "out", nothing)
+    return res.select("doc_id", "out")
 
 
 @register("k5_s6_vector_bundle_round_trip",
@@ -1220,8 +1261,8 @@ def c18_apply_to_columns(spark, sf):
 
 def _c8_expr(col: str) -> str:
     """C8 of an arbitrary column as a scalar subquery."""
-    full = S.normalize_punct(S.rules(col, RULES))
-    light = S.normalize_punct(S.rules(col, FALLBACK_RULES))
+    full = S.normalize_punct(_rules_sql(col, RULES))
+    light = S.normalize_punct(_rules_sql(col, FALLBACK_RULES))
     return (rf"(SELECT coalesce(trim(CASE WHEN r_full = '' OR length(trim(r_full)) < 2 THEN "
             rf"(CASE WHEN r_light IS NULL OR regexp_matches(r_light, '^\s*$') THEN {col} ELSE r_light END) "
             rf"ELSE r_full END), '') FROM (SELECT {full} AS r_full, {light} AS r_light))")
@@ -1260,24 +1301,35 @@ _E2_SQL = f"""WITH {_nb_score_sql('documents', 'text', 'b')},
  dotp AS (SELECT doc_id, sum(ba.n * bb.n) AS d FROM ba JOIN bb USING (doc_id, w) GROUP BY doc_id),
  na AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM ba GROUP BY doc_id),
  nb AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM bb GROUP BY doc_id),
+ {_nll_sql('gen2', 'generated')[1:]},
  ev AS (SELECT gen2.doc_id, sa.p AS p_after, CASE WHEN na.x IS NULL OR nb.x IS NULL THEN 0.0
-          ELSE coalesce(dotp.d, 0) / (na.x * nb.x) END AS cos
+          ELSE coalesce(dotp.d, 0) / (na.x * nb.x) END AS cos, gen2.p_before, l.toxic,
+          CASE WHEN n_tokens >= 3 THEN exp(nll_sum / n_pred) END AS ppl
         FROM gen2 JOIN scoreda sa USING (doc_id) LEFT JOIN dotp USING (doc_id)
-        LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id))
+        LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id) JOIN nll USING (doc_id) LEFT JOIN labels l USING (doc_id))
  SELECT round(avg(CASE WHEN p_after < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS sta, round(avg(cos), 6) AS sim,
+   round(avg(CASE WHEN NOT isnan(ppl) THEN ppl END), 6) AS fl,
+   round(avg(CASE WHEN toxic IS NOT NULL THEN CASE WHEN (p_before >= 0.5)::INT = toxic THEN 1.0 ELSE 0.0 END END), 6) AS clf_acc,
    count(*) AS n_rows FROM ev"""
 
 
 @register("e2_pivot_with_metrics", _E2_SQL)
 def e2_pivot_with_metrics(spark, sf):
     """Score the raw text, gate, forward -> edit -> back on gated rows
-    (stand-in models), rescore, STA and SIM of the result."""
-    from .flows import nb_scorer, pivot_with_metrics
+    (stand-in models), rescore; STA, SIM and fluency of the result and the
+    classifier's accuracy on the labelled rows."""
+    from .flows import bigram_fluency, nb_scorer, pivot_with_metrics
     w, prior = nb_model(spark, sf)
-    _rows, m, _ = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
+    _rows, m, _ = pivot_with_metrics(_with_labels(spark, sf), "doc_id", "text",
                                      nb_scorer(w, prior, "doc_id"), ascii_upper_model, drop_marked_words_model,
-                                     ascii_lower_model, THRESHOLD)
-    return m.select(r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"), "n_rows")
+                                     ascii_lower_model, THRESHOLD, label="toxic",
+                                     fluency=bigram_fluency(bigram_model(spark, sf), "doc_id"))
+    return m.select(*[r6(F.col(c)).alias(c) for c in ("sta", "sim", "fl", "clf_acc")], "n_rows")
+
+
+def _with_labels(spark, sf):
+    """Documents with their toxicity label, null where there is none."""
+    return docs(spark, sf).select("doc_id", "text").join(read_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
 
 
 @register("e2_pivot_cached", _E2_SQL)
@@ -1286,30 +1338,27 @@ def e2_pivot_cached(spark, sf):
     documents (keyed by content hash): only the gated texts missing from it
     are translated; the result equals the uncached flow."""
     from ..operators.gate import content_key
-    from .flows import nb_scorer, pivot_with_metrics
+    from .flows import bigram_fluency, nb_scorer, pivot_with_metrics
     w, prior = nb_model(spark, sf)
     seed = labelled_docs(spark, sf).select(content_key("text").alias("key"),
                                            F.translate("text", _ASCII_LOWER, _ASCII_UPPER).alias("value"))
-    _rows, m, _fresh = pivot_with_metrics(docs(spark, sf).select("doc_id", "text"), "doc_id", "text",
+    _rows, m, _fresh = pivot_with_metrics(_with_labels(spark, sf), "doc_id", "text",
                                           nb_scorer(w, prior, "doc_id"), ascii_upper_model,
-                                          drop_marked_words_model, ascii_lower_model, THRESHOLD,
-                                          forward_cache=seed)
-    return m.select(r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"), "n_rows")
-
-
-_E3_SRC = "(SELECT * FROM documents WHERE lang = 'en')"
+                                          drop_marked_words_model, ascii_lower_model, THRESHOLD, label="toxic",
+                                          forward_cache=seed, fluency=bigram_fluency(bigram_model(spark, sf), "doc_id"))
+    return m.select(*[r6(F.col(c)).alias(c) for c in ("sta", "sim", "fl", "clf_acc")], "n_rows")
 
 
 @register("e3_finalize_best_of_n",
-          f"""WITH best AS ({_o6_sql(_E3_SRC)})
+          f"""WITH best AS ({_o6_sql()})
  SELECT CAST(b.doc_id AS VARCHAR) AS ID, d.text AS tat_toxic,
    CASE WHEN c IS NULL OR regexp_matches(c, '^\\s*$') THEN d.text ELSE c END AS tat_detox1
  FROM (SELECT doc_id, {_c8_expr('best')} AS c FROM best) b JOIN documents d USING (doc_id)""")
 def e3_finalize_best_of_n(spark, sf):
-    """Candidates (3 per English document) -> best of N in one
+    """Candidates (3 per document) -> best of N in one
     aggregation -> rule ladder -> repaired rewrite table."""
     from .flows import finalize_best_of_n
-    d = en_docs(spark, sf)
+    d = docs(spark, sf)
     long = d.select("doc_id", "text", F.posexplode(_attempts()).alias("attempt", "gen"))
     table, _report = finalize_best_of_n(long, "doc_id", "attempt", "gen", "text", TERMS, REPLACEMENTS,
                                         RULES, FALLBACK_RULES, PROMPT)
@@ -1326,6 +1375,40 @@ def e4_grid_search_flow(spark, sf):
     return top.select("grid_order", "layer", "alpha")
 
 
+def _grid_cands_sql(e: str, grid: str, out: str) -> str:
+    """Scores of the grid points of ``grid`` on the vectors of ``e``."""
+    return f"""s_{out} AS (SELECT g.grid_order, g.layer, g.alpha, e.vec_id, e.pos, e.x, e.x - g.alpha * delta.d AS y, mn.m AS mneg, mp.m AS mpos
+   FROM {grid} g JOIN {e} e ON e.layer = g.layer JOIN delta ON delta.layer = g.layer AND delta.pos = e.pos
+   JOIN means mn ON mn.layer = g.layer AND mn.pos = e.pos AND mn.cls = 0 JOIN means mp ON mp.layer = g.layer AND mp.pos = e.pos AND mp.cls = 1),
+ v_{out} AS (SELECT grid_order, layer, alpha, vec_id, sum(y * mneg) / nullif(sqrt(sum(y * y)) * sqrt(sum(mneg * mneg)), 0) AS cn,
+   sum(y * mpos) / nullif(sqrt(sum(y * y)) * sqrt(sum(mpos * mpos)), 0) AS cp,
+   coalesce(sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0.0) AS cs FROM s_{out} GROUP BY ALL),
+ {out} AS (SELECT grid_order, layer, alpha, avg(CASE WHEN coalesce(cn, 0.0) > coalesce(cp, 0.0) THEN 1.0 ELSE 0.0 END) AS sta,
+   avg(cs) AS sim, count(*) AS n FROM v_{out} GROUP BY ALL)"""
+
+
+_VH = "md5(concat('42:', vec_id::VARCHAR)), vec_id"
+
+
+@register("e4_sampled_dev",
+          f"""WITH {_GRID_SQL}, u AS ({_UNNEST}), base AS (SELECT DISTINCT vec_id, layer, cls FROM u),
+ tr AS (SELECT vec_id FROM (SELECT *, row_number() OVER (PARTITION BY layer, cls ORDER BY {_VH}) AS rn FROM base) WHERE rn <= 15),
+ va AS (SELECT vec_id FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY {_VH}) AS rn FROM base
+   WHERE vec_id NOT IN (SELECT vec_id FROM tr)) WHERE rn <= 25),
+ means AS (SELECT layer, cls, pos, avg(x) AS m FROM u WHERE vec_id IN (SELECT vec_id FROM tr) GROUP BY layer, cls, pos), {_DELTA_SQL},
+ ev AS (SELECT * FROM u WHERE vec_id IN (SELECT vec_id FROM va)), {_grid_cands_sql('ev', 'grid', 'cands')},
+ won AS (SELECT grid_order, layer, alpha FROM cands ORDER BY sta + 0.5 * sim DESC, grid_order LIMIT 2), {_grid_cands_sql('u', 'won', 'dev')}
+ SELECT grid_order, layer, alpha, round(sta, 6) AS sta, round(sim, 6) AS sim, n FROM dev""")
+def e4_sampled_dev(spark, sf):
+    """E4 in full: means of a seeded sample per layer and class, the grid on a
+    disjoint validation slice, the two winners run again on the whole table."""
+    from .flows import grid_search_flow
+    e = emb(spark, sf)
+    _c, _top, dev = grid_search_flow(e, "layer", "embedding", "cls", list(range(5)), ALPHAS, k=2, key="vec_id",
+                                     sample_sizes={0: 15, 1: 15}, n_val=25, seed=SEED, dev=e)
+    return dev.select("grid_order", "layer", "alpha", r6(F.col("sta")).alias("sta"), r6(F.col("sim")).alias("sim"), "n")
+
+
 @register("s1_raw_tsv_round_trip", f"SELECT CAST(doc_id AS VARCHAR) AS ID, {_C15_SQL} AS tat_toxic FROM documents")
 def s1_raw_tsv_round_trip(spark, sf):
     """K1 in raw form + S1: single-line texts written as raw TSV (quotes

@@ -1,5 +1,6 @@
 """End-to-end flows (the reference's four run shapes) composed from the
-operators. Each returns lazy DataFrames; nothing is collected.
+operators. They return DataFrames; what several branches read is stored once,
+nothing is collected.
 
 * :func:`clean_gate_edit` - clean, score, gate, edit gated rows, fall back.
 * :func:`pivot_with_metrics` - score, gate, translate/edit/translate back on
@@ -33,6 +34,14 @@ def nb_scorer(weights: DataFrame, prior: float, key: str) -> Scorer:
     return lambda df, text, out: SC.score_naive_bayes(df, weights, prior, key, text, out)
 
 
+def bigram_fluency(model, key: str) -> Scorer:
+    """Adapter: a trained bigram model as a per-text perplexity."""
+    def add(df: DataFrame, text: str, out: str) -> DataFrame:
+        ppl = SC.text_perplexity(SC.bigram_nll(df, model, key, text), key)
+        return df.join(ppl.withColumnRenamed("ppl", out), key, "left")
+    return add
+
+
 def clean_gate_edit(df: DataFrame, key: str, text: str, terms: Sequence[str], patterns: Sequence[str],
                     scorer: Scorer, threshold: float = P.DEFAULT_THRESHOLD,
                     editor: Callable[[Column], Column] | None = None,
@@ -55,12 +64,18 @@ def pivot_with_metrics(df: DataFrame, key: str, text: str, scorer: Scorer,
                        back: Callable[[], G.BatchFn] | None, threshold: float = P.DEFAULT_THRESHOLD,
                        similarity: Callable[[Column, Column], Column] | None = SC.text_similarity,
                        label: str | None = None, batch_size: int = 16,
-                       forward_cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+                       forward_cache: DataFrame | None = None,
+                       fluency: Callable[[DataFrame, str, str], DataFrame] | None = None
+                       ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Score the raw text, gate, run forward -> edit -> back on gated
     rows only, fall back to the source, rescore; return the per-row
     evaluation table (text, generated, edited, tox_score_before,
-    tox_score_after[, label]), the one-row metrics (sta, sim, fl, clf_acc)
-    and the new forward-cache entries.
+    tox_score_after[, cos, ppl, label]), the one-row metrics (sta, sim, fl,
+    clf_acc) and the new forward-cache entries.
+
+    The caller's models run once: the edited rows are stored before anything
+    reads them, so the score belongs to the text that is returned. ``fluency``
+    (df, text column, out column) adds a per-text perplexity.
 
     Without ``forward_cache`` all stages run in one Arrow hop per task. With
     it (``key, value`` by content hash), gated texts are looked up, only the
@@ -91,15 +106,18 @@ def pivot_with_metrics(df: DataFrame, key: str, text: str, scorer: Scorer,
             return run
         edited = G.batch_map(fwd, chain, "_fwd", "_gen", batch_size) if rest else fwd.withColumnRenamed("_fwd", "_gen")
         d = d.join(edited.select(key, "_gen"), key, "left")
-    d = d.withColumn("generated", P.fallback(F.col("_gen"), F.col(text))).drop("_gen")
+    from ..session import materialize
+    d = materialize(d.withColumn("generated", P.fallback(F.col("_gen"), F.col(text))).drop("_gen"), "pivot-generated")
+    if fluency is not None:
+        d = fluency(d, "generated", "ppl")
     d = scorer(d, "generated", "tox_score_after")
     if similarity is not None:
         d = d.withColumn("cos", similarity(F.col(text), F.col("generated")))
     cols = [key, text, "generated", "edited", "tox_score_before", "tox_score_after"]
-    cols += (["cos"] if similarity is not None else []) + ([label] if label else [])
-    per_row = d.select(*cols)
+    cols += (["cos"] if similarity is not None else []) + (["ppl"] if fluency is not None else []) + ([label] if label else [])
+    per_row = materialize(d.select(*cols), "pivot-rows")  # read by the metrics and by the caller
     metrics = M.evaluate(per_row, p_after="tox_score_after", cos="cos" if similarity is not None else None,
-                         fluency=None, p_before="tox_score_before" if label else None, label=label,
+                         fluency="ppl" if fluency is not None else None, p_before="tox_score_before" if label else None, label=label,
                          threshold=threshold)
     return per_row, metrics, fresh
 
@@ -113,7 +131,7 @@ def finalize_best_of_n(cands: DataFrame, key: str, attempt: str, gen: str, sourc
     (G3) -> report (A11). Keys are carried, never renumbered."""
     best = SEL.best_of_n_grouped(cands, key, attempt, gen, source, terms, replacements, prompt)
     if rules:
-        best = best.withColumn("best", T.rule_clean("best", rules, fallback_rules or rules))
+        best = best.withColumn("best", T.rule_clean("best", rules, fallback_rules))
     table = G.repair(best.select(F.col(key).alias("ID"), F.col(source).alias("tat_toxic"),
                                  F.col("best").alias("tat_detox1")), "ID", "tat_toxic", "tat_detox1")
     return table, M.table_report(table, "tat_toxic", "tat_detox1")
@@ -131,18 +149,18 @@ def grid_search_flow(vectors: DataFrame, layer: str, vec: str, cls: str, layers:
     scored on a validation slice of that layer that is disjoint from the
     sample (O3). Returns ``(candidates, top_k, dev_scores)``."""
     from ..operators import sampling as SA
+    from ..session import materialize
     spark = vectors.sparkSession
     v = vectors.where(F.col(layer).isin(list(layers)))
     train, val = v, v
     if sample_sizes:
         if key is None:
             raise ValueError("sampling needs a key column")
-        parts = [SA.sample_per_class(v.where(F.col(layer) == l), cls, sample_sizes, key, seed) for l in layers]
-        train = SA.union_parts(parts)
+        train = SA.sample_per_class(v, [layer, cls], {(l, c): n for l in layers for c, n in sample_sizes.items()}, key, seed)
         if n_val:
-            val = SA.union_parts([SA.validation_slice(v.where(F.col(layer) == l), train, key, n_val, seed)
-                                  for l in layers])
-    means = V.class_means(train, vec, [layer, cls])
+            rest = v.join(train.select(key), key, "left_anti")
+            val = SA.sample_per_class(rest, layer, {l: n_val for l in layers}, key, seed)
+    means = materialize(V.class_means(train, vec, [layer, cls]), "class-means")
     cands, top = V.grid_search(val, means, V.param_grid(spark, layers, alphas), layer, vec, cls, k)
     dev_scores = None
     if dev is not None:

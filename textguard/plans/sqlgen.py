@@ -86,7 +86,9 @@ def label_pattern(word: str) -> str:
 
 
 def keep_two_repeats(words: str) -> str:
+    """Words without the third and later of equal neighbours. Each word meets
+    its two predecessors through shifted lists, built once per row."""
     lw = f"list_transform({words}, lambda lx_: lower(lx_))"
-    return (f"array_to_string(list_filter(list_transform({words}, lambda lx_, li_: CASE WHEN li_ >= 3 AND "
-            f"({lw})[li_] = ({lw})[li_ - 1] AND ({lw})[li_ - 1] = ({lw})[li_ - 2] THEN NULL ELSE lx_ END), "
-            f"lambda lx_: lx_ IS NOT NULL), ' ')")
+    z = f"list_zip({words}, {lw}, list_prepend(NULL::VARCHAR, {lw}), list_prepend(NULL::VARCHAR, list_prepend(NULL::VARCHAR, {lw})))"
+    kept = f"list_filter({z}, lambda lz_: lz_[1] IS NOT NULL AND NOT coalesce(lz_[2] = lz_[3] AND lz_[3] = lz_[4], false))"
+    return f"array_to_string(list_transform({kept}, lambda lz_: lz_[1]), ' ')"

@@ -61,10 +61,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is used as is. Only when the
-    setting is absent (local tests) a scratch folder is created.
+    setting is absent and the master is local (tests) a scratch folder is
+    created; on any other master that would be a folder of each machine, so
+    it raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="textguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -138,30 +143,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     job) and gives the table a measured size."""
     import uuid
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_tables(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return with_size(spark.read.parquet(path), folder_bytes(spark, path))
+
+
+def _tables(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def _path(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files of a folder (one request to the file system)."""
+    p, fs = _path(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables this application has stored (call when its results
+    are written; frames that still read them fail afterwards)."""
+    p, fs = _path(spark, _tables(spark))
+    fs.delete(p, True)
+
+
+def with_size(df: DataFrame, n_bytes: int | None) -> DataFrame:
+    """Note on ``df`` that it holds no more than a stored table of ``n_bytes``."""
+    df._stored_bytes = n_bytes
+    return df
 
 
 def stored_bytes(df: DataFrame) -> int | None:
-    """Total size of the files a plain file scan reads, or None when ``df``
-    is not a plain scan (its size is then unknown before running it)."""
-    try:
-        files = df.inputFiles()
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:  # noqa: BLE001 - size unknown: no broadcast
-        return None
-    if not files:
-        return None
-    if any(op in plan for op in ("Join", "Aggregate", "Generate", "Window")):
-        return None
-    sc = df.sparkSession.sparkContext
-    jvm = sc._jvm
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
-    return total
+    """Bytes that :func:`materialize` wrote for ``df``, None if it was not
+    stored (its size is then unknown before running it)."""
+    return getattr(df, "_stored_bytes", None)
 
 
 # Bound for broadcasting a materialised table: its Parquet size times an

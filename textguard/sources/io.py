@@ -9,24 +9,26 @@ writer trims by default) and write directories, one part per task.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import require_columns
+from ..session import cut_lineage
 
 # The rewrite table layout.
 REWRITE_COLUMNS = ("ID", "tat_toxic", "tat_detox1")
 
 
 def read_tsv(spark: SparkSession, path, required: Sequence[str] = (), quoted: bool = False,
-             schema: str | None = None, drop_malformed: bool = False) -> DataFrame:
+             schema: str | None = None, drop_malformed: bool = False, malformed_col: str | None = None, header: bool = True) -> DataFrame:
     """S1 (raw) / S2 (quoted). All columns are strings unless ``schema`` is
-    given; required columns are checked (P7). With ``drop_malformed`` (P8)
-    and a schema, rows whose field count does not fit are dropped."""
-    r = (spark.read.option("sep", "\t").option("header", True)
+    given; required columns are checked (P7). With a schema, rows whose field
+    count does not fit (P8) are kept with what fits; ``malformed_col`` (part of
+    the schema, a string) then holds the line of each, null on good rows, so
+    they can be counted; ``drop_malformed`` drops them instead."""
+    r = (spark.read.option("sep", "\t").option("header", header)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if quoted:
         r = r.option("quote", '"').option("escape", '"').option("multiLine", True)
@@ -34,15 +36,19 @@ def read_tsv(spark: SparkSession, path, required: Sequence[str] = (), quoted: bo
         r = r.option("quote", "").option("escape", "")
     if schema:
         r = r.schema(schema)
+    if malformed_col:
+        r = r.option("columnNameOfCorruptRecord", malformed_col)
     if drop_malformed:
         r = r.option("mode", "DROPMALFORMED")
     df = r.csv(path)
     return require_columns(df, required)
 
 
-def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Quoted TSV directory that :func:`read_tsv` (quoted=True) reads back."""
-    (df.write.mode(mode).option("sep", "\t").option("header", True)
+def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:
+    """Quoted TSV directory that :func:`read_tsv` (quoted=True) reads back;
+    ``partition_by``: one folder per value, all in one pass."""
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    (writer.mode(mode).option("sep", "\t").option("header", True)
      .option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
@@ -95,9 +101,11 @@ def read_line_cache(spark: SparkSession, path: str, key: str = "_pos") -> DataFr
     """One value per line, with its 0-based line number (line order is
     the meaning, so the position is made explicit)."""
     from ..operators.sampling import dense_id
-    raw = spark.read.text(path).select(F.input_file_name().alias("_f"),
-                                       F.monotonically_increasing_id().alias("_m"), "value")
-    return dense_id(raw, ["_f", "_m"], key).select(key, "value")
+    raw = spark.read.text(path).select("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_m"), "value")
+    # parts by number (part-99999 before part-100000), splits by their place in the file, lines as read
+    number = F.coalesce(F.regexp_extract("file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    rows = cut_lineage(raw.select(number.alias("_n"), F.col("file_name").alias("_f"), F.col("file_block_start").alias("_b"), "_m", "value"))
+    return dense_id(rows, ["_n", "_f", "_b", "_m"], key).select(key, "value")
 
 
 def write_cache(df: DataFrame, path: str, key: str = "key", value: str = "value",
@@ -123,17 +131,14 @@ def read_cache(spark: SparkSession, path: str, stage: str | None = None) -> Data
 
 def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "tsv", quoted: bool = True,
                part_col: str | None = "part") -> DataFrame:
-    """Read the existing parts and stack them in part order (a part
-    number column keeps that order explicit); a single path reads as one."""
+    """Read all parts and stack them in part order (a part number column
+    keeps that order explicit); a single path reads as one. A missing part
+    raises: a stack without it would be short without a word."""
     from ..operators.sampling import union_parts
-    frames = []
-    for p in paths:
-        if not _exists(spark, p):
-            continue
-        frames.append(read_tsv(spark, p, quoted=quoted) if fmt == "tsv" else spark.read.parquet(p))
-    if not frames:
-        raise FileNotFoundError(f"none of {list(paths)} exists")
-    return union_parts(frames, part_col)
+    missing = [p for p in paths if not _exists(spark, p)]
+    if missing or not paths:
+        raise FileNotFoundError(f"missing parts: {missing}")
+    return union_parts([read_tsv(spark, p, quoted=quoted) if fmt == "tsv" else spark.read.parquet(p) for p in paths], part_col)
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
@@ -146,8 +151,9 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overw
 
 
 def write_metrics_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K3: a (one-row) metrics frame as JSON lines; NaN is kept as NaN."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """K3: a metrics frame as JSON lines, as many files as it has partitions;
+    NaN is kept as NaN."""
+    df.write.mode(mode).json(path)
 
 
 def metrics_to_json(df: DataFrame) -> str:
@@ -177,9 +183,10 @@ def read_vector_bundle(spark: SparkSession, path: str, default_layer: int) -> Da
 
 
 def load_or_build(spark: SparkSession, path: str, build, default_layer: int) -> DataFrame:
-    """Read the stored bundle if present, else compute it with
-    ``build()`` (a DataFrame of the bundle layout), save it, and read it back."""
-    if not _exists(spark, path):
+    """Read the stored bundle if it is complete (the writer's success
+    marker is there), else compute it with ``build()`` (a DataFrame of the
+    bundle layout), save it over what is there, and read it back."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
         bundle = build()
         if bundle is None:
             raise FileNotFoundError(f"{path} missing and nothing to build it from")
@@ -194,6 +201,3 @@ def _exists(spark: SparkSession, path: str) -> bool:
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
 
-
-def local_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -28,26 +28,22 @@ def gated_stream(src: DataFrame, terms, patterns, threshold: float = 1.0) -> Dat
 
 
 def run_gated_stream(spark: SparkSession, sf_dir: str, terms, patterns,
-                     out_dir: str | None = None, max_files_per_trigger: int = 1,
-                     spread_partitions: int | None = None) -> DataFrame:
+                     out_dir: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Run :func:`gated_stream` over ``<sf_dir>/documents.parquet`` with an
-    ``availableNow`` trigger and return the sink as a batch DataFrame.
-
-    ``spread_partitions`` redistributes each micro-batch round-robin before
-    the regex work, for sources whose micro-batches have fewer file splits
-    than cores (stateless, so no state store is involved)."""
+    ``availableNow`` trigger and return the sink as a batch DataFrame. By
+    default one micro-batch takes all files there are; the caller may limit
+    them."""
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     src_path = os.path.join(sf_dir, "documents.parquet")
     schema = spark.read.parquet(src_path).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(src_path if os.path.isdir(src_path) else sf_dir)
-              )
-    if not os.path.isdir(src_path):
-        # a directory of tables: keep the documents file only
-        stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                  .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
-    if spread_partitions:
-        stream = stream.repartition(spread_partitions)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if spark.read.parquet(src_path).inputFiles()[0].endswith("/documents.parquet"):
+        # one file among the tables: keep it alone
+        stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    else:
+        stream = reader.parquet(src_path)
     q = (gated_stream(stream, terms, patterns).writeStream.format("parquet")
          .option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "ckpt"))
