@@ -78,6 +78,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name).df
 
 
+def forget_words() -> None:
+    """Free the words that an encoder of this worker keeps, before a task of
+    an operator that needs the memory for something else."""
+    import sys
+    tokens = sys.modules.get("textguard.llm.tokens")
+    if tokens is not None:
+        tokens.encoder.cache_clear()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have."""
     have, out = {c.lower() for c in df.columns}, []

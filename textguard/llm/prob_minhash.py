@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, one, pack_arrays, shingle_hashes, stored, to_int, unpack_arrays, word_hashes
+from .common import forget_words, fresh, mix64, one, pack_arrays, shingle_hashes, stored, to_int, unpack_arrays, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -137,6 +137,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             names=["doc_id", "k1", "k2", "sketch", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget_words()
         ids, words, n = [], [], 0
         for b in batches:
             for i, t in zip(b.column(0), b.column(1), strict=True):

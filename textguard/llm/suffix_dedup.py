@@ -45,16 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, one, pack_arrays, spread_ranges, store, to_int, unpack_arrays
+from .common import forget_words, mix64, one, pack_arrays, spread_ranges, store, to_int, unpack_arrays
 
 MIN_LEN = 50
 ANCHOR = 16
 BLOCK = 1 << 20
-#: Bytes of text whose minimizers share a bucket, and bytes of cut strings a
-#: suffix-array bucket holds (both set the bucket counts from the input).
+#: Bytes of text whose minimizers share a bucket, and whose strings share a
+#: suffix-array bucket (both set the bucket counts from the input).
 TEXT_PER_BUCKET = 16 << 20
-STRINGS_PER_BUCKET = 6 << 20
-#: Suffixes sorted at a time.
+STRINGS_PER_BUCKET = 2 << 20
+#: Suffixes hashed and sorted at a time.
 SLICE = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 
@@ -205,6 +205,7 @@ def _bucket_sets(runs, ids: np.ndarray, n_buckets: int):
 
 def _anchor_rows(text: str, key: str, min_len: int, k: int, n_buckets: int):
     def run(batches):
+        forget_words()
         for b in batches:
             for blk, cell in zip(b.column("block").to_pylist(), b.column("rows").to_pylist(), strict=True):
                 rows = _from_ipc(cell)
@@ -289,6 +290,7 @@ def _string_rows(text: str, key: str, min_len: int, k: int, n1: int, n2: int, gr
                 n_places[part].astype(np.int32), row[p].astype(np.int32), start[p], d[p])
 
     def run(batches):
+        forget_words()
         for b in batches:
             for blk, cell, marks in zip(b.column("block").to_pylist(), b.column("rows").to_pylist(), b.column("marks").to_pylist(), strict=True):
                 got = list(strings(blk, _from_ipc(cell), {m["bucket"]: m["bits"] for m in marks}))
@@ -397,7 +399,10 @@ def _bucket_groups(cells: list[list[np.ndarray]], min_len: int):
     n_win = cl - cf - min_len + 1
     owner = np.repeat(np.arange(len(first)), n_win)
     pos = spread_ranges(cs + cf, n_win)
-    wh = _window_hash(data, min_len)[pos]
+    wh = np.empty(len(pos), np.uint64)
+    for at in range(0, len(pos), SLICE):
+        p = pos[at:at + SLICE]
+        wh[at:at + SLICE] = _window_hash(data[p[0]:p[-1] + min_len], min_len)[p - p[0]]
     order = np.argsort(wh, kind="stable")
     wh, owner, pos = wh[order], owner[order], pos[order]
     new = np.concatenate(([True], wh[1:] != wh[:-1])) if len(wh) else np.empty(0, bool)
@@ -433,6 +438,7 @@ def _bucket_groups(cells: list[list[np.ndarray]], min_len: int):
 
 def _bucket_spans(min_len: int):
     def run(table: pa.Table) -> pa.Table:
+        forget_words()
         cells = [unpack_arrays(c) for c in table.column("cell").to_pylist()]
         blocks = table.column("block").to_numpy()
         cls, cmin, (group, owner, offset, depth, gmin) = _bucket_groups(cells, min_len)

@@ -28,7 +28,7 @@ _UNSAFE_SPACE = "^ |[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in (
     (0, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))) + "] "
 #: Words of one of the two generations a worker keeps, and the longest word
 #: kept (bounds on memory alone).
-KEPT_WORDS, KEPT_LENGTH = 600_000, 48
+KEPT_WORDS, KEPT_LENGTH = 400_000, 48
 #: Text bytes encoded together.
 AT_ONCE = 4 << 20
 
@@ -66,16 +66,15 @@ class Encoder:
         kept, older = self.words, self.older
         got = list(map(kept.get, distinct))
         odd, plain = [], []
-        for i, b in enumerate(got):
-            if b is None:
-                w = distinct[i]
-                b = got[i] = older.get(w)
-                if b is not None:
-                    kept[w] = b
-                elif not w or " " in w or len(w) > KEPT_LENGTH:
-                    odd.append(i)
-                else:
-                    plain.append(i)
+        for i in [i for i, b in enumerate(got) if b is None]:
+            w = distinct[i]
+            b = got[i] = older.get(w)
+            if b is not None:
+                kept[w] = b
+            elif not w or " " in w or len(w) > KEPT_LENGTH:
+                odd.append(i)
+            else:
+                plain.append(i)
         for lo in range(0, len(plain), 500):
             part = plain[lo:lo + 500]
             ids = self._ids([" " + " ".join([distinct[i] for i in part])])[0]
@@ -113,11 +112,11 @@ class Encoder:
             off = np.concatenate(([0], np.cumsum(counts)))
         code = words.dictionary_encode()
         entry = code.indices.to_numpy().astype(np.int64)
-        cells = self._words(code.dictionary.to_pylist())
+        cells = self._words(code.dictionary.to_numpy(zero_copy_only=False).tolist())
         # a text's first word has no space before it
         heads = words.take(pa.array(off[:-1])).dictionary_encode()
         entry[off[:-1]] = len(cells) + heads.indices.to_numpy()
-        cells += [i.tobytes() for i in self._ids(heads.dictionary.to_pylist())]
+        cells += [i.tobytes() for i in self._ids(heads.dictionary.to_numpy(zero_copy_only=False).tolist())]
         size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
         start = np.cumsum(size) - size
         n = size[entry]
@@ -138,5 +137,6 @@ class Encoder:
 
 @cache
 def encoder(name: str = TOKENIZER) -> Encoder:
-    """The worker's encoder."""
+    """The worker's encoder; its words go when the worker turns to another
+    operator (``common.forget_words``)."""
     return Encoder(name)

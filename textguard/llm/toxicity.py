@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, store
+from .common import crc_fold, forget_words, store
 
 TRAIN_ROWS = 20_000
 MAX_TERMS = 5_000
@@ -316,6 +316,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     """``docs`` without the rows that score ``threshold`` or more."""
 
     def run(batches):
+        forget_words()
         s = model.scorer()
         for b in batches:
             yield b.filter(pa.array([s(t) < threshold for t in b.column(text).to_pylist()], pa.bool_()))
