@@ -127,10 +127,12 @@ class Grammar:
             return END, ""
         if token in "\"“”«»„":
             return QUOTE, ""
-        for n in self.lengths:
-            if token[:n] in self.lexicon and n <= len(token):
-                return INSULT, token[:n]
-        return _FIXED.get(token, OTHER), ""
+        fixed = _FIXED.get(token, OTHER)
+        if fixed in (OTHER, THREATEN):  # a function word is none of the learned ones
+            for n in self.lengths:
+                if token[:n] in self.lexicon and n <= len(token):
+                    return INSULT, token[:n]
+        return fixed, ""
 
     def matches(self, text: str) -> tuple[list[tuple[int, str, int, int]], int, int]:
         """([(symbol, term, context, clause)], tokens, clauses) of a text."""
