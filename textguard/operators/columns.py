@@ -30,6 +30,6 @@ def apply_to_columns(df: DataFrame, columns: str | Sequence[str], fn: Callable[[
 
 def select_ordered(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, bool]:
     """Keep exactly ``columns`` in that order; also say whether the
-    input had them in a different order (the reference reports it)."""
+    input had them in a different order."""
     present = [c for c in df.columns if c in set(columns)]
     return df.select(*columns), present != list(columns)

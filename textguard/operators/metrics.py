@@ -48,7 +48,7 @@ def evaluate(df: DataFrame, p_after: str | None = "p_after", cos: str | None = "
              fluency: str | None = "fluency", p_before: str | None = None,
              label: str | None = None, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """M8: all metrics in one pass; a metric whose column is None is skipped
-    (null in the output, the reference's "skip" switch)."""
+    (null in the output)."""
     nul = F.lit(None).cast("double")
     return df.agg(
         (sta(p_after, threshold) if p_after else nul).alias("sta"),

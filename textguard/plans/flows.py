@@ -1,4 +1,4 @@
-"""End-to-end flows (the reference's four run shapes) composed from the
+"""End-to-end flows composed from the
 operators. They return DataFrames; what several branches read is stored once,
 nothing is collected.
 
