@@ -79,12 +79,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget_words() -> None:
-    """Free the words that an encoder of this worker keeps, before a task of
-    an operator that needs the memory for something else."""
+    """Free what earlier tasks of other operators left in this worker: the
+    words an encoder keeps and Arrow's unused memory."""
     import sys
+
+    import pyarrow as pa
     tokens = sys.modules.get("textguard.llm.tokens")
     if tokens is not None:
         tokens.encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

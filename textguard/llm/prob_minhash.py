@@ -54,7 +54,7 @@ LIKELY = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
 WORDS_AT_ONCE = 200_000
 
 
-def weighted_shingles(words: np.ndarray, doc: np.ndarray | None = None, k: int = SHINGLE):
+def weighted_shingles(words: np.ndarray, k: int = SHINGLE):
     """Distinct shingles of one text and how often each stands in it."""
     return np.unique(shingle_hashes(words, k), return_counts=True)
 

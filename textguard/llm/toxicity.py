@@ -35,6 +35,8 @@ from .common import crc_fold, forget_words, store
 
 TRAIN_ROWS = 20_000
 MAX_TERMS = 5_000
+#: Entries that a task counts or keeps before it hands on or forgets them.
+FLUSH = 150_000
 #: Word beginnings of these lengths are candidates.
 SHORTEST, LONGEST = 3, 10
 #: A term stands in at least this many toxic texts, and this share of them.
@@ -117,7 +119,7 @@ class Grammar:
         got = self.cache.get(token)
         if got is None:
             got = self._spell(token)
-            if len(self.cache) >= 500_000:  # a bound on memory alone; entries are recomputed
+            if len(self.cache) >= FLUSH:  # a bound on memory alone; entries are recomputed
                 self.cache.clear()
             self.cache[token] = got
         return got
@@ -198,6 +200,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Word beginnings that mark toxic texts, with their log odds."""
 
     def count(batches):
+        forget_words()
         seen: list[Counter] = [Counter(), Counter(), Counter(), Counter()]  # tokens of clean, toxic; texts of clean, toxic
 
         def flush():
@@ -219,7 +222,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
                 mine[""] = sum(1 + math.log(n) for n in words.values())  # the totals
                 seen[y].update(mine)
                 seen[2 + y].update(mine.keys())
-                if len(seen[0]) + len(seen[1]) > 500_000:
+                if len(seen[0]) + len(seen[1]) > FLUSH:
                     yield flush()
         if any(seen):
             yield flush()
@@ -303,6 +306,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """doc_id, held_out, score, predicted, and the matches of every text."""
 
     def run(batches):
+        forget_words()
         s = model.scorer()
         for b in batches:
             p = [s(t) for t in b.column(1).to_pylist()]
