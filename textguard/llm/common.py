@@ -79,15 +79,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget_words() -> None:
-    """Free what earlier tasks of other operators left in this worker: the
-    words an encoder keeps and Arrow's unused memory."""
+    """Give back what earlier tasks of other operators left in this worker:
+    the words an encoder keeps, Arrow's unused memory and the C heap's."""
+    import ctypes
+    import gc
     import sys
 
     import pyarrow as pa
     tokens = sys.modules.get("textguard.llm.tokens")
     if tokens is not None:
         tokens.encoder.cache_clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
