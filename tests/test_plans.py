@@ -1,7 +1,8 @@
 """Plan lint over every registered query: no cross products, and a hot key
 (copies of one text) still gives whole, correct results."""
 
-import pytest
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -10,16 +11,29 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-def test_no_cross_products(spark):
+PYTHON = re.compile(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|InPandas|InArrow")
+#: Queries whose last job may run a caller's Python model.
+MODELS = ("m2_", "m3_", "m4_", "m5_")
+
+
+def test_no_cross_products_and_python_for_models_alone(spark):
     bad = {}
     for name, fn in E.queries().items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         hits = [f for f in FORBIDDEN if f in plan]
+        if not name.startswith(("op", "pipeline")):
+            stages = len(PYTHON.findall(plan))
+            hits += [f"{stages} Python stages"] * (stages > name.startswith(MODELS))
         if hits:
             bad[name] = hits
     assert not bad, bad
 
 
+def test_grouped_best_of_n_aggregates_no_text(spark):
+    plan = E.queries()["o6_best_of_n_grouped"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_hot_key_cache_and_best_of_n(spark):
     from textguard.operators.gate import with_cache
     from textguard.operators.select import best_of_n_grouped

@@ -51,7 +51,9 @@ def clean_gate_edit(df: DataFrame, key: str, text: str, terms: Sequence[str], pa
     rows (column editor or Python batch editor) -> G2 fallback to the
     original text where the result is blank. Adds ``cleaned``, ``p`` and
     ``edited``."""
-    d = df.withColumn("cleaned", T.cleanse(text, terms, patterns))
+    from ..session import materialize
+    # read by the scorer's token branch and by its join back: cleaned once
+    d = materialize(df.withColumn("cleaned", T.cleanse(text, terms, patterns)), "cleaned")
     d = scorer(d, "cleaned", "p")
     d = d.withColumn("edited", F.coalesce(P.gate("p", threshold), F.lit(False)))
     g = G.gated_edit(d, F.col("edited"), "cleaned", "_edit", editor=editor,
