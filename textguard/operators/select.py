@@ -121,8 +121,9 @@ def best_of_n_grouped(cands: DataFrame, key: str, attempt: str, gen: str, source
       scores <= 0); else the lower of (s_F, F) and M.
 
     The prepared attempts are stored once. The aggregation sees attempt
-    numbers and scores alone (``min`` over structs of numbers, so partial
-    aggregation keeps a hot key cheap); the winner's text is fetched by key.
+    numbers and scores alone (``min`` over structs of numbers, partial sort
+    aggregation without any text, so a hot key stays cheap); the winner's text
+    is fetched by key.
     Where the attempts of a key are one array, :func:`best_of_n` needs no
     shuffle at all.
     """
