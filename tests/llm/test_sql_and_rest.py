@@ -175,6 +175,23 @@ def test_given_pages(spark):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+SAID = "A long sentence, with marks in it, that goes on for a while."
+
+
+def told(n):
+    return f"<p>{' '.join([SAID] * n)}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><h1>Head</h1>{told(6)}<div class=x1><p>More from us</p><p>Our app</p></div>{told(5)}</article>",
+    f"<article><h1>Head</h1>{told(6)}<div><ul><li>One story<li>Another story</ul></div>{told(5)}</article><div class=y><p>Ours.</p></div>",
+    f"<div id=top><p>Our site</p></div><div id=text><h1>Head</h1>{told(6)}{told(5)}</div><div id=links><p>About us</p><p>Imprint</p></div>",
+])
+def test_ratios_decide(page):
+    """Unmarked boxes go, in an article and on pages without one."""
+    assert html_paths.main_text(page) == " ".join(["Head", *[SAID] * 11])
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "<p>" + "long, text. " * 30_000, "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in html_paths.extract(df).collect()) == [0, 0, 12 * 30_000 - 1]

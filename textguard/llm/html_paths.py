@@ -1,15 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
 Method: a page is a sequence of text blocks, each under a root-to-leaf path of
-tags. Over all blocks of a path the text length and the punctuation are added
-up: article paths hold long, punctuated text, menus and notices do not. The
-two ratios (characters and punctuation marks a block) are smoothed over
+tags. A block's path is that of its container: elements of running text
+(paragraphs, headings, list items, table cells, ...) at its end make no path of
+their own. Over all blocks of a path the text length and the punctuation are
+added up: article paths hold long, punctuated text, menus and notices do not.
+The two ratios (characters and punctuation marks a block) are smoothed over
 neighbouring blocks, fused (geometric mean of the two, each relative to the
 page's largest) and compared with a threshold; the paths above it are content
-nodes. Blocks of other paths in the same container (headings, short lists)
-come along unless they are mostly links. What HTML itself marks as something
-else (navigation, headers, footers, asides, forms, scripts, comments,
-elements whose class or id names an advert, a notice, ...) is never content.
+nodes, on every page alike. <article> and <main> only weigh more. Headings come
+along with the content block they stand before; blocks that are mostly links do
+not. What HTML itself marks as something else (navigation, headers, footers,
+asides, forms, scripts, comments, elements whose class or id names an advert, a
+notice, ...) is never content.
 
 Pages are independent: one pass over each whole page inside a task.
 
@@ -56,6 +59,11 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: page's best fused ratio that makes a content path.
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.25
+#: Elements of running text: they make no path of their own.
+RUNNING = HEADINGS | frozenset("""address blockquote caption dd dl dt figcaption figure header hgroup li ol p pre table tbody td tfoot th
+thead tr ul""".split())
+#: Weight of the paths under an <article> or <main>.
+PRIOR = 2.0
 #: More than this share of a block's characters in links: a menu.
 MOSTLY_LINKS = 0.6
 
@@ -170,63 +178,70 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path, relative to the page's best (0 to 1)."""
+def _tag(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def containers(found: list[Block]) -> list[tuple[str, ...]]:
+    """The path that each block counts under."""
+    known: dict[tuple[str, ...], tuple[str, ...]] = {}
+
+    def container(path: tuple[str, ...]) -> tuple[str, ...]:
+        depth = len(path)
+        while depth and _tag(path[depth - 1]) in RUNNING:
+            depth -= 1
+        return path[:depth]
+
+    for b in found:
+        if b.path not in known:
+            known[b.path] = container(b.path)
+    return [known[b.path] for b in found]
+
+
+def path_ratios(found: list[Block]) -> list[float]:
+    """Fused ratio of each block's path, relative to the page's best (0 to 1)."""
     size = [float(len(b.text)) for b in found]
     marks = [float(len(_PUNCTUATION.findall(b.text))) for b in found]
+    paths = containers(found)
 
     def smooth(x: list[float]) -> list[float]:
         before, here, after = SMOOTH
         return [(x[i - 1] if i else x[i]) * before + x[i] * here + (x[i + 1] if i + 1 < len(x) else x[i]) * after for i in range(len(x))]
 
     total: dict[tuple[str, ...], list[float]] = {}
-    for b, s, p in zip(found, smooth(size), smooth(marks), strict=True):
-        t = total.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+    for b, path, s, p in zip(found, paths, smooth(size), smooth(marks), strict=True):
+        t = total.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         t[0] += s
         t[1] += p
         t[2] += 1
         t[3] += len(b.text) * (1 - b.links)
     # characters and marks a block; the square root of the plain text keeps one long notice from beating an article
-    text = {k: t[0] / t[2] * sqrt(t[3]) for k, t in total.items()}
-    mark = {k: t[1] / t[2] * sqrt(t[3]) for k, t in total.items()}
+    weight = {k: sqrt(t[3]) / t[2] * (PRIOR if any(_tag(x) in ("article", "main") for x in k) else 1.0) for k, t in total.items()}
+    text = {k: t[0] * weight[k] for k, t in total.items()}
+    mark = {k: t[1] * weight[k] for k, t in total.items()}
     most_text, most_mark = max(text.values(), default=0) or 1.0, max(mark.values(), default=0)
-    if not most_mark:  # a page without punctuation: the text alone speaks
-        return {k: text[k] / most_text for k in total}
-    return {k: sqrt(text[k] / most_text * max(mark[k] / most_mark, 1e-3)) for k in total}
+    if most_mark:
+        fused = {k: sqrt(text[k] / most_text * max(mark[k] / most_mark, 1e-3)) for k in total}
+    else:  # a page without punctuation: the text alone speaks
+        fused = {k: text[k] / most_text for k in total}
+    best = max(fused.values(), default=0) or 1.0
+    return [fused[k] / best for k in paths]
 
 
 def content(found: list[Block]) -> list[Block]:
     """The content blocks of a page in order."""
     plain = [b for b in found if not b.other]
-    for kind in ("article", "main"):  # the page says where its article is
-        inner = [b for b in plain if any(x.split(".")[0] == kind for x in b.path)]
-        if any(b.links < MOSTLY_LINKS for b in inner):
-            plain = inner
-            break
     ratios = path_ratios(plain)
-    chosen = {k for k, v in ratios.items() if v >= THRESHOLD}
-    if not chosen:
-        return []
-    best = max(chosen, key=lambda k: (ratios[k], k))
-    # the best path's container: its deepest element that is not a paragraph-like leaf
-    depth = len(best)
-    while depth and best[depth - 1].split(".")[0] in ("p", "li", "ul", "ol", "td", "tr", "tbody", "table", "dd", "dt", "dl", "blockquote", "pre", *HEADINGS):
-        depth -= 1
-    root = best[:depth]
-    in_article = any(x.split(".")[0] in ("article", "main") for x in root)
-    if in_article:
-        depth = next(k for k, x in enumerate(root) if x.split(".")[0] in ("article", "main")) + 1
-        root = best[:depth]
-
-    def belongs(b: Block) -> bool:
-        if b.links > MOSTLY_LINKS:
-            return False
-        if b.path in chosen and b.path[:len(root)] == root:
-            return True
-        leaf = b.path[-1].split(".")[0] if b.path else ""
-        return b.path[:len(root)] == root and (in_article or leaf in HEADINGS or leaf in ("p", "li", "blockquote", "pre", "dd", "dt", "td", "th", "figcaption"))
-
-    return [b for b in plain if belongs(b)]
+    out: list[Block] = []
+    heads = False  # the next block in order that is no heading is content
+    for b, ratio in zip(reversed(plain), reversed(ratios), strict=True):
+        heading = bool(b.path) and _tag(b.path[-1]) in HEADINGS
+        kept = b.links <= MOSTLY_LINKS and (ratio >= THRESHOLD or heading and heads)
+        if kept:
+            out.append(b)
+        if not heading:
+            heads = kept
+    return out[::-1]
 
 
 def main_text(page: str | None) -> str:
@@ -258,9 +273,9 @@ def page_blocks(pages: DataFrame, key: str = "page_id", page: str = "html") -> D
             rows = []
             for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = blocks(h or "")
-                ratios = path_ratios([x for x in found if not x.other])
+                ratios = iter(path_ratios([x for x in found if not x.other]))
                 kept = {id(x) for x in content(found)}
-                rows += [(i, k, "/".join(x.path), x.text, None if x.other else ratios[x.path], id(x) in kept) for k, x in enumerate(found)]
+                rows += [(i, k, "/".join(x.path), x.text, None if x.other else next(ratios), id(x) in kept) for k, x in enumerate(found)]
             if rows:
                 i, k, p, t, r, v = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(i, b.column(0).type), pa.array(k, pa.int32()), pa.array(p), pa.array(t), pa.array(r, pa.float64()), pa.array(v)],
