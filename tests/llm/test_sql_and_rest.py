@@ -192,6 +192,16 @@ def test_ratios_decide(page):
     assert html_paths.main_text(page) == " ".join(["Head", *[SAID] * 11])
 
 
+@pytest.mark.parametrize("page", [
+    f"<div class=content><div id=part1><h2>One</h2>{told(6)}</div><div id=part2><h2>Two</h2>{told(2)}</div></div><div id=links><p>About us</p></div>",
+    f"<section id=intro><h2>One</h2>{told(6)}</section><section id=end><h2>Two</h2>{told(2)}</section>",
+    f"<article class='post first'><h2>One</h2>{told(6)}</article><article class='post last'><h2>Two</h2>{told(2)}</article>",
+    f"<div class=lead><h2>One</h2>{told(6)}</div><div class=body><h2>Two</h2>{told(2)}</div>",
+])
+def test_every_part_stays(page):
+    assert html_paths.main_text(page) == " ".join(["One", *[SAID] * 6, "Two", *[SAID] * 2])
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "<p>" + "long, text. " * 30_000, "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in html_paths.extract(df).collect()) == [0, 0, 12 * 30_000 - 1]

@@ -3,7 +3,8 @@
 Method: a page is a sequence of text blocks, each under a root-to-leaf path of
 tags. A block's path is that of its container: elements of running text
 (paragraphs, headings, list items, table cells, ...) at its end make no path of
-their own. Over all blocks of a path the text length and the punctuation are
+their own, and parts of one text (sections, articles, numbered names) count
+together. Over all blocks of a path the text length and the punctuation are
 added up: article paths hold long, punctuated text, menus and notices do not.
 The two ratios (characters and punctuation marks a block) are smoothed over
 neighbouring blocks, fused (geometric mean of the two, each relative to the
@@ -62,6 +63,9 @@ THRESHOLD = 0.25
 #: Elements of running text: they make no path of their own.
 RUNNING = HEADINGS | frozenset("""address blockquote caption dd dl dt figcaption figure header hgroup li ol p pre table tbody td tfoot th
 thead tr ul""".split())
+#: Parts of a text: their names make no path of their own.
+PARTS = frozenset("article main section".split())
+_NUMBER = re.compile(r"[0-9]+")
 #: Weight of the paths under an <article> or <main>.
 PRIOR = 2.0
 #: More than this share of a block's characters in links: a menu.
@@ -182,6 +186,12 @@ def _tag(label: str) -> str:
     return label.partition(".")[0]
 
 
+def _part(label: str) -> str:
+    """The label without what tells the parts of one text apart."""
+    tag, *names = label.split(".")
+    return ".".join([tag, *sorted({_NUMBER.sub("", n) for n in names} - {""})]) if names and tag not in PARTS else tag
+
+
 def containers(found: list[Block]) -> list[tuple[str, ...]]:
     """The path that each block counts under."""
     known: dict[tuple[str, ...], tuple[str, ...]] = {}
@@ -190,7 +200,7 @@ def containers(found: list[Block]) -> list[tuple[str, ...]]:
         depth = len(path)
         while depth and _tag(path[depth - 1]) in RUNNING:
             depth -= 1
-        return path[:depth]
+        return tuple(_part(x) for x in path[:depth])
 
     for b in found:
         if b.path not in known:
