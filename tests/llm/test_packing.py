@@ -21,6 +21,19 @@ def test_encoder_equals_the_library():
             assert t.encode(s, add_special_tokens=False).ids == ids[off[i]:off[i + 1]].tolist(), repr(s)
 
 
+def test_added_tokens_in_a_text():
+    """The ids are those of the plain library, whatever the texts around."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t, e = Tokenizer.from_file(public_tokenizers.path(TOKENIZER)), Encoder()
+    end = "<|endoftext|>"
+    texts = ["see here", f"see {end} here", end, f"{end}{end} a  b", "", f"a{end}b", f"x \n {end}", "see here  again", "<|endoftext"]
+    ids, off = e.encode(pa.array(texts))
+    for i, s in enumerate(texts):
+        assert t.encode(s, add_special_tokens=False).ids == ids[off[i]:off[i + 1]].tolist(), repr(s)
+    assert e.encode(pa.array(texts[1:2]))[0].tolist() == [3826, 220, 50256, 994]
+
+
 def test_cut():
     assert P.cut(5, 10) == [(0, 5)] and P.cut(10, 10) == [(0, 10)]
     assert P.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and P.cut(20, 10) == [(0, 10), (10, 10)]

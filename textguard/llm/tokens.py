@@ -3,7 +3,8 @@
 A byte-level BPE never merges across the start of a word that follows a
 non-space character, so a text is the concatenation of its words' ids, each
 word with the one space before it. Words repeat, so a task encodes each
-distinct word once and joins the ids as bytes.
+distinct word once and joins the ids as bytes. A text that holds the string of
+an added token (``<|endoftext|>``) is encoded whole.
 """
 
 from __future__ import annotations
@@ -40,9 +41,7 @@ def tokenizer(name: str):
     if not os.path.isabs(name):
         import public_tokenizers
         name = public_tokenizers.path(name)
-    t = Tokenizer.from_file(name)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(name)
 
 
 class Encoder:
@@ -53,6 +52,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         #: Ids whose token begins with a space: each word's first one, and no other.
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        #: Strings that the library finds in a text before it cuts words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -97,6 +98,12 @@ class Encoder:
         texts = texts.cast(pa.large_string())
         # texts with a space that is no safe cut are cut with care
         bad = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE_SPACE).to_numpy(zero_copy_only=False))
+        whole = np.zeros(len(texts), bool)  # texts with an added token's string
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        if whole.any():
+            all_texts, texts = texts, pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
+            bad = bad[~whole[bad]]
         parts = pc.split_pattern(texts, " ")
         off = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.slice(off[0], off[-1] - off[0])
@@ -114,7 +121,10 @@ class Encoder:
         entry = code.indices.to_numpy().astype(np.int64)
         cells = self._words(code.dictionary.to_numpy(zero_copy_only=False).tolist())
         # a text's first word has no space before it
-        heads = words.take(pa.array(off[:-1])).dictionary_encode()
+        heads = words.take(pa.array(off[:-1]))
+        if whole.any():
+            heads = pc.if_else(pa.array(whole), all_texts, heads)
+        heads = heads.dictionary_encode()
         entry[off[:-1]] = len(cells) + heads.indices.to_numpy()
         cells += [i.tobytes() for i in self._ids(heads.dictionary.to_numpy(zero_copy_only=False).tolist())]
         size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
