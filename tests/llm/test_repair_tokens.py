@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -30,6 +31,24 @@ def test_frequent_pairs_become_rules():
     assert len(seq) < 30 and len(rules)
 
 
+def test_no_frequent_pair_is_left():
+    """A passage that stands often is a symbol or two; also copies end to end and runs of one id."""
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 50, 1000)
+    docs = [np.concatenate((rng.integers(0, 50, rng.integers(1, 20)), passage, rng.integers(0, 50, 5))) for _ in range(200)]
+    docs += [np.tile(passage[:7], 400), np.full(5000, 3), rng.integers(0, 50, 3000)]
+    n = np.array([len(d) for d in docs])
+    ids, at = np.concatenate(docs).astype(np.uint32), np.cumsum(n) - n
+    seq, begin, rules = R.compress(ids, at, 50)
+    lengths = R.expansion_lengths(rules, 50)
+    assert (R.expand_all(seq, rules, lengths, 50) == ids).all()
+    ends = [*begin[1:], len(seq)]
+    assert [len(R.expand(seq[a:b], rules, 50)) for a, b in zip(begin, ends, strict=True)] == n.tolist()
+    pairs = [p for a, b in zip(begin.tolist(), ends, strict=True) for p in zip(seq[a:b - 1].tolist(), seq[a + 1:b].tolist(), strict=True)]
+    assert max(Counter(pairs).values()) < R.MIN_COUNT
+    assert np.median(np.diff([*begin[:201]])) < 40 and lengths.max() > 900
+
+
 def expected(rows):
     t, at, out = tokenizer(TOKENIZER), 0, []
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

@@ -3,8 +3,9 @@
 Method: the ids of all documents, in ascending doc_id order and each followed
 by the end id, are cut into shards at document boundaries. In a shard the most
 frequent id pairs are replaced by nonterminals, again and again: each round
-counts all adjacent pairs inside documents and replaces up to ``PAIRS`` of
-those that stand ``MIN_COUNT`` times or more, left to right without overlap.
+counts the adjacent pairs inside documents and replaces up to ``PAIRS`` of
+those that stand ``MIN_COUNT`` times or more, left to right without overlap,
+until no pair stands that often.
 A shard stores the rules, the expansion length of every nonterminal and the
 reduced sequence with the place where each document begins, so any document
 (or any range of its ids) is decoded without the rest of the shard.
@@ -49,7 +50,7 @@ from .tokens import TOKENIZER, encoder
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, MIN_COUNT = 4, 8192, 16
+ROUNDS, PAIRS, MIN_COUNT = None, 8192, 16
 _BITS = 18
 
 
@@ -60,25 +61,30 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * np.uint32(0x9E3779B1) + (right ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _BITS)
 
 
-def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS,
+def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int | None = ROUNDS, pairs: int = PAIRS,
              min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, document starts in it, rules): Re-Pair in rounds. ``at``:
-    where each document begins; no rule reaches over a document's end."""
+    """(sequence, document starts in it, rules): Re-Pair in rounds, as many as
+    it takes (or ``rounds``). ``at``: where each document begins; no rule
+    reaches over a document's end."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)  # the last symbol of a document opens no pair
     if len(seq):
         last[np.concatenate((at[1:], [len(seq)])) - 1] = True
     rules: list[np.ndarray] = []
     symbols = base
-    for _ in range(rounds):
-        if len(seq) < 2:
+    live = ~last  # symbols whose pair may stand often enough: pairs of old symbols only get rarer
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        at_ = np.flatnonzero(live)
+        if not len(at_):
             break
-        inside = ~last[:-1]
         # exact counts are needed only of pairs in table slots that reach the minimum
-        slot = _slots(seq[:-1], seq[1:])
-        heavy = np.bincount(slot, minlength=1 << _BITS) >= min_count
-        at_ = np.flatnonzero(inside & heavy[slot])
-        key = (seq[at_].astype(np.uint64) << np.uint64(32)) | seq[at_ + 1]
+        left, right = seq[at_], seq[at_ + 1]
+        slot = _slots(left, right)
+        heavy = np.bincount(slot, minlength=1 << _BITS)[slot] >= min_count
+        at_, slot = at_[heavy], slot[heavy]
+        key = (left[heavy].astype(np.uint64) << np.uint64(32)) | right[heavy]
         some = np.sort(key)
         if not len(some):
             break
@@ -89,20 +95,22 @@ def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int = ROUNDS, p
         pair, count = pair[ok], count[ok]
         if not len(pair):
             break
+        # slots without a pair that stands often enough are settled
+        slot_live = np.zeros(1 << _BITS, bool)
+        slot_live[_slots((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32))] = True
+        still = at_[slot_live[slot]]
         order = np.lexsort((pair, -count))[:pairs]
         pair = pair[order]
-        # one pair a table slot, the most frequent
+        # one pair a table slot, the most frequent (the others wait for the next round)
         place = _slots((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32))
         _, first = np.unique(place, return_index=True)
         first.sort()
         pair, place = pair[first], place[first]
         table = np.full(1 << _BITS, -1, np.int32)
         table[place] = np.arange(len(pair), dtype=np.int32)
-        rule = table[slot[at_]]
+        rule = table[slot]
         hit = (rule >= 0) & (pair[rule] == key)
         pos, rule = at_[hit], rule[hit]
-        if not len(pos):
-            break
         # neighbours overlap: of a run of hits every second one counts
         begins = np.concatenate(([True], np.diff(pos) > 1))
         run_start = np.maximum.accumulate(np.where(begins, pos, 0))
@@ -110,9 +118,17 @@ def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int = ROUNDS, p
         pos = pos[every]
         seq[pos] = symbols + rule[every]
         last[pos] = last[pos + 1]
+        live = np.zeros(len(seq), bool)
+        live[still] = True
+        # the new symbol's pair, and that of the symbol before it
+        live[pos] = True
         keep = np.ones(len(seq), bool)
         keep[pos + 1] = False
-        seq, last = seq[keep], last[keep]
+        before = pos - 1
+        before -= ~keep[before] & (before >= 0)
+        live[before[before >= 0]] = True
+        live &= ~last
+        seq, last, live = seq[keep], last[keep], live[keep]
         rules.append(np.stack(((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)), axis=1))
         symbols += len(pair)
     ends = np.flatnonzero(last) + 1
@@ -124,7 +140,7 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     n = np.ones(len(rules), np.int64)
     todo = np.arange(len(rules))
     size = lambda s: np.where(s < base, 1, n[np.maximum(s.astype(np.int64) - base, 0)])
-    while len(todo):  # rounds nest at most ROUNDS deep
+    while len(todo):  # as often as rules nest
         new = size(rules[todo, 0]) + size(rules[todo, 1])
         changed = new != n[todo]
         n[todo] = new
