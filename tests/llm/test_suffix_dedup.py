@@ -89,6 +89,25 @@ def test_groups_hold_all_occurrences(spark):
         assert all(len(c) == len(p) for c in covered.values())
 
 
+def test_groups_of_a_long_passage(spark):
+    """Groups end at 84 bytes; together they cover a longer passage in every document, and nothing else."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, texts, at = letters(600), [], []
+    for i in range(3):
+        before = letters(40 + i) + "ABC"[i]
+        texts.append(before + passage + "ABC"[i] + letters(60))
+        at.append(len(before))
+    rows = S.repeat_groups(documents(spark, texts)).collect()
+    assert max(r.length for r in rows) <= 2 * S.MIN_LEN - S.ANCHOR == 84
+    said, held = {}, {}
+    for r in rows:
+        said.setdefault(r.group, set()).add(texts[r.doc_id][r.start:r.start + r.length])
+        held.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert all(len(x) == 1 for x in said.values()) and all(r.n_places == 3 for r in rows)
+    assert held == {i: set(range(a, a + 600)) for i, a in enumerate(at)}
+
+
 def test_interval_tree_against_definition():
     rng = random.Random(1)
     for _ in range(100):

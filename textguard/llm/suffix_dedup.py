@@ -26,8 +26,9 @@ How it is dealt out over Spark:
 A bucket sees at most one entry per distinct string and block, so a passage
 held by a third of all documents never lands whole in one task.
 
-A repeat longer than the strings of a bucket comes out as overlapping groups
-that cover it exactly; no window of ``min_len`` bytes is lost or added.
+The strings of a bucket have at most ``2 * min_len - k`` bytes (84), and so have
+the groups. A longer repeat comes out as overlapping groups that cover it
+exactly and are not joined; no window of ``min_len`` bytes is lost or added.
 
 Edge cases: null text is empty; a null doc_id is larger than every other; rows
 with one doc_id do not remove each other's bytes; texts shorter than
@@ -506,9 +507,10 @@ def _candidate_strings(docs: DataFrame, key: str, text: str, min_len: int, k: in
 
 
 def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, anchor: int = ANCHOR) -> DataFrame:
-    """The maximal repeat groups, one row per occurrence: ``group`` (id),
-    ``length`` bytes, ``n_places``, ``doc_id``, ``start``. Strings that stand
-    once, or only in one place, give no group."""
+    """The repeat groups, one row per occurrence: ``group`` (id), ``length``
+    bytes (at most ``2 * min_len - anchor``: a longer repeat is several
+    overlapping groups), ``n_places``, ``doc_id``, ``start``. Strings that
+    stand once, or only in one place, give no group."""
 
     def run(table: pa.Table) -> pa.Table:
         cells = [unpack_arrays(c) for c in table.column("cell").to_pylist()]
