@@ -248,6 +248,17 @@ def test_odd_vectors_and_ties(spark):
         assert [x[1] for x in sorted(w)] == [i for i in range(22) if i != q][:20] and {x[2] for x in w} == {5.0}
 
 
+def test_queries_are_dealt_in_blocks(spark, monkeypatch):
+    """Blocks of vectors and of queries change no result."""
+    rng = np.random.default_rng(4)
+    df = vectors(spark, [(20 * i, rng.normal(size=8).round(3).tolist(), 0) for i in range(300)])
+    result = lambda: sorted(map(tuple, rp_forest.nearest(df, leaves=4, visits=24).collect()))
+    want = result()
+    monkeypatch.setattr(rp_forest, "BLOCK", 40)
+    assert "query_block" in rp_forest.nearest(df, leaves=4)._jdf.queryExecution().toString()
+    assert rp_forest.n_blocks(300 * 24 / (12 * 4)) > 1 and result() == want
+
+
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
