@@ -1,6 +1,6 @@
 """Rule tables: ordering, compilation, cleansing and the lexicon linter."""
 
-from conftest import one_col
+from one_column import one_col
 from textguard.functions import lexicon as L
 
 

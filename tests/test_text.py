@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from one_column import one_col
 from textguard.functions import predicates as P
 from textguard.functions import text as T
 
