@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import html_paths, license_scan, mixing, packing, prob_minhash, quality_risk, repair_tokens, rp_forest, suffix_dedup, toxicity
+from . import html_paths, license_scan, mixing, packing, prob_minhash, quality_risk, repair_tokens, rp_forest, simhash, suffix_dedup, toxicity
 from .common import ready
 
 
@@ -63,6 +63,11 @@ def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 #: name -> (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
@@ -75,6 +80,7 @@ REGISTRY = {
     "op8_license_scan": (op8_license_scan, license_scan.SQL),
     "op9_prob_minhash": (op9_prob_minhash, None),
     "op10_rp_forest": (op10_rp_forest, None),
+    "op12_simhash": (op12_simhash, None),
 }
 
 
