@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import html_paths, license_scan, mixing, packing, prob_minhash, quality_risk, repair_tokens, rp_forest, simhash, suffix_dedup, toxicity
+from . import divergence, html_paths, license_scan, mixing, packing, prefix_trie, prob_minhash, quality_risk, repair_tokens, rp_forest, simhash, suffix_dedup, toxicity
 from .common import ready
 
 
@@ -63,11 +63,21 @@ def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and by which terms."""
+    return divergence.report(read_table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.report(read_table(spark, sf_dir, "conversations"))
+
+
 #: name -> (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
@@ -80,7 +90,9 @@ REGISTRY = {
     "op8_license_scan": (op8_license_scan, license_scan.SQL),
     "op9_prob_minhash": (op9_prob_minhash, None),
     "op10_rp_forest": (op10_rp_forest, None),
+    "op11_divergence": (op11_divergence, divergence.SQL),
     "op12_simhash": (op12_simhash, None),
+    "op13_prefix_trie": (op13_prefix_trie, prefix_trie.SQL),
 }
 
 
