@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import _arr, _c, _let, is_blank, split_ws, strip_ws
+from .terms import count_hits
+from .text import _c, _let, is_blank, split_ws, strip_ws
 
 __all__ = ["gate", "is_blank", "fallback", "term_hits", "is_valid_rewrite",
            "word_overlap", "missing_columns", "require_columns"]
@@ -28,9 +29,10 @@ def fallback(new, src) -> Column:
 
 def term_hits(c, terms: Sequence[str]) -> Column:
     """Number of list entries contained in the lower-cased text
-    (duplicate entries count twice). The text is lower-cased once; the same
-    expression serves every lexicon size."""
-    return _let(F.lower(_c(c)), lambda low: F.size(F.filter(_arr(list(terms)), lambda t: F.instr(low, t) > 0)))
+    (duplicate entries count twice, an empty entry is always contained). The
+    text is lower-cased once and searched once per layer of the list, at every
+    lexicon size."""
+    return _let(F.lower(_c(c)), lambda low: count_hits(low, list(terms)))
 
 
 def is_valid_rewrite(new, src, terms: Sequence[str], min_chars: int = 3,

@@ -166,6 +166,36 @@ def p5_is_valid_rewrite(spark, sf):
     return d.select("doc_id", P.is_valid_rewrite("c", "text", TERMS).alias("valid"))
 
 
+#: A lexicon of thousands of terms: words that stand in documents labelled toxic and in no other labelled one.
+LEXICON = 5000
+_LEX_SQL = f"""w AS (SELECT DISTINCT toxic, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w FROM documents JOIN labels USING (doc_id)),
+ lex AS (SELECT w FROM w GROUP BY w HAVING min(toxic) = 1 ORDER BY md5(w) LIMIT {LEXICON}),
+ terms AS (SELECT list(w ORDER BY md5(w)) AS ts FROM lex)"""
+
+
+def lexicon(spark, sf) -> list[str]:
+    """The terms in their order: a user's list, which the driver holds."""
+    words = labelled_docs(spark, sf).select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("w"))
+    found = words.groupBy("w").agg(F.min("toxic").alias("least")).where("least = 1").orderBy(F.md5("w")).limit(LEXICON)
+    return [r.w for r in found.select("w").collect()]
+
+
+@register("p6_large_lexicon",
+          f"WITH {_LEX_SQL} SELECT doc_id, CAST(len(list_filter(ts, lambda t: contains(low, t))) AS INTEGER) AS hits "
+          "FROM (SELECT doc_id, lower(text) AS low FROM documents), terms")
+def p6_large_lexicon(spark, sf):
+    """P6 with thousands of terms: a search per layer of the lexicon."""
+    return docs(spark, sf).select("doc_id", P.term_hits("text", lexicon(spark, sf)).alias("hits"))
+
+
+@register("c1_large_lexicon",
+          f"WITH {_LEX_SQL} SELECT doc_id, list_reduce(list_prepend(text, ts), lambda acc, t: "
+          "CASE WHEN contains(lower(acc), t) THEN regexp_replace(acc, t, '', 'gi') ELSE acc END) AS out FROM documents, terms")
+def c1_large_lexicon(spark, sf):
+    """C1 with thousands of terms; the SQL deletes one after the other."""
+    return docs(spark, sf).select("doc_id", T.remove_literals("text", lexicon(spark, sf)).alias("out"))
+
+
 _SET = "list_distinct({})"
 
 
