@@ -258,8 +258,8 @@ def report(convs: DataFrame) -> DataFrame:
 
 #: crc32 of the id's digits: a byte is xored in, then eight shifts (marked -1).
 _CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
-  ch -> list_concat([CAST(ascii(ch) AS BIGINT)], list_transform(range(8), z -> CAST(-1 AS BIGINT)))))),
-  (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END))"""
+  lambda ch: list_concat([CAST(ascii(ch) AS BIGINT)], list_transform(range(8), lambda z: CAST(-1 AS BIGINT)))))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END))"""
 
 SQL = f"""
 WITH t AS (SELECT conv_id, role, text, sha256(concat(length(role), ':', role, text)) AS h, turn
