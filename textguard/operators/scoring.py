@@ -226,3 +226,63 @@ def corpus_perplexity(nll: DataFrame) -> DataFrame:
     s, n = F.sum("nll_sum"), F.sum("n_pred")
     return nll.agg(F.when(n > 0, F.exp(s / n)).otherwise(F.lit(float("inf"))).alias("corpus_ppl"),
                    n.alias("n_pred"))
+
+
+# --------------------------------------------------------------------------
+# M7 with both sides: pseudo-perplexity
+# --------------------------------------------------------------------------
+
+def _centres(ts: Column) -> Column:
+    """Each token with its left and right neighbour ('' at the ends)."""
+    return _let(ts, lambda t: F.transform(t, lambda x, i: F.struct(
+        F.coalesce(_at(t, F.when(i > 0, i)), F.lit("")).alias("l"), x.alias("w"), F.coalesce(_at(t, i + 2), F.lit("")).alias("r"))))
+
+
+class TwoSided:
+    """Counts of words between their neighbours, stored as tables.
+
+    ``P(w | l, r) = (c(l,w,r) + q) / (c(l,r) + 1)`` backs off to
+    ``q = ((c(l,w) + 1) / (c(l) + v) + (c(w,r) + 1) / (c(r) + v)) / 2``; v is the
+    number of distinct words."""
+
+    def __init__(self, reference: DataFrame, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN):
+        rows = reference.select(F.explode(_centres(tokens(text_col, pattern))).alias("x")).select("x.*")
+        c = materialize(rows.groupBy("l", "w", "r").agg(F.count("*").alias("c3")), "centres")
+        self.between = materialize(c.groupBy("l", "r").agg(F.sum("c3").alias("clr")), "centre-contexts")
+        self.after = materialize(c.groupBy("l", "w").agg(F.sum("c3").alias("clw")), "centre-left")
+        self.before = materialize(c.groupBy("w", "r").agg(F.sum("c3").alias("cwr")), "centre-right")
+        self.left = materialize(self.after.groupBy("l").agg(F.sum("clw").alias("cl")), "left-words")
+        self.right = materialize(self.before.groupBy("r").agg(F.sum("cwr").alias("cr")), "right-words")
+        self.words = int(c.select("w").distinct().count())
+        #: -ln P of every centre of the reference: those need a single lookup.
+        self.seen = materialize(self._priced(c), "centre-costs")
+
+    def _priced(self, centres: DataFrame) -> DataFrame:
+        """(l, w, r, nll) of ``centres``; ``c3`` is 0 where the column is absent."""
+        c = centres if "c3" in centres.columns else centres.withColumn("c3", F.lit(0))
+        for table, on in ((self.between, ["l", "r"]), (self.after, ["l", "w"]), (self.before, ["w", "r"]), (self.left, ["l"]), (self.right, ["r"])):
+            c = c.join(broadcast_if_small(table), on, "left")
+        n = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("double")
+        v = F.lit(float(max(1, self.words)))
+        q = ((n("clw") + 1) / (n("cl") + v) + (n("cwr") + 1) / (n("cr") + v)) / 2
+        return c.select("l", "w", "r", (-F.log((n("c3") + q) / (n("clr") + 1))).alias("nll"))
+
+
+def pseudo_nll(df: DataFrame, model: TwoSided, key: str, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
+    """M7: per text ``(key, nll_sum, n_pred, n_tokens)`` with every token
+    predicted from its two neighbours (A6 and A7 take it like
+    :func:`bigram_nll`). A text sends one row per distinct centre; a centre
+    that the reference does not have is priced once for all texts."""
+    t = df.select(F.col(key).alias("_k"), tokens(text_col, pattern).alias("_t"))
+    rows = (t.select("_k", F.size("_t").cast("long").alias("_len"), F.explode_outer(_run_lengths(_centres(F.col("_t")))).alias("_p"))
+            .select("_k", "_len", F.col("_p.w.l").alias("l"), F.col("_p.w.w").alias("w"), F.col("_p.w.r").alias("r"), F.col("_p.n").alias("_n")))
+    found = materialize(rows.join(broadcast_if_small(model.seen), ["l", "w", "r"], "left"), "centre-rows")
+    new = found.where(F.col("nll").isNull() & F.col("w").isNotNull()).select("l", "w", "r").distinct()
+    new = materialize(model._priced(new).withColumnRenamed("nll", "_new"), "new-centres")
+    # known centres do not look for a second price
+    at = F.when(F.col("nll").isNull(), F.col("w"))
+    new = broadcast_if_small(new).select(F.col("l").alias("_l"), F.col("w").alias("_w"), F.col("r").alias("_r"), "_new")
+    priced = found.join(new, (at == F.col("_w")) & (F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r")), "left")
+    cost = F.coalesce("nll", "_new") * F.col("_n")
+    return priced.groupBy("_k").agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("nll_sum"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_pred"),
+                                    F.max("_len").alias("n_tokens")).withColumnRenamed("_k", key)

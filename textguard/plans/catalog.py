@@ -667,6 +667,81 @@ def a6_corpus_perplexity(spark, sf):
     return c.select(r6(F.col("corpus_ppl")).alias("corpus_ppl"), "n_pred")
 
 
+_BUCKET = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) % 16384)"
+
+
+def _hbag_sql(cte: str, col: str, name: str) -> str:
+    return (f"{name} AS (SELECT doc_id, b, count(*) * max(idf) AS n FROM (SELECT doc_id, {_BUCKET.format('w')} AS b FROM "
+            f"(SELECT doc_id, unnest({_TOK.format(col)}) AS w FROM {cte})) JOIN idf USING (b) GROUP BY doc_id, b HAVING count(*) * max(idf) <> 0)")
+
+
+@register("m6_tfidf_similarity",
+          f"""WITH {_RW_CTE}, n AS (SELECT count(*) AS n FROM documents),
+ df AS (SELECT b, count(*) AS df FROM (SELECT DISTINCT doc_id, {_BUCKET.format('w')} AS b FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS w FROM documents)) GROUP BY b),
+ idf AS (SELECT r.b, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM range(16384) r(b) LEFT JOIN df USING (b), n),
+ {_hbag_sql('rw', 'text', 'ba')}, {_hbag_sql('rw', 'rewrite', 'bb')},
+ dotp AS (SELECT doc_id, sum(ba.n * bb.n) AS d FROM ba JOIN bb USING (doc_id, b) GROUP BY doc_id),
+ na AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM ba GROUP BY doc_id), nb AS (SELECT doc_id, sqrt(sum(n * n)) AS x FROM bb GROUP BY doc_id)
+ SELECT rw.doc_id, round(CASE WHEN na.x IS NULL OR nb.x IS NULL THEN 0.0 ELSE coalesce(d, 0) / (na.x * nb.x) END, 6) AS sim
+ FROM rw LEFT JOIN dotp USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id)""")
+def m6_tfidf_similarity(spark, sf):
+    """M6 with TF-IDF weights of the documents instead of plain counts."""
+    from ..operators.features import tfidf_similarity, train_idf
+    from ..session import materialize
+    idf = materialize(train_idf(docs(spark, sf)), "idf").select("idf").scalar()
+    return stored_rewrites(spark, sf).withColumn("idf", idf).select("doc_id", r6(tfidf_similarity("text", "rewrite", F.col("idf"))).alias("sim"))
+
+
+@register("m1_logistic_verdict", None)
+def m1_logistic_verdict(spark, sf):
+    """M1 as a logistic regression over hashed words, learned from the labels
+    outside the fifth of the ids that is held out: the verdict on every
+    document."""
+    from ..operators.features import score_logistic, train_logistic
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train_logistic(labelled_docs(spark, sf).where(~held))
+    return score_logistic(docs(spark, sf), model, out_col="p").select("doc_id", held.alias("held_out"), P.gate("p", THRESHOLD).alias("toxic"))
+
+
+@register("m1_held_out", None)
+def m1_held_out(spark, sf):
+    """Both classifiers of M1, learned on the same labels, on the held-out fifth."""
+    from ..operators.features import score_logistic, train_logistic
+    from ..operators.metrics import confusion
+    from ..operators.scoring import score_naive_bayes, train_naive_bayes
+    lab = labelled_docs(spark, sf).where("toxic is not null")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    train, test = lab.where(~held), lab.where(held)
+    weights, prior = train_naive_bayes(train)
+    scored = {"naive_bayes": score_naive_bayes(test, weights, prior, "doc_id", out_col="p"), "logistic": score_logistic(test, train_logistic(train), out_col="p")}
+    out = None
+    for name, s in scored.items():
+        c = confusion(s, "p", "toxic", THRESHOLD).select(F.lit(name).alias("model"), "tp", "fp", "tn", "fn", r6(F.col("accuracy")).alias("accuracy"))
+        out = c if out is None else out.unionAll(c)
+    return out
+
+
+_CENTRES = ("SELECT {k}, coalesce(t[i - 1], '') AS l, t[i] AS w, coalesce(t[i + 1], '') AS r FROM "
+            "(SELECT {k}, t, unnest(range(1, len(t) + 1)) AS i FROM {src})")
+_PSEUDO_SQL = f"""rt AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), rc AS ({_CENTRES.format(k='doc_id', src='rt').replace('t[i - 1]', 'CASE WHEN i > 1 THEN t[i - 1] END')}),
+ c3 AS (SELECT l, w, r, count(*) AS c3 FROM rc GROUP BY ALL), clr AS (SELECT l, r, count(*) AS clr FROM rc GROUP BY ALL),
+ clw AS (SELECT l, w, count(*) AS clw FROM rc GROUP BY ALL), cwr AS (SELECT w, r, count(*) AS cwr FROM rc GROUP BY ALL),
+ cl AS (SELECT l, count(*) AS cl FROM rc GROUP BY ALL), cr AS (SELECT r, count(*) AS cr FROM rc GROUP BY ALL), v AS (SELECT count(DISTINCT w) AS v FROM rc),
+ xt AS (SELECT doc_id, {_TOK.format('rewrite')} AS t FROM rw), xc AS ({_CENTRES.format(k='doc_id', src='xt').replace('t[i - 1]', 'CASE WHEN i > 1 THEN t[i - 1] END')}),
+ pr AS (SELECT doc_id, -ln((coalesce(c3, 0) + ((coalesce(clw, 0) + 1) / (coalesce(cl, 0) + v) + (coalesce(cwr, 0) + 1) / (coalesce(cr, 0) + v)) / 2) / (coalesce(clr, 0) + 1)) AS nll
+        FROM xc LEFT JOIN c3 USING (l, w, r) LEFT JOIN clr USING (l, r) LEFT JOIN clw USING (l, w) LEFT JOIN cwr USING (w, r) LEFT JOIN cl USING (l) LEFT JOIN cr USING (r), v),
+ s AS (SELECT doc_id, sum(nll) AS nll, count(*) AS n FROM pr GROUP BY doc_id)"""
+
+
+@register("m7_pseudo_perplexity",
+          f"WITH {_RW_CTE}, {_PSEUDO_SQL} SELECT doc_id, round(CASE WHEN n >= 3 THEN exp(nll / n) END, 6) AS ppl FROM rw LEFT JOIN s USING (doc_id)")
+def m7_pseudo_perplexity(spark, sf):
+    """M7 with both neighbours of each word (pseudo-perplexity)."""
+    from ..operators.scoring import TwoSided, pseudo_nll, text_perplexity
+    nll = pseudo_nll(stored_rewrites(spark, sf), TwoSided(docs(spark, sf)), "doc_id", "rewrite")
+    return text_perplexity(nll, "doc_id").select("doc_id", r6(F.col("ppl")).alias("ppl"))
+
+
 @register("m8_evaluate",
           f"""{_BA_SQL}, {_bag_sql('rw', 'text', 'ba')}, {_bag_sql('rw', 'rewrite', 'bb')},
  dotp AS (SELECT doc_id, sum(ba.n * bb.n) AS d FROM ba JOIN bb USING (doc_id, w) GROUP BY doc_id),
