@@ -1,9 +1,10 @@
 """Seeded sampling, splits and dense row ids.
 
-Nothing here puts a whole table (or a whole class) into one task, and only
-keys are shuffled: exact sample sizes come from counts per hash prefix and one
-ranked prefix, dense positions from the range-sorted, checkpointed order
-columns plus per-partition offsets (one row per partition).
+Nothing here puts a whole table (or a whole class) into one task. Exact sample
+sizes come from a stored table of keys: counts per hash prefix and one ranked
+prefix give the last row of a sample, and the sample is a filter with literals.
+Dense positions are those of rows written in order, plus the offset of their
+partition (one number per partition).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, materialize
 
 
 def seeded_key(seed: int | str, *cols) -> Column:
@@ -26,109 +27,112 @@ def seeded_key(seed: int | str, *cols) -> Column:
     return F.md5(F.concat(*parts))
 
 
-def _first(df: DataFrame, group: Column, sizes: DataFrame, key: str, seed: int) -> DataFrame:
-    """``df`` with ``_take``: is the row among the first ``_need`` of its
-    group (``sizes(_g, _need)``) in the order of (seeded key, ``key``)?
-
-    The border of each group is found on the keys alone: counts per hash
-    prefix give the prefix that holds it, and only that prefix (a 65536th of
-    the rows) is ranked. The rows meet one border per group and are compared
-    with it; they are not sorted, ranked or written."""
-    h = seeded_key(seed, key)
-    sizes = F.broadcast(sizes)  # one row a requested class
-    keys = df.select(group.alias("_g"), h.alias("_h"), F.col(key).alias("_key")).join(sizes, "_g").where("_need > 0")
-    keys = keys.withColumn("_p", F.substring("_h", 1, 4))
-    upto = Window.partitionBy("_g").orderBy("_p")
-    per = keys.groupBy("_g", "_need", "_p").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
-    border = per.where("_upto >= _need and _upto - _n < _need").select("_g", "_p", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_r"))
-    inside = keys.drop("_need").join(F.broadcast(border), ["_g", "_p"])
-    ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_h", "_key"))).where("_i = _r")
-    last = ranked.select("_g", F.struct(F.col("_h").alias("h"), F.col("_key").alias("k")).alias("_last"))
-    wanted = sizes.join(F.broadcast(last), "_g", "left")
-    mine = F.struct(F.col("_h0").alias("h"), F.col(key).alias("k"))
-    out = df.withColumn("_g", group).withColumn("_h0", h).join(F.broadcast(wanted), "_g", "left")
-    take = (F.col("_need") > 0) & (F.col("_last").isNull() | (mine <= F.col("_last")))
-    return out.withColumn("_take", F.coalesce(take, F.lit(False))).drop("_g", "_h0", "_need", "_last")
-
-
-def _among_first(df: DataFrame, need: Column, key: str, seed: int) -> Column:
-    """Is a row of ``df`` among the first ``need`` of all? The same border, as
-    scalar subqueries over the keys."""
-    h = seeded_key(seed, key)
-    keys = df.select(h.alias("_h"), F.col(key).alias("_key")).withColumn("_p", F.substring("_h", 1, 4))
-    per = keys.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy("_p")))  # 65536 rows
-    border = per.where((F.col("_upto") >= need) & (F.col("_upto") - F.col("_n") < need))
-    prefix, rank = border.select("_p").scalar(), border.select(need - F.col("_upto") + F.col("_n")).scalar()
-    ranked = keys.where(F.col("_p") == prefix).withColumn("_i", F.row_number().over(Window.orderBy("_h", "_key"))).where(F.col("_i") == rank)
-    last = ranked.select(F.struct(F.col("_h").alias("h"), F.col("_key").alias("k"))).scalar()
-    mine = F.struct(h.alias("h"), F.col(key).alias("k"))
-    return F.coalesce((need > 0) & (last.isNull() | (mine <= last)), F.lit(False))
-
-
-def _wanted(df: DataFrame, kind: str, sizes: dict) -> DataFrame:
-    return df.sparkSession.createDataFrame([(v, int(n)) for v, n in sizes.items()], f"_g {kind}, _need long")
+#: Rows of a group's border prefix that are ranked at most; a longer prefix is taken beyond.
+RANKED = 10_000
+_DIGITS, _LENGTH = 4, 32  # hex digits a step, of the key
+
+
+def _borders(keys: DataFrame, need: dict, kind: str) -> dict:
+    """For each group the (hash, key) of its ``need``-th row in hash order,
+    None if it has fewer rows. ``keys(_g, _h, _key)`` is a stored table.
+
+    Counts per hash prefix give the prefix that holds the row, four digits at a
+    time, until few rows share it; those are ranked. One row per requested
+    group comes to the driver each time."""
+    spark = keys.sparkSession
+    left, found = {g: ("", n) for g, n in need.items() if n > 0}, {g: None for g in need}
+    while left:
+        at = spark.createDataFrame([(g, p, len(p), int(n)) for g, (p, n) in left.items()], f"_g {kind}, _p string, _len int, _need long")
+        rows = keys.join(F.broadcast(at), "_g").where(F.col("_h").startswith(F.col("_p")))  # the requested groups
+        step = F.substring(F.col("_h"), F.col("_len") + 1, F.lit(_DIGITS))
+        per = rows.groupBy("_g", "_p", "_need", step.alias("_s")).agg(F.count("*").alias("_n"))
+        per = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_g").orderBy("_s")))  # 65536 rows a group at most
+        border = per.where("_upto >= _need and _upto - _n < _need").collect()
+        left, rank = {}, {}
+        for r in border:
+            place = r["_p"] + r["_s"], r["_need"] - r["_upto"] + r["_n"]
+            (rank if r["_n"] <= RANKED or len(place[0]) >= _LENGTH else left)[r["_g"]] = place
+        if rank:
+            at = spark.createDataFrame([(g, p, int(n)) for g, (p, n) in rank.items()], f"_g {kind}, _p string, _need long")
+            rows = keys.join(F.broadcast(at), "_g").where(F.col("_h").startswith(F.col("_p")))
+            rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_key"))).where("_i = _need")
+            found.update({r["_g"]: (r["_h"], r["_key"]) for r in rows.collect()})
+    return found
+
+
+def _upto(h: Column, key: str, border: tuple | None) -> Column:
+    if border is None:
+        return F.lit(True)
+    return (h < border[0]) | ((h == border[0]) & (F.col(key) <= F.lit(border[1])))
+
+
+def _stored_keys(df: DataFrame, group: Column, key: str, seed: int) -> DataFrame:
+    return materialize(df.select(group.alias("_g"), seeded_key(seed, key).alias("_h"), F.col(key).alias("_key")), "sample-keys")
 
 
 def sample_per_class(df: DataFrame, label: str | Sequence[str], sizes: dict, key: str, seed: int = 42) -> DataFrame:
     """O1: for each class value ``v`` in ``sizes``, the first ``sizes[v]`` rows
-    in seeded-shuffle order (ties broken by ``key``), all classes in one scan.
-    ``label`` may name several columns; the classes are then tuples."""
+    in seeded-shuffle order (ties broken by ``key``). ``label`` may name several
+    columns; the classes are then tuples.
+
+    Class, hash and key are stored once; the last row of each class is found on
+    them, and the sample is a filter of ``df`` with literals."""
     if isinstance(label, str):
-        group, wanted = F.col(label), _wanted(df, df.schema[label].dataType.simpleString(), sizes)
+        group, kind, need = F.col(label), df.schema[label].dataType.simpleString(), sizes
     else:
-        group = F.concat_ws("/", *[F.col(c).cast("string") for c in label])
-        wanted = _wanted(df, "string", {"/".join(map(str, v)): n for v, n in sizes.items()})
-    return _first(df, group, wanted, key, seed).where("_take").drop("_take")
+        group, kind = F.concat_ws("/", *[F.col(c).cast("string") for c in label]), "string"
+        need = {"/".join(map(str, v)): n for v, n in sizes.items()}
+    borders = _borders(_stored_keys(df, group, key, seed), need, kind)
+    h, take = seeded_key(seed, key), F.lit(False)
+    for g, border in borders.items():
+        if need[g] > 0:
+            take = take | ((group == F.lit(g)) & _upto(h, key, border))
+    return df.where(take)
 
 
 def class_filter(df: DataFrame, label: str, value: int = 1) -> DataFrame:
-    """Rows of one class; all rows when the class has no member (a scalar
-    subquery over the label column, planned with the query)."""
-    known = df.select(F.coalesce(F.max((F.col(label) == value).cast("int")), F.lit(0)).alias("n")).scalar()
-    return df.where((F.col(label) == value) | (known == 0))
+    """Rows of one class; all rows when the class has no member (looked
+    for first, in the label column alone)."""
+    known = df.select(F.max((F.col(label) == value).cast("int")).alias("n")).first()["n"]
+    return df.where(F.col(label) == value) if known else df
 
 
 def dense_id(df: DataFrame, order_by: Sequence[str], out_col: str = "_idx") -> DataFrame:
     """U4: 0-based dense position in ``order_by`` order (must be a total order).
 
-    The order columns alone are range-sorted (distributed) and checkpointed,
-    so partitions are fixed; position = offset of the partition + position
-    inside the partition. Other columns join back on the order columns.
+    The rows are range-sorted and written once; the partitions are then fixed,
+    and a position is the offset of the partition plus the place inside it. No
+    row is joined back.
     """
-    rest = [c for c in df.columns if c not in order_by]
-    ordered = df.select(*order_by).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    ordered = cut_lineage(ordered.withColumn("_pid", F.spark_partition_id())
-                          .withColumn("_mid", F.monotonically_increasing_id()))
-    sizes = ordered.groupBy("_pid").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pid, mid, off, n = "_pid", "_mid", "_off", "_n"
+    rows = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    rows = materialize(rows.withColumn(pid, F.spark_partition_id()).withColumn(mid, F.monotonically_increasing_id()), "sorted-rows")
     # one row per partition: bounded by the partition count, safe to broadcast
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    ids = (ordered.join(F.broadcast(offsets), "_pid")
-           .withColumn(out_col, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off"))
-    if not rest:
-        return ids
-    on = None
-    for i, c in enumerate(order_by):
-        ids = ids.withColumnRenamed(c, f"_o{i}")
-        same = F.col(c).eqNullSafe(F.col(f"_o{i}"))
-        on = same if on is None else on & same
-    return df.join(ids, on).drop(*[f"_o{i}" for i in range(len(order_by))])
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(pid).agg(F.count("*").alias(n)).select(pid, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
+    place = F.col(mid) - F.shiftleft(F.col(pid).cast("long"), 33)
+    return rows.join(F.broadcast(offsets), pid).withColumn(out_col, (F.col(off) + place).cast("long")).drop(pid, mid, off)
 
 
 def train_val_split(df: DataFrame, frac: float, key: str, seed: int = 42,
                     out_col: str = "split") -> DataFrame:
     """O2: exactly ``ceil(n * frac)`` rows marked 'val' (smallest seeded
     keys), the rest 'train'. ``key`` is unique."""
-    need = df.agg(F.ceil(F.count("*") * F.lit(frac)).cast("long")).scalar()
-    return df.withColumn(out_col, F.when(_among_first(df, need, key, seed), "val").otherwise("train"))
+    keys = _stored_keys(df, F.lit(0), key, seed)
+    need = keys.select(F.ceil(F.count("*") * F.lit(frac)).cast("long").alias("n")).first()["n"]
+    val = _upto(seeded_key(seed, key), key, _borders(keys, {0: need}, "int")[0]) if need else F.lit(False)
+    return df.withColumn(out_col, F.when(val, "val").otherwise("train"))
 
 
 def validation_slice(df: DataFrame, train: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """O3: ``n`` rows not used for training (anti join on ``key``), the first
     in seeded order."""
-    rest = df.join(train.select(key).distinct(), key, "left_anti")
-    return rest.where(_among_first(rest, F.lit(int(n)).cast("long"), key, seed))
+    used = materialize(train.select(key).distinct(), "train-keys")
+    rest = df.join(broadcast_if_small(used), key, "left_anti")
+    if n <= 0:
+        return rest.limit(0)
+    border = _borders(_stored_keys(rest, F.lit(0), key, seed), {0: n}, "int")[0]
+    return rest.where(_upto(seeded_key(seed, key), key, border))
 
 
 def contiguous_split(df: DataFrame, k: int, order_by: Sequence[str], out_col: str = "part") -> DataFrame:

@@ -11,11 +11,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import require_columns
-from ..session import cut_lineage
+from ..session import broadcast_if_small, materialize
 
 # The rewrite table layout.
 REWRITE_COLUMNS = ("ID", "tat_toxic", "tat_detox1")
@@ -99,13 +99,20 @@ def read_labelled(df: DataFrame, text_candidates: Sequence[str] = ("text", "sent
 
 def read_line_cache(spark: SparkSession, path: str, key: str = "_pos") -> DataFrame:
     """One value per line, with its 0-based line number (line order is
-    the meaning, so the position is made explicit)."""
-    from ..operators.sampling import dense_id
+    the meaning, so the position is made explicit).
+
+    Lines are counted per split of each file; a line's number is its place in
+    the split plus the lines of the splits before it. No line is shuffled,
+    sorted or written."""
     raw = spark.read.text(path).select("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_m"), "value")
-    # parts by number (part-99999 before part-100000), splits by their place in the file, lines as read
+    per = materialize(raw.groupBy("file_name", "file_block_start").agg(F.count("*").alias("_n"), F.min("_m").alias("_first")), "line-counts")
+    # parts by number (part-99999 before part-100000), splits by their place in the file
     number = F.coalesce(F.regexp_extract("file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
-    rows = cut_lineage(raw.select(number.alias("_n"), F.col("file_name").alias("_f"), F.col("file_block_start").alias("_b"), "_m", "value"))
-    return dense_id(rows, ["_n", "_f", "_b", "_m"], key).select(key, "value")
+    before = Window.orderBy(number, "file_name", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    per = materialize(per.select("file_name", "file_block_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "line-offsets")
+    rows = raw.join(broadcast_if_small(per), ["file_name", "file_block_start"], "left")
+    place = F.when(F.col("_off").isNull(), F.raise_error(F.lit("a split has changed since its lines were counted")).cast("long")).otherwise(F.col("_m") - F.col("_first") + F.col("_off"))
+    return rows.select(place.alias(key), "value")
 
 
 def write_cache(df: DataFrame, path: str, key: str = "key", value: str = "value",
