@@ -20,6 +20,34 @@ from ..session import materialize, ship_package
 BatchFn = Callable[[list], list]
 
 
+def _model_column(factory: Callable[[], BatchFn], batch_size: int, out_type: T.DataType, what: str, skip_null: bool):
+    """A list-in / list-out model as a column function: Arrow carries the one
+    text column, the other columns stay in the JVM. The model is built once
+    per task, when the first text arrives."""
+    from pyspark.sql.functions import pandas_udf
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = None
+        for texts in batches:
+            given = texts.astype(object).where(texts.notna(), None)
+            at = [i for i, x in enumerate(given) if x is not None] if skip_null else list(range(len(given)))
+            out = [None] * len(given)
+            if at and fn is None:
+                fn = factory()
+            for lo in range(0, len(at), batch_size):
+                rows = at[lo:lo + batch_size]
+                got = list(fn([given.iloc[i] for i in rows]))
+                if len(got) != len(rows):
+                    raise ValueError(f"{what} returned {len(got)} items for {len(rows)}")
+                for i, x in zip(rows, got, strict=True):
+                    out[i] = x
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    # a model's answer is not computed twice or moved past a filter
+    return pandas_udf(run, out_type).asNondeterministic()
+
+
 def gated_edit(df: DataFrame, gate, text: str, out_col: str,
                editor: Callable[[Column], Column] | None = None,
                batch_editor: Callable[[], BatchFn] | None = None,
@@ -28,10 +56,11 @@ def gated_edit(df: DataFrame, gate, text: str, out_col: str,
 
     ``editor`` is a column function (runs JVM-side; CASE evaluates it only
     for gated rows). ``batch_editor`` is a factory returning a list-in /
-    list-out Python function (a model): it is built once per task and sees
-    only the gated rows of each Arrow batch, ``batch_size`` at a time; the
-    output must have one item per input. One narrow ``mapInPandas``, no
-    shuffle.
+    list-out Python function (a model): it is built once per task that has a
+    gated row and sees only the gated texts of each Arrow batch, ``batch_size``
+    at a time; the output must have one item per input. Only those texts go
+    through Python (null for the other rows); a gated null has no text to edit
+    and stays null. No shuffle.
     """
     g = _c(gate) if not isinstance(gate, str) else F.col(gate)
     if editor is not None:
@@ -39,52 +68,19 @@ def gated_edit(df: DataFrame, gate, text: str, out_col: str,
     if batch_editor is None:
         raise ValueError("give editor or batch_editor")
     ship_package(df.sparkSession)
-    gated = df.withColumn("_gate", F.coalesce(g, F.lit(False)))
-    schema = T.StructType(gated.schema.fields + [T.StructField(out_col, T.StringType(), True)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = batch_editor()
-        for pdf in batches:
-            out = pdf[text].astype(object).copy()
-            mask = pdf["_gate"].to_numpy(dtype=bool)
-            if mask.any():
-                src = pdf.loc[mask, text].tolist()
-                res = []
-                for i in range(0, len(src), batch_size):
-                    chunk = src[i:i + batch_size]
-                    got = list(fn(chunk))
-                    if len(got) != len(chunk):
-                        raise ValueError(f"editor returned {len(got)} items for {len(chunk)}")
-                    res.extend(got)
-                out.loc[mask] = res
-            pdf[out_col] = out
-            yield pdf
-
-    return gated.mapInPandas(run, schema).drop("_gate")
+    model = _model_column(batch_editor, batch_size, T.StringType(), "editor", skip_null=True)
+    gated = df.withColumn("_gate", F.coalesce(g, F.lit(False))).withColumn("_edit", model(F.when(F.col("_gate"), F.col(text))))
+    return gated.withColumn(out_col, F.when(F.col("_gate"), F.col("_edit")).otherwise(F.col(text))).drop("_gate", "_edit")
 
 
 def batch_map(df: DataFrame, factory: Callable[[], BatchFn], in_col: str, out_col: str,
-              batch_size: int = 16, out_type: T.DataType = T.StringType()) -> DataFrame:
+              batch_size: int = 16, out_type: T.DataType | None = None) -> DataFrame:
     """M2: apply a list-in/list-out model to every row; the model is built
-    once per task, row count and order per batch are checked."""
+    once per task, row count and order per batch are checked. Only ``in_col``
+    goes through Python."""
     ship_package(df.sparkSession)
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type, True)])
-
-    def run(batches):
-        fn = factory()
-        for pdf in batches:
-            src = pdf[in_col].tolist()
-            res = []
-            for i in range(0, len(src), batch_size):
-                chunk = src[i:i + batch_size]
-                got = list(fn(chunk))
-                if len(got) != len(chunk):
-                    raise ValueError(f"model returned {len(got)} items for {len(chunk)}")
-                res.extend(got)
-            pdf[out_col] = pd.Series(res, index=pdf.index, dtype=object)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+    model = _model_column(factory, batch_size, out_type or T.StringType(), "model", skip_null=False)
+    return df.withColumn(out_col, model(F.col(in_col)))
 
 
 def first_available(factories: Sequence[Callable[[], BatchFn]]) -> Callable[[], BatchFn]:
