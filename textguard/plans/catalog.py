@@ -1157,6 +1157,43 @@ def m4_pivot_edit(spark, sf):
                       ascii_lower_model).select("doc_id", "out")
 
 
+def _stage_caches(spark, names) -> dict:
+    import uuid
+
+    from ..operators.caches import BucketedCache
+    tag = uuid.uuid4().hex[:12]
+    return {n: BucketedCache(spark, f"textguard_{n}_{tag}", 8) for n in names}
+
+
+_STAGES = ("forward", "edit", "back")
+
+
+@register("m4_cached_stages", f"SELECT doc_id, {_PIVOT_SQL} AS out FROM documents")
+def m4_cached_stages(spark, sf):
+    """M4 with a bucketed cache before each of the three models. The first run
+    fills the caches from the labelled documents, they are compacted, and the
+    second one asks the models for the other texts alone."""
+    from ..operators.caches import cached_stages
+    caches = _stage_caches(spark, _STAGES)
+    stages = list(zip(_STAGES, (ascii_upper_model, drop_marked_words_model, ascii_lower_model), strict=True))
+    hits = P.term_hits("text", TERMS) >= 1
+    first = cached_stages(labelled_docs(spark, sf).select("doc_id", "text"), hits, "text", "out", stages, caches)
+    first.write.format("noop").mode("overwrite").save()
+    for c in caches.values():
+        c.compact()
+    return cached_stages(docs(spark, sf).select("doc_id", "text"), hits, "text", "out", stages, caches).select("doc_id", "out")
+
+
+@register("s12_stream_cached_stages", f"SELECT doc_id, {_PIVOT_SQL} AS out FROM documents")
+def s12_stream_cached_stages(spark, sf):
+    """M4 with its caches on a stream of the documents."""
+    from ..streaming.stream import documents_stream, run_pivot_stream
+    stages = list(zip(_STAGES, (ascii_upper_model, drop_marked_words_model, ascii_lower_model), strict=True))
+    out = run_pivot_stream(spark, documents_stream(spark, sf).select("doc_id", "text"), P.term_hits("text", TERMS) >= 1, "text", "out",
+                           stages, _stage_caches(spark, _STAGES), _scratch(spark, "pivot-stream"))
+    return out.select("doc_id", "out")
+
+
 _RT = f"translate({_UP}, {S.q(_ASCII_UPPER)}, {S.q(_ASCII_LOWER)})"
 
 
