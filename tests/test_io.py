@@ -163,3 +163,28 @@ def test_raw_tsv_writer_round_trip_and_refusal(spark):
     bad = spark.createDataFrame([("1", "a\tb")], "ID string, tat_toxic string")
     with pytest.raises(Exception):
         IO.write_raw_tsv(bad, os.path.join(scratch(), "bad"))
+
+
+def test_language_as_a_folder(spark, tmp_path):
+    rows = [(1, "a", 1, "en"), (2, "b", 0, "tt"), (3, "c", None, "en"), (4, "d", 1, "07")]
+    df = spark.createDataFrame(rows, "id int, sentence string, toxic int, lang string")
+    keyed, plain = str(tmp_path / "keyed"), str(tmp_path / "plain")
+    df.write.partitionBy("lang").parquet(keyed)
+    for lang in ("en", "tt"):
+        df.where(F.col("lang") == lang).drop("lang").write.parquet(f"{plain}/{lang}")
+    one = IO.read_split_corpus(spark, keyed, lang="en")
+    assert sorted(map(tuple, one.select("id", "text", "label", "lang").collect())) == [(1, "a", 1, "en"), (3, "c", None, "en")]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "lang" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.lang for r in IO.read_split_corpus(spark, keyed).collect()} >= {"en", "tt"}
+    assert sorted(r.id for r in IO.read_split_corpus(spark, plain, lang="tt").collect()) == [2]
+    assert sorted((r.id, r.lang) for r in IO.read_split_corpus(spark, plain).collect()) == [(1, "en"), (2, "tt"), (3, "en")]
+    with pytest.raises(FileNotFoundError):
+        IO.read_split_corpus(spark, plain, lang="xx")
+
+
+def test_quoted_files_end_after_some_rows(spark, tmp_path):
+    path = str(tmp_path / "tsv")
+    IO.write_tsv(spark.range(25).select(F.col("id"), F.lit("two\nlines").alias("t")).coalesce(1), path, file_rows=10)
+    back = IO.read_tsv(spark, path, quoted=True)
+    assert back.rdd.getNumPartitions() >= 1 and len(back.inputFiles()) == 3 and back.count() == 25

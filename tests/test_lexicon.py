@@ -31,3 +31,11 @@ def test_lint_reports_duplicates_shadowed_and_mixed_script():
     assert (2, "shadowed") in kinds
     assert (4, "mixed_script") in kinds
     assert not any(i["index"] == 3 for i in issues)
+
+
+def test_rule_report_shadowed_and_made(spark):
+    from textguard.functions.lexicon import rule_report
+    rules = [(r"\bbad\w*", ""), (r"badly", "x"), (r"ab", ""), (r"ac", ""), (r"never", "")]
+    df = spark.createDataFrame([("badly done",), ("aabc",), (None,), ("an abc",)], "t string")
+    got = [tuple(r) for r in rule_report(df, "t", rules).orderBy("rule").collect()]
+    assert got == [(0, r"\bbad\w*", 1, 1, 0, 0), (1, "badly", 1, 0, 1, 0), (2, "ab", 2, 2, 0, 0), (3, "ac", 0, 1, 0, 1), (4, "never", 0, 0, 0, 0)]

@@ -13,8 +13,10 @@ import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .text import apply_rules, cleanse, remove_literals, remove_patterns
+from .regex import python_repl_to_java
+from .text import _c, apply_rules, cleanse, java_pattern, remove_literals, remove_patterns
 
 RULES_SCHEMA = "priority int, kind string, pattern string, replacement string, grp string"
 
@@ -99,3 +101,32 @@ def lint(terms: list[str]) -> list[dict]:
             issues.append({"index": i, "term": t, "issue": "mixed_script", "other": None})
         seen[low] = i
     return issues
+
+
+def rule_hits(c, rules: list[tuple[str, str]]) -> Column:
+    """Per row and rule (python regex, replacement): does it match the text
+    alone, and does it match what the rules before it have left? An
+    ``array<struct<alone boolean, chain boolean>>`` in rule order, from one
+    fold along the chain."""
+    chain = F.array(*[F.struct(F.lit(java_pattern(p)).alias("p"), F.lit(python_repl_to_java(r)).alias("r")) for p, r in rules])
+    begin = F.struct(_c(c).alias("text"), F.array().cast("array<struct<alone:boolean,chain:boolean>>").alias("hits"))
+
+    def step(state, rule):
+        text = state["text"]
+        hit = F.struct(F.coalesce(F.regexp_like(_c(c), rule["p"]), F.lit(False)).alias("alone"), F.coalesce(F.regexp_like(text, rule["p"]), F.lit(False)).alias("chain"))
+        return F.struct(F.regexp_replace(text, rule["p"], rule["r"]).alias("text"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+    return F.aggregate(chain, begin, step, lambda state: state["hits"])
+
+
+def rule_report(df: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """Which rules fire: per rule (``rule`` from 0, ``pattern``) the rows it
+    matches alone (``n_alone``), the rows it matches in the chain (``n_chain``),
+    those an earlier rule has taken from it (``n_shadowed``) and those an earlier
+    rule has made (``n_made``). Rules that never fire are rows too."""
+    hits = df.select(F.posexplode(rule_hits(text, rules)).alias("rule", "x"))
+    alone, chain = F.col("x")["alone"], F.col("x")["chain"]
+    counts = hits.groupBy("rule").agg(F.count_if(alone).alias("n_alone"), F.count_if(chain).alias("n_chain"),
+                                      F.count_if(alone & ~chain).alias("n_shadowed"), F.count_if(chain & ~alone).alias("n_made"))
+    names = df.sparkSession.createDataFrame([(i, p) for i, (p, _) in enumerate(rules)], "rule int, pattern string")
+    out = names.join(F.broadcast(counts), "rule", "left")  # one row a rule
+    return out.select("rule", "pattern", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_alone", "n_chain", "n_shadowed", "n_made")])

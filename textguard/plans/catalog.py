@@ -304,6 +304,25 @@ def c8_rule_clean(spark, sf):
     return docs(spark, sf).select("doc_id", T.rule_clean("text", RULES, FALLBACK_RULES).alias("out"))
 
 
+def _rule_report_sql() -> str:
+    """The text before each rule, then the rule against it and against the source."""
+    steps, expr = [], "text"
+    for i, (p, _) in enumerate(RULES):
+        pattern = _RULES_SQL[p][0]
+        steps.append(f"SELECT {i} AS rule, {S.q(p)} AS pattern, regexp_matches(text, {S.q(pattern)}, 'i') AS a, regexp_matches({expr}, {S.q(pattern)}, 'i') AS c FROM documents")
+        expr = _rules_sql(expr, [RULES[i]])
+    n = lambda x: f"CAST(count(*) FILTER ({x}) AS BIGINT)"
+    return (f"SELECT rule, pattern, {n('a')} AS n_alone, {n('c')} AS n_chain, {n('a AND NOT c')} AS n_shadowed, {n('c AND NOT a')} AS n_made "
+            f"FROM ({' UNION ALL '.join(steps)}) GROUP BY rule, pattern")
+
+
+@register("c8_rule_report", _rule_report_sql())
+def c8_rule_report(spark, sf):
+    """Which rules of the ladder fire alone, and which in the chain."""
+    from ..functions.lexicon import rule_report
+    return rule_report(docs(spark, sf), "text", RULES)
+
+
 @register("c9_filter_tokens", f"SELECT doc_id, {S.filter_tokens('text', TERMS, REPLACEMENTS)} AS out {_EN}")
 def c9_filter_tokens(spark, sf):
     return docs(spark, sf).select("doc_id", T.filter_tokens("text", TERMS, REPLACEMENTS).alias("out"))
@@ -1572,6 +1591,15 @@ def s3_read_labelled(spark, sf):
     return IO.read_labelled(lab, ("sentence", "text"), ("label", "toxic"), lang="en").select("doc_id", "text", "label")
 
 
+@register("s3_split_key", f"SELECT doc_id, text, toxic AS label, lang FROM {_LABELLED} WHERE lang = 'en'")
+def s3_split_key(spark, sf):
+    """S3 + P4 with a folder per language: the other folders are not read."""
+    from ..sources import io as IO
+    root = _scratch(spark, "split")
+    labelled_docs(spark, sf).select("doc_id", F.col("text").alias("sentence"), "toxic", "lang").write.partitionBy("lang").parquet(root)
+    return IO.read_split_corpus(spark, root, "lang", lang="en").select("doc_id", "text", "label", "lang")
+
+
 @register("s4_line_cache_round_trip",
           f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS pos, {_C15_SQL} AS value FROM documents")
 def s4_line_cache_round_trip(spark, sf):

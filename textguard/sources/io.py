@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import require_columns
-from ..session import broadcast_if_small, materialize
+from ..session import _path, broadcast_if_small, materialize
 
 # The rewrite table layout.
 REWRITE_COLUMNS = ("ID", "tat_toxic", "tat_detox1")
@@ -44,11 +44,16 @@ def read_tsv(spark: SparkSession, path, required: Sequence[str] = (), quoted: bo
     return require_columns(df, required)
 
 
-def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:
+#: Rows of a quoted file at most: a file with line breaks inside fields is read by one task.
+FILE_ROWS = 100_000
+
+
+def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None, file_rows: int = FILE_ROWS) -> None:
     """Quoted TSV directory that :func:`read_tsv` (quoted=True) reads back;
-    ``partition_by``: one folder per value, all in one pass."""
+    ``partition_by``: one folder per value, all in one pass. A file ends after
+    ``file_rows`` rows, so that a reader has as many tasks as the table needs."""
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    (writer.mode(mode).option("sep", "\t").option("header", True)
+    (writer.mode(mode).option("sep", "\t").option("header", True).option("maxRecordsPerFile", file_rows)
      .option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
@@ -97,6 +102,33 @@ def read_labelled(df: DataFrame, text_candidates: Sequence[str] = ("text", "sent
     return df.select(*cols)
 
 
+def read_split_corpus(spark: SparkSession, root: str, split_col: str = "lang", lang: str | None = None,
+                      text_candidates: Sequence[str] = ("text", "sentence"), label_candidates: Sequence[str] = ("toxic", "label"),
+                      fmt: str = "parquet") -> DataFrame:
+    """S3 where the language is a split key: a folder per language below
+    ``root``, named ``<split_col>=<value>`` or by the value alone. The folders
+    become the column ``split_col``; with ``lang`` (P4) the other folders are not
+    read."""
+    names = _folders(spark, root)
+    if any(n.startswith(f"{split_col}=") for n in names):
+        df = spark.read.format(fmt).load(root)
+        df = df.withColumn(split_col, F.col(split_col).cast("string"))
+    else:
+        names = [n for n in names if not n.startswith(("_", ".")) and lang in (None, n)]
+        if not names:
+            raise FileNotFoundError(f"no folder {lang or ''} below {root}")
+        df = None
+        for n in names:
+            part = spark.read.format(fmt).load(f"{root}/{n}").withColumn(split_col, F.lit(n))
+            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    return read_labelled(df, text_candidates, label_candidates, lang, split_col)
+
+
+def _folders(spark: SparkSession, root: str) -> list[str]:
+    p, fs = _path(spark, root)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+
+
 def read_line_cache(spark: SparkSession, path: str, key: str = "_pos") -> DataFrame:
     """One value per line, with its 0-based line number (line order is
     the meaning, so the position is made explicit).
@@ -151,7 +183,7 @@ def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "tsv", quot
 def write_results(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """K2: per-row evaluation / preview / round-trip tables."""
     if fmt == "csv":
-        (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+        (df.write.mode(mode).option("header", True).option("maxRecordsPerFile", FILE_ROWS).option("quote", '"').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         df.write.mode(mode).parquet(path)
