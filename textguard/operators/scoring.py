@@ -130,23 +130,34 @@ def score_naive_bayes_many(df: DataFrame, weights: DataFrame, prior: float, key:
     explode of all bags, one join to the weights, one aggregation per key
     with a conditional sum per column, one join back."""
     names = list(outputs)
+    sums = _nb_parts(df, weights, key, list(outputs.values()), pattern).groupBy("_nb_key").agg(*_nb_sums(len(names)))
+    out = df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
+    for i, o in enumerate(names):
+        out = out.withColumn(o, _nb_probability(prior, F.col(f"_nb_s{i}")))
+    return out.drop(*[f"_nb_s{i}" for i in range(len(names))])
+
+
+def _nb_sums(n: int) -> list[Column]:
+    return [F.sum(F.when(F.col("_nb_c") == i, F.col("_nb_x"))).alias(f"_nb_s{i}") for i in range(n)]
+
+
+def _nb_probability(prior: float, total: Column) -> Column:
+    logit = F.lit(float(prior)) + F.coalesce(total, F.lit(0.0))
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))))
+
+
+def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
+    """(_nb_key, _nb_c, _nb_x): what each known word of a text adds to its
+    logit; ``_nb_c`` numbers the text columns."""
     def tag(i):  # one-argument lambda: a second parameter would be read as the index
         return lambda x: F.struct(F.lit(i).alias("c"), x["w"].alias("w"), x["n"].alias("n"))
-    bags = [F.transform(token_counts(outputs[o], pattern), tag(i)) for i, o in enumerate(names)]
+    bags = [F.transform(token_counts(t, pattern), tag(i)) for i, t in enumerate(texts)]
     allbags = bags[0] if len(bags) == 1 else F.concat(*bags)
     bag = df.select(F.col(key).alias("_nb_key"), F.explode(allbags).alias("_nb_b")) \
         .select("_nb_key", F.col("_nb_b.c").alias("_nb_c"), F.col("_nb_b.w").alias("_nb_word"),
                 F.col("_nb_b.n").alias("_nb_n"))
     w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
-    sums = (bag.join(w, "_nb_word").groupBy("_nb_key")
-            .agg(*[F.sum(F.when(F.col("_nb_c") == i, F.col("_nb_n") * F.col("_nb_w"))).alias(f"_nb_s{i}")
-                   for i in range(len(names))]))
-    out = df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
-    for i, o in enumerate(names):
-        logit = F.lit(float(prior)) + F.coalesce(F.col(f"_nb_s{i}"), F.lit(0.0))
-        logit = F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))
-        out = out.withColumn(o, 1.0 / (1.0 + F.exp(-logit)))
-    return out.drop(*[f"_nb_s{i}" for i in range(len(names))])
+    return bag.join(w, "_nb_word").select("_nb_key", "_nb_c", (F.col("_nb_n") * F.col("_nb_w")).alias("_nb_x"))
 
 
 # --------------------------------------------------------------------------
@@ -195,6 +206,17 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,
     null row, so every input row reaches the final aggregation without a join
     back to the input (which would recompute it); the model joins are left
     joins on keys that are unique on the model side."""
+    return _nll_parts(df, model, key, text_col, pattern).groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
+
+
+def _nll_sums() -> list[Column]:
+    return [F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),
+            F.coalesce(F.sum(F.when(F.col("_bg_nll").isNotNull(), F.col("_bg_n"))), F.lit(0)).cast("long").alias("n_pred"),
+            F.max("_bg_len").alias("n_tokens")]
+
+
+def _nll_parts(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str, text_col: str, pattern: str) -> DataFrame:
+    """(_bg_key, _bg_len, _bg_n, _bg_nll): one row per distinct bigram of a text."""
     pairs, starts, vocab = model
     t = df.select(F.col(key).alias("_bg_key"), tokens(text_col, pattern).alias("_bg_t"))
     lo = F.slice("_bg_t", 1, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
@@ -206,19 +228,18 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,
     unseen = broadcast_if_small(starts).withColumnRenamed("a", "_a")
     ca = F.coalesce("_ca", "ca", F.lit(0)) + F.lit(float(vocab))
     nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / ca) * F.col("_bg_n")
-    scored = (seen.join(unseen, F.when(F.col("cab").isNull(), F.col("a")) == F.col("_a"), "left")
-              .select("_bg_key", "_bg_len", "_bg_n", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
-    return scored.groupBy("_bg_key").agg(
-        F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),
-        F.coalesce(F.sum(F.when(F.col("_bg_nll").isNotNull(), F.col("_bg_n"))), F.lit(0)).cast("long").alias("n_pred"),
-        F.max("_bg_len").alias("n_tokens")).withColumnRenamed("_bg_key", key)
+    return (seen.join(unseen, F.when(F.col("cab").isNull(), F.col("a")) == F.col("_a"), "left")
+            .select("_bg_key", "_bg_len", "_bg_n", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
 
 
 def text_perplexity(nll: DataFrame, key: str, min_tokens: int = 3) -> DataFrame:
     """``exp(mean nll)`` per text; null for texts with fewer than
     ``min_tokens`` tokens."""
-    ppl = F.when(F.col("n_tokens") >= min_tokens, F.exp(F.col("nll_sum") / F.col("n_pred")))
-    return nll.select(key, ppl.alias("ppl"))
+    return nll.select(key, _ppl(min_tokens).alias("ppl"))
+
+
+def _ppl(min_tokens: int = 3) -> Column:
+    return F.when(F.col("n_tokens") >= min_tokens, F.exp(F.col("nll_sum") / F.col("n_pred")))
 
 
 def corpus_perplexity(nll: DataFrame) -> DataFrame:
@@ -228,6 +249,29 @@ def corpus_perplexity(nll: DataFrame) -> DataFrame:
                    n.alias("n_pred"))
 
 
+def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tuple[DataFrame, float], bigrams: tuple[DataFrame, DataFrame, int],
+                    labels: DataFrame, label: str, pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
+    """What M8 is computed from: (key, cos, p_before, p_after, ppl, label) per
+    row of ``df`` (unique ``key``).
+
+    Words, bigrams, similarities and labels are partial results of one key:
+    they go into one union and are summed by key at once. No text, and no score,
+    is joined back."""
+    weights, prior = nb
+    columns = {"_in": "int", "cos": "double", "_nb_c": "int", "_nb_x": "double", "_bg_len": "long", "_bg_n": "long", "_bg_nll": "double", "_label": "int"}
+
+    def part(frame: DataFrame, k: str, **given) -> DataFrame:
+        return frame.select(F.col(k).alias("_k"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    rows = part(df, key, _in=F.lit(1), cos=text_similarity(source, rewrite, pattern))
+    rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
+    rows = rows.unionAll(part(_nll_parts(df, bigrams, key, rewrite, pattern), "_bg_key", _bg_len=F.col("_bg_len"), _bg_n=F.col("_bg_n"), _bg_nll=F.col("_bg_nll")))
+    rows = rows.unionAll(part(labels, key, _label=F.col(label)))
+    got = rows.groupBy("_k").agg(F.max("_in").alias("_in"), F.max("cos").alias("cos"), F.max("_label").alias(label), *_nb_sums(2), *_nll_sums()).where("_in = 1")
+    return got.select(F.col("_k").alias(key), "cos", _nb_probability(prior, F.col("_nb_s0")).alias("p_before"), _nb_probability(prior, F.col("_nb_s1")).alias("p_after"),
+                      _ppl().alias("ppl"), label)
+
+
 # --------------------------------------------------------------------------
 # M7 with both sides: pseudo-perplexity
 # --------------------------------------------------------------------------

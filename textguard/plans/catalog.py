@@ -781,10 +781,9 @@ def m8_evaluate(spark, sf):
     """M8: STA of the rewrites, SIM(text, rewrite), FL = mean per-text
     perplexity of the rewrites, classifier accuracy on labelled rows."""
     from ..operators.metrics import evaluate
-    from ..operators.scoring import text_perplexity, text_similarity
-    s = _scored_rewrites(spark, sf).withColumn("cos", text_similarity("text", "rewrite"))
-    ppl = text_perplexity(_nll(spark, sf, stored_rewrites(spark, sf), "rewrite"), "doc_id")
-    s = s.join(ppl, "doc_id").join(read_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    from ..operators.scoring import evaluation_rows
+    s = evaluation_rows(stored_rewrites(spark, sf), "doc_id", "text", "rewrite", nb_model(spark, sf), bigram_model(spark, sf),
+                        read_table(spark, sf, "labels"), "toxic")
     m = evaluate(s, p_after="p_after", cos="cos", fluency="ppl", p_before="p_before", label="toxic",
                  threshold=THRESHOLD)
     return m.select(*[r6(F.col(c)).alias(c) for c in ("sta", "sim", "fl", "clf_acc")], "n_rows")
