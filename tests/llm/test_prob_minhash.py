@@ -88,6 +88,19 @@ def test_chains_in_large_buckets(spark, monkeypatch):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+def test_a_text_of_a_shared_id_is_not_lost(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    x, y, z = words("x"), words("y"), words("z")
+    docs = documents(spark, [(3, x), (6, x), (6, y), (6, z), (7, y), (8, None), (8, z + " more")])
+    classes = sorted((r.doc_id, r.class_id) for r in P.near_duplicates(docs)[0].collect())
+    assert classes == [(3, 3), (6, 3), (6, 6), (6, 6), (7, 6), (8, 6), (8, 8)]
+    kept = sorted((r.doc_id, r.text or "") for r in P.keep_first(docs).collect())
+    assert kept == [(3, x), (6, y), (6, z), (8, "")]
+    # two near copies under one id are one class, of which one stays
+    docs = documents(spark, [(4, x), (4, x + " tail"), (5, y)])
+    assert len(P.keep_first(docs).collect()) == 2
+
+
 def test_odd_rows(spark, odd, empty):
     rows = P.near_duplicates(odd)[0].collect()
     assert len(rows) == odd.count()

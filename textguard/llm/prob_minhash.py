@@ -28,7 +28,9 @@ A pair of J_P 0.8 misses all bands with probability below 1e-4.
 Edge cases: words are runs of anything but white space, lower case; a text of
 one to four words is one shingle; null, empty and blank texts are in no class
 but their own; a null doc_id takes the class of its text (null if no other
-row has that text); rows that share a doc_id share a class.
+row has that text); rows that share a doc_id with different texts are texts of
+their own, each in the class of its text. :func:`keep_first` decides by row, id
+and text together, so such a text stays if no other holds it.
 """
 
 from __future__ import annotations
@@ -112,10 +114,11 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, sketch binary, bands array<long>); k1, k2 (the key of
-    the text's words), sketch and bands are null for texts without words."""
+    """(doc_id, row, k1, k2, sketch binary, bands array<long>); ``row`` is a hash
+    of the text; k1, k2 (the key of the text's words), sketch and bands are null
+    for texts without words."""
 
-    def flush(ids: list, words: list[np.ndarray]):
+    def flush(ids: list, rows: list, words: list[np.ndarray]):
         k1, k2, parts, owner = [], [], [], []
         sets = [weighted_shingles(w) for w in words]
         has = [i for i, w in enumerate(words) if len(w)]
@@ -131,28 +134,29 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         short = (sk >> np.uint64(48)).astype(np.uint16)
         at = {i: j for j, i in enumerate(has)}
         return pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+            pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
             pa.array([short[at[i]].tobytes() if i in at else None for i in range(len(ids))], pa.binary()),
             pa.array([keys[at[i]] if i in at else None for i in range(len(ids))], pa.list_(pa.int64()))],
-            names=["doc_id", "k1", "k2", "sketch", "bands"])
+            names=["doc_id", "row", "k1", "k2", "sketch", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         forget_words()
-        ids, words, n = [], [], 0
+        ids, rows, words, n = [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
+            for i, r, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 w = word_hashes((t.as_py() or "").lower().encode())
                 ids.append(i.as_py())
+                rows.append(r.as_py())
                 words.append(w)
                 n += len(w)
                 if n >= WORDS_AT_ONCE or len(ids) >= 2000:
-                    yield flush(ids, words)
-                    ids, words, n = [], [], 0
+                    yield flush(ids, rows, words)
+                    ids, rows, words, n = [], [], [], 0
         if ids:
-            yield flush(ids, words)
+            yield flush(ids, rows, words)
 
-    return (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(run, "doc_id long, k1 long, k2 long, sketch binary, bands array<long>"))
+    return (docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+            .mapInArrow(run, "doc_id long, row long, k1 long, k2 long, sketch binary, bands array<long>"))
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -276,13 +280,30 @@ def _hidden_links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, roots:
     return cells.select(deal, "*").groupBy("deal").applyInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): ``classes`` has one row per row of ``docs``: doc_id
-    and class_id, the smallest doc_id of its class; ``links`` the verified
-    pairs of different texts that join the classes (a > b, named by the
-    smallest doc_id of each text) with their J_P."""
+def _rows(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): ``rows`` has doc_id, row, whether the text has words, the
+    class ``c`` and its name class_id of every row of ``docs`` (two texts of one
+    id may give their classes one name); ``links`` as of :func:`near_duplicates`."""
     sk = stored(sketches(docs, key, text), "sketches").df
-    nodes = stored(sk.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"),
+    shared = stored(sk.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
+                    .select("doc_id", "least"), "shared-ids")
+    if shared.df.isEmpty():
+        return _classes(docs, sk.withColumn("id", F.col("doc_id")), key, text, similarity)
+    # ids with several texts: all but one text go by an id of their own until the classes are named
+    k, g, least = fresh(docs, "_key", "_shared", "_least")
+    one = shared.small().select(F.col("doc_id").alias(g), F.col("least").alias(least))
+    own = lambda i, row: F.when(row > F.col(least), F.xxhash64(i, row, F.lit("a text of its own"))).otherwise(i)
+    renamed = docs.withColumn(k, F.col(key).cast("long")).join(one, F.col(k) == F.col(g), "left").withColumn(k, own(F.col(k), F.xxhash64(text)))
+    sk = sk.join(one, F.col("doc_id") == F.col(g), "left").withColumn("id", own(F.col("doc_id"), F.col("row"))).drop(g, least)
+    rows, links = _classes(renamed, sk, k, text, similarity)
+    rows = stored(rows, "renamed-classes").df
+    names = rows.groupBy("c").agg(F.min("doc_id").alias("name"))
+    return rows.drop("class_id").join(stored(names, "class-names").small(), "c", "left").select("doc_id", "row", "words", "c", F.col("name").alias("class_id")), links
+
+
+def _classes(docs: DataFrame, sk: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The classes by ``id``, which names one text (``key`` of ``docs``)."""
+    nodes = stored(sk.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"),
                                                                      F.first("bands").alias("bands")), "nodes").df
     named = nodes.where("node is not null")
     buckets = named.select("node", F.explode("bands").alias("band"))
@@ -295,21 +316,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         links = links.unionAll(hidden).dropDuplicates(["a", "b"])
         roots = components(links)
     copies = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    # rows that share a doc_id with different texts follow the least class
-    classes = sk.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    return classes, links
+    rows = sk.select("doc_id", "id", "row", "k1", "k2").join(copies, ["k1", "k2"], "left")
+    name = F.coalesce("root", "id")
+    return rows.select("doc_id", "row", F.col("k1").isNotNull().alias("words"), name.alias("c"), name.alias("class_id")), links
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): ``classes`` has one row per row of ``docs``: doc_id
+    and class_id, the smallest doc_id of its class; ``links`` the verified
+    pairs of different texts that join the classes (a > b, named by the
+    smallest doc_id of each text) with their J_P."""
+    rows, links = _rows(docs, key, text, similarity)
+    return rows.select("doc_id", "class_id"), links
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose class has a smaller doc_id. Rows with a
-    null doc_id stay; of rows with one doc_id and one text the first stays."""
-    classes, _ = near_duplicates(docs, key, text, similarity)
-    classes = stored(classes, "classes").df
-    g, w = fresh(docs, "_gone", "_twice")
-    gone = stored(classes.where("class_id < doc_id").select(F.col("doc_id").alias(g)).distinct(), "gone")
-    kept = docs.join(gone.small(), F.col(key).cast("long") == F.col(g), "left_anti")
-    twice = stored(classes.where("doc_id is not null").groupBy(F.col("doc_id").alias(w)).count().where("count > 1").select(w), "twice")
-    if twice.df.isEmpty():
+    """``docs`` with one row of each class: the smallest doc_id's, and of
+    several texts with that id one. Rows with a null doc_id stay; of rows with
+    one doc_id and one text the first stays."""
+    rows, _ = _rows(docs, key, text, similarity)
+    rows = stored(rows, "classes").df
+    g, r, w = fresh(docs, "_gone", "_row", "_twice")
+    ids = rows.where("doc_id is not null")
+    twice = stored(ids.groupBy(F.col("doc_id").alias(w)).agg(F.count("*").alias("n"), F.min("row").alias("least"), F.max("row").alias("most")).where("n > 1"), "twice")
+    gone = ids.where("class_id < doc_id").select(F.col("doc_id").alias(g), F.col("row").alias(r))
+    many = not twice.df.isEmpty()
+    if many:  # several texts of one id may be one class
+        same = ids.where("words and class_id = doc_id").join(twice.df.where("least <> most").select(F.col(w).alias("doc_id")), "doc_id", "left_semi")
+        first = same.groupBy("doc_id", "c").agg(F.min("row").alias("first"))
+        gone = gone.unionAll(same.join(first, ["doc_id", "c"]).where("row > first").select("doc_id", "row"))
+    gone = stored(gone.distinct(), "gone")
+    kept = docs.join(gone.small(), (F.col(key).cast("long") == F.col(g)) & (F.xxhash64(text) == F.col(r)), "left_anti")
+    if not many:
         return kept
+    repeated = stored(twice.df.select(w), "repeated")
     same = F.col(key).cast("long") == F.col(w)
-    return kept.join(twice.small(), same, "left_anti").unionAll(kept.join(twice.small(), same, "left_semi").dropDuplicates([key, text]))
+    return kept.join(repeated.small(), same, "left_anti").unionAll(kept.join(repeated.small(), same, "left_semi").dropDuplicates([key, text]))
