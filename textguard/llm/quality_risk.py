@@ -22,9 +22,11 @@ each row, one aggregation counts n and k for all cutoffs (a few numbers per
 stratum), and the cutoffs (one row per stratum) join back.
 
 Edge cases: null and empty texts have no words and fail the base rules; a
-null language is a stratum of its own; labels that repeat an id or have no
-quality count as they are (each row) and not at all; rows that share a doc_id
-are judged each by itself; an empty table gives an empty result.
+null language is a stratum of its own; an id counts as one trial: labels that
+repeat an id count once, and not at all if they differ or have no quality, and
+of rows that share a doc_id the worst values count (in the least of their
+strata); such rows are judged each by itself; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -106,8 +108,10 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum: the cutoff of each rule (null: the rule may not
     reject there), n (good labelled documents) and the counts it rests on."""
-    good = labels.where(F.col(label) == 1).select(F.col(key).alias("doc_id"))
-    rows = stats.where("not base_failed").join(good, "doc_id")
+    # an id is one trial, however often it is labelled or stands in the table: of its rows the worst values count
+    good = labels.groupBy(F.col(key).alias("doc_id")).agg(F.min(label).alias("least"), F.max(label).alias("most")).where("least = 1 and most = 1").select("doc_id")
+    rows = (stats.where("not base_failed").join(good, "doc_id").groupBy("doc_id")
+            .agg(F.min(F.struct("stratum")).alias("s"), *[F.max(r).alias(r) for r in GRID]).select(F.col("s.stratum").alias("stratum"), *GRID))
     counts = rows.groupBy("stratum").agg(F.count("*").alias("n"), *[
         F.array(*[F.count_if(F.col(r) > c) for c in cs]).alias(f"k_{r}") for r, cs in GRID.items()])
     strata = stored(counts, "risk-counts").df
@@ -168,7 +172,8 @@ st AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PER
         CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_lines,
         CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeats, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper,
         CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM c),
-good AS (SELECT st.* FROM st JOIN labels l ON l.doc_id = st.doc_id WHERE l.quality = 1 AND NOT base_failed),
+good AS (SELECT st.doc_id, CASE WHEN bool_or(stratum IS NULL) THEN NULL ELSE min(stratum) END AS stratum, {', '.join(f'max({r}) AS {r}' for r in GRID)} FROM st
+         JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1) l ON l.doc_id = st.doc_id WHERE NOT base_failed GROUP BY st.doc_id),
   {counts},
   {passed}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept
