@@ -112,11 +112,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     d = docs.select(F.col(key).alias("doc_id"), shingles(words(F.col(text))).alias("h")).where(F.size(F.array_intersect("h", anchors)) > 0)
     places = _let(F.array_intersect("h", anchors), lambda near: F.filter(F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("shingle"))),
                                                                          lambda e: F.array_contains(near, e["shingle"])))
-    hits = d.select("doc_id", "h", F.explode(places).alias("e")).select("doc_id", "h", "e.pos", "e.shingle")
+    # a place takes along what its windows can hold, not the whole text
+    reach = 2 * max((r.scale for r in table.select("scale").distinct().collect()), default=0)
+    hits = d.select("doc_id", "h", F.explode(places).alias("e")).select("doc_id", "e.pos", "e.shingle", F.greatest(F.col("e.pos") - reach, F.lit(0)).alias("from"),
+                                                                        F.slice("h", F.greatest(F.col("e.pos") - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near"))
     hits = hits.join(F.broadcast(table), "shingle")
     # the two windows that hold the place
     hits = hits.withColumn("k", F.explode(F.array(F.floor(F.col("pos") / F.col("scale")), F.floor(F.col("pos") / F.col("scale")) - 1))).where("k >= 0")
-    hits = hits.withColumn("window", F.slice("h", (F.col("k") * F.col("scale") + 1).cast("int"), (2 * F.col("scale")).cast("int")))
+    hits = hits.withColumn("window", F.slice("near", (F.col("k") * F.col("scale") - F.col("from") + 1).cast("int"), (2 * F.col("scale")).cast("int")))
     shared = hits.where(F.array_min(F.transform("window", lambda x: _band(x, F.col("band")))) == F.col("key"))
     found = shared.withColumn("containment", F.size(F.array_intersect("window", "t_set")) / F.size("t_set")).where(F.col("containment") >= containment)
     per_window = found.groupBy("doc_id", "template", "k").agg(F.max("containment").alias("containment"), F.min(F.col("k") * F.col("scale")).alias("first"))
