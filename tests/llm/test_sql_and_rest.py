@@ -85,6 +85,16 @@ def test_schedule_is_even_everywhere(spark):
     assert all(abs(s[i:i + 20].count("a") - 10) <= 2 for i in range(0, len(s) - 20, 7))
 
 
+def test_a_tiny_source_changes_no_other_block(spark, sample):
+    tiny = documents(spark, [(900_000, "three word source")]).select("doc_id", "text", "lang", "n_chars").selectExpr("*", "'zz-tiny' AS source")
+    before = mixing.mix(sample)[2].collect()
+    after = {r.source: r for r in mixing.mix(sample.unionByName(tiny))[2].collect()}
+    assert all(after[r.source].block == r.block for r in before) and after["zz-tiny"].block == 1
+    assert sum(r.slots for r in {r.block: r for r in after.values()}.values()) <= sum(r.slots for r in {r.block: r for r in before}.values()) + 20
+    taken = {r.doc_id: r.taken for r in mixing.report(sample.unionByName(tiny)).collect()}
+    assert 0 < taken[900_000] <= 6
+
+
 # --- quality --------------------------------------------------------------------------
 
 def test_repeat_words_and_counts(spark):
@@ -120,6 +130,29 @@ def test_cutoffs_keep_good_documents(spark):
     assert not any(r.kept for r in rows if r.doc_id >= 3000)
 
 
+def test_an_id_is_one_trial(spark):
+    good = " ".join(f"plain{i}" for i in range(40))
+    docs = documents(spark, [good + f" g{i}" for i in range(700)])
+    once = spark.createDataFrame([(i, 1, 0) for i in range(700)], "doc_id long, quality int, toxic int")
+    stats = quality_risk.statistics(docs)
+    want = sorted((r.stratum or "", r.n) for r in quality_risk.cutoffs(stats, once).collect())
+    again = once.unionAll(once).unionAll(spark.createDataFrame([(0, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int"))
+    got = sorted((r.stratum or "", r.n) for r in quality_risk.cutoffs(stats.unionAll(stats), again).collect())
+    assert sum(n for _, n in want) == 700 and sum(n for _, n in got) == 699
+
+
+def test_cutoffs_equal_the_sql_where_some_pass(spark):
+    """At sf0.1 a stratum has enough labels, so cutoffs pass and reject rows."""
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    rows = catalog.queries()["op7_quality_risk"](spark, sf).collect()
+    assert any(not r.kept and not r.base_failed for r in rows)
+    want = con.execute(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({quality_risk.SQL})").fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, None, 1), (1, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality_risk.judge(odd, labels).collect()
@@ -130,6 +163,18 @@ def test_quality_odd_rows(spark, odd, empty):
 
 # --- licenses -------------------------------------------------------------------------
 
+def test_many_licenses_in_one_text_cost_their_number(spark):
+    import time
+    line = "some words before it Licensed under the Apache License, Version 2.0. and after\n"
+    took = []
+    for n in (2000, 2000, 4000):  # the first one warms up
+        began = time.time()
+        rows = license_scan.scan(documents(spark, [line * n])).collect()
+        took.append(time.time() - began)
+        assert [r.template for r in rows if r.template == "apache-2.0-line"] and rows[0].first_word >= 0
+    assert took[2] < 3 * took[1] + 2
+
+
 def test_licenses_found(spark, odd, empty):
     t = license_scan.TEMPLATES
     texts = ["intro words " + t["mit-grant"] + " and more words", "x " + t["apache-2.0-line"], "Released under   the MIT license!", "nothing", t["mit-grant"][:120],

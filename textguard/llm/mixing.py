@@ -13,7 +13,8 @@ share ``BUDGET`` times all words; a target stops at ``MAX_EPOCHS`` times its
 source, the excess goes to the others by weight until none is above (closed
 form: the water level at which the capped shares add up).
 
-How it is dealt out: positions in a source and ranks of slots are prefix sums
+How it is dealt out: one row per source passes through one task (its targets
+need all sources); documents and slots never do. Positions in a source and ranks of slots are prefix sums
 in two levels, inside buckets of a source (hash ranges; runs of slots) and over
 the bucket totals, so a source with a third of all rows is many groups.
 All points and thresholds are integers, so reruns agree bit by bit.
@@ -37,8 +38,9 @@ from .common import WORD, fresh, store, stored, to_int
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_EPOCHS = 2
-#: Words of a slot: a 512th of the smallest target, at most BLOCK.
+#: Words of a slot: the largest of 1, 2, 4, ... BLOCK of which a target has 512 slots.
 BLOCK, SLOTS_PER_TARGET = 4096, 512
+SLOT_SIZES = tuple(1 << i for i in range(BLOCK.bit_length()))
 #: 2**32 / golden ratio, odd: i * GOLDEN mod 2**32 is the golden-ratio sequence.
 GOLDEN, POINTS = 2654435769, 1 << 32
 #: Threshold cells: a slot meets only the sources that touch its cell.
@@ -55,8 +57,8 @@ def shuffle_key(key: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Per source: source, words, target, first and last point of its share,
-    block (words of a slot) and slots (of the whole mix)."""
+    """Per source: source, words, target, block (words of a slot), and among
+    the sources of that block first and last point of its share and slots."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("words"))
     # one row a source from here on
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -70,12 +72,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     w = w.withColumn("level", (F.col("budget") - (F.sum("cap").over(by_level) - F.col("cap"))) / (F.sum("weight").over(everything) - F.sum("weight").over(by_level) + F.col("weight")))
     w = w.withColumn("level", F.max("level").over(everything))
     w = w.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    total = F.sum("target").over(everything)
-    upto = F.sum("target").over(by_name.rowsBetween(W.unboundedPreceding, W.currentRow))
+    fitting = [F.when(F.col("target") >= b * SLOTS_PER_TARGET, b) for b in SLOT_SIZES]
+    w = w.withColumn("block", F.coalesce(F.greatest(*fitting), F.lit(1)).cast("long"))
+    alike = W.partitionBy("block")
+    total = F.sum("target").over(alike)
+    in_order = W.partitionBy("block").orderBy("rank")
+    upto = F.sum("target").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow))
     w = w.withColumn("hi", F.floor(F.when(total > 0, upto / total).otherwise(0.0) * POINTS).cast("long"))
-    w = w.withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0)))
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    w = w.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(smallest / SLOTS_PER_TARGET))), F.lit(1)).cast("long"))
+    w = w.withColumn("lo", F.coalesce(F.lag("hi").over(in_order), F.lit(0)))
     w = w.withColumn("slots", F.ceil(total / F.col("block")).cast("long"))
     return w.select("source", "words", "target", "lo", "hi", "block", "slots")
 
@@ -86,24 +90,29 @@ def _bucket_size(rows: int) -> int:
 
 
 def schedule(goals: DataFrame) -> DataFrame:
-    """The mix: (slot, source, rank, piece); ``piece`` is the block of the
-    source that the slot takes. Slots whose source is used up are left out."""
-    head = goals.agg(F.max("slots"), F.max("block")).first()
-    n, block = to_int(head[0]), to_int(head[1], 1)
-    run = _bucket_size(n)
+    """The mix: (slot, block, source, rank, piece); ``piece`` is the block of
+    the source that the slot takes; slots count from 0 among those of one
+    length. Slots whose source is used up are left out."""
     cell = POINTS // CELLS
-    touched = goals.where("hi > lo").select("source", "lo", "hi", "words", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
-    slots = goals.sparkSession.range(n).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % POINTS).alias("point"), F.floor(F.col("id") / run).alias("run"))
-    hit = (slots.withColumn("cell", F.floor(F.col("point") / cell)).join(stored(touched, "cells").small(), "cell")
-           .where("point >= lo and point < hi").select("slot", "run", "source", "words"))
-    before = hit.groupBy("source", "run").agg(F.count("*").alias("n"))
+    touched = goals.where("hi > lo").select("source", "block", "lo", "hi", "words", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
+    slots = None
+    for block, n in goals.groupBy("block").agg(F.max("slots")).orderBy("block").collect():  # 13 lengths at most
+        run = _bucket_size(to_int(n))
+        one = goals.sparkSession.range(to_int(n)).select(F.lit(block).cast("long").alias("block"), F.col("id").alias("slot"), (F.col("id") * GOLDEN % POINTS).alias("point"),
+                                                         F.floor(F.col("id") / run).alias("run"))
+        slots = one if slots is None else slots.unionAll(one)
+    if slots is None:
+        return goals.select(F.lit(0).cast("long").alias("slot"), "block", "source", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("piece")).limit(0)
+    hit = (slots.withColumn("cell", F.floor(F.col("point") / cell)).join(stored(touched, "cells").small(), ["block", "cell"])
+           .where("point >= lo and point < hi").select("slot", "run", "source", "words", "block"))
+    before = hit.groupBy("source", "run").agg(F.count("*").alias("n"))  # a source has slots of one length
     before = before.select("source", "run", (F.sum("n").over(W.partitionBy("source").orderBy("run")) - F.col("n")).alias("before"))
     inside = W.partitionBy("source", "run").orderBy("slot")
     ranked = hit.withColumn("r", F.row_number().over(inside) - 1).join(before.withColumnRenamed("source", "s").withColumnRenamed("run", "u"),
                                                                       F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("u")))
-    blocks = F.ceil(F.col("words") / block)
+    blocks = F.ceil(F.col("words") / F.col("block"))
     return (ranked.withColumn("rank", F.col("r") + F.col("before")).where(F.col("rank") < blocks * MAX_EPOCHS)
-            .select("slot", "source", "rank", (F.col("rank") % blocks).alias("piece")))
+            .select("slot", "block", "source", "rank", (F.col("rank") % blocks).alias("piece")))
 
 
 def placed(sizes: DataFrame) -> DataFrame:
@@ -128,10 +137,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sizes = stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
                                F.xxhash64(text).alias("row")), "sizes").df
     goals = stored(targets(sizes), "goals")
-    block = to_int(goals.df.agg(F.max("block")).first()[0], 1)
     uses = schedule(goals.df).groupBy("source", "piece").agg(F.count("*").alias("uses"))
     at = store(placed(sizes), "placed")
-    cut = (at.where("size > 0").withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    block = F.col("block")
+    length = goals.small().select(F.col("source").alias("of"), "block")
+    cut = (at.where("size > 0").join(length, F.col("source").eqNullSafe(F.col("of"))).withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
            .withColumn("first", F.greatest(F.col("start"), F.col("piece") * block) - F.col("start"))
            .withColumn("last", F.least(F.col("start") + F.col("size"), (F.col("piece") + 1) * block) - F.col("start")))
     uses = uses.select(F.col("source").alias("s"), F.col("piece").alias("p"), "uses")
@@ -185,11 +195,11 @@ w AS (SELECT *, {case} AS weight, words * {MAX_EPOCHS} AS cap, (SELECT sum(words
 lv AS (SELECT *, (budget - (sum(cap) OVER o - cap)) / ((SELECT sum(weight) FROM w) - sum(weight) OVER o + weight) AS lvl
        FROM w WINDOW o AS (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 tg AS (SELECT *, least(CAST(cap AS DOUBLE), (SELECT max(lvl) FROM lv) * weight) AS target FROM lv),
-pt AS (SELECT *, CAST(floor((SELECT sum(t2.target) FROM tg t2 WHERE t2.r <= tg.r) / (SELECT sum(target) FROM tg) * {POINTS}) AS BIGINT) AS hi FROM tg),
-goals AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY r), 0) AS lo,
-          CAST(greatest(1, least({BLOCK}, floor((SELECT min(target) FROM tg WHERE target > 0) / {SLOTS_PER_TARGET}))) AS BIGINT) AS block FROM pt),
-slots AS (SELECT i, (i * {GOLDEN}) % {POINTS} AS point FROM range((SELECT CAST(ceil(sum(target) / max(block)) AS BIGINT) FROM goals)) t(i)),
-ranked AS (SELECT r, words, block, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS k FROM slots JOIN goals ON point >= lo AND point < hi),
+bl AS (SELECT *, CAST(coalesce(list_max(list_filter([{', '.join(map(str, SLOT_SIZES))}], lambda b: target >= b * {SLOTS_PER_TARGET})), 1) AS BIGINT) AS block FROM tg),
+pt AS (SELECT *, CAST(floor((SELECT sum(t2.target) FROM bl t2 WHERE t2.r <= bl.r AND t2.block = bl.block) / (SELECT sum(target) FROM bl t3 WHERE t3.block = bl.block) * {POINTS}) AS BIGINT) AS hi FROM bl),
+goals AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY block ORDER BY r), 0) AS lo FROM pt),
+slots AS (SELECT block, i, (i * {GOLDEN}) % {POINTS} AS point FROM (SELECT block, unnest(range(CAST(ceil(sum(target) / block) AS BIGINT))) AS i FROM goals GROUP BY block)),
+ranked AS (SELECT r, words, goals.block, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS k FROM slots JOIN goals ON goals.block = slots.block AND point >= lo AND point < hi),
 uses AS (SELECT r, k % CAST(ceil(words / block) AS BIGINT) AS piece, count(*) AS n FROM ranked
          WHERE k < CAST(ceil(words / block) AS BIGINT) * {MAX_EPOCHS} GROUP BY ALL),
 placed AS (SELECT s.*, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM sizes s),
