@@ -247,6 +247,33 @@ def test_every_part_stays(page):
     assert html_paths.main_text(page) == " ".join(["One", *[SAID] * 6, "Two", *[SAID] * 2])
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div class='hidden-sidebar'>{told(5)}</div></body>", " ".join([SAID] * 5)),
+    (f"<article>{told(3)}<svg viewBox='0 0 1 1'><path d='M0'>{told(4)}</article>", " ".join([SAID] * 7)),
+    (f"<article>{told(3)}<div class=share-price>{told(3)}</div></article><div class=share><p>Share this story</p></div>", " ".join([SAID] * 6)),
+    (f"<article>{told(3)}<ul>" + "".join(f"<li><a href=/{i}>{SAID}</a></li>" for i in range(3)) + "</ul></article>", " ".join([SAID] * 6)),
+    (f"<article>{told(3)}<script>let a = 1;", " ".join([SAID] * 3)),
+])
+def test_nothing_of_the_article_is_lost(page, text):
+    assert html_paths.main_text(page) == text
+
+
+def test_ratios_remove_blocks_of_the_given_pages(spark):
+    """Blocks that HTML does not mark off go by their ratio."""
+    rows = html_paths.page_blocks(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("ratio is not null and not kept")
+    assert rows.count() > 0
+
+
+def test_deep_nesting_is_cheap():
+    import time
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        assert html_paths.main_text("<div>some words" * n + told(3)).endswith(SAID)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "<p>" + "long, text. " * 30_000, "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in html_paths.extract(df).collect()) == [0, 0, 12 * 30_000 - 1]
