@@ -80,9 +80,9 @@ def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int | None = RO
         if not len(at_):
             break
         # exact counts are needed only of pairs in table slots that reach the minimum
-        left, right = seq[at_], seq[at_ + 1]
+        left, right = seq[live], seq[1:][live[:-1]]  # the last symbol of all opens no pair
         slot = _slots(left, right)
-        heavy = np.bincount(slot, minlength=1 << _BITS)[slot] >= min_count
+        heavy = (np.bincount(slot, minlength=1 << _BITS) >= min_count)[slot]
         at_, slot = at_[heavy], slot[heavy]
         key = (left[heavy].astype(np.uint64) << np.uint64(32)) | right[heavy]
         some = np.sort(key)
@@ -109,26 +109,25 @@ def compress(ids: np.ndarray, at: np.ndarray, base: int, rounds: int | None = RO
         table = np.full(1 << _BITS, -1, np.int32)
         table[place] = np.arange(len(pair), dtype=np.int32)
         rule = table[slot]
-        hit = (rule >= 0) & (pair[rule] == key)
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[pair[rule[hit]] == key[hit]]
         pos, rule = at_[hit], rule[hit]
         # neighbours overlap: of a run of hits every second one counts
-        begins = np.concatenate(([True], np.diff(pos) > 1))
-        run_start = np.maximum.accumulate(np.where(begins, pos, 0))
-        every = (pos - run_start) % 2 == 0
+        runs = np.flatnonzero(np.concatenate(([True], np.diff(pos) > 1)))
+        every = (np.arange(len(pos)) - np.repeat(runs, np.diff(np.concatenate((runs, [len(pos)]))))) & 1 == 0
         pos = pos[every]
         seq[pos] = symbols + rule[every]
         last[pos] = last[pos + 1]
         live = np.zeros(len(seq), bool)
         live[still] = True
-        # the new symbol's pair, and that of the symbol before it
-        live[pos] = True
         keep = np.ones(len(seq), bool)
         keep[pos + 1] = False
-        before = pos - 1
-        before -= ~keep[before] & (before >= 0)
-        live[before[before >= 0]] = True
-        live &= ~last
         seq, last, live = seq[keep], last[keep], live[keep]
+        # the new symbol's pair, and that of the symbol before it
+        new = pos - np.arange(len(pos))
+        live[new] = True
+        live[new[new > 0] - 1] = True
+        live &= ~last
         rules.append(np.stack(((pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)), axis=1))
         symbols += len(pair)
     ends = np.flatnonzero(last) + 1
@@ -229,7 +228,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", e
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shards = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _SCHEMA)
     with shuffle_cleanup(spark):
-        shards.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        shards.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
