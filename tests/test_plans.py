@@ -1,4 +1,4 @@
-"""Plan lint over every registered query: no cross products, and a hot key
+"""Plan lint over every registered query: no cross products, few shuffles, and a hot key
 (copies of one text) still gives whole, correct results."""
 
 import re
@@ -16,12 +16,19 @@ PYTHON = re.compile(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|InP
 MODELS = ("m2_", "m3_", "m4_", "m5_")
 
 
+#: Shuffles of a query's last job, and of the few that join several scored or positioned tables.
+SHUFFLES = 4
+MORE = {"e4_sampled_dev": 12, "m1_held_out": 8, "u2_contiguous_split": 8, "j2_align_positional": 6}
+
+
 def test_no_cross_products_and_python_for_models_alone(spark):
     bad = {}
     for name, fn in E.queries().items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         hits = [f for f in FORBIDDEN if f in plan]
         if not name.startswith(("op", "pipeline")):
+            shuffles = len(re.findall(r"Exchange (?:hash|range|Round|Single)", plan))
+            hits += [f"{shuffles} shuffles"] * (shuffles > MORE.get(name, SHUFFLES))
             stages = len(PYTHON.findall(plan))
             hits += [f"{stages} Python stages"] * (stages > name.startswith(MODELS))
         if hits:
