@@ -1,3 +1,5 @@
+import numpy as np
+
 from textguard.llm import toxicity as T
 
 from llm_rows import documents
@@ -43,6 +45,18 @@ def test_learns_planted_words(spark):
     assert ("insult", "targeted") in kinds
 
 
+def test_weights_rank_nearly_parted_labels():
+    """Features that all but part the labels: whole Newton steps swung to weights that ranked label 1 last."""
+    r = np.random.default_rng(0)
+    y = (r.random(400) < 0.1).astype(float)
+    marked = (y == 1) | (r.random(400) < 0.01)
+    x = np.zeros((400, 4))
+    x[marked] = r.uniform(2, 4, (marked.sum(), 4))
+    w = T.fit_weights(x, y)
+    z = x @ w[:-1] + w[-1]
+    assert (z[y == 1][:, None] > z[y == 0][None, :]).mean() > 0.99
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
