@@ -122,9 +122,13 @@ def cleanse(c, terms: Sequence[str], patterns: Sequence[str] = (), guard: bool =
     for one scan instead of one per rule.
     """
     col = _c(c)
-    chain = remove_patterns(remove_literals(col, terms), patterns)
+    literals, tree = remove_literals(col, terms), tree_pattern([t for t in terms if t])
+    if guard and patterns and 1 < len(terms) <= CHAIN_TERMS and tree:
+        # a text that only a pattern hits has no term to delete
+        literals = F.when(col.rlike(IGNORE_CASE + tree), literals).otherwise(col)
+    chain = remove_patterns(literals, patterns)
     if guard and (terms or patterns):
-        alts = [x for x in [tree_pattern([t for t in terms if t])] if x] + ["(?:" + python_regex_to_java(p) + ")" for p in patterns]
+        alts = [x for x in [tree] if x] + ["(?:" + python_regex_to_java(p) + ")" for p in patterns]
         hit = col.rlike(IGNORE_CASE + "(?:" + "|".join(alts) + ")")
         chain = F.when(hit, chain).otherwise(col)
     return collapse_ws(chain)

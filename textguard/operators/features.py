@@ -35,7 +35,7 @@ def train_idf(corpus: DataFrame, text_col: str = "text", buckets: int = BUCKETS,
 
     The buckets of a text are counted once each; a task sends at most one row
     per bucket."""
-    there = corpus.select(F.array_distinct(F.transform(tokens(text_col, pattern), lambda w: bucket(w, buckets))).alias("b"))
+    there = corpus.select(F.array_distinct(F.transform(F.array_distinct(tokens(text_col, pattern)), lambda w: bucket(w, buckets))).alias("b"))
     # the bucket -1 counts the texts
     found = there.select(F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("b", F.array().cast("array<bigint>")))).alias("b"))
     df = materialize(found.groupBy("b").agg(F.count("*").alias("df")), "idf-counts")

@@ -22,6 +22,7 @@ Scale notes
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +47,25 @@ def token_counts(c, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
     return _run_lengths(tokens(c, pattern))
 
 
+def _run_ends(s: Column) -> Column:
+    """Places (from 1) at which a run of equal values of a sorted array ends; none for null."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i)))
+
+
 def _run_lengths(values: Column) -> Column:
     """Distinct values of an array with their counts, sorted."""
     def rle(s):
-        n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (n > 0) & ((i == 1) | (_at(s, i) != _at(s, i - 1))))
-        return _let(starts, lambda st_arr: F.transform(st_arr, lambda st, j: F.struct(
-            _at(s, st).alias("w"),
-            (F.coalesce(_at(st_arr, j + 2), n + 1) - st).cast("long").alias("n"))))
-    return _let(F.array_sort(values), rle)
+        return _let(_run_ends(s), lambda ends: F.transform(ends, lambda e, j: F.struct(
+            F.get(s, e - 1).alias("w"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).cast("long").alias("n"))))
+    return _let(F.sort_array(values), rle)
+
+
+def _squares(s: Column) -> Column:
+    """Sum of the squared counts of the distinct values of a sorted array."""
+    def total(ends):
+        return F.aggregate(F.transform(ends, lambda e, j: (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).cast("double")),
+                           F.lit(0.0), lambda acc, n: acc + n * n)
+    return _let(_run_ends(s), total)
 
 
 def cosine_counts(a: Column, b: Column) -> Column:
@@ -76,8 +86,19 @@ def cosine_counts(a: Column, b: Column) -> Column:
 
 
 def text_similarity(a, b, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
-    """M6: cosine of the token-count vectors of two texts (0 if one is empty)."""
-    return cosine_counts(token_counts(a, pattern), token_counts(b, pattern))
+    """M6: cosine of the token-count vectors of two texts (0 if one is empty).
+
+    With the words of both texts in one bag, ``|a + b|^2 = |a|^2 + |b|^2 + 2ab``:
+    sums of squared counts are all it takes, and one of them where the texts
+    have the same words."""
+    def cosine(x, y):
+        def go(q):  # |x|^2, |y|^2, whole numbers
+            both = (_let(F.sort_array(F.concat(x, y)), _squares) - q["x"] - q["y"]) / 2
+            return F.when(x == y, q["x"]).otherwise(both) / (F.sqrt(q["x"]) * F.sqrt(q["y"]))
+        words = F.coalesce((F.size(x) > 0) & (F.size(y) > 0), F.lit(False))
+        squares = _let(_squares(x), lambda qx: F.struct(qx.alias("x"), F.when(x == y, qx).otherwise(_squares(y)).alias("y")))
+        return F.when(words, _let(squares, go)).otherwise(F.lit(0.0))
+    return _let(F.sort_array(tokens(a, pattern)), lambda x: _let(F.sort_array(tokens(b, pattern)), lambda y: cosine(x, y)))
 
 
 # --------------------------------------------------------------------------
@@ -138,7 +159,7 @@ def score_naive_bayes_many(df: DataFrame, weights: DataFrame, prior: float, key:
 
 
 def _nb_sums(n: int) -> list[Column]:
-    return [F.sum(F.when(F.col("_nb_c") == i, F.col("_nb_x"))).alias(f"_nb_s{i}") for i in range(n)]
+    return [F.sum(F.when(F.col("_nb_c").bitwiseAND(1 << i) != 0, F.col("_nb_x"))).alias(f"_nb_s{i}") for i in range(n)]
 
 
 def _nb_probability(prior: float, total: Column) -> Column:
@@ -148,14 +169,16 @@ def _nb_probability(prior: float, total: Column) -> Column:
 
 def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
     """(_nb_key, _nb_c, _nb_x): what each known word of a text adds to its
-    logit; ``_nb_c`` numbers the text columns."""
-    def tag(i):  # one-argument lambda: a second parameter would be read as the index
-        return lambda x: F.struct(F.lit(i).alias("c"), x["w"].alias("w"), x["n"].alias("n"))
-    bags = [F.transform(token_counts(t, pattern), tag(i)) for i, t in enumerate(texts)]
-    allbags = bags[0] if len(bags) == 1 else F.concat(*bags)
-    bag = df.select(F.col(key).alias("_nb_key"), F.explode(allbags).alias("_nb_b")) \
-        .select("_nb_key", F.col("_nb_b.c").alias("_nb_c"), F.col("_nb_b.w").alias("_nb_word"),
-                F.col("_nb_b.n").alias("_nb_n"))
+    logit; the bits of ``_nb_c`` tell the text columns. A text with the words of
+    the first one, in their order, sends none of its own."""
+    ts = df.select(F.col(key).alias("_nb_key"), *[tokens(t, pattern).alias(f"_nb_t{i}") for i, t in enumerate(texts)])
+    same = [F.lit(True)] + [F.col("_nb_t0").eqNullSafe(F.col(f"_nb_t{i}")) for i in range(1, len(texts))]
+    ts = ts.select("*", *[x.alias(f"_nb_e{i}") for i, x in enumerate(same)])
+    mask = reduce(lambda m, i: m + F.when(F.col(f"_nb_e{i}"), F.lit(1 << i)).otherwise(F.lit(0)), range(1, len(texts)), F.lit(1))
+    bags = [F.struct(mask.alias("c"), _run_lengths(F.col("_nb_t0")).alias("b"))]
+    bags += [F.when(~F.col(f"_nb_e{i}"), F.struct(F.lit(1 << i).alias("c"), _run_lengths(F.col(f"_nb_t{i}")).alias("b"))) for i in range(1, len(texts))]
+    bag = (ts.select("_nb_key", F.explode(F.array(*bags)).alias("_nb_p")).select("_nb_key", F.col("_nb_p.c").alias("_nb_c"), F.explode("_nb_p.b").alias("_nb_b"))
+           .select("_nb_key", "_nb_c", F.col("_nb_b.w").alias("_nb_word"), F.col("_nb_b.n").alias("_nb_n")))
     w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
     return bag.join(w, "_nb_word").select("_nb_key", "_nb_c", (F.col("_nb_n") * F.col("_nb_w")).alias("_nb_x"))
 
@@ -176,10 +199,10 @@ def train_bigrams(reference: DataFrame, text_col: str = "text",
     rows never match a lookup (null join keys) and are left out of
     ``starts``."""
     t = reference.select(tokens(text_col, pattern).alias("t"))
-    follow = _let(F.col("t"), lambda ts: F.transform(
-        ts, lambda x, i: F.struct(x.alias("a"), _at(ts, i + 2).alias("b"))))
+    # the slice is one shorter: the last word is zipped with null
+    follow = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("b"))
     grams = (t.select(F.explode(follow).alias("p"))
-             .select(F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b"))
+             .select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
              .groupBy("a", "b").agg(F.count("*").alias("cab")))
     if store:
         grams = materialize(grams, "bigram-grams")
@@ -200,36 +223,35 @@ def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,
     likelihood of tokens 2..n under the add-one model
     ``P(b|a) = (c(a,b)+1)/(c(a)+v)``.
 
-    Bigrams are counted inside the row first, so a text sends one row per
-    distinct bigram; ``ca`` comes with a known pair and is looked up for
-    unseen pairs alone. ``explode_outer`` gives texts without a bigram one
-    null row, so every input row reaches the final aggregation without a join
-    back to the input (which would recompute it); the model joins are left
-    joins on keys that are unique on the model side."""
+    A text sends one row per bigram: few of them repeat within a text, so that
+    sorting them there costs more than the rows it saves. ``ca`` comes with a
+    known pair and is looked up for unseen pairs alone. ``explode_outer`` gives
+    texts without a bigram one null row, so every input row reaches the final
+    aggregation without a join back to the input (which would recompute it); the
+    model joins are left joins on keys that are unique on the model side."""
     return _nll_parts(df, model, key, text_col, pattern).groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
 
 
 def _nll_sums() -> list[Column]:
     return [F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),
-            F.coalesce(F.sum(F.when(F.col("_bg_nll").isNotNull(), F.col("_bg_n"))), F.lit(0)).cast("long").alias("n_pred"),
+            F.count("_bg_nll").alias("n_pred"),
             F.max("_bg_len").alias("n_tokens")]
 
 
 def _nll_parts(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str, text_col: str, pattern: str) -> DataFrame:
-    """(_bg_key, _bg_len, _bg_n, _bg_nll): one row per distinct bigram of a text."""
+    """(_bg_key, _bg_len, _bg_nll): one row per bigram of a text."""
     pairs, starts, vocab = model
     t = df.select(F.col(key).alias("_bg_key"), tokens(text_col, pattern).alias("_bg_t"))
     lo = F.slice("_bg_t", 1, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
     hi = F.slice("_bg_t", 2, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
-    joined = F.zip_with(lo, hi, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"), F.explode_outer(_run_lengths(joined)).alias("_bg_p"))
-          .select("_bg_key", "_bg_len", F.col("_bg_p.w.a").alias("a"), F.col("_bg_p.w.b").alias("b"), F.col("_bg_p.n").alias("_bg_n")))
+    bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"), F.explode_outer(F.arrays_zip(lo.alias("a"), hi.alias("b"))).alias("_bg_p"))
+          .select("_bg_key", "_bg_len", F.col("_bg_p.a").alias("a"), F.col("_bg_p.b").alias("b")))
     seen = bg.join(broadcast_if_small(pairs).withColumnRenamed("ca", "_ca"), ["a", "b"], "left")
     unseen = broadcast_if_small(starts).withColumnRenamed("a", "_a")
     ca = F.coalesce("_ca", "ca", F.lit(0)) + F.lit(float(vocab))
-    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / ca) * F.col("_bg_n")
+    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / ca)
     return (seen.join(unseen, F.when(F.col("cab").isNull(), F.col("a")) == F.col("_a"), "left")
-            .select("_bg_key", "_bg_len", "_bg_n", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
+            .select("_bg_key", "_bg_len", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
 
 
 def text_perplexity(nll: DataFrame, key: str, min_tokens: int = 3) -> DataFrame:
@@ -258,14 +280,14 @@ def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tupl
     they go into one union and are summed by key at once. No text, and no score,
     is joined back."""
     weights, prior = nb
-    columns = {"_in": "int", "cos": "double", "_nb_c": "int", "_nb_x": "double", "_bg_len": "long", "_bg_n": "long", "_bg_nll": "double", "_label": "int"}
+    columns = {"_in": "int", "cos": "double", "_nb_c": "int", "_nb_x": "double", "_bg_len": "long", "_bg_nll": "double", "_label": "int"}
 
     def part(frame: DataFrame, k: str, **given) -> DataFrame:
         return frame.select(F.col(k).alias("_k"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
     rows = part(df, key, _in=F.lit(1), cos=text_similarity(source, rewrite, pattern))
     rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
-    rows = rows.unionAll(part(_nll_parts(df, bigrams, key, rewrite, pattern), "_bg_key", _bg_len=F.col("_bg_len"), _bg_n=F.col("_bg_n"), _bg_nll=F.col("_bg_nll")))
+    rows = rows.unionAll(part(_nll_parts(df, bigrams, key, rewrite, pattern), "_bg_key", _bg_len=F.col("_bg_len"), _bg_nll=F.col("_bg_nll")))
     rows = rows.unionAll(part(labels, key, _label=F.col(label)))
     got = rows.groupBy("_k").agg(F.max("_in").alias("_in"), F.max("cos").alias("cos"), F.max("_label").alias(label), *_nb_sums(2), *_nll_sums()).where("_in = 1")
     return got.select(F.col("_k").alias(key), "cos", _nb_probability(prior, F.col("_nb_s0")).alias("p_before"), _nb_probability(prior, F.col("_nb_s1")).alias("p_after"),
