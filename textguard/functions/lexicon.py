@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .regex import python_repl_to_java
-from .text import _c, apply_rules, cleanse, java_pattern, remove_literals, remove_patterns
+from .text import _c, _let, apply_rules, cleanse, java_pattern, remove_literals, remove_patterns
 
 RULES_SCHEMA = "priority int, kind string, pattern string, replacement string, grp string"
 
@@ -106,16 +106,22 @@ def lint(terms: list[str]) -> list[dict]:
 def rule_hits(c, rules: list[tuple[str, str]]) -> Column:
     """Per row and rule (python regex, replacement): does it match the text
     alone, and does it match what the rules before it have left? An
-    ``array<struct<alone boolean, chain boolean>>`` in rule order, from one
-    fold along the chain."""
-    chain = F.array(*[F.struct(F.lit(java_pattern(p)).alias("p"), F.lit(python_repl_to_java(r)).alias("r")) for p, r in rules])
-    begin = F.struct(_c(c).alias("text"), F.array().cast("array<struct<alone:boolean,chain:boolean>>").alias("hits"))
-
-    def step(state, rule):
-        text = state["text"]
-        hit = F.struct(F.coalesce(F.regexp_like(_c(c), rule["p"]), F.lit(False)).alias("alone"), F.coalesce(F.regexp_like(text, rule["p"]), F.lit(False)).alias("chain"))
-        return F.struct(F.regexp_replace(text, rule["p"], rule["r"]).alias("text"), F.concat(state["hits"], F.array(hit)).alias("hits"))
-    return F.aggregate(chain, begin, step, lambda state: state["hits"])
+    ``array<struct<alone boolean, chain boolean>>`` in rule order. Where the
+    rules before have changed nothing, both are one search."""
+    src = _c(c)
+    steps = [(java_pattern(p), python_repl_to_java(r)) for p, r in rules]
+
+    def go(text: Column, i: int, hits: list[Column]) -> Column:
+        if i == len(steps):
+            return F.array(*hits).cast("array<struct<alone:boolean,chain:boolean>>")
+        pattern, replacement = steps[i]
+
+        def step(chain: Column) -> Column:
+            alone = F.when(text == src, chain).otherwise(F.coalesce(src.rlike(pattern), F.lit(False)))
+            left = F.when(chain, F.regexp_replace(text, pattern, replacement)).otherwise(text)
+            return _let(left, lambda t: go(t, i + 1, [*hits, F.struct(alone.alias("alone"), chain.alias("chain"))]))
+        return _let(F.coalesce(text.rlike(pattern), F.lit(False)), step)
+    return go(src, 0, [])
 
 
 def rule_report(df: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -9,10 +9,14 @@ definitions explicitly so every pattern gives the same matches on both sides.
 
 from __future__ import annotations
 
+import re
+
 # Character classes equal to Python's Unicode ``\s`` and ``\w``.
 WS_CLASS_BODY = r"\s\x{1c}-\x{1f}"
 WS = r"[\s\x{1c}-\x{1f}]"
 NOT_WS = r"[^\s\x{1c}-\x{1f}]"
+# The characters of WS one by one: for patterns without flags and for trimming.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD_CLASS_BODY = r"\p{L}\p{N}_"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -76,11 +80,34 @@ _OUTSIDE = {
 _INSIDE = {"w": WORD_CLASS_BODY, "s": WS_CLASS_BODY, "d": r"\p{Nd}"}
 
 
+_ESCAPE_END = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|\d{1,3}|.)\Z", re.S)
+
+
+def _edge(p: str, i: int) -> str:
+    """The ``\\b`` at ``p[i]``: beside a literal word character one look-around tells."""
+    after, then, before = p[i + 2:i + 3], p[i + 3:i + 4], p[i - 1:i] if i else ""
+    if after.isascii() and after.isalnum() and (not then or then not in "?*{"):
+        return f"(?={after})(?<!{WORD})"
+    if before.isascii() and before.isalnum() and not _ESCAPE_END.search(p[:i]):
+        return f"(?!{WORD})"
+    return BOUNDARY
+
+
+#: A pattern that begins with a greedy run of word characters.
+_LEADING_RUN = re.compile(r"\(?\\w[*+](?![*+?{])")
+
+
 def python_regex_to_java(p: str) -> str:
     """Rewrite the Unicode-sensitive escapes of a Python pattern into explicit
     Java classes. Handles escapes inside and outside character classes;
-    everything else is shared syntax between the two dialects."""
+    everything else is shared syntax between the two dialects.
+
+    A pattern that begins with a run of word characters matches inside a word
+    only what it matches from the word's beginning, or from where the match
+    before has ended: it is tried there alone."""
     out, i, in_class = [], 0, False
+    if _LEADING_RUN.match(p) and not re.search(r"\||\\[1-9]|\(\?", p):
+        out.append(rf"(?:(?<!{WORD})|\G)")
     while i < len(p):
         ch = p[i]
         if ch == "\\" and i + 1 < len(p):
@@ -89,6 +116,8 @@ def python_regex_to_java(p: str) -> str:
                 out.append(_INSIDE[nxt])
             elif in_class and nxt in ("W", "S", "D"):
                 raise ValueError(f"negated class escape \\{nxt} inside [...] is not supported: {p!r}")
+            elif not in_class and nxt == "b":
+                out.append(_edge(p, i))
             elif not in_class and nxt in _OUTSIDE:
                 out.append(_OUTSIDE[nxt])
             else:

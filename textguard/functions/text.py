@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import IGNORE_CASE, LINE_BREAK, UNICODE, WS, escape_literal, python_regex_to_java
+from .regex import IGNORE_CASE, LINE_BREAK, UNICODE, WS, WS_CHARS, escape_literal, python_regex_to_java
 from .terms import delete_in_order, tree_pattern
 
 
@@ -44,16 +44,16 @@ def _arr(values: Sequence[str]) -> Column:
 def is_blank(c) -> Column:
     """Null, empty or whitespace only."""
     col = _c(c)
-    return col.isNull() | col.rlike(f"{UNICODE}^{WS}*$")
+    return col.isNull() | (F.ltrim(col, F.lit(WS_CHARS)) == "")
 
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace (incl. U+001C-1F) at both ends."""
-    return F.regexp_replace(_c(c), f"{UNICODE}^{WS}+|{WS}+$", "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def rstrip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), f"{UNICODE}{WS}+$", "")
+    return F.rtrim(_c(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
@@ -162,13 +162,16 @@ def rule_clean(c, rules: Sequence[tuple[str, str]], fallback_rules: Sequence[tup
     rules); if that is blank, the source. Always stripped; null becomes ''."""
     col = _c(c)
     full = normalize_punct(apply_rules(col, rules))
+    # the chain is bound: its result is looked at, measured and returned
     if not fallback_rules:
         # nothing lighter to redo: the short result, or the source if it is blank
         return F.coalesce(strip_ws(_let(full, lambda r: F.when(is_blank(r), col).otherwise(r))), F.lit(""))
     light = normalize_punct(apply_rules(col, fallback_rules))
-    short = (full == "") | (F.length(strip_ws(full)) < 2)
-    out = F.when(short, F.when(is_blank(light), col).otherwise(light)).otherwise(full)
-    return F.coalesce(strip_ws(out), F.lit(""))
+
+    def pick(r):
+        short = (r == "") | (F.length(strip_ws(r)) < 2)
+        return F.when(short, _let(light, lambda x: F.when(is_blank(x), col).otherwise(x))).otherwise(r)
+    return F.coalesce(strip_ws(_let(full, pick)), F.lit(""))
 
 
 # --------------------------------------------------------------------------
@@ -179,6 +182,25 @@ def rule_clean(c, rules: Sequence[tuple[str, str]], fallback_rules: Sequence[tup
 TOKEN_PUNCT = ".,!?;:()[]{}\"'"
 
 
+def _least(terms: Sequence[str]) -> list[str]:
+    """The terms that contain no other one."""
+    return [t for t in dict.fromkeys(terms) if not any(o != t and o in t for o in terms)]
+
+
+def _may_hold(c: Column, terms: Sequence[str]) -> Column:
+    """False only where no word of the text equals or contains a term."""
+    if not terms or "" in terms:
+        return F.lit("" in terms)
+    if len(set(terms)) > CHAIN_TERMS:
+        return F.lower(c).rlike(tree_pattern(terms))
+    least = _least(terms)
+    return _let(F.lower(c), lambda low: _any_in(low, least))
+
+
+def _any_in(low: Column, terms: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(t) for t in terms])
+
+
 def _token_key(w: Column) -> Column:
     return F.btrim(F.lower(w), F.lit(TOKEN_PUNCT))
 
@@ -196,8 +218,11 @@ def filter_tokens(c, terms: Sequence[str], replacements: Sequence[tuple[str, str
     rep = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in replacements]) \
         if replacements else F.array().cast("array<struct<k:string,v:string>>")
 
+    short = 0 < len(set(terms)) <= CHAIN_TERMS and "" not in terms
+
     def per_word(w):
-        return _let(_token_key(w), lambda key: per_key(w, key))
+        found = _let(_token_key(w), lambda key: per_key(w, key))
+        return F.when(_let(F.lower(w), lambda low: _any_in(low, _least(terms))), found).otherwise(w) if short else found
 
     def per_key(w, key):
         first_rep = _at(F.filter(rep, lambda r: key.contains(r["k"])), 1)["v"]
@@ -206,7 +231,7 @@ def filter_tokens(c, terms: Sequence[str], replacements: Sequence[tuple[str, str
                 .otherwise(w))
 
     out = collapse_ws(F.array_join(F.transform(split_ws(col), per_word), " "))
-    return F.when(col.isNull() | (col == ""), col).otherwise(out)
+    return F.when(col.isNull() | (col == ""), col).when(_may_hold(col, terms), out).otherwise(collapse_ws(col))
 
 
 def drop_toxic_tokens(c, terms: Sequence[str], min_contained_len: int = 4) -> Column:
@@ -217,7 +242,10 @@ def drop_toxic_tokens(c, terms: Sequence[str], min_contained_len: int = 4) -> Co
     term_arr, long_arr = _arr(list(terms)), _arr([t for t in terms if len(t) >= min_contained_len])
     kept = F.filter(split_ws(col), lambda w: _let(
         _token_key(w), lambda k: ~F.array_contains(term_arr, k) & ~F.exists(long_arr, lambda t: k.contains(t))))
-    return _let(kept, lambda kp: F.when(F.size(kp) == 0, col).otherwise(F.array_join(kp, " ")))
+    out = _let(kept, lambda kp: F.when(F.size(kp) == 0, col).otherwise(F.array_join(kp, " ")))
+    if "" in terms:
+        return out
+    return F.when(_may_hold(col, terms), out).otherwise(_let(collapse_ws(col), lambda x: F.when(x == "", col).otherwise(x)))
 
 
 def drop_tokens_matching(c, char_class: str = "[A-Za-z]") -> Column:
@@ -344,7 +372,10 @@ def keep_two_repeats(c) -> Column:
         return _let(F.transform(w, F.lower), lambda lw: F.array_join(F.filter(
             w, lambda x, i: ~((i >= 2) & (_at(lw, i + 1) == _at(lw, i)) & (_at(lw, i) == _at(lw, i - 1)))),
             " "))
-    return _let(split_ws(_c(c)), run)
+
+    def thrice(x):  # in its lower case, with single spaces
+        return F.lower(x).rlike(r"(?:^| )([^ ]++) \1 \1(?: |\z)")
+    return _let(collapse_ws(c), lambda x: F.when(thrice(x), run(F.split(x, " "))).otherwise(x))
 
 
 def _strip_quotes(x: Column) -> Column:

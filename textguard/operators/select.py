@@ -73,19 +73,21 @@ def best_of_n(attempts, source, terms: Sequence[str], replacements: Sequence[tup
     C9; the source when fewer than 3 chars remain.
     """
     src = _c(source)
-    prepared = _let(F.array_distinct(split_ws(F.lower(src))), lambda sw: F.transform(
-        _c(attempts), lambda r: prepare_attempt(r, src, terms, replacements, prompt, sw)))
     init = F.struct(F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("bs"),
                     F.lit(False).alias("done"))
 
-    def step(acc, a):
+    # what comes after the stop is not looked at
+    def step(acc, raw, sw):
+        return F.when(acc["done"], acc).otherwise(_let(prepare_attempt(raw, src, terms, replacements, prompt, sw), lambda a: fold(acc, a)))
+
+    def fold(acc, a):
         take = (~acc["done"]) & a["ok"] & (acc["best"].isNull() | (a["valid"] & (a["score"] < acc["bs"])))
         best = F.when(take, a["gen"]).otherwise(acc["best"])
         bs = F.when(take, a["score"]).otherwise(acc["bs"])
         done = acc["done"] | (a["valid"] & (bs <= 0))
         return F.struct(best.alias("best"), bs.alias("bs"), done.alias("done"))
 
-    winner = F.aggregate(prepared, init, step)["best"]
+    winner = _let(F.array_distinct(split_ws(F.lower(src))), lambda sw: F.aggregate(_c(attempts), init, lambda acc, raw: step(acc, raw, sw))["best"])
     return finish_best(winner, src, terms, replacements)
 
 
