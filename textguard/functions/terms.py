@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from .regex import IGNORE_CASE, escape_literal
 
+#: Up to so many terms are faster looked for one by one.
+SHORT_LIST = 16
 #: Between the terms of a list that is written as one literal; not part of any term.
 _BETWEEN = "\x00"
 
 
 def tree_pattern(terms: Sequence[str]) -> str:
     """A regular expression that matches, at a position, the longest of
-    ``terms`` that stands there."""
+    ``terms`` that stands there. Many branches are halved by their letters."""
     tree: dict = {}
     for t in terms:
         node = tree
@@ -35,6 +37,12 @@ def tree_pattern(terms: Sequence[str]) -> str:
             node = node.setdefault(ch, {})
         node[""] = {}
 
+    def halves(keys: list[str], out: list[str]) -> str:
+        if len(out) <= 4:
+            return "|".join(out)
+        mid = len(out) // 2
+        return f"(?=[{keys[0]}-{keys[mid - 1]}])(?:{halves(keys[:mid], out[:mid])})|{halves(keys[mid:], out[mid:])}"
+
     def write(node: dict) -> str:
         out = []
         for ch in sorted(k for k in node if k):
@@ -47,7 +55,10 @@ def tree_pattern(terms: Sequence[str]) -> str:
             return ""
         if len(out) == 1 and "" not in node:
             return out[0]
-        return "(?:" + "|".join(out) + ")" + ("?" if "" in node else "")
+        keys = sorted(k for k in node if k)
+        # a class of small letters is the same with and without case
+        plain = all(k.isascii() and (k.islower() or k.isdigit()) for k in keys)
+        return "(?:" + (halves(keys, out) if plain else "|".join(out)) + ")" + ("?" if "" in node else "")
 
     # the recursion follows branches, never more of them than a term has letters
     limit = sys.getrecursionlimit()
@@ -82,6 +93,10 @@ def count_hits(low: Column, terms: Sequence[str]) -> Column:
     each time, an empty one always); 0 for null."""
     times = Counter(terms)
     n = F.lit(times.pop("", 0))
+    if len(times) <= SHORT_LIST:
+        for t, k in times.items():
+            n = n + F.when(low.contains(t), k).otherwise(0)
+        return F.when(low.isNull(), F.lit(0)).otherwise(n)
     again = sorted(t for t, k in times.items() if k > 1)
     more = F.split(F.lit(" ".join(["0", *(str(times[t] - 1) for t in again)])), " ").cast("array<int>")
 
