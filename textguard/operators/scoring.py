@@ -10,7 +10,7 @@ Scale notes
 * Training is ``explode -> groupBy(word[, class])``: partial aggregation
   combines hot words map-side, so a word holding a third of all tokens costs
   one row per task before the shuffle.
-* Scoring joins exploded (pre-aggregated per text) tokens to the model on the
+* Scoring joins exploded tokens to the model on the
   word key. The model side is unique per key, so Spark broadcasts it when its
   measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE checks
   the real size at runtime) and otherwise sort-merge joins, with AQE's skew
@@ -168,19 +168,20 @@ def _nb_probability(prior: float, total: Column) -> Column:
 
 
 def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
-    """(_nb_key, _nb_c, _nb_x): what each known word of a text adds to its
-    logit; the bits of ``_nb_c`` tell the text columns. A text with the words of
+    """(_nb_key, _nb_c, _nb_x): what each known word of a text, every time it
+    occurs, adds to its logit (sorting the words of a text costs more than the
+    rows it saves); the bits of ``_nb_c`` tell the text columns. A text with the words of
     the first one, in their order, sends none of its own."""
     ts = df.select(F.col(key).alias("_nb_key"), *[tokens(t, pattern).alias(f"_nb_t{i}") for i, t in enumerate(texts)])
     same = [F.lit(True)] + [F.col("_nb_t0").eqNullSafe(F.col(f"_nb_t{i}")) for i in range(1, len(texts))]
     ts = ts.select("*", *[x.alias(f"_nb_e{i}") for i, x in enumerate(same)])
     mask = reduce(lambda m, i: m + F.when(F.col(f"_nb_e{i}"), F.lit(1 << i)).otherwise(F.lit(0)), range(1, len(texts)), F.lit(1))
-    bags = [F.struct(mask.alias("c"), _run_lengths(F.col("_nb_t0")).alias("b"))]
-    bags += [F.when(~F.col(f"_nb_e{i}"), F.struct(F.lit(1 << i).alias("c"), _run_lengths(F.col(f"_nb_t{i}")).alias("b"))) for i in range(1, len(texts))]
-    bag = (ts.select("_nb_key", F.explode(F.array(*bags)).alias("_nb_p")).select("_nb_key", F.col("_nb_p.c").alias("_nb_c"), F.explode("_nb_p.b").alias("_nb_b"))
-           .select("_nb_key", "_nb_c", F.col("_nb_b.w").alias("_nb_word"), F.col("_nb_b.n").alias("_nb_n")))
-    w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
-    return bag.join(w, "_nb_word").select("_nb_key", "_nb_c", (F.col("_nb_n") * F.col("_nb_w")).alias("_nb_x"))
+    bags = [F.struct(mask.alias("c"), F.col("_nb_t0").alias("b"))]
+    bags += [F.when(~F.col(f"_nb_e{i}"), F.struct(F.lit(1 << i).alias("c"), F.col(f"_nb_t{i}").alias("b"))) for i in range(1, len(texts))]
+    bag = (ts.select("_nb_key", F.explode(F.array(*bags)).alias("_nb_p"))
+           .select("_nb_key", F.col("_nb_p.c").alias("_nb_c"), F.explode("_nb_p.b").alias("_nb_word")))
+    w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_x"))
+    return bag.join(w, "_nb_word").select("_nb_key", "_nb_c", "_nb_x")
 
 
 # --------------------------------------------------------------------------
