@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import _c
 from ..session import materialize
-from .gate import BatchFn, batch_map, with_cache
+from .gate import BatchFn, batch_map, content_key
 
 #: Buckets of a cache table: the tasks that read it. Fixed when it is made.
 BUCKETS = 64
@@ -55,6 +55,12 @@ class BucketedCache:
                 return
         self._write(new, self.name, "append")
 
+    def add(self, entries: DataFrame) -> None:
+        """Add ``entries(key, value)``, one per key and none that has a value
+        there; null values are left out, so their keys are asked for again.
+        ``entries`` may read this cache: they see it as it is before."""
+        self._write(entries.where(F.col("value").isNotNull()), self.name, "append")
+
     def compact(self) -> None:
         """One sorted file per bucket, one value per key (the smallest)."""
         have = self.read()
@@ -79,21 +85,26 @@ def cached_stages(df: DataFrame, gate, text: str, out_col: str, stages: Sequence
     are missing, once each, and appends the answers. Other rows keep ``text``;
     a gated null stays null.
 
-    Texts are followed by their distinct values: the rows meet the last answer
-    in one join on the content of their text."""
+    Texts are followed by the content hash of the first one, so a stage moves
+    the texts it is asked for once, to the buckets of its cache, and its answers
+    once, into them. The rows that are gated meet the last answers by that hash;
+    the others meet nothing."""
     g = F.coalesce(_c(gate) if not isinstance(gate, str) else F.col(gate), F.lit(False))
     gated = df.withColumn("_gate", g)
-    flow = gated.where(F.col("_gate") & F.col(text).isNotNull()).select(F.col(text).alias("_t0")).distinct()
+    asked = F.col("_gate") & F.col(text).isNotNull()
+    flow = gated.where(asked).select(content_key(text).alias("_from"), F.col(text).alias("_t")).dropDuplicates(["_from"])
     flow = materialize(flow, "stage-texts")
-    for i, (name, factory) in enumerate(stages):
-        here, there = f"_t{i}", f"_t{i + 1}"
-
-        def compute(missing, here=here, factory=factory):
-            return batch_map(missing, factory, here, "value", batch_size)
-        answered, new = with_cache(flow, caches[name].read(), here, there, compute)
-        caches[name].append(new)
-        flow = materialize(answered, f"stage-{name}")
-    last = flow.select(F.col("_t0").alias("_from"), F.col(f"_t{len(stages)}").alias("_to"))
-    asked = F.when(F.col("_gate"), F.col(text))
-    out = gated.join(last, asked == F.col("_from"), "left")
-    return out.withColumn(out_col, F.when(F.col("_gate"), F.col("_to")).otherwise(F.col(text))).drop("_gate", "_from", "_to")
+    for name, factory in stages:
+        cache, keyed = caches[name], flow.withColumn("_k", content_key("_t"))
+        missing, have = keyed.where(F.col("_k").isNotNull()).select("_k", "_t"), cache.read()
+        if have is not None:
+            missing = missing.join(have.where(F.col("value").isNotNull()).select(F.col("key").alias("_k")), "_k", "left_anti")
+        missing = missing.dropDuplicates(["_k"])
+        cache.add(batch_map(missing, factory, "_t", "value", batch_size).select(F.col("_k").alias("key"), "value"))
+        answers = cache.read().groupBy(F.col("key").alias("_k")).agg(F.min("value").alias("_t"))
+        flow = materialize(keyed.select("_from", "_k").join(answers, "_k", "left").select("_from", "_t"), f"stage-{name}")
+    last = flow.withColumnRenamed("_t", "_to")
+    columns = [*dict.fromkeys([*df.columns, out_col])]
+    edited = gated.where(asked).withColumn("_from", content_key(text)).join(last, "_from", "left").withColumn(out_col, F.col("_to"))
+    rest = gated.where(~asked).withColumn(out_col, F.col(text))
+    return edited.select(*columns).unionByName(rest.select(*columns))
