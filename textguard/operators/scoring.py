@@ -10,11 +10,9 @@ Scale notes
 * Training is ``explode -> groupBy(word[, class])``: partial aggregation
   combines hot words map-side, so a word holding a third of all tokens costs
   one row per task before the shuffle.
-* Scoring joins exploded (pre-aggregated per text) tokens to the model on the
-  word key. The model side is unique per key, so Spark broadcasts it when its
-  measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE checks
-  the real size at runtime) and otherwise sort-merge joins, with AQE's skew
-  handling splitting a hot word's partition on the token side.
+* Scoring packs texts into blocks (``operators/blocks.py``): a block's distinct
+  words or word runs meet the model once, and the sums of its texts are taken
+  in the block, so neither a row per word nor a text is shuffled for a score.
 * Per-text similarity (M6) needs no shuffle at all: both count vectors live
   in the same row and are compared with sorted-array functions.
 """
@@ -22,13 +20,13 @@ Scale notes
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _at, _c, _let
 from ..session import broadcast_if_small, materialize, stored_bytes, with_size
+from . import blocks as B
 
 # Fixed value: token class used on the driver's tables (lower-cased ASCII words).
 DEFAULT_TOKEN_PATTERN = "[a-z]+"
@@ -167,20 +165,23 @@ def _nb_probability(prior: float, total: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))))
 
 
-def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
+def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str, blocks: DataFrame | None = None) -> DataFrame:
     """(_nb_key, _nb_c, _nb_x): what each known word of a text adds to its
     logit; the bits of ``_nb_c`` tell the text columns. A text with the words of
-    the first one, in their order, sends none of its own."""
-    ts = df.select(F.col(key).alias("_nb_key"), *[tokens(t, pattern).alias(f"_nb_t{i}") for i, t in enumerate(texts)])
-    same = [F.lit(True)] + [F.col("_nb_t0").eqNullSafe(F.col(f"_nb_t{i}")) for i in range(1, len(texts))]
-    ts = ts.select("*", *[x.alias(f"_nb_e{i}") for i, x in enumerate(same)])
-    mask = reduce(lambda m, i: m + F.when(F.col(f"_nb_e{i}"), F.lit(1 << i)).otherwise(F.lit(0)), range(1, len(texts)), F.lit(1))
-    bags = [F.struct(mask.alias("c"), _run_lengths(F.col("_nb_t0")).alias("b"))]
-    bags += [F.when(~F.col(f"_nb_e{i}"), F.struct(F.lit(1 << i).alias("c"), _run_lengths(F.col(f"_nb_t{i}")).alias("b"))) for i in range(1, len(texts))]
-    bag = (ts.select("_nb_key", F.explode(F.array(*bags)).alias("_nb_p")).select("_nb_key", F.col("_nb_p.c").alias("_nb_c"), F.explode("_nb_p.b").alias("_nb_b"))
-           .select("_nb_key", "_nb_c", F.col("_nb_b.w").alias("_nb_word"), F.col("_nb_b.n").alias("_nb_n")))
-    w = broadcast_if_small(weights).select(F.col("word").alias("_nb_word"), F.col("weight").alias("_nb_w"))
-    return bag.join(w, "_nb_word").select("_nb_key", "_nb_c", (F.col("_nb_n") * F.col("_nb_w")).alias("_nb_x"))
+    the first one, in their order, sends none of its own. The weights meet the
+    distinct words of a block of texts, not the words of each text."""
+    blocks = _blocks(df, key, texts, pattern) if blocks is None else blocks
+    parts = B.weighted_words(blocks, broadcast_if_small(weights), "weight", len(texts))
+    return parts.select(F.col("k").alias("_nb_key"), F.col("c").alias("_nb_c"), F.col("x").alias("_nb_x"))
+
+
+def _blocks(df: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
+    return B.text_blocks(df.select(F.col(key).alias("_k"), *[tokens(t, pattern).alias(f"_t{i}") for i, t in enumerate(texts)]))
+
+
+def _run_counts(reference: DataFrame, text_col: str, pattern: str, runs: B.Runs, store: bool) -> B.RunCounts:
+    size = reference.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"]
+    return B.RunCounts(reference.select(tokens(text_col, pattern).alias("t")), runs, size or 0, store)
 
 
 # --------------------------------------------------------------------------
@@ -188,70 +189,35 @@ def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pat
 # --------------------------------------------------------------------------
 
 def train_bigrams(reference: DataFrame, text_col: str = "text",
-                  pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = True) -> tuple[DataFrame, DataFrame, int]:
-    """Return ``(pairs(a, b, cab, ca), starts(a, ca), v)`` from the reference
-    texts: bigram counts, each with the count of bigrams that start with its
-    first word, those counts alone, and the number of distinct words.
-
-    One tokenisation pass: every token is emitted with its successor (null
-    for the last token of a text), so ``groupBy(a, b)`` yields the bigram
-    counts and, through its ``a`` values, the vocabulary. The null-successor
-    rows never match a lookup (null join keys) and are left out of
-    ``starts``."""
-    t = reference.select(tokens(text_col, pattern).alias("t"))
-    # the slice is one shorter: the last word is zipped with null
-    follow = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("b"))
-    grams = (t.select(F.explode(follow).alias("p"))
-             .select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-             .groupBy("a", "b").agg(F.count("*").alias("cab")))
-    if store:
-        grams = materialize(grams, "bigram-grams")
-    pairs = grams.where(F.col("b").isNotNull())
-    starts = pairs.groupBy("a").agg(F.sum("cab").alias("ca"))
-    if store:
-        starts = materialize(starts, "bigram-starts")
-    pairs = pairs.join(broadcast_if_small(starts), "a").select("a", "b", "cab", "ca")
-    if store:
-        pairs = materialize(pairs, "bigram-pairs")
-    v = grams.select("a").distinct().count()
-    return pairs, starts, int(v)
+                  pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = False) -> B.RunCounts:
+    """Counts of the reference texts' bigrams and of the words that open one,
+    with the number of distinct words. They are counted where they are looked
+    up; with ``store`` they are kept as a table, for models that score often."""
+    return _run_counts(reference, text_col, pattern, B.pairs, store)
 
 
-def bigram_nll(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str,
+def bigram_nll(df: DataFrame, model: B.RunCounts, key: str,
                text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """Per text: ``(key, nll_sum, n_pred, n_tokens)``: negative log
     likelihood of tokens 2..n under the add-one model
     ``P(b|a) = (c(a,b)+1)/(c(a)+v)``.
 
-    A text sends one row per bigram: few of them repeat within a text, so that
-    sorting them there costs more than the rows it saves. ``ca`` comes with a
-    known pair and is looked up for unseen pairs alone. ``explode_outer`` gives
-    texts without a bigram one null row, so every input row reaches the final
-    aggregation without a join back to the input (which would recompute it); the
-    model joins are left joins on keys that are unique on the model side."""
+    A block of texts asks once for each of its distinct bigrams, and gets
+    their counts back (``blocks.RunCounts``); texts without a bigram keep their row."""
     return _nll_parts(df, model, key, text_col, pattern).groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
 
 
 def _nll_sums() -> list[Column]:
     return [F.coalesce(F.sum("_bg_nll"), F.lit(0.0)).alias("nll_sum"),
-            F.count("_bg_nll").alias("n_pred"),
+            F.coalesce(F.sum("_bg_n"), F.lit(0)).cast("long").alias("n_pred"),
             F.max("_bg_len").alias("n_tokens")]
 
 
-def _nll_parts(df: DataFrame, model: tuple[DataFrame, DataFrame, int], key: str, text_col: str, pattern: str) -> DataFrame:
-    """(_bg_key, _bg_len, _bg_nll): one row per bigram of a text."""
-    pairs, starts, vocab = model
-    t = df.select(F.col(key).alias("_bg_key"), tokens(text_col, pattern).alias("_bg_t"))
-    lo = F.slice("_bg_t", 1, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
-    hi = F.slice("_bg_t", 2, F.greatest(F.size("_bg_t") - 1, F.lit(0)))
-    bg = (t.select("_bg_key", F.size("_bg_t").cast("long").alias("_bg_len"), F.explode_outer(F.arrays_zip(lo.alias("a"), hi.alias("b"))).alias("_bg_p"))
-          .select("_bg_key", "_bg_len", F.col("_bg_p.a").alias("a"), F.col("_bg_p.b").alias("b")))
-    seen = bg.join(broadcast_if_small(pairs).withColumnRenamed("ca", "_ca"), ["a", "b"], "left")
-    unseen = broadcast_if_small(starts).withColumnRenamed("a", "_a")
-    ca = F.coalesce("_ca", "ca", F.lit(0)) + F.lit(float(vocab))
-    nll = -F.log((F.coalesce("cab", F.lit(0)) + 1.0) / ca)
-    return (seen.join(unseen, F.when(F.col("cab").isNull(), F.col("a")) == F.col("_a"), "left")
-            .select("_bg_key", "_bg_len", F.when(F.col("a").isNotNull(), nll).alias("_bg_nll")))
+def _nll_parts(df: DataFrame, model: B.RunCounts, key: str, text_col: str, pattern: str, blocks: DataFrame | None = None, i: int = 0,
+               cost=B.pair_cost) -> DataFrame:
+    """(_bg_key, _bg_len, _bg_nll, _bg_n): words, cost and predictions of each text."""
+    blocks = _blocks(df, key, [text_col], pattern) if blocks is None else blocks
+    return model.sums(blocks, i, cost).select(F.col("k").alias("_bg_key"), F.col("size").alias("_bg_len"), F.col("nll").alias("_bg_nll"), F.col("n").alias("_bg_n"))
 
 
 def text_perplexity(nll: DataFrame, key: str, min_tokens: int = 3) -> DataFrame:
@@ -271,7 +237,7 @@ def corpus_perplexity(nll: DataFrame) -> DataFrame:
                    n.alias("n_pred"))
 
 
-def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tuple[DataFrame, float], bigrams: tuple[DataFrame, DataFrame, int],
+def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tuple[DataFrame, float], bigrams: B.RunCounts,
                     labels: DataFrame, label: str, pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """What M8 is computed from: (key, cos, p_before, p_after, ppl, label) per
     row of ``df`` (unique ``key``).
@@ -280,14 +246,16 @@ def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tupl
     they go into one union and are summed by key at once. No text, and no score,
     is joined back."""
     weights, prior = nb
-    columns = {"_in": "int", "cos": "double", "_nb_c": "int", "_nb_x": "double", "_bg_len": "long", "_bg_nll": "double", "_label": "int"}
+    columns = {"_in": "int", "cos": "double", "_nb_c": "int", "_nb_x": "double", "_bg_len": "long", "_bg_nll": "double", "_bg_n": "long", "_label": "int"}
 
     def part(frame: DataFrame, k: str, **given) -> DataFrame:
         return frame.select(F.col(k).alias("_k"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
     rows = part(df, key, _in=F.lit(1), cos=text_similarity(source, rewrite, pattern))
-    rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
-    rows = rows.unionAll(part(_nll_parts(df, bigrams, key, rewrite, pattern), "_bg_key", _bg_len=F.col("_bg_len"), _bg_nll=F.col("_bg_nll")))
+    both = _blocks(df, key, [source, rewrite], pattern)
+    rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern, both), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
+    costs = _nll_parts(df, bigrams, key, rewrite, pattern, both, 1)
+    rows = rows.unionAll(part(costs, "_bg_key", _bg_len=F.col("_bg_len"), _bg_nll=F.col("_bg_nll"), _bg_n=F.col("_bg_n")))
     rows = rows.unionAll(part(labels, key, _label=F.col(label)))
     got = rows.groupBy("_k").agg(F.max("_in").alias("_in"), F.max("cos").alias("cos"), F.max("_label").alias(label), *_nb_sums(2), *_nll_sums()).where("_in = 1")
     return got.select(F.col("_k").alias(key), "cos", _nb_probability(prior, F.col("_nb_s0")).alias("p_before"), _nb_probability(prior, F.col("_nb_s1")).alias("p_after"),
@@ -298,57 +266,21 @@ def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tupl
 # M7 with both sides: pseudo-perplexity
 # --------------------------------------------------------------------------
 
-def _centres(ts: Column) -> Column:
-    """Each token with its left and right neighbour ('' at the ends)."""
-    return _let(ts, lambda t: F.transform(t, lambda x, i: F.struct(
-        F.coalesce(_at(t, F.when(i > 0, i)), F.lit("")).alias("l"), x.alias("w"), F.coalesce(_at(t, i + 2), F.lit("")).alias("r"))))
-
-
 class TwoSided:
-    """Counts of words between their neighbours, stored as tables.
+    """Counts of words between their neighbours.
 
     ``P(w | l, r) = (c(l,w,r) + q) / (c(l,r) + 1)`` backs off to
     ``q = ((c(l,w) + 1) / (c(l) + v) + (c(w,r) + 1) / (c(r) + v)) / 2``; v is the
-    number of distinct words."""
-
-    def __init__(self, reference: DataFrame, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN):
-        rows = reference.select(F.explode(_centres(tokens(text_col, pattern))).alias("x")).select("x.*")
-        c = materialize(rows.groupBy("l", "w", "r").agg(F.count("*").alias("c3")), "centres")
-        self.between = materialize(c.groupBy("l", "r").agg(F.sum("c3").alias("clr")), "centre-contexts")
-        self.after = materialize(c.groupBy("l", "w").agg(F.sum("c3").alias("clw")), "centre-left")
-        self.before = materialize(c.groupBy("w", "r").agg(F.sum("c3").alias("cwr")), "centre-right")
-        self.left = materialize(self.after.groupBy("l").agg(F.sum("clw").alias("cl")), "left-words")
-        self.right = materialize(self.before.groupBy("r").agg(F.sum("cwr").alias("cr")), "right-words")
-        self.words = int(c.select("w").distinct().count())
-        #: -ln P of every centre of the reference: those need a single lookup.
-        self.seen = materialize(self._priced(c), "centre-costs")
-
-    def _priced(self, centres: DataFrame) -> DataFrame:
-        """(l, w, r, nll) of ``centres``; ``c3`` is 0 where the column is absent."""
-        c = centres if "c3" in centres.columns else centres.withColumn("c3", F.lit(0))
-        for table, on in ((self.between, ["l", "r"]), (self.after, ["l", "w"]), (self.before, ["w", "r"]), (self.left, ["l"]), (self.right, ["r"])):
-            c = c.join(broadcast_if_small(table), on, "left")
-        n = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("double")
-        v = F.lit(float(max(1, self.words)))
-        q = ((n("clw") + 1) / (n("cl") + v) + (n("cwr") + 1) / (n("cr") + v)) / 2
-        return c.select("l", "w", "r", (-F.log((n("c3") + q) / (n("clr") + 1))).alias("nll"))
+    number of distinct words. The ends of a text are neighbours too."""
+
+    def __init__(self, reference: DataFrame, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = False):
+        self.counts = _run_counts(reference, text_col, pattern, B.centres, store)
+        self.words = self.counts.words
 
 
 def pseudo_nll(df: DataFrame, model: TwoSided, key: str, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """M7: per text ``(key, nll_sum, n_pred, n_tokens)`` with every token
     predicted from its two neighbours (A6 and A7 take it like
-    :func:`bigram_nll`). A text sends one row per distinct centre; a centre
-    that the reference does not have is priced once for all texts."""
-    t = df.select(F.col(key).alias("_k"), tokens(text_col, pattern).alias("_t"))
-    rows = (t.select("_k", F.size("_t").cast("long").alias("_len"), F.explode_outer(_run_lengths(_centres(F.col("_t")))).alias("_p"))
-            .select("_k", "_len", F.col("_p.w.l").alias("l"), F.col("_p.w.w").alias("w"), F.col("_p.w.r").alias("r"), F.col("_p.n").alias("_n")))
-    found = materialize(rows.join(broadcast_if_small(model.seen), ["l", "w", "r"], "left"), "centre-rows")
-    new = found.where(F.col("nll").isNull() & F.col("w").isNotNull()).select("l", "w", "r").distinct()
-    new = materialize(model._priced(new).withColumnRenamed("nll", "_new"), "new-centres")
-    # known centres do not look for a second price
-    at = F.when(F.col("nll").isNull(), F.col("w"))
-    new = broadcast_if_small(new).select(F.col("l").alias("_l"), F.col("w").alias("_w"), F.col("r").alias("_r"), "_new")
-    priced = found.join(new, (at == F.col("_w")) & (F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r")), "left")
-    cost = F.coalesce("nll", "_new") * F.col("_n")
-    return priced.groupBy("_k").agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("nll_sum"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_pred"),
-                                    F.max("_len").alias("n_tokens")).withColumnRenamed("_k", key)
+    :func:`bigram_nll`). A block of texts asks once for each distinct run."""
+    parts = _nll_parts(df, model.counts, key, text_col, pattern, cost=B.centre_cost)
+    return parts.groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
