@@ -47,6 +47,15 @@ def _unpack(cell: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
 
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Codes byte by byte: the high bytes of frequent words are zeros."""
+    return _pack(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack_codes(cell: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(cell, "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _gather(batches, words_of: Callable[[pa.RecordBatch], int]):
     """Tables of about ``BLOCK_WORDS`` words."""
     held, n = [], 0
@@ -89,17 +98,21 @@ def text_blocks(rows: DataFrame) -> DataFrame:
         for table in _gather(batches, lambda b: sum(len(b.column(i + 1).flatten()) for i in range(n))):
             lists = [_column(table, i + 1) for i in range(n)]
             code = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
-            codes, at, cells = code.indices.to_numpy(), 0, []
+            codes = code.indices.to_numpy()
+            order = np.argsort(-np.bincount(codes, minlength=len(code.dictionary)), kind="stable")  # frequent words first
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            codes, words, at, cells = rank[codes], code.dictionary.take(pa.array(order)), 0, []
             for i, x in enumerate(lists):
                 size, m = _lengths(x), len(x.flatten())
                 if i:
                     size = np.where(_column(table, n + i).to_numpy(zero_copy_only=False), -2, size).astype(np.int32)
-                cells += [_pack(size), _pack(codes[at:at + m].astype("<u4"))]
+                cells += [_pack(size), _pack_codes(codes[at:at + m])]
                 at += m
             keys = _column(table, 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                 pa.ListArray.from_arrays(pa.array([0, len(code.dictionary)], pa.int32()), code.dictionary), pa.array([cells], pa.list_(pa.binary()))],
+                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([cells], pa.list_(pa.binary()))],
                 names=["block", "keys", "words", "cells"])
             block += 1
 
@@ -109,9 +122,9 @@ def text_blocks(rows: DataFrame) -> DataFrame:
 
 def _texts(cells: list[bytes], i: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of each text, codes) of word array ``i`` of a block."""
-    size, codes = _unpack(cells[2 * i], "<i4"), _unpack(cells[2 * i + 1], "<u4").astype(np.int64)
+    size, codes = _unpack(cells[2 * i], "<i4"), _unpack_codes(cells[2 * i + 1])
     if i and (size == -2).any():
-        size0, codes0 = _unpack(cells[0], "<i4"), _unpack(cells[1], "<u4").astype(np.int64)
+        size0, codes0 = _unpack(cells[0], "<i4"), _unpack_codes(cells[1])
         same, n0, n = size == -2, np.maximum(size0, 0), np.maximum(size, 0)
         new = np.where(same, size0, size)
         text = np.repeat(np.arange(len(size)), np.maximum(new, 0))
@@ -154,7 +167,7 @@ def weighted_words(blocks: DataFrame, weights: DataFrame, value: str, n_texts: i
                 w[right.column("i").to_numpy()] = right.column("value").to_numpy()
                 for i in range(n_texts):
                     if i:
-                        size, codes = _unpack(cells[2 * i], "<i4"), _unpack(cells[2 * i + 1], "<u4").astype(np.int64)
+                        size, codes = _unpack(cells[2 * i], "<i4"), _unpack_codes(cells[2 * i + 1])
                         mask = np.full(len(size), 1 << i)
                     else:
                         size, codes = _texts(cells, 0)
@@ -171,6 +184,26 @@ def weighted_words(blocks: DataFrame, weights: DataFrame, value: str, n_texts: i
     return _to_blocks(blocks, found).applyInArrow(run, f"k {kind.simpleString()}, c int, x double")
 
 
+def cosines(blocks: DataFrame) -> DataFrame:
+    """(k, cos) for each row: the cosine of the word counts of its first two
+    word arrays, 0 if one has no word (``scoring.text_similarity``)."""
+    kind = blocks.schema["keys"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for j in range(b.num_rows):
+                cells, v = [c.as_py() for c in b.column(1)[j]], max(1, len(b.column(2)[j].values))
+                both = [_texts(cells, i) for i in (0, 1)]
+                at = [np.repeat(np.arange(len(size)), np.maximum(size, 0)) * v + codes for size, codes in both]
+                place, to = np.unique(np.concatenate(at), return_inverse=True)
+                x, y = (np.bincount(t, minlength=len(place)).astype(float) for t in (to[:len(at[0])], to[len(at[0]):]))
+                xx, yy, xy = (np.bincount(place // v, z, len(both[0][0])) for z in (x * x, y * y, x * y))
+                cos = np.divide(xy, np.sqrt(xx) * np.sqrt(yy), out=np.zeros(len(xx)), where=(xx > 0) & (yy > 0))
+                yield pa.RecordBatch.from_arrays([b.column(0)[j].values, pa.array(cos, pa.float64())], names=["k", "cos"])
+
+    return blocks.select("keys", "cells", "words").mapInArrow(run, f"k {kind}, cos double")
+
+
 # --- runs of words -----------------------------------------------------------------
 
 def _mix(h: np.ndarray) -> np.ndarray:

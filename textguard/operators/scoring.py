@@ -145,17 +145,23 @@ def score_naive_bayes(df: DataFrame, weights: DataFrame, prior: float, key: str,
 
 def score_naive_bayes_many(df: DataFrame, weights: DataFrame, prior: float, key: str,
                            outputs: dict[str, str], pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
-    """M1 for several text columns at once (``{out_col: text_col}``): one
-    explode of all bags, one join to the weights, one aggregation per key
-    with a conditional sum per column, one join back."""
+    """M1 for several text columns at once (``{out_col: text_col}``): the words
+    of all of them in one set of blocks, one aggregation per key with a
+    conditional sum per column, one join back."""
     names = list(outputs)
     sums = _nb_parts(df, weights, key, list(outputs.values()), pattern).groupBy("_nb_key").agg(*_nb_sums(len(names)))
-    out = df.join(sums.withColumnRenamed("_nb_key", key), key, "left")
+    out = df.join(per_text(sums.withColumnRenamed("_nb_key", key), "scores"), key, "left")
     for i, o in enumerate(names):
         out = out.withColumn(o, _nb_probability(prior, F.col(f"_nb_s{i}")))
     return out.drop(*[f"_nb_s{i}" for i in range(len(names))])
 
 
+def per_text(numbers: DataFrame, name: str) -> DataFrame:
+    """A few numbers per key, stored: while they are small they go to the texts,
+    which are then not shuffled."""
+    return broadcast_if_small(materialize(numbers, name))
+
+
 def _nb_sums(n: int) -> list[Column]:
     return [F.sum(F.when(F.col("_nb_c").bitwiseAND(1 << i) != 0, F.col("_nb_x"))).alias(f"_nb_s{i}") for i in range(n)]
 
@@ -251,8 +257,8 @@ def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tupl
     def part(frame: DataFrame, k: str, **given) -> DataFrame:
         return frame.select(F.col(k).alias("_k"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
-    rows = part(df, key, _in=F.lit(1), cos=text_similarity(source, rewrite, pattern))
     both = _blocks(df, key, [source, rewrite], pattern)
+    rows = part(B.cosines(both), "k", _in=F.lit(1), cos=F.col("cos"))
     rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern, both), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
     costs = _nll_parts(df, bigrams, key, rewrite, pattern, both, 1)
     rows = rows.unionAll(part(costs, "_bg_key", _bg_len=F.col("_bg_len"), _bg_nll=F.col("_bg_nll"), _bg_n=F.col("_bg_n")))
