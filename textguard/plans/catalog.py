@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
-from ..session import read_table
+from ..session import broadcast_if_small, folder_bytes, read_table, table_path, with_size
 from . import sqlgen as S
 
 # --------------------------------------------------------------------------
@@ -61,6 +61,12 @@ def _input(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels, broadcast while their files are small: the texts they are
+    joined to are then not shuffled."""
+    return broadcast_if_small(with_size(read_table(spark, sf, "labels"), folder_bytes(spark, table_path(sf, "labels"))))
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -513,7 +519,7 @@ def a10_mean_quality(spark, sf):
 
 def nb_model(spark, sf):
     from ..operators.scoring import train_naive_bayes
-    lab = docs(spark, sf).join(read_table(spark, sf, "labels"), "doc_id")
+    lab = docs(spark, sf).join(labels(spark, sf), "doc_id")
     return _model("nb", spark, sf, lambda: train_naive_bayes(lab, "text", "toxic"))
 
 
@@ -799,7 +805,7 @@ _LABELLED = "documents JOIN labels USING (doc_id)"
 
 
 def labelled_docs(spark, sf):
-    return read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")
+    return read_table(spark, sf, "documents").join(labels(spark, sf), "doc_id")
 
 
 @register("o1_sample_per_class",
@@ -1489,7 +1495,7 @@ def e2_pivot_with_metrics(spark, sf):
 
 def _with_labels(spark, sf):
     """Documents with their toxicity label, null where there is none."""
-    return docs(spark, sf).select("doc_id", "text").join(read_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return docs(spark, sf).select("doc_id", "text").join(labels(spark, sf).select("doc_id", "toxic"), "doc_id", "left")
 
 
 @register("e2_pivot_cached", _E2_SQL)

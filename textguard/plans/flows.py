@@ -38,7 +38,7 @@ def bigram_fluency(model, key: str) -> Scorer:
     """Adapter: a trained bigram model as a per-text perplexity."""
     def add(df: DataFrame, text: str, out: str) -> DataFrame:
         ppl = SC.text_perplexity(SC.bigram_nll(df, model, key, text), key)
-        return df.join(ppl.withColumnRenamed("ppl", out), key, "left")
+        return df.join(SC.per_text(ppl.withColumnRenamed("ppl", out), "perplexities"), key, "left")
     return add
 
 
@@ -107,17 +107,24 @@ def pivot_with_metrics(df: DataFrame, key: str, text: str, scorer: Scorer,
                 return xs
             return run
         edited = G.batch_map(fwd, chain, "_fwd", "_gen", batch_size) if rest else fwd.withColumnRenamed("_fwd", "_gen")
-        d = d.join(edited.select(key, "_gen"), key, "left")
+        # rows that are not gated meet no edit: their texts stay where they are
+        rest = d.where(~F.col("edited")).withColumn("_gen", F.lit(None).cast("string"))
+        d = d.where(F.col("edited")).join(edited.select(key, "_gen"), key, "left").unionByName(rest)
     from ..session import materialize
-    d = materialize(d.withColumn("generated", P.fallback(F.col("_gen"), F.col(text))).drop("_gen"), "pivot-generated")
+    # most texts come back as they went in: those are stored once
+    kept = F.when(~F.col("generated").eqNullSafe(F.col(text)), F.col("generated"))
+    changed = F.coalesce(~F.col("generated").eqNullSafe(F.col(text)), F.lit(False))
+    d = materialize(d.withColumn("generated", P.fallback(F.col("_gen"), F.col(text))).drop("_gen")
+                    .withColumn("_changed", changed).withColumn("generated", kept), "pivot-generated")
+    d = d.withColumn("generated", F.when(F.col("_changed"), F.col("generated")).otherwise(F.col(text))).drop("_changed")
+    if similarity is not None:
+        d = d.withColumn("cos", similarity(F.col(text), F.col("generated")))
     if fluency is not None:
         d = fluency(d, "generated", "ppl")
     d = scorer(d, "generated", "tox_score_after")
-    if similarity is not None:
-        d = d.withColumn("cos", similarity(F.col(text), F.col("generated")))
     cols = [key, text, "generated", "edited", "tox_score_before", "tox_score_after"]
     cols += (["cos"] if similarity is not None else []) + (["ppl"] if fluency is not None else []) + ([label] if label else [])
-    per_row = materialize(d.select(*cols), "pivot-rows")  # read by the metrics and by the caller
+    per_row = d.select(*cols)  # the metrics read its numbers alone
     metrics = M.evaluate(per_row, p_after="tox_score_after", cos="cos" if similarity is not None else None,
                          fluency="ppl" if fluency is not None else None, p_before="tox_score_before" if label else None, label=label,
                          threshold=threshold)
