@@ -38,3 +38,39 @@ def test_places_of_distinct_runs(slices):
     name, at, n, place = B._distinct(h, slices)
     assert len(name) == len(set(words.tolist())) and n.sum() == 5000 and at[-1] == len(name)
     assert (name[place] == h[0]).all() and (n[place] == np.bincount(words)[words]).all()
+
+
+def test_a_word_is_hashed_once_per_batch(spark):
+    """TF-IDF vectors come from one pass over both texts; nulls and empty texts as before."""
+    from textguard.operators import features as FE
+    rows = [("a a b", "a c"), ("a b", "b a"), ("", "a"), (None, "a"), ("a", None), (None, ""), (None, None), ("a", "?")]
+    df = spark.createDataFrame(rows, "s string, t string").coalesce(1)
+    idf = F.lit([1.0] * FE.BUCKETS)
+    out = df.select(FE.tfidf_similarity("s", "t", idf).alias("o"))
+    assert "md5" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [r.o for r in out.collect()]
+    assert got[:3] == pytest.approx([2 / 10 ** 0.5, 1.0, 0.0]) and got[3:] == [None, None, 0.0, None, 0.0]
+    n = df.select(FE.bucket_counts(SC.tokens("s"), SC.tokens("t")).alias("n")).collect()
+    assert sorted((e.x, e.y) for e in n[0].n) == [(0, 1), (1, 0), (2, 1)] and n[6].n == []
+
+
+def test_pivot_flow_stores_unchanged_texts_once(spark):
+    from textguard.plans.flows import pivot_with_metrics
+    df = spark.createDataFrame([(1, "keep me", None), (2, "edit me", None), (2, "edit me", None), (None, "edit no key", None), (4, None, 1)], "k int, t string, y int")
+    scorer = lambda d, text, out: d.withColumn(out, F.when(F.col("t").startswith("edit"), 0.9).otherwise(0.1))
+    for cache in (None, spark.createDataFrame([], "key string, value string")):
+        rows, m, _ = pivot_with_metrics(df, "k", "t", scorer, lambda: lambda xs: [x.upper() for x in xs], None, None, label="y", forward_cache=cache)
+        got = [(r.k, r.generated) for r in rows.collect()]
+        edits = [(2, "EDIT ME")] * (4 if cache is not None else 2)  # a repeated key meets its edits as it did
+        assert sorted(got, key=str) == sorted([(1, "keep me"), *edits, (None, "edit no key" if cache is not None else "EDIT NO KEY"), (4, None)], key=str)
+        assert m.first().n_rows == len(got)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "pivot-rows" not in plan and "_changed" in plan
+
+
+def test_cosines_of_blocks(spark):
+    rows = [(1, "a a b", "a b b"), (2, "x", ""), (3, "", ""), (4, "The cat", "the CAT"), (None, None, "a"), (6, "a b", "c d"), (6, None, None)]
+    df = spark.createDataFrame(rows, "k int, s string, t string").coalesce(1)
+    want = [r.o for r in df.select(SC.text_similarity("s", "t").alias("o")).collect()]
+    got = B.cosines(SC._blocks(df, "k", ["s", "t"], SC.DEFAULT_TOKEN_PATTERN)).collect()
+    assert [r.k for r in got] == [r[0] for r in rows] and [r.cos for r in got] == pytest.approx(want)

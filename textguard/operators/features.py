@@ -8,25 +8,43 @@ held by the driver; words that share a bucket count as one.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _c, _let
 from ..session import materialize
-from .scoring import DEFAULT_TOKEN_PATTERN, _run_lengths, cosine_counts, tokens
+from .scoring import DEFAULT_TOKEN_PATTERN, tokens
 
 #: Buckets of a TF-IDF vector.
 BUCKETS = 1 << 14
 
 
-def bucket(word: Column, buckets: int = BUCKETS) -> Column:
-    """The word's bucket: the first 32 bits of its md5 (the same in SQL)."""
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % buckets
+def bucket_counts(a: Column, b: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of two word arrays and how often each holds them,
+    ``array<struct<w int, x int, y int>>`` in bucket order; null has no words.
+
+    A word's bucket is the first 32 bits of its md5 (the same in SQL), taken once
+    for each distinct word of an Arrow batch."""
+    from pyspark.sql.functions import arrow_udf
 
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        code = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
+        of = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % buckets for w in code.dictionary.to_pylist()], np.int64)
+        text = np.concatenate([np.repeat(np.arange(len(x)), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)) for x in (a, b)])
+        place, at = np.unique(text * buckets + of[code.indices.to_numpy()], return_inverse=True)
+        m = len(a.flatten())
+        n = [np.bincount(at[part], minlength=len(place)) for part in (slice(0, m), slice(m, None))]
+        ends = np.cumsum(np.bincount(place // buckets, minlength=len(a)))
+        rows = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in (place % buckets, *n)], names=["w", "x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), rows)
 
-def hashed_counts(c, buckets: int = BUCKETS, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
-    """Bag of buckets of a text, ``array<struct<w long, n long>>`` in bucket order."""
-    return _run_lengths(F.transform(tokens(c, pattern), lambda w: bucket(w, buckets)))
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "array<struct<w:int,x:int,y:int>>")(a, b)
 
 
 def train_idf(corpus: DataFrame, text_col: str = "text", buckets: int = BUCKETS, pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
@@ -35,7 +53,8 @@ def train_idf(corpus: DataFrame, text_col: str = "text", buckets: int = BUCKETS,
 
     The buckets of a text are counted once each; a task sends at most one row
     per bucket."""
-    there = corpus.select(F.array_distinct(F.transform(F.array_distinct(tokens(text_col, pattern)), lambda w: bucket(w, buckets))).alias("b"))
+    none = F.array().cast("array<string>")
+    there = corpus.select(F.transform(bucket_counts(tokens(text_col, pattern), none, buckets), lambda x: x["w"].cast("long")).alias("b"))
     # the bucket -1 counts the texts
     found = there.select(F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("b", F.array().cast("array<bigint>")))).alias("b"))
     df = materialize(found.groupBy("b").agg(F.count("*").alias("df")), "idf-counts")
@@ -45,18 +64,23 @@ def train_idf(corpus: DataFrame, text_col: str = "text", buckets: int = BUCKETS,
     return line.select(_let(F.col("dfs"), lambda d: F.transform(F.slice(d, 2, buckets), lambda x: F.log((F.get(d, F.lit(0)) + 1) / (x + 1)))).alias("idf"))
 
 
-def tfidf(counts: Column, idf: Column) -> Column:
-    """A bag of buckets with its counts weighted."""
-    return F.transform(counts, lambda x: F.struct(x["w"].alias("w"), (x["n"] * F.get(idf, x["w"].cast("int"))).alias("n")))
-
-
 def tfidf_similarity(a, b, idf: Column, buckets: int = BUCKETS, pattern: str = DEFAULT_TOKEN_PATTERN) -> Column:
     """M6: cosine of the TF-IDF vectors of two texts; 0 if one has no word of
     any weight. ``idf`` is the array of :func:`train_idf`, best as a column
     that holds the scalar subquery ``train_idf(...).scalar()``."""
-    def weighted(c):  # words that all texts have weigh nothing
-        return F.filter(tfidf(hashed_counts(c, buckets, pattern), idf), lambda x: x["n"] != 0)
-    return cosine_counts(weighted(_c(a)), weighted(_c(b)))
+    zero = F.lit(0.0)
+
+    def add(acc, e):
+        def go(i):  # words that all texts have weigh nothing
+            x, y = e["x"] * i, e["y"] * i
+            return F.struct((acc["x"] + x * x).alias("x"), (acc["y"] + y * y).alias("y"), (acc["d"] + x * y).alias("d"))
+        return _let(F.coalesce(F.get(idf, e["w"]), zero), go)
+
+    def cosine(s):
+        none = (_c(a).isNotNull() & (s["x"] == 0)) | (_c(b).isNotNull() & (s["y"] == 0))
+        return F.when(none, zero).when(_c(a).isNotNull() & _c(b).isNotNull(), s["d"] / (F.sqrt(s["x"]) * F.sqrt(s["y"])))
+    start = F.struct(zero.alias("x"), zero.alias("y"), zero.alias("d"))
+    return _let(F.aggregate(bucket_counts(tokens(a, pattern), tokens(b, pattern), buckets), start, add), cosine)
 
 
 # --- M1 as a logistic regression ---------------------------------------------------
