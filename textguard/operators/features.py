@@ -77,8 +77,7 @@ def tfidf_similarity(a, b, idf: Column, buckets: int = BUCKETS, pattern: str = D
         return _let(F.coalesce(F.get(idf, e["w"]), zero), go)
 
     def cosine(s):
-        none = (_c(a).isNotNull() & (s["x"] == 0)) | (_c(b).isNotNull() & (s["y"] == 0))
-        return F.when(none, zero).when(_c(a).isNotNull() & _c(b).isNotNull(), s["d"] / (F.sqrt(s["x"]) * F.sqrt(s["y"])))
+        return F.when((s["x"] == 0) | (s["y"] == 0), zero).otherwise(s["d"] / (F.sqrt(s["x"]) * F.sqrt(s["y"])))
     start = F.struct(zero.alias("x"), zero.alias("y"), zero.alias("d"))
     return _let(F.aggregate(bucket_counts(tokens(a, pattern), tokens(b, pattern), buckets), start, add), cosine)
 
