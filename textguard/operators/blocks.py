@@ -79,9 +79,46 @@ def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int32)
 
 
+def letter_words(texts: pa.Array) -> pa.Array:
+    """The words ``[a-z]+`` of each text, as word arrays; null for null. One pass
+    over the bytes of all texts: no other character has a byte of these letters."""
+    raw = pc.fill_null(texts.cast(pa.large_string()), "")
+    off = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
+    off = off - off[0]
+    letter = data - np.uint8(97) < 26
+    first, last = letter.copy(), letter.copy()  # letters that open and that end a word
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    some = np.flatnonzero(np.diff(off))
+    first[off[some]] = letter[off[some]]
+    last[off[some + 1] - 1] = letter[off[some + 1] - 1]
+    first = np.flatnonzero(first)
+    ends = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - first)))
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(data[letter].tobytes()))
+    at = np.searchsorted(first, off).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), words, mask=texts.is_null())
+
+
+def _split(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with word arrays in the place of texts (its key may be a string)."""
+    is_text = [i > 0 and (pa.types.is_string(c.type) or pa.types.is_large_string(c.type)) for i, c in enumerate(batch.columns)]
+    return pa.RecordBatch.from_arrays([letter_words(c) if t else c for c, t in zip(batch.columns, is_text, strict=True)], names=batch.schema.names)
+
+
+def _as_one(size: np.ndarray, codes: np.ndarray, size0: np.ndarray, codes0: np.ndarray) -> np.ndarray:
+    """Which texts have the same words, in their order, as their first text."""
+    same, n = size == size0, np.maximum(size, 0)
+    text = np.repeat(np.arange(len(size)), n)
+    other = codes[same[text]] != codes0[np.repeat(same, np.maximum(size0, 0))]
+    same[text[same[text]][other]] = False
+    return same
+
+
 def text_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of ``rows``: a key, then word arrays. A word array that equals the
-    row's first one is kept as a mark.
+    """Blocks of ``rows``: a key, then word arrays, or texts that are split into
+    words ``[a-z]+`` here. A word array that equals the row's first one is kept as
+    a mark.
 
     Stored as (block, keys, words, cells); the cells are, for each word array, the
     texts' numbers of words (-1: null, -2: as the first) and the words' codes."""
@@ -95,7 +132,7 @@ def text_blocks(rows: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         block = TaskContext.get().partitionId() << 32
-        for table in _gather(batches, lambda b: sum(len(b.column(i + 1).flatten()) for i in range(n))):
+        for table in _gather(map(_split, batches), lambda b: sum(len(b.column(i + 1).flatten()) for i in range(n))):
             lists = [_column(table, i + 1) for i in range(n)]
             code = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
             codes = code.indices.to_numpy()
@@ -103,11 +140,16 @@ def text_blocks(rows: DataFrame) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             codes, words, at, cells = rank[codes], code.dictionary.take(pa.array(order)), 0, []
+            size0, codes0 = _lengths(lists[0]), codes[:len(lists[0].flatten())]
             for i, x in enumerate(lists):
                 size, m = _lengths(x), len(x.flatten())
+                mine = codes[at:at + m]
                 if i:
-                    size = np.where(_column(table, n + i).to_numpy(zero_copy_only=False), -2, size).astype(np.int32)
-                cells += [_pack(size), _pack_codes(codes[at:at + m])]
+                    sent = ~_column(table, n + i).to_numpy(zero_copy_only=False)
+                    same = ~sent | _as_one(size, mine, size0, codes0)
+                    mine = mine[np.repeat(~same, np.maximum(size, 0))]
+                    size = np.where(same, -2, size).astype(np.int32)
+                cells += [_pack(size), _pack_codes(mine)]
                 at += m
             keys = _column(table, 0)
             yield pa.RecordBatch.from_arrays(
@@ -146,15 +188,34 @@ def _to_blocks(blocks: DataFrame, found: DataFrame):
 
 # --- words -------------------------------------------------------------------------
 
+def class_counts(rows: DataFrame) -> DataFrame:
+    """(word, c1, c0): how often the words ``[a-z]+`` stand in texts of class 1 and
+    of class 0, for about ``BLOCK_WORDS`` words of ``rows`` (text, class) at a time;
+    words that stand in texts of other classes alone have zeros."""
+    ship_package(rows.sparkSession)
+
+    def run(batches):
+        split = (pa.RecordBatch.from_arrays([letter_words(b.column(0)), b.column(1)], names=["words", "y"]) for b in batches)
+        for table in _gather(split, lambda b: len(b.column(0).flatten())):
+            lists = _column(table, 0)
+            code = lists.flatten().dictionary_encode()
+            codes, y = code.indices.to_numpy(), np.repeat(_column(table, 1).to_numpy(), np.maximum(_lengths(lists), 0))
+            counts = [np.bincount(codes[y == c], minlength=len(code.dictionary)) for c in (1, 0)]
+            yield pa.RecordBatch.from_arrays([code.dictionary, *[pa.array(c, pa.int64()) for c in counts]], names=["word", "c1", "c0"])
+
+    return rows.mapInArrow(run, "word string, c1 long, c0 long")
+
+
 def word_values(blocks: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """(block, i, value) for the words of the blocks that ``table`` (word, value) has."""
     words = blocks.select("block", F.posexplode("words").alias("i", "word"))
     return words.join(broadcast_if_small(table), "word").select("block", "i", F.col(value).alias("value"))
 
 
-def weighted_words(blocks: DataFrame, weights: DataFrame, value: str, n_texts: int) -> DataFrame:
-    """(k, c, x): the known words of each text, what they add together. The bits
-    of ``c`` tell the word arrays; one that equals the first sends no rows of its own."""
+def weighted_words(blocks: DataFrame, weights: DataFrame, value: str, n_texts: int, by_text: bool = False) -> DataFrame:
+    """(k, c, x): the known words of each text, what they add together; with
+    ``by_text`` one row for a text that has any. The bits of ``c`` tell the word
+    arrays; one that equals the first sends no rows of its own."""
     kind = blocks.schema["keys"].dataType.elementType
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -175,9 +236,15 @@ def weighted_words(blocks: DataFrame, weights: DataFrame, value: str, n_texts: i
                         mask = np.broadcast_to(mask, len(size))
                     text = np.repeat(np.arange(len(size)), np.maximum(size, 0))
                     known = ~np.isnan(w[codes])
-                    place, n = np.unique(text[known] * max(1, n_words) + codes[known], return_counts=True)
-                    text, code = place // max(1, n_words), place % max(1, n_words)
-                    out.append(pa.table([keys.take(pa.array(text)), pa.array(mask[text], pa.int32()), pa.array(n * w[code], pa.float64())], names=["k", "c", "x"]))
+                    text, codes = text[known], codes[known]
+                    if by_text:
+                        x = np.bincount(text, w[codes], len(size))
+                        text = np.flatnonzero(np.bincount(text, minlength=len(size)))
+                        x = x[text]
+                    else:
+                        place, n = np.unique(text * max(1, n_words) + codes, return_counts=True)
+                        text, x = place // max(1, n_words), n * w[place % max(1, n_words)]
+                    out.append(pa.table([keys.take(pa.array(text)), pa.array(mask[text], pa.int32()), pa.array(x, pa.float64())], names=["k", "c", "x"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], left.schema.field("keys").type.value_type), pa.array([], pa.int32()), pa.array([], pa.float64())], names=["k", "c", "x"])
 
     found = word_values(blocks, weights, value)

@@ -114,10 +114,12 @@ def train_naive_bayes(labelled: DataFrame, text_col: str = "text", label_col: st
     """
     lab = labelled.select(F.col(text_col).alias("_t"), F.col(label_col).cast("int").alias("_y")) \
         .where(F.col("_y").isNotNull())
-    counts = (lab.select("_y", F.explode(tokens("_t", pattern)).alias("word"))
-              .groupBy("word")
-              .agg(F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("c1"),
-                   F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("c0")))
+    if pattern == DEFAULT_TOKEN_PATTERN:
+        counts = B.class_counts(lab.select(F.lower("_t").alias("_t"), "_y"))
+    else:
+        counts = (lab.select("_y", F.explode(tokens("_t", pattern)).alias("word"))
+                  .select("word", (F.col("_y") == 1).cast("long").alias("c1"), (F.col("_y") == 0).cast("long").alias("c0")))
+    counts = counts.groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     if store:
         # the model is a table: written once (shared checkpoint folder), then
         # every scorer reads it and knows its size
@@ -149,7 +151,7 @@ def score_naive_bayes_many(df: DataFrame, weights: DataFrame, prior: float, key:
     of all of them in one set of blocks, one aggregation per key with a
     conditional sum per column, one join back."""
     names = list(outputs)
-    sums = _nb_parts(df, weights, key, list(outputs.values()), pattern).groupBy("_nb_key").agg(*_nb_sums(len(names)))
+    sums = _nb_parts(df, weights, key, list(outputs.values()), pattern, by_text=True).groupBy("_nb_key").agg(*_nb_sums(len(names)))
     out = df.join(per_text(sums.withColumnRenamed("_nb_key", key), "scores"), key, "left")
     for i, o in enumerate(names):
         out = out.withColumn(o, _nb_probability(prior, F.col(f"_nb_s{i}")))
@@ -171,18 +173,21 @@ def _nb_probability(prior: float, total: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-LOGIT_CLAMP), F.least(F.lit(LOGIT_CLAMP), logit))))
 
 
-def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str, blocks: DataFrame | None = None) -> DataFrame:
+def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pattern: str, blocks: DataFrame | None = None,
+              by_text: bool = False) -> DataFrame:
     """(_nb_key, _nb_c, _nb_x): what each known word of a text adds to its
-    logit; the bits of ``_nb_c`` tell the text columns. A text with the words of
+    logit, or with ``by_text`` all of them; the bits of ``_nb_c`` tell the text columns. A text with the words of
     the first one, in their order, sends none of its own. The weights meet the
     distinct words of a block of texts, not the words of each text."""
     blocks = _blocks(df, key, texts, pattern) if blocks is None else blocks
-    parts = B.weighted_words(blocks, broadcast_if_small(weights), "weight", len(texts))
+    parts = B.weighted_words(blocks, broadcast_if_small(weights), "weight", len(texts), by_text)
     return parts.select(F.col("k").alias("_nb_key"), F.col("c").alias("_nb_c"), F.col("x").alias("_nb_x"))
 
 
 def _blocks(df: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
-    return B.text_blocks(df.select(F.col(key).alias("_k"), *[tokens(t, pattern).alias(f"_t{i}") for i, t in enumerate(texts)]))
+    # words of letters are split in the blocks' own task, not one by one in the JVM
+    split = (lambda t: F.lower(_c(t))) if pattern == DEFAULT_TOKEN_PATTERN else (lambda t: tokens(t, pattern))
+    return B.text_blocks(df.select(F.col(key).alias("_k"), *[split(t).alias(f"_t{i}") for i, t in enumerate(texts)]))
 
 
 def _run_counts(reference: DataFrame, text_col: str, pattern: str, runs: B.Runs, store: bool) -> B.RunCounts:
@@ -259,7 +264,7 @@ def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tupl
 
     both = _blocks(df, key, [source, rewrite], pattern)
     rows = part(B.cosines(both), "k", _in=F.lit(1), cos=F.col("cos"))
-    rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern, both), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
+    rows = rows.unionAll(part(_nb_parts(df, weights, key, [source, rewrite], pattern, both, True), "_nb_key", _nb_c=F.col("_nb_c"), _nb_x=F.col("_nb_x")))
     costs = _nll_parts(df, bigrams, key, rewrite, pattern, both, 1)
     rows = rows.unionAll(part(costs, "_bg_key", _bg_len=F.col("_bg_len"), _bg_nll=F.col("_bg_nll"), _bg_n=F.col("_bg_n")))
     rows = rows.unionAll(part(labels, key, _label=F.col(label)))
