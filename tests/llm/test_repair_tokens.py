@@ -83,3 +83,17 @@ def test_ids_come_back(spark):
     R.write(df, path)
     rows = {r.doc_id: r.ids for r in R.read(spark, path, with_ids=True).collect()}
     assert rows[1] == [2] and rows[0][-1] == 2 and len(rows[0]) == 4
+
+
+def test_words_are_one_word_with_and_without_the_sign_after_them(monkeypatch):
+    """The library's merges meet the letters once, and all ids are as of the whole text."""
+    import pyarrow as pa
+
+    from textguard.llm.tokens import Encoder
+    enc, asked = Encoder(TOKENIZER), []
+    ids = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda texts: [asked.append(t) or i for t, i in zip(texts, ids(texts), strict=True)])
+    texts = ["x wrenlod wrenlod, wrenlod.\nWrenlod wrenlod's wrenlod$$$ wrenlod!", "x qué, qué. qu×. ², 中. a1, a_b. ,a İ. é, éͅ.", "x " + "a," + "b" * 60 + " a," + "b" * 30, "", "x  a,  b,", "<|endoftext|>a, a."]
+    got, off = enc.encode(pa.array(texts))
+    assert [got[a:b].tolist() for a, b in zip(off, off[1:])] == [e.ids for e in tokenizer(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert sum(t.count("wrenlod") for t in asked) == 2  # with a space before it: alone, and in the word with an apostrophe
