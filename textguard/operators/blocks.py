@@ -11,7 +11,8 @@ Runs of words are named by hashes: a slice (taken from one 64-bit hash) and
 another 64-bit hash. Two runs are taken for one only if both agree, 70 bits and
 more for the tables for which it matters (1,024 slices: below one chance in
 100,000 of a single such pair among 500 million runs). Words themselves are
-compared as strings.
+compared as strings. Where the names of all kinds of runs would fill the disk, they
+are shuffled some kinds at a time (``sums_in_turns``).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize, ship_package
+from ..session import broadcast_if_small, materialize, shuffles_deleted, ship_package
 
 #: Words of a block: what a Python worker holds at a time.
 BLOCK_WORDS = 2_000_000
@@ -47,13 +48,30 @@ def _unpack(cell: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
 
 
+def _pack_planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte: the high bytes of small ones are zeros."""
+    return _pack(a.view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def _unpack_planes(cell: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(cell, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pack_codes(codes: np.ndarray) -> bytes:
-    """Codes byte by byte: the high bytes of frequent words are zeros."""
-    return _pack(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return _pack_planes(codes.astype("<u4"))
 
 
 def _unpack_codes(cell: bytes) -> np.ndarray:
-    return np.ascontiguousarray(_unpack(cell, "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return _unpack_planes(cell, "<u4").astype(np.int64)
+
+
+def _pack_names(names: np.ndarray) -> bytes:
+    """Sorted names as their differences: the more names, the more zeros."""
+    return _pack_planes(np.diff(names, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _unpack_names(cell: bytes) -> np.ndarray:
+    return np.cumsum(_unpack_planes(cell, "<u8"), dtype=np.uint64)
 
 
 def _gather(batches, words_of: Callable[[pa.RecordBatch], int]):
@@ -157,6 +175,8 @@ def text_blocks(rows: DataFrame) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([cells], pa.list_(pa.binary()))],
                 names=["block", "keys", "words", "cells"])
             block += 1
+            del table, lists, code, codes, words, cells, order, rank, size0, codes0, x, size, mine, keys
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
     packed = rows.select(key, *sent, *marks).mapInArrow(run, f"block long, keys array<{kind}>, words array<string>, cells array<binary>")
     return materialize(packed, "blocks")
@@ -324,18 +344,37 @@ def centres(h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return [_then(lw, right), _then(left, right), np.concatenate((lw, _then(h[:, last], np.broadcast_to(_EDGE, (2, len(last))))), axis=1), left, right]
 
 
-def _distinct(h: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, where each slice's begin, how often each stands, the place of each run's name)."""
-    part = (h[1] & np.uint64(slices - 1)).astype(np.uint16)
-    order = np.argsort(h[0])
-    order = order[np.argsort(part[order], kind="stable")]
-    name, part = h[0][order], part[order]
+def _in_slices(given: np.ndarray, part: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names sorted within their slices: (names, their order before, where a new one begins, which of those each slice begins with)."""
+    order = np.argsort(part, kind="stable")
+    name = given[order]
+    del given
+    ends = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=slices))))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):  # a slice at a time stays in the processor's cache
+        mine = np.argsort(name[a:b])
+        name[a:b], order[a:b] = name[a:b][mine], order[a:b][mine]
     new = np.ones(len(name), bool)
-    new[1:] = (name[1:] != name[:-1]) | (part[1:] != part[:-1])
+    new[1:] = name[1:] != name[:-1]
+    new[ends[:-1][ends[:-1] < len(name)]] = True
     at = np.flatnonzero(new)
-    place = np.empty(len(name), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return name[at], np.searchsorted(part[at], np.arange(slices + 1)), np.diff(np.append(at, len(name))), place
+    return name, order, at, np.searchsorted(at, ends)
+
+
+def _slice_of(h1: np.ndarray, slices: int) -> np.ndarray:
+    return (h1 & np.uint64(slices - 1)).astype(np.uint16)
+
+
+def _places(order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place of each run's name, from what :func:`_in_slices` returns."""
+    place = np.empty(len(order), np.int32)
+    place[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(order))))
+    return place
+
+
+def _distinct(h: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, where each slice's begin, how often each stands, the place of each run's name)."""
+    name, order, at, begins = _in_slices(h[0], _slice_of(h[1], slices), slices)
+    return name[at], begins, np.diff(np.append(at, len(name))), _places(order, at)
 
 
 _ROWS = "kind int, slice int, block long, names binary, n binary"
@@ -355,6 +394,11 @@ def _run_rows(runs: list[np.ndarray], slices: int, block: int | None):
                                          names=["kind", "slice", "block", "names", "n"])
 
 
+def slices_of(n_bytes: int) -> int:
+    """Slices for the runs of a corpus of ``n_bytes``."""
+    return min(MAX_SLICES, max(MIN_SLICES, 1 << max(0, int(n_bytes) // SLICE_BYTES).bit_length()))
+
+
 class RunCounts:
     """How often the runs of ``runs`` stand in a corpus (a frame of one column, word
     arrays), by slice; with the number of distinct words. With ``store`` the counts
@@ -363,7 +407,7 @@ class RunCounts:
     def __init__(self, words: DataFrame, runs: Runs, n_bytes: int, store: bool = False):
         ship_package(words.sparkSession)
         self.runs = runs
-        self.slices = slices = min(MAX_SLICES, max(MIN_SLICES, 1 << max(0, int(n_bytes) // SLICE_BYTES).bit_length()))
+        self.slices = slices = slices_of(n_bytes)
 
         def count(batches):
             for table in _gather(batches, lambda b: len(b.column(0).flatten())):
@@ -449,9 +493,214 @@ def pair_cost(counts: list[np.ndarray], size: np.ndarray, vocab: int) -> tuple[n
 
 def centre_cost(counts: list[np.ndarray], size: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     """-ln P(w | l, r) of the two-sided model (``scoring.TwoSided``)."""
-    c3, clr, two, cl, cr = (c.astype(float) for c in counts)
+    c3, clr, two, cl, cr = counts
     m = int(size.sum())
-    clw, cwr = two[:m], np.append(two[1:m], 0.0)[:m]
+    clw, cwr = two[:m], np.roll(two[:m], -1)
     cwr[np.cumsum(size[size > 0]) - 1] = two[m:]
-    q = ((clw + 1) / (cl + vocab) + (cwr + 1) / (cr + vocab)) / 2
-    return -np.log((c3 + q) / (clr + 1)), np.repeat(np.arange(len(size)), size)
+    q = (clw + 1.0) / (cl + float(vocab))
+    q += (cwr + 1.0) / (cr + float(vocab))
+    q /= 2
+    q += c3
+    q /= clr + 1.0
+    return -np.log(q, out=q), np.repeat(np.arange(len(size)), size)
+
+
+# --- runs of words, some kinds at a time -------------------------------------------
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+#: (words as codes, words of each text, the code of the edge) -> for each turn its kinds of runs, a kind as the codes that follow one another
+Turns = Callable[[np.ndarray, np.ndarray, int], list[list[tuple[np.ndarray, ...]]]]
+
+
+def centre_turns(codes: np.ndarray, size: np.ndarray, edge: int) -> list[list[tuple[np.ndarray, ...]]]:
+    """The kinds of :func:`centres`, in turns of about as many names."""
+    some = size[size > 0]
+    last = np.cumsum(some) - 1
+    left, right = np.roll(codes, 1), np.roll(codes, -1)
+    left[last - some + 1], right[last] = edge, edge
+    two = np.concatenate((left, codes[last])), np.concatenate((codes, np.full(len(last), edge, codes.dtype)))
+    return [[(left, codes, right)], [(left, right)], [two, (left,), (right,)]]
+
+
+def _both(cells: list[bytes], given: int | None, asked: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words of each text, codes) of the corpus' texts and of those that are asked
+    about, none for ``None``; texts marked as the first are in the first alone."""
+    out = [(_unpack(cells[2 * i], "<i4"), _unpack_planes(cells[2 * i + 1], "<i4")) if i is not None else None for i in (given, asked)]
+    none = np.zeros(len((out[0] or out[1])[0]), np.int32), np.empty(0, np.int32)
+    return [x or none for x in out]
+
+
+def _together(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(first, second, strict=True)) if len(second[0]) else first
+
+
+def _lane(h: np.ndarray, run: tuple[np.ndarray, ...], lane: int) -> np.ndarray:
+    """One of the two hashes of runs given as codes (:func:`_then`)."""
+    out = h[lane][run[0]]
+    for more in run[1:]:
+        out *= _FACTORS[lane, 0]
+        out += h[lane][more]
+        _mix(out)
+    return out
+
+
+def _run_names(h: np.ndarray, run: tuple[np.ndarray, ...], slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    part = _slice_of(_lane(h, run, 1), slices)
+    return _in_slices(_lane(h, run, 0), part, slices)
+
+
+def _word_places(h: np.ndarray, codes: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, where each slice's begin, the place of each word's name): the words that stand there, not each time they do."""
+    some = np.flatnonzero(np.bincount(codes, minlength=h.shape[1]))
+    name, begins, _, place = _distinct(h[:, some], slices)
+    to = np.zeros(h.shape[1], np.int32)
+    to[some] = place
+    return name, begins, to[codes]
+
+
+def _named(h: np.ndarray, run: tuple[np.ndarray, ...], m: int, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, where each slice's begin, how often each is among the first ``m``) of runs
+    given as codes; ``h`` has the words' hashes by code."""
+    if len(run) == 1:
+        name, begins, place = _word_places(h, run[0], slices)
+        return name, begins, np.bincount(place[:m], minlength=len(name)).astype("<u4")
+    name, order, at, begins = _run_names(h, run, slices)
+    return name[at], begins, np.add.reduceat(order < m, at, dtype="<u4") if len(at) else np.empty(0, "<u4")
+
+
+def _run_places(h: np.ndarray, run: tuple[np.ndarray, ...], slices: int) -> np.ndarray:
+    """The place of each run's name among those of :func:`_named`."""
+    if len(run) == 1:
+        return _word_places(h, run[0], slices)[2]
+    _, order, at, _ = _run_names(h, run, slices)
+    return _places(order, at)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Two hashes of each of a block's words, the edge's as the last: eight bytes of all words at a time (not those of :func:`hash_words`)."""
+    words = words.cast(pa.large_string())
+    off = np.frombuffer(words.buffers()[1], "<i8")[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    data = np.concatenate((data[off[0]:off[-1]], np.zeros(8, np.uint8))) if len(words) else np.zeros(8, np.uint8)
+    first, size = off[:-1] - off[0], np.diff(off)
+    h = np.empty((2, len(words) + 1), np.uint64)
+    h[:, -1:] = _EDGE
+    h[:, :-1] = _mix(size.astype(np.uint64) * _FACTORS + _EDGE)
+    window = np.lib.stride_tricks.sliding_window_view(data, 8)
+    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at := at[size[at] > done]):
+        part = window[first[at] + done].view("<u8").ravel()
+        part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(size[at] - done, 8)).astype(np.uint64))
+        h[:, at] = _then(h[:, at], part)
+        done += 8
+    long = np.flatnonzero(size > LONG_WORD)
+    h[:, long] = hash_words(words.take(pa.array(long)).to_pylist())
+    return h
+
+
+def _turn_rows(blocks: DataFrame, given: int | None, asked: int | None, turns: Turns, turn: int, slices: int) -> DataFrame:
+    """A row for each block, kind of the turn and slice: the names of its runs, sorted,
+    and how often they stand in its texts of the corpus (word array ``given``). ``block`` is null if none is asked for."""
+
+    def run(batches):
+        for b in batches:
+            for j in range(b.num_rows):
+                words = b.column(1)[j].values
+                h = _hashes(words)
+                kinds = [turns(codes, np.maximum(size, 0), len(words)) for size, codes in _both([c.as_py() for c in b.column(2)[j]], given, asked)]
+                first = sum(map(len, kinds[0][:turn]))
+                for kind, (x, y) in enumerate(zip(*(k[turn] for k in kinds), strict=True), first):
+                    name, at, n = _named(h, _together(x, y), len(x[0]), slices)
+                    some = np.flatnonzero(np.diff(at))
+                    ends = [(at[s], at[s + 1]) for s in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()),
+                                                      pa.array([None if asked is None else b.column(0)[j].as_py()] * len(some), pa.int64()),
+                                                      pa.array([_pack_names(name[x:y]) for x, y in ends], pa.binary()),
+                                                      pa.array([_pack_planes(n[x:y]) for x, y in ends], pa.binary())], names=["kind", "slice", "block", "names", "n"])
+
+    return blocks.select("block", "words", "cells").mapInArrow(run, _ROWS)
+
+
+def _turn_counts(table: pa.Table) -> pa.Table:
+    """The rows of a kind and slice that ask, with the counts of their names in all rows."""
+    names = [_unpack_names(c) for c in table.column("names").to_pylist()]
+    ends = np.cumsum([0, *map(len, names)]).tolist()
+    name, n = np.concatenate(names), np.concatenate([_unpack_planes(c, "<u4") for c in table.column("n").to_pylist()])
+    del names
+    order = np.argsort(name)
+    name = name[order]
+    at = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    counts = np.empty(len(name), "<u8")
+    counts[order] = np.repeat(np.add.reduceat(n[order], at, dtype=np.uint64), np.diff(np.append(at, len(name))))
+    asked = np.flatnonzero(~table.column("block").is_null().to_numpy())
+    rows = table.take(pa.array(asked))
+    cells = [_pack_planes(counts[ends[a]:ends[a + 1]]) for a in asked.tolist()]
+    return pa.table([rows.column("block"), rows.column("kind"), rows.column("slice"), pa.array(cells, pa.binary())], names=["block", "kind", "slice", "counts"])
+
+
+def _vocabulary(blocks: DataFrame, i: int) -> int:
+    """The number of distinct words of word array ``i`` of the blocks."""
+
+    def run(batches):
+        for b in batches:
+            for j in range(b.num_rows):
+                words = b.column(0)[j].values
+                there = np.bincount(_texts([c.as_py() for c in b.column(1)[j]], i)[1], minlength=len(words)) > 0
+                yield pa.RecordBatch.from_arrays([words.filter(pa.array(there))], names=["w"])
+
+    with shuffles_deleted(blocks.sparkSession):
+        return blocks.select("words", "cells").mapInArrow(run, "w string").distinct().count()
+
+
+def sums_in_turns(blocks: DataFrame, given: int | None, asked: int, corpus: DataFrame | None, turns: Turns, n_bytes: int,
+                  cost: Callable[[list[np.ndarray], np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """:meth:`RunCounts.sums` for word array ``asked`` of the blocks, with the counts of
+    the blocks' own word array ``given`` (the first), or of the first one of the blocks ``corpus``.
+
+    The runs of a corpus are many times its size on disk, and a text and its rewrite
+    have most of theirs in common. So a block names a run once, whether it has it from
+    one or the other, and the names meet a turn after the other: the answers are stored,
+    and what was shuffled for them is deleted before the next turn."""
+    ship_package(blocks.sparkSession)
+    slices, vocab = slices_of(n_bytes), max(1, _vocabulary(*((blocks, given) if corpus is None else (corpus, 0))))
+    found = None
+    for turn in range(len(turns(np.empty(0, np.int64), np.empty(0, np.int32), 0))):
+        rows = _turn_rows(blocks, given, asked, turns, turn, slices)
+        if corpus is not None:
+            rows = rows.unionAll(_turn_rows(corpus, 0, None, turns, turn, slices))
+        with shuffles_deleted(blocks.sparkSession):
+            counts = materialize(rows.groupBy("kind", "slice").applyInArrow(_turn_counts, "block long, kind int, slice int, counts binary"), "turn-counts")
+        found = counts if found is None else found.unionAll(counts)
+
+    def total(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        right = right.take(pc.sort_indices(right, [("kind", "ascending"), ("slice", "ascending")]))
+        kinds, cells = right.column("kind").to_numpy(), right.column("counts")
+        for r in left.select(["keys", "words", "cells"]).combine_chunks().to_batches():
+            for j in range(r.num_rows):
+                both = _both([c.as_py() for c in r.column(2)[j]], given, asked)
+                words = r.column(1)[j].values
+                h, counts = _hashes(words), ([], [])
+                runs = [[kind for turn in turns(codes, np.maximum(size, 0), len(words)) for kind in turn] for size, codes in both]
+                for k, (x, y) in enumerate(zip(*runs, strict=True)):
+                    mine = [_unpack_planes(cells[c].as_py(), "<u8") for c in np.flatnonzero(kinds == k).tolist()]
+                    n = np.concatenate(mine) if mine else np.empty(0, "<u8")
+                    n = (n.astype("<u4") if len(n) and n.max() < 1 << 32 else n)[_run_places(h, _together(x, y), slices)]
+                    counts[0].append(n[:len(x[0])])
+                    counts[1].append(n[len(x[0]):])
+                del runs
+                (size0, _), (size, _) = both
+                same, sums = size == -2, []
+                for c, s in zip(counts, (size0, size), strict=True):
+                    costs, text = cost(c, np.maximum(s, 0), vocab)
+                    sums.append((np.bincount(text, costs, len(s)), np.bincount(text, minlength=len(s)), s))
+                nll, n, size = (np.where(same, x, y) for x, y in zip(*sums, strict=True))
+                out.append(pa.table([r.column(0)[j].values, pa.array(nll, pa.float64()), pa.array(n, pa.int64()), pa.array(size, pa.int64(), mask=size < 0)],
+                                    names=["k", "nll", "n", "size"]))
+        none = pa.table([pa.array([], left.schema.field("keys").type.value_type), *[pa.array([], t) for t in (pa.float64(), pa.int64(), pa.int64())]], names=["k", "nll", "n", "size"])
+        return pa.concat_tables(out) if out else none
+
+    kind = blocks.schema["keys"].dataType.elementType.simpleString()
+    return _to_blocks(blocks, found).applyInArrow(total, f"k {kind}, nll double, n long, size long")

@@ -20,6 +20,7 @@ Scale notes
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,15 +185,18 @@ def _nb_parts(df: DataFrame, weights: DataFrame, key: str, texts: list[str], pat
     return parts.select(F.col("k").alias("_nb_key"), F.col("c").alias("_nb_c"), F.col("x").alias("_nb_x"))
 
 
-def _blocks(df: DataFrame, key: str, texts: list[str], pattern: str) -> DataFrame:
+def _blocks(df: DataFrame, key: str | Column, texts: list[str], pattern: str) -> DataFrame:
     # words of letters are split in the blocks' own task, not one by one in the JVM
     split = (lambda t: F.lower(_c(t))) if pattern == DEFAULT_TOKEN_PATTERN else (lambda t: tokens(t, pattern))
-    return B.text_blocks(df.select(F.col(key).alias("_k"), *[split(t).alias(f"_t{i}") for i, t in enumerate(texts)]))
+    return B.text_blocks(df.select(_c(key).alias("_k"), *[split(t).alias(f"_t{i}") for i, t in enumerate(texts)]))
+
+
+def _text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"] or 0
 
 
 def _run_counts(reference: DataFrame, text_col: str, pattern: str, runs: B.Runs, store: bool) -> B.RunCounts:
-    size = reference.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"]
-    return B.RunCounts(reference.select(tokens(text_col, pattern).alias("t")), runs, size or 0, store)
+    return B.RunCounts(reference.select(tokens(text_col, pattern).alias("t")), runs, _text_bytes(reference, text_col), store)
 
 
 # --------------------------------------------------------------------------
@@ -282,16 +286,39 @@ class TwoSided:
 
     ``P(w | l, r) = (c(l,w,r) + q) / (c(l,r) + 1)`` backs off to
     ``q = ((c(l,w) + 1) / (c(l) + v) + (c(w,r) + 1) / (c(r) + v)) / 2``; v is the
-    number of distinct words. The ends of a text are neighbours too."""
+    number of distinct words. The ends of a text are neighbours too. With ``store``
+    the counts are kept as a table, for models that score often; without, a score
+    counts the runs it asks for, some kinds of them at a time."""
 
     def __init__(self, reference: DataFrame, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN, store: bool = False):
-        self.counts = _run_counts(reference, text_col, pattern, B.centres, store)
-        self.words = self.counts.words
+        self.reference, self.text_col, self.pattern, self.store = reference, text_col, pattern, store
+        if store:
+            _ = self.counts
+
+    @cached_property
+    def counts(self) -> B.RunCounts:
+        return _run_counts(self.reference, self.text_col, self.pattern, B.centres, self.store)
+
+    @property
+    def words(self) -> int:
+        return self.counts.words
 
 
 def pseudo_nll(df: DataFrame, model: TwoSided, key: str, text_col: str = "text", pattern: str = DEFAULT_TOKEN_PATTERN) -> DataFrame:
     """M7: per text ``(key, nll_sum, n_pred, n_tokens)`` with every token
     predicted from its two neighbours (A6 and A7 take it like
-    :func:`bigram_nll`). A block of texts asks once for each distinct run."""
-    parts = _nll_parts(df, model.counts, key, text_col, pattern, cost=B.centre_cost)
+    :func:`bigram_nll`). A block of texts asks once for each distinct run. Where
+    the model's texts are another column of ``df``, a run that a row has in both
+    is named once (``blocks.sums_in_turns``)."""
+    if model.store:
+        parts = _nll_parts(df, model.counts, key, text_col, pattern, cost=B.centre_cost)
+        return parts.groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
+    size = _text_bytes(model.reference, model.text_col)
+    if df is model.reference and pattern == model.pattern:
+        blocks, given, asked, corpus = _blocks(df, key, [model.text_col, text_col], pattern), 0, 1, None
+    else:
+        blocks, given, asked = _blocks(df, key, [text_col], pattern), None, 0
+        corpus = _blocks(model.reference, F.lit(0), [model.text_col], model.pattern)
+    sums = B.sums_in_turns(blocks, given, asked, corpus, B.centre_turns, size, B.centre_cost)
+    parts = sums.select(F.col("k").alias("_bg_key"), F.col("size").alias("_bg_len"), F.col("nll").alias("_bg_nll"), F.col("n").alias("_bg_n"))
     return parts.groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)

@@ -761,9 +761,12 @@ _PSEUDO_SQL = f"""rt AS (SELECT doc_id, {_TOK.format('text')} AS t FROM document
 @register("m7_pseudo_perplexity",
           f"WITH {_RW_CTE}, {_PSEUDO_SQL} SELECT doc_id, round(CASE WHEN n >= 3 THEN exp(nll / n) END, 6) AS ppl FROM rw LEFT JOIN s USING (doc_id)")
 def m7_pseudo_perplexity(spark, sf):
-    """M7 with both neighbours of each word (pseudo-perplexity)."""
+    """M7 with both neighbours of each word (pseudo-perplexity). The rewrites
+    carry the documents' texts and are read once, into blocks: they are not
+    stored before."""
     from ..operators.scoring import TwoSided, pseudo_nll, text_perplexity
-    nll = pseudo_nll(stored_rewrites(spark, sf), TwoSided(docs(spark, sf)), "doc_id", "rewrite")
+    rewrites = gated_rewrites(spark, sf)
+    nll = pseudo_nll(rewrites, TwoSided(rewrites, "text"), "doc_id", "rewrite")
     return text_perplexity(nll, "doc_id").select("doc_id", r6(F.col("ppl")).alias("ppl"))
 
 
