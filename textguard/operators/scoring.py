@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _at, _c, _let
-from ..session import broadcast_if_small, materialize, stored_bytes, with_size
+from ..session import broadcast_if_small, materialize, shuffles_deleted, stored_bytes, with_size
 from . import blocks as B
 
 # Fixed value: token class used on the driver's tables (lower-cased ASCII words).
@@ -219,7 +219,12 @@ def bigram_nll(df: DataFrame, model: B.RunCounts, key: str,
 
     A block of texts asks once for each of its distinct bigrams, and gets
     their counts back (``blocks.RunCounts``); texts without a bigram keep their row."""
-    return _nll_parts(df, model, key, text_col, pattern).groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
+    return _stored_nll(_nll_parts(df, model, key, text_col, pattern), key)
+
+
+def _stored_nll(parts: DataFrame, key: str) -> DataFrame:
+    """The sums of each text, stored: whoever reads them runs no model again."""
+    return materialize(parts.groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key), "nll")
 
 
 def _nll_sums() -> list[Column]:
@@ -273,8 +278,9 @@ def evaluation_rows(df: DataFrame, key: str, source: str, rewrite: str, nb: tupl
     rows = rows.unionAll(part(costs, "_bg_key", _bg_len=F.col("_bg_len"), _bg_nll=F.col("_bg_nll"), _bg_n=F.col("_bg_n")))
     rows = rows.unionAll(part(labels, key, _label=F.col(label)))
     got = rows.groupBy("_k").agg(F.max("_in").alias("_in"), F.max("cos").alias("cos"), F.max("_label").alias(label), *_nb_sums(2), *_nll_sums()).where("_in = 1")
-    return got.select(F.col("_k").alias(key), "cos", _nb_probability(prior, F.col("_nb_s0")).alias("p_before"), _nb_probability(prior, F.col("_nb_s1")).alias("p_after"),
+    rows = got.select(F.col("_k").alias(key), "cos", _nb_probability(prior, F.col("_nb_s0")).alias("p_before"), _nb_probability(prior, F.col("_nb_s1")).alias("p_after"),
                       _ppl().alias("ppl"), label)
+    return materialize(rows, "evaluation")
 
 
 # --------------------------------------------------------------------------
@@ -311,8 +317,7 @@ def pseudo_nll(df: DataFrame, model: TwoSided, key: str, text_col: str = "text",
     the model's texts are another column of ``df``, a run that a row has in both
     is named once (``blocks.sums_in_turns``)."""
     if model.store:
-        parts = _nll_parts(df, model.counts, key, text_col, pattern, cost=B.centre_cost)
-        return parts.groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
+        return _stored_nll(_nll_parts(df, model.counts, key, text_col, pattern, cost=B.centre_cost), key)
     size = _text_bytes(model.reference, model.text_col)
     if df is model.reference and pattern == model.pattern:
         blocks, given, asked, corpus = _blocks(df, key, [model.text_col, text_col], pattern), 0, 1, None
@@ -321,4 +326,5 @@ def pseudo_nll(df: DataFrame, model: TwoSided, key: str, text_col: str = "text",
         corpus = _blocks(model.reference, F.lit(0), [model.text_col], model.pattern)
     sums = B.sums_in_turns(blocks, given, asked, corpus, B.centre_turns, size, B.centre_cost)
     parts = sums.select(F.col("k").alias("_bg_key"), F.col("size").alias("_bg_len"), F.col("nll").alias("_bg_nll"), F.col("n").alias("_bg_n"))
-    return parts.groupBy("_bg_key").agg(*_nll_sums()).withColumnRenamed("_bg_key", key)
+    with shuffles_deleted(df.sparkSession):
+        return _stored_nll(parts, key)

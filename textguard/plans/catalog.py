@@ -714,7 +714,8 @@ def m6_tfidf_similarity(spark, sf):
     from ..operators.features import tfidf_similarity, train_idf
     from ..session import materialize
     idf = materialize(train_idf(docs(spark, sf)), "idf").select("idf").scalar()
-    return stored_rewrites(spark, sf).withColumn("idf", idf).select("doc_id", r6(tfidf_similarity("text", "rewrite", F.col("idf"))).alias("sim"))
+    sims = stored_rewrites(spark, sf).withColumn("idf", idf).select("doc_id", r6(tfidf_similarity("text", "rewrite", F.col("idf"))).alias("sim"))
+    return materialize(sims, "sims")
 
 
 @register("m1_logistic_verdict", None)
